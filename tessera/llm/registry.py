@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup
+import os
+
+from tessera.llm import exact_dedup, packing
 from tessera.llm.common import documents
 
 
+def tokenizer_path() -> str:
+    """The vocabulary of the token queries; TESSERA_TOKENIZER names another file."""
+    import public_tokenizers
+
+    return os.environ.get("TESSERA_TOKENIZER") or public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_pack(spark, sf_dir):
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
+
+
 def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.decisions(documents(spark, sf_dir))
 
 
 QUERIES = {
+    "op6_pack": op6_pack,
     "op9_exact_dedup": op9_exact_dedup,
 }
 ORACLES = {"op9_exact_dedup": exact_dedup.ORACLE}
