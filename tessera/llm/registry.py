@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from tessera.llm import exact_dedup, packing
+from tessera.llm import exact_dedup, packing, tokenfile
 from tessera.llm.common import documents
 
 
@@ -15,6 +15,11 @@ def tokenizer_path() -> str:
     return os.environ.get("TESSERA_TOKENIZER") or public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_token_file(spark, sf_dir):
+    path = tokenfile.write_documents(documents(spark, sf_dir), tokenizer_path(), end_id=2)
+    return tokenfile.digest(spark, path)
+
+
 def op6_pack(spark, sf_dir):
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
 
@@ -24,6 +29,7 @@ def op9_exact_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op3_token_file": op3_token_file,
     "op6_pack": op6_pack,
     "op9_exact_dedup": op9_exact_dedup,
 }
