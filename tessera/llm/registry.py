@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from tessera.llm import exact_dedup, packing, tokenfile
+from tessera.llm import exact_dedup, packing, tokenfile, toxicity
 from tessera.llm.common import documents
 
 
@@ -24,6 +24,10 @@ def op6_pack(spark, sf_dir):
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
 
 
+def op7_toxicity(spark, sf_dir):
+    return toxicity.predictions(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.decisions(documents(spark, sf_dir))
 
@@ -31,6 +35,7 @@ def op9_exact_dedup(spark, sf_dir):
 QUERIES = {
     "op3_token_file": op3_token_file,
     "op6_pack": op6_pack,
+    "op7_toxicity": op7_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
 }
 ORACLES = {"op9_exact_dedup": exact_dedup.ORACLE}
