@@ -19,7 +19,6 @@ import dataclasses
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +34,9 @@ EPOCHS = 3
 ALPHA, BETA, L1, L2 = 4.0, 1.0, 0.001, 0.0005
 #: The vectors' sum: a text is as strong an example whatever its length.
 SCALE = 20.0
+#: Characters, and texts, handled at once.
 SLICE_CHARS = 1 << 18
+SLICE_TEXTS = 128
 UND = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -51,8 +52,8 @@ class Model:
     temperature: float = 1.0
 
     def __post_init__(self):
-        # a row for each feature: weight * idf by language, then idf
-        self.table = np.c_[self.weights * self.idf[:, None], self.idf].astype(np.float32)
+        # for each language weight * idf by feature, then idf alone
+        self.table = [np.ascontiguousarray(x, np.float32) for x in (*(self.weights * self.idf[:, None]).T, self.idf)]
 
 
 def _letters() -> np.ndarray:
@@ -87,9 +88,7 @@ def grams(texts: list[str]):
     mask = np.uint32((1 << BITS) - 1)
     with np.errstate(over="ignore"):
         for order in ORDERS:
-            n = len(chars) - order + 1
-            if n <= 0:
-                continue
+            n = max(0, len(chars) - order + 1)
             h = np.full(n, order * 0x85EBCA6B & 0xFFFFFFFF, np.uint32)
             for i in range(order):
                 h = (h ^ chars[i : i + n]) * np.uint32(0x9E3779B1)
@@ -107,7 +106,7 @@ def _batches(column: pa.Array):
     lo = 0
     while lo < len(texts):
         hi, size = lo, 0
-        while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= SLICE_CHARS):
+        while hi < len(texts) and hi < lo + SLICE_TEXTS and (hi == lo or size + len(texts[hi]) <= SLICE_CHARS):
             size += len(texts[hi])
             hi += 1
         yield texts[lo:hi]
@@ -131,14 +130,10 @@ def _frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
         for batch in batches:
             for texts in _batches(batch.column("text")):
                 docs += len(texts)
+                seen = np.zeros((len(texts), 1 << BITS), bool)
                 for feature, own in grams(texts):
-                    seen = np.zeros(len(texts) << BITS, bool) if len(texts) <= 64 else None
-                    if seen is not None:
-                        seen[(own << BITS) | feature] = True
-                        total += seen.reshape(len(texts), -1).sum(0)
-                    else:
-                        once = np.unique((own << BITS) | feature)
-                        total += np.bincount(once & ((1 << BITS) - 1), minlength=1 << BITS)
+                    seen[own, feature] = True
+                total += seen.sum(0)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[docs, total[at]])], ["feature", "n"])
 
@@ -247,7 +242,8 @@ def probabilities(model: Model, texts: list[str]) -> np.ndarray:
         if not len(own):
             continue
         first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        sums[own[first]] += np.add.reduceat(model.table[feature], first, axis=0, dtype=np.float64)
+        for i, column in enumerate(model.table):
+            sums[own[first], i] += np.add.reduceat(column[feature], first, dtype=np.float64)
     logits = (SCALE * sums[:, :k] / np.maximum(sums[:, k:], 1e-12) + model.base) / model.temperature
     p = np.exp(logits - logits.max(1, keepdims=True, initial=0.0))
     return p / p.sum(1, keepdims=True) if k else p

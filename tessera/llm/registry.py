@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from tessera.llm import exact_dedup, packing, tokenfile, toxicity
+from tessera.llm import exact_dedup, langid, packing, tokenfile, toxicity
 from tessera.llm.common import documents
 
 
@@ -28,6 +28,10 @@ def op7_toxicity(spark, sf_dir):
     return toxicity.predictions(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op8_langid(spark, sf_dir):
+    return langid.predictions(documents(spark, sf_dir))
+
+
 def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.decisions(documents(spark, sf_dir))
 
@@ -36,6 +40,7 @@ QUERIES = {
     "op3_token_file": op3_token_file,
     "op6_pack": op6_pack,
     "op7_toxicity": op7_toxicity,
+    "op8_langid": op8_langid,
     "op9_exact_dedup": op9_exact_dedup,
 }
 ORACLES = {"op9_exact_dedup": exact_dedup.ORACLE}
