@@ -38,7 +38,7 @@ K = BANDS * ROWS
 #: Members of a group that are compared with the rest of it in a round; four times as many in the next.
 LEADERS = 8
 
-SIGNED = "doc_id long, size long, set_a long, set_b long, bands array<long>, elements array<long>"
+SIGNED = "doc_id long, size long, set_a long, set_b long, bands array<long>"
 
 
 def elements(shingles: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,28 +71,33 @@ def signatures(regions: np.ndarray, owner: np.ndarray, texts: int, k: int = K) -
     todo = np.flatnonzero(size)
     reach = (k * np.log(k) + 2 * k) / np.maximum(size, 1)
     while len(todo):
-        chosen = np.zeros(texts, bool)
-        chosen[todo] = True
-        mine = chosen[owner]
-        dart, text = tv.mix(regions[mine]), owner[mine]
-        rank = -np.log(_uniform(tv.mix(dart ^ np.uint64(0x5851F42D4C957F2D))))
         best = np.full(texts * k, np.inf)
         value = np.zeros(texts * k, np.uint64)
-        while True:
-            hit = rank < reach[text]
-            dart, text, rank = dart[hit], text[hit], rank[hit]
-            if not len(dart):
-                break
-            cell = text * k + (dart % np.uint64(k)).astype(np.int64)
-            np.minimum.at(best, cell, rank)
-            first = rank == best[cell]
-            value[cell[first]] = dart[first]
-            # the next dart of the same region, later on the rank axis
-            dart = tv.mix(dart)
-            rank = rank - np.log(_uniform(tv.mix(dart ^ np.uint64(0x5851F42D4C957F2D))))
-        full = np.isfinite(best.reshape(texts, k)).all(1) & chosen
-        out[full] = value.reshape(texts, k)[full]
-        todo = np.flatnonzero(chosen & ~full)  # a coordinate got no dart: reach further
+        # short texts need many darts a region: those are thrown in larger rounds
+        for least, most, darts in ((0, 8, 2), (8, 64, 16), (64, np.inf, 256)):
+            chosen = np.zeros(texts, bool)
+            chosen[todo] = (reach[todo] >= least) & (reach[todo] < most)
+            mine = np.flatnonzero(chosen[owner])
+            region, text, rank, thrown = regions[mine], owner[mine], np.zeros(len(mine)), 0
+            while len(region):
+                turn = np.arange(thrown + 1, thrown + darts + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
+                with np.errstate(over="ignore"):
+                    dart = tv.mix((region[:, None] + turn).reshape(-1))
+                # darts of a region come at unit rate along the rank axis
+                step = -np.log(_uniform(tv.mix(dart ^ np.uint64(0x5851F42D4C957F2D)))).reshape(-1, darts)
+                ranks = rank[:, None] + np.cumsum(step, 1)
+                hit = np.flatnonzero((ranks < reach[text][:, None]).reshape(-1))
+                dart, at, r = dart[hit], text[hit // darts], ranks.reshape(-1)[hit]
+                cell = at * k + (dart % np.uint64(k)).astype(np.int64)
+                np.minimum.at(best, cell, r)
+                first = r == best[cell]
+                value[cell[first]] = dart[first]
+                more = ranks[:, -1] < reach[text]
+                region, text, rank, thrown = region[more], text[more], ranks[more, -1], thrown + darts
+        full = np.isfinite(best.reshape(texts, k)).all(1)
+        done = todo[full[todo]]
+        out[done] = value.reshape(texts, k)[done]
+        todo = todo[~full[todo]]  # a coordinate got no dart: reach further
         reach[todo] *= 2
     return out
 
@@ -117,7 +122,7 @@ def sets_of(column: pa.Array):
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """See SIGNED: two sums that identify the set, the band keys, and the set itself. One row per document with words."""
+    """See SIGNED: two sums that identify the set, and the band keys. One row per row with words and a doc_id."""
 
     def run(batches):
         for batch in batches:
@@ -135,14 +140,27 @@ def signed(docs: DataFrame) -> DataFrame:
                         pa.array(a.view(np.int64)),
                         pa.array(b.view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * BANDS, pa.int32()), pa.array(bands.reshape(-1).view(np.int64))),
-                        pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(regions.view(np.int64))),
                     ],
-                    ["doc_id", "size", "set_a", "set_b", "bands", "elements"],
+                    ["doc_id", "size", "set_a", "set_b", "bands"],
                 ).filter(some)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(run, SIGNED)
 
 
+def sets(docs: DataFrame) -> DataFrame:
+    """(doc_id, elements): the whole sets, as sorted numbers."""
+
+    def run(batches):
+        for batch in batches:
+            doc_ids = batch.column("doc_id")
+            for lo, hi, regions, _, first in sets_of(batch.column("text")):
+                yield pa.RecordBatch.from_arrays(
+                    [doc_ids[lo:hi], pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(regions.view(np.int64)))], ["doc_id", "elements"]
+                )
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, elements array<long>")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, class): connected components of edges(a, b), each with its smallest id. Alternates between linking a node's
     larger and its smaller neighbours to their smallest until nothing changes; every round is written out."""
@@ -164,55 +182,53 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.select(F.col("v").alias("id"), "class").unionByName(labels.select(F.col("class").alias("id"), "class").distinct())
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, whole: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) whose sets reach the similarity, by their whole sets."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("ea"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("eb"))
+    left = whole.select(F.col("doc_id").alias("a"), F.col("elements").alias("ea"))
+    right = whole.select(F.col("doc_id").alias("b"), F.col("elements").alias("eb"))
     shared = F.size(F.array_intersect("ea", "eb"))
-    return pairs.join(left, "a").join(right, "b").where(shared >= similarity * (F.size("ea") + F.size("eb") - shared)).select("a", "b")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", shared.alias("shared"), (F.size("ea") + F.size("eb")).alias("sum"))
+    return both.where(F.col("shared") >= similarity * (F.col("sum") - F.col("shared")) - 1e-9).select("a", "b")
 
 
-def near_links(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame | None:
-    """(id, class) over the documents of sets(doc_id, size, bands, elements) that are linked; None if there are none."""
-    keys = sets.select("doc_id", "size", F.explode("bands").alias("band"))
-    shared = keys.groupBy("band").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    members = materialize(keys.join(shared.select("band", "leader"), "band"), "bands")
+def near_links(marks: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame | None:
+    """(id, class) over the documents of marks(doc_id, size, bands) that are linked; None if there are none. The sets
+    of those that share a band are read from docs again."""
+    keys = marks.select("doc_id", F.explode("bands").alias("band"))
+    shared = keys.groupBy("band").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last")
+    members = keys.join(shared.select("band", "leader"), "band")
+    members = materialize(members.join(marks.select("doc_id", "size"), "doc_id").distinct(), "bands")
     near_size = (F.col("size") >= similarity * F.col("size_a")) & (F.col("size_a") >= similarity * F.col("size"))
+    whole = materialize(sets(keep_or_drop(docs, members.select("doc_id"), "left_semi")).distinct(), "sets")
 
-    # first round: everyone in a group against its leader
-    sizes = sets.select(F.col("doc_id").alias("leader"), F.col("size").alias("size_a"))
+    # at first everyone in a group against its leader
+    sizes = marks.select(F.col("doc_id").alias("leader"), F.col("size").alias("size_a"))
     stars = members.where("doc_id != leader").select("leader", "doc_id", "size").distinct().join(sizes, "leader").where(near_size)
-    sets = materialize(sets.join(members.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "elements"), "sets")
-    links = materialize(_verified(stars.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")), sets, similarity), "links")
-    done = 0  # the smallest members of each group that have been compared with the rest of it, by rank outside its leader's component
-    take = LEADERS
-    classes = None
-    ranked = None
+    links = materialize(_verified(stars.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct(), whole, similarity), "links")
+    ranked, done, take = None, 0, LEADERS
     while True:
-        classes = components(links) if links.limit(1).count() else None
-        label = F.lit(None).cast("long")
-        if classes is None:
+        linked = components(links) if links.limit(1).count() else None
+        if linked is None:
             now = members.withColumn("class", F.col("doc_id"))
         else:
-            now = members.join(classes.select(F.col("id").alias("doc_id"), "class"), "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
-        # groups that still hold several components
+            linked = materialize(linked, "linked")
+            now = members.join(linked.select(F.col("id").alias("doc_id"), "class"), "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
+        # groups that hold several components
         mixed = now.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("band")
         now = materialize(now.join(mixed, "band", "left_semi"), "mixed")
         if ranked is None:
-            # those outside the leader's component take turns, in the order of their ids
-            lead = now.where("doc_id = leader").select("band", F.col("class").alias("lead"))
-            outside = now.join(lead, "band").where("class != lead").select("band", "doc_id")
+            # those outside their leader's component take turns, in the order of their ids
+            lead = now.where("doc_id = leader").select("band", F.col("class").alias("lead")).distinct()
+            outside = now.join(lead, "band").where("class != lead").select("band", "doc_id").distinct()
             ranked = materialize(outside.withColumn("rank", F.row_number().over(Window.partitionBy("band").orderBy("doc_id"))), "ranked")
         turn = ranked.where((F.col("rank") > done) & (F.col("rank") <= done + take)).select("band", F.col("doc_id").alias("a"))
         turn = turn.join(now.select("band", F.col("doc_id").alias("a"), F.col("size").alias("size_a"), F.col("class").alias("class_a")), ["band", "a"])
         if not turn.limit(1).count():
-            break
+            return linked
         pairs = turn.join(now.select("band", "doc_id", "size", "class"), "band").where((F.col("class") != F.col("class_a")) & near_size)
         pairs = pairs.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
-        found = materialize(_verified(pairs, sets, similarity), "links")
-        links = materialize(links.unionByName(found), "links")
+        links = materialize(links.unionByName(_verified(pairs, whole, similarity)), "links")
         done, take = done + take, 4 * take
-    return classes
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -222,7 +238,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     own = marks.select("doc_id", "set_a", "set_b", "size").join(copies, ["set_a", "set_b", "size"]).select("doc_id", "copy_of")
     # one row for each distinct set; a doc_id that repeats may bring several
     alone = marks.join(copies, ["set_a", "set_b", "size"]).where("doc_id = copy_of").dropDuplicates(["doc_id", "set_a", "set_b"])
-    linked = near_links(alone, similarity)
+    linked = near_links(materialize(alone, "distinct-sets"), docs, similarity)
     if linked is None:
         found = own.select("doc_id", F.col("copy_of").alias("class_id"))
     else:

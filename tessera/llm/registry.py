@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from tessera.llm import exact_dedup, langid, packing, tokenfile, toxicity
+from tessera.llm import exact_dedup, langid, minhash, packing, tokenfile, toxicity
 from tessera.llm.common import documents
 
 
@@ -36,11 +36,16 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.decisions(documents(spark, sf_dir))
 
 
+def op10_near_dedup(spark, sf_dir):
+    return minhash.classes(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op3_token_file": op3_token_file,
     "op6_pack": op6_pack,
     "op7_toxicity": op7_toxicity,
     "op8_langid": op8_langid,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_near_dedup": op10_near_dedup,
 }
 ORACLES = {"op9_exact_dedup": exact_dedup.ORACLE}

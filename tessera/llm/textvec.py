@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text handled at once.
 SLICE_BYTES = 1 << 20
+#: Texts handled at once.
+SLICE_ROWS = 2048
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POW = np.ones(1, np.uint64)
 _INV = np.ones(1, np.uint64)
@@ -64,7 +66,7 @@ def slices(column: pa.Array, most: int = SLICE_BYTES):
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     lo = 0
     while lo < len(column):
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
+        hi = min(max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1), lo + SLICE_ROWS)
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
 
