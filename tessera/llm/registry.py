@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from tessera.llm import exact_dedup, langid, minhash, packing, tokenfile, toxicity
+from tessera.llm import exact_dedup, langid, minhash, ngram, packing, tokenfile, toxicity
 from tessera.llm.common import documents
 
 
@@ -20,6 +20,10 @@ def op3_token_file(spark, sf_dir):
     return tokenfile.digest(spark, path)
 
 
+def op4_lm_score(spark, sf_dir):
+    return ngram.score(documents(spark, sf_dir))
+
+
 def op6_pack(spark, sf_dir):
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
 
@@ -42,6 +46,7 @@ def op10_near_dedup(spark, sf_dir):
 
 QUERIES = {
     "op3_token_file": op3_token_file,
+    "op4_lm_score": op4_lm_score,
     "op6_pack": op6_pack,
     "op7_toxicity": op7_toxicity,
     "op8_langid": op8_langid,
