@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from tessera.llm import exact_dedup, langid, minhash, ngram, packing, tokenfile, toxicity
+from tessera.llm import decontaminate, exact_dedup, langid, minhash, ngram, packing, tokenfile, toxicity
 from tessera.llm.common import documents
 
 
@@ -15,6 +15,10 @@ def tokenizer_path() -> str:
     return os.environ.get("TESSERA_TOKENIZER") or public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_decontaminate(spark, sf_dir):
+    return decontaminate.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_token_file(spark, sf_dir):
     path = tokenfile.write_documents(documents(spark, sf_dir), tokenizer_path(), end_id=2)
     return tokenfile.digest(spark, path)
@@ -45,6 +49,7 @@ def op10_near_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op3_token_file": op3_token_file,
     "op4_lm_score": op4_lm_score,
     "op6_pack": op6_pack,
