@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from tessera.llm import decontaminate, exact_dedup, langid, minhash, ngram, packing, tokenfile, toxicity
+from tessera.llm import decontaminate, exact_dedup, langid, minhash, ngram, packing, sharding, tokenfile, toxicity, warc
 from tessera.llm.common import documents
 
 
@@ -19,6 +19,11 @@ def op1_decontaminate(spark, sf_dir):
     return decontaminate.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op2_shard(spark, sf_dir):
+    placed = sharding.assign(documents(spark, sf_dir), "doc_id", [f"shard-{i}" for i in range(sharding.SHARDS)])
+    return placed.select("doc_id", "slot", "shard")
+
+
 def op3_token_file(spark, sf_dir):
     path = tokenfile.write_documents(documents(spark, sf_dir), tokenizer_path(), end_id=2)
     return tokenfile.digest(spark, path)
@@ -28,6 +33,11 @@ def op4_lm_score(spark, sf_dir):
     return ngram.score(documents(spark, sf_dir))
 
 
+def op5_warc(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return warc.digests(warc.derive(warc.responses(pages)))
+
+
 def op6_pack(spark, sf_dir):
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
 
@@ -50,12 +60,14 @@ def op10_near_dedup(spark, sf_dir):
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_shard": op2_shard,
     "op3_token_file": op3_token_file,
     "op4_lm_score": op4_lm_score,
+    "op5_warc": op5_warc,
     "op6_pack": op6_pack,
     "op7_toxicity": op7_toxicity,
     "op8_langid": op8_langid,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_near_dedup": op10_near_dedup,
 }
-ORACLES = {"op9_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op2_shard": sharding.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
