@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tessera.plans import context, graphs, maintenance, retrieval, versions  # noqa: F401  (they register themselves)
+from tessera.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
