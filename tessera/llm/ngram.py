@@ -26,14 +26,15 @@ from tessera.llm import textvec as tv
 from tessera.llm.common import materialize
 
 #: Tokens of a segment at least, unless a partition ends.
-SEGMENT = 1 << 21
+SEGMENT = 1 << 20
 #: Bins a factor of two, of the probabilities that weights are learned from.
 FINE = 8
 ROUNDS = 100
 END = np.uint64(0x2545F4914F6CDD1D)
 BEGIN = np.uint64(0x9E6C63D0876A9A47)
 
-SEGMENTS = "segment long, doc_ids array<long>, folds array<int>, sizes array<long>, words binary, tokens binary"
+#: A learning segment's number is odd.
+SEGMENTS = "segment long, learning boolean, doc_ids array<long>, folds array<int>, sizes array<long>, words binary, tokens binary"
 ASKED = "bucket long, segment long, keys binary, counts binary, held binary"
 ANSWERED = "segment long, bucket long, counts binary, held binary, sums array<long>"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -62,44 +63,49 @@ def _wide(blob: bytes) -> np.ndarray:
 
 
 def segments(docs: DataFrame, size: int = SEGMENT) -> DataFrame:
-    """See SEGMENTS; folds holds crc32 of the id as text modulo 10."""
+    """See SEGMENTS; folds holds crc32 of the id as text modulo 10, and learning segments those where it is 1."""
 
     def run(batches):
         from pyspark import TaskContext
 
         task, number = TaskContext.get().partitionId(), 0
-        held: list = []
-        tokens = 0
-
-        def flush():
-            doc_ids = [i for x in held for i in x[0]]
-            folds = [i for x in held for i in x[1]]
-            sizes = np.concatenate([x[2] for x in held])
-            words, index = np.unique(np.concatenate([x[3] for x in held]), return_inverse=True)
+        held: dict[bool, list] = {False: [], True: []}
+        tokens = {False: 0, True: 0}
+
+        def flush(learning: bool):
+            nonlocal number
+            own, held[learning], tokens[learning], number = held[learning], [], 0, number + 1
+            words, index = np.unique(np.concatenate([x[3] for x in own]), return_inverse=True)
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([task << 24 | number], pa.int64()),
-                    pa.array([doc_ids], pa.list_(pa.int64())),
-                    pa.array([folds], pa.list_(pa.int32())),
-                    pa.array([sizes.tolist()], pa.list_(pa.int64())),
-                    pa.array([words.astype("<u8").tobytes()], pa.binary()),
+                    pa.array([(task << 24 | number) << 1 | learning], pa.int64()),
+                    pa.array([learning]),
+                    pa.array([[i for x in own for i in x[0]]], pa.list_(pa.int64())),
+                    pa.array([[i for x in own for i in x[1]]], pa.list_(pa.int32())),
+                    pa.array([np.concatenate([x[2] for x in own]).tolist()], pa.list_(pa.int64())),
+                    pa.array([_pack(np.diff(words, prepend=np.uint64(0)))], pa.binary()),
                     pa.array([_pack(index.astype("<u4"))], pa.binary()),
                 ],
-                ["segment", "doc_ids", "folds", "sizes", "words", "tokens"],
+                ["segment", "learning", "doc_ids", "folds", "sizes", "words", "tokens"],
             )
 
         for batch in batches:
-            doc_ids, folds = batch.column("doc_id").to_pylist(), batch.column("fold").to_pylist()
+            doc_ids, folds = batch.column("doc_id").to_pylist(), np.array(batch.column("fold").to_pylist(), np.int64)
             for lo, hi, data, starts in tv.slices(batch.column("text")):
                 begin, end, first = tv.spans(data, starts, tv.BLANKS)
                 words = np.insert(tv.Sums(data).hash(begin, end), first[1:], END)
-                held.append((doc_ids[lo:hi], folds[lo:hi], np.diff(first) + 1, words))
-                tokens += len(words)
-                if tokens >= size:
-                    yield flush()
-                    held, tokens, number = [], 0, number + 1
-        if held:
-            yield flush()
+                sizes = np.diff(first) + 1
+                for learning in (False, True):  # documents that weights are learned on have segments of their own
+                    mine = (folds[lo:hi] == 1) == learning
+                    if mine.any():
+                        at = np.flatnonzero(mine) + lo
+                        held[learning].append(([doc_ids[i] for i in at.tolist()], folds[at].tolist(), sizes[mine], words[np.repeat(mine, sizes)]))
+                        tokens[learning] += int(sizes[mine].sum())
+                        if tokens[learning] >= size:
+                            yield flush(learning)
+        for learning in (False, True):
+            if held[learning]:
+                yield flush(learning)
 
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10, F.lit(2)).cast("int")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", fold.alias("fold")).mapInArrow(run, SEGMENTS)
@@ -110,7 +116,7 @@ class Segment:
 
     def __init__(self, row: dict):
         self.id = row["segment"]
-        self.words = np.frombuffer(row["words"], "<u8")
+        self.words = np.cumsum(_unpack(row["words"], "<u8"), dtype=np.uint64)
         self.token = _unpack(row["tokens"], "<u4").astype(np.int64)
         self.sizes = np.array(row["sizes"], np.int64)
         self.first = np.r_[0, np.cumsum(self.sizes)][:-1]
@@ -229,15 +235,13 @@ def _probabilities(s: Segment, row: dict, total: int, texts: int, learning: bool
 
 
 def learn(joined: DataFrame, tokens: int, distinct: int, texts: int) -> np.ndarray:
-    """Weights (l2, l1, l0) of each context level, by expectation-maximisation over a histogram of all held tokens."""
+    """Weights (l2, l1, l0) of each context level, by expectation-maximisation over a histogram of all tokens of the
+    learning segments."""
 
     def run(batches):
         for row in _rows(batches):
             s = Segment(row)
-            mine = s.folds == 1
-            if not mine.any():
-                continue
-            level, p2, p1, _ = (x[mine] for x in _probabilities(s, row, tokens, texts, True))
+            level, p2, p1, _ = _probabilities(s, row, tokens, texts, True)
             q2, q1 = (np.where(p > 0, np.round(-np.log2(np.maximum(p, 1e-300)) * FINE), -1).astype(np.int64) for p in (p2, p1))
             cell, n = np.unique(np.stack([level.astype(np.int64), q2, q1]), axis=1, return_counts=True)
             yield pa.RecordBatch.from_arrays([*map(pa.array, cell), pa.array(n)], ["level", "q2", "q1", "n"])
@@ -273,15 +277,15 @@ def score(docs: DataFrame, size: int = SEGMENT) -> DataFrame:
     tokens, distinct, counted, counted_distinct = sums
     folds = parts.select(F.explode("folds").alias("fold"))
     texts, held_texts = folds.agg(F.coalesce(F.sum((F.col("fold") > 0).cast("long")), F.lit(0)), F.coalesce(F.sum((F.col("fold") == 1).cast("long")), F.lit(0))).first()
-    joined = _joined(parts, words, pairs)
-    weights = spark.sparkContext.broadcast(learn(joined, counted, counted_distinct, texts - held_texts))
+    odd = [x.where("segment % 2 = 1") for x in (parts, words, pairs)]
+    weights = spark.sparkContext.broadcast(learn(_joined(*odd), counted, counted_distinct, texts - held_texts))
 
     def run(batches):
         for row in _rows(batches):
             s = Segment(row)
             level, p2, p1, seen = _probabilities(s, row, tokens, texts, False)
-            w = weights.value[level]
-            model = np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (distinct + 1))
+            l2, l1, l0 = (x[level] for x in weights.value.T)
+            model = np.log10(l2 * p2 + l1 * p1 + l0 / (distinct + 1))
             base = np.log10((seen + 0.1) / (tokens + 0.1 * (distinct + 1)))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -296,4 +300,4 @@ def score(docs: DataFrame, size: int = SEGMENT) -> DataFrame:
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    return joined.mapInArrow(run, SCORED)
+    return _joined(parts, words, pairs).mapInArrow(run, SCORED)
