@@ -8,7 +8,7 @@ ones also beyond LEAST) are kept, MOST_UNITS at most. A token scores as its most
 A scan linear in the tokens finds all maximal scoring segments of a text (Ruzzo and Tompa). Scores of random segments
 follow an extreme-value law: of n tokens, K n exp(-lambda S) segments reach S by chance, lambda being the root of
 E[exp(lambda s)] = 1 over clean tokens. A segment's surplus is lambda S - ln(K n) where positive, a document's
-evidence the sum of its surpluses, and its score a logistic function of that sum's logarithm. Lambda and the logistic function are
+evidence the sum of its different passages' surpluses, and its score a logistic function of that sum's logarithm. Lambda and the logistic function are
 fitted on a quarter of the sample that no unit was counted in.
 
 Defined cases: a null or empty text, or one without words, has no evidence and the lowest score. Labels of a doc_id
@@ -36,7 +36,7 @@ SAMPLE = 20_000
 MOST_UNITS = 50_000
 Z = 2.0
 #: Log-odds that a toxic unit has at least: function words lean one way or the other by less.
-LEAST = 2.0
+LEAST = 3.0
 #: One in so many sampled documents is not counted, but calibrates: counted ones would flatter their own words.
 CALIBRATE = 4
 PRIOR = 0.01
@@ -124,7 +124,8 @@ def surplus(score: float, tokens: int, scale: float) -> float:
 
 
 def _evidence(model: Model, column: pa.Array):
-    """Yield for each text: evidence and its significant passages (surplus, byte begin, byte end)."""
+    """Yield for each text: evidence and its significant passages (surplus, byte begin, byte end). A passage that is
+    repeated word for word counts once: lines that repeat are no further evidence."""
     for _, _, data, starts in tv.slices(_lower(column)):
         begin, end, first, kinds = _units(data, starts)
         scores = _token_scores(model, kinds)
@@ -137,7 +138,8 @@ def _evidence(model: Model, column: pa.Array):
                     extra = surplus(s, b - a, model.scale)
                     if extra > 0:
                         found.append((extra, int(begin[a + i] - starts[t]), int(end[a + j - 1] - starts[t])))
-            yield sum(x[0] for x in found), found
+            distinct = {data[starts[t] + i : starts[t] + j].tobytes(): extra for extra, i, j in found}
+            yield sum(distinct.values()), found
 
 
 # ---- fitting
