@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import mapped
+
 DATE = "2024-01-01T00:00:00Z"
 DIGESTS = (
     "page_id long, uri string, response_id string, metadata_id string, conversion_id string, metadata_refers_to string,"
@@ -38,8 +40,9 @@ _BREAK = re.compile(rf"</?(?:{_BREAKS})\b[^>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^>]*>")
 _LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
-_BLANKS = re.compile(r"[ \t\r\f\v\xa0]+")
-_LINES = re.compile(r" ?\n[ \n]*")
+#: Blanks that are not just one space, and line breaks that are more than one.
+_BLANKS = re.compile(r"[ \t\r\f\v\xa0]{2,}|[\t\r\f\v\xa0]")
+_LINES = re.compile(r"\n{2,}")
 
 
 def digest(data: bytes) -> str:
@@ -103,12 +106,21 @@ def response(page_id: int | None, url: str | None, body: str | None, date: str =
 
 def plain_text(page: str) -> str:
     """Text of a page: without scripts, styles, comments and tags, a line for each block, entities resolved."""
-    text = _TAG.sub("", _BREAK.sub("\n", _DROPPED.sub(" ", page)))
-    return _LINES.sub("\n", _BLANKS.sub(" ", html.unescape(text))).strip()
+    return _text(_DROPPED.sub(" ", page))
+
+
+def _text(page: str) -> str:
+    text = html.unescape(_TAG.sub("", _BREAK.sub("\n", page)))
+    text = _BLANKS.sub(" ", text).replace(" \n", "\n").replace("\n ", "\n")
+    return _LINES.sub("\n", text).strip()
 
 
 def links(page: str) -> list[str]:
-    return [html.unescape(a or b or c) for a, b, c in _LINK.findall(_DROPPED.sub(" ", page))]
+    return _links(_DROPPED.sub(" ", page))
+
+
+def _links(page: str) -> list[str]:
+    return [html.unescape(a or b or c) for a, b, c in _LINK.findall(page)]
 
 
 def title(page: str) -> str:
@@ -133,13 +145,14 @@ def derive_record(record: bytes) -> tuple[bytes, bytes] | None:
     page = payload.decode("utf-8", "replace")
     origin = source.get("WARC-Record-ID", record_id("unreadable", digest(record)))
     shared = {"WARC-Date": source.get("WARC-Date", DATE), "WARC-Target-URI": source.get("WARC-Target-URI", ""), "WARC-Refers-To": origin}
-    payload_ok = source.get("WARC-Payload-Digest", digest(payload)) == digest(payload)
-    block_ok = source.get("WARC-Block-Digest", digest(block)) == digest(block)
+    own, shown = digest(payload), _DROPPED.sub(" ", page)
+    payload_ok = source.get("WARC-Payload-Digest", own) == own
+    block_ok = "WARC-Block-Digest" not in source or source["WARC-Block-Digest"] == digest(block)
     facts = {
         "source": source,
         "http": {"status": status, "headers": http},
-        "payload": {"digest": digest(payload), "length": len(payload), "digest-ok": payload_ok, "block-digest-ok": block_ok},
-        "html": {"title": title(page), "links": links(page)},
+        "payload": {"digest": own, "length": len(payload), "digest-ok": payload_ok, "block-digest-ok": block_ok},
+        "html": {"title": title(page), "links": _links(shown)},
     } | ({"error": error} if error else {})
     metadata = build(
         {"WARC-Type": "metadata", "WARC-Record-ID": record_id("metadata", origin), **shared, "Content-Type": "application/json"},
@@ -147,7 +160,7 @@ def derive_record(record: bytes) -> tuple[bytes, bytes] | None:
     )
     conversion = build(
         {"WARC-Type": "conversion", "WARC-Record-ID": record_id("conversion", origin), **shared, "Content-Type": "text/plain; charset=utf-8"},
-        plain_text(page).encode(),
+        _text(shown).encode(),
     )
     return metadata, conversion
 
@@ -162,7 +175,7 @@ def responses(pages: DataFrame) -> DataFrame:
                 made = [response(*x) for x in zip(ids[lo : lo + 256], urls[lo : lo + 256], bodies[lo : lo + 256])]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + 256], pa.int64()), pa.array(made, pa.binary())], ["page_id", "record"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, record binary")
+    return mapped(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), run, "page_id long, record binary")
 
 
 def derive(records: DataFrame) -> DataFrame:
@@ -180,7 +193,7 @@ def derive(records: DataFrame) -> DataFrame:
                     a, b, c, d = zip(*out)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.binary()), pa.array(c, pa.binary()), pa.array(d, pa.binary())], ["page_id", "response", "metadata", "conversion"])
 
-    return records.select(F.col("page_id").cast("long").alias("page_id"), "record").mapInArrow(run, "page_id long, response binary, metadata binary, conversion binary")
+    return mapped(records.select(F.col("page_id").cast("long").alias("page_id"), "record"), run, "page_id long, response binary, metadata binary, conversion binary")
 
 
 def write(derived: DataFrame, path: str) -> None:
@@ -212,7 +225,7 @@ def write(derived: DataFrame, path: str) -> None:
             if held[kind]:
                 yield flush(kind)
 
-    derived.mapInArrow(run, "kind string, part string, data binary").write.partitionBy("kind").parquet(path)
+    mapped(derived, run, "kind string, part string, data binary").write.partitionBy("kind").parquet(path)
 
 
 def digests(derived: DataFrame) -> DataFrame:
@@ -235,4 +248,4 @@ def digests(derived: DataFrame) -> DataFrame:
     names = [x.split()[0] for x in DIGESTS.split(",")]
     types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
     kinds = [types[x.split()[1]] for x in DIGESTS.split(",")]
-    return derived.mapInArrow(run, DIGESTS)
+    return mapped(derived, run, DIGESTS)
