@@ -28,12 +28,12 @@ def _classes() -> np.ndarray:
     global _CLASSES
     if _CLASSES is None:
         table = np.full(0x110000, _OTHER, np.uint8)
-        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-        for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_BLANK, r"\s+")):
-            for run in regex.finditer(pattern, every):
-                for part in ((ord(run[0][0]), ord(run[0][-1])),):
-                    table[part[0] : part[1] + 1] = kind
-        table[0xD800:0xE000] = _OTHER
+        for lo in range(0, 0x110000, 0x800):  # a block at a time: as one text they would take hundreds of MB
+            if not 0xD800 <= lo < 0xE000:
+                block = "".join(map(chr, range(lo, lo + 0x800)))
+                for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_BLANK, r"\s+")):
+                    for run in regex.finditer(pattern, block):
+                        table[lo + run.start() : lo + run.end()] = kind
         _CLASSES = table
     return _CLASSES
 

@@ -6,10 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows handed to a Python worker at once, at most: texts are long, and workers share their executor's memory.
+ARROW_ROWS = 1000
 #: Ids that may be broadcast at most (8 bytes each on the wire).
 BROADCAST_IDS = 2_000_000
 
@@ -38,6 +41,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator], Iterator], schema) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of ARROW_ROWS rows at most (and Spark's limit of bytes). The session's
+    own setting is lowered if it is larger, as it is read when the plan runs."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= ARROW_ROWS:
+        df.sparkSession.conf.set(key, str(ARROW_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole table of documents."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import mapped
+
 #: Training documents that weights are learned from, at most: those with the smallest hash of their id.
 SAMPLE = 4000
 #: One in so many of them fits the temperature instead.
@@ -60,12 +62,11 @@ def _letters() -> np.ndarray:
     """Each code point, or a space for what is no letter."""
     global _CODES
     if _CODES is None:
-        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
         table = np.full(0x110000, 32, np.uint32)
-        for run in regex.finditer(r"\p{L}+", every):
-            a, b = ord(run[0][0]), ord(run[0][-1])
-            table[a : b + 1] = np.arange(a, b + 1)
-        table[0xD800:0xE000] = 32
+        for lo in range(0, 0x110000, 0x800):  # a block at a time, without the surrogates
+            if not 0xD800 <= lo < 0xE000:
+                for run in regex.finditer(r"\p{L}+", "".join(map(chr, range(lo, lo + 0x800)))):
+                    table[lo + run.start() : lo + run.end()] = np.arange(lo + run.start(), lo + run.end())
         _CODES = table
     return _CODES
 
@@ -137,7 +138,7 @@ def _frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[docs, total[at]])], ["feature", "n"])
 
-    rows = train.select("text").mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
+    rows = mapped(train.select("text"), run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
     found = np.zeros(1 << BITS, np.int64)
     feature, n = rows["feature"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
     found[feature[feature >= 0]] = n[feature >= 0]
@@ -171,7 +172,7 @@ def _vectors(train: DataFrame, sample: int):
                 at += len(texts)
 
     rows = train.join(chosen, F.col("doc_id") == F.col("__id")).select("doc_id", "lang", "text")
-    rows = rows.mapInArrow(run, "doc_id long, lang string, features binary, counts binary, letter boolean").where("letter").drop("letter")
+    rows = mapped(rows, run, "doc_id long, lang string, features binary, counts binary, letter boolean").where("letter").drop("letter")
     table = rows.toPandas().sort_values(["doc_id", "lang"])
     return [(np.frombuffer(f, "<u4").astype(np.int64), np.frombuffer(c, "<u4").astype(float), x) for f, c, x in zip(table["features"], table["counts"], table["lang"])]
 
@@ -270,7 +271,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 )
                 at += len(texts)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PREDICTED)
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, PREDICTED)
 
 
 def predictions(docs: DataFrame) -> DataFrame:

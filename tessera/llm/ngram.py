@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textvec as tv
-from tessera.llm.common import materialize
+from tessera.llm.common import mapped, materialize
 
 #: Tokens of a segment at least, unless a partition ends.
 SEGMENT = 1 << 20
@@ -108,7 +108,7 @@ def segments(docs: DataFrame, size: int = SEGMENT) -> DataFrame:
                 yield flush(learning)
 
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10, F.lit(2)).cast("int")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", fold.alias("fold")).mapInArrow(run, SEGMENTS)
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", fold.alias("fold")), run, SEGMENTS)
 
 
 class Segment:
@@ -171,7 +171,7 @@ def _ask(parts: DataFrame, buckets: int, pairs: bool) -> DataFrame:
                         ["bucket", "segment", "keys", "counts", "held"],
                     )
 
-    return parts.mapInArrow(run, ASKED)
+    return mapped(parts, run, ASKED)
 
 
 def _answer(asked: DataFrame) -> DataFrame:
@@ -246,7 +246,7 @@ def learn(joined: DataFrame, tokens: int, distinct: int, texts: int) -> np.ndarr
             cell, n = np.unique(np.stack([level.astype(np.int64), q2, q1]), axis=1, return_counts=True)
             yield pa.RecordBatch.from_arrays([*map(pa.array, cell), pa.array(n)], ["level", "q2", "q1", "n"])
 
-    rows = joined.mapInArrow(run, "level long, q2 long, q1 long, n long").groupBy("level", "q2", "q1").agg(F.sum("n").alias("n")).toPandas()
+    rows = mapped(joined, run, "level long, q2 long, q1 long, n long").groupBy("level", "q2", "q1").agg(F.sum("n").alias("n")).toPandas()
     weights = np.tile(np.array([0.3, 0.5, 0.2]), (65, 1))
     weights[0] = (0, 0.8, 0.2)
     known = []
@@ -300,4 +300,4 @@ def score(docs: DataFrame, size: int = SEGMENT) -> DataFrame:
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    return _joined(parts, words, pairs).mapInArrow(run, SCORED)
+    return mapped(_joined(parts, words, pairs), run, SCORED)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import mapped, materialize
 
 SEQUENCE = 1024
 #: Remainders packed together, on average.
@@ -90,7 +90,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, size: int = SEQUENCE) -> D
                         row += 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], [*PACKED_BASE, "dealt"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), run, PIECES)
 
 
 def pack(pieces: DataFrame, size: int = SEQUENCE, group: int = GROUP) -> DataFrame:

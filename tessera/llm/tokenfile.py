@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, scratch
+from tessera.llm.common import mapped, materialize, scratch
 
 MAX_BITS = 16
 #: Tokens between two checkpoints.
@@ -151,7 +151,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 blobs = [_shrink(np.append(ids[a:b], np.uint32(end_id))) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([doc_ids[lo : lo + 256], pa.array(np.diff(first) + 1), pa.array(blobs, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ENCODED)
+    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), run, ENCODED)
 
 
 def _shrink(ids: np.ndarray) -> bytes:
@@ -181,7 +181,7 @@ def id_counts(encoded: DataFrame) -> dict[int, int]:
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], ["id", "n"])
 
-    rows = encoded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = mapped(encoded.select("ids"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     return dict(zip(rows["id"].tolist(), rows["n"].tolist()))
 
 
@@ -228,7 +228,7 @@ def write(encoded: DataFrame, lengths: dict[int, int], path: str, part: int = PA
 
     order = F.col("doc_id").asc_nulls_first()  # encoded is read from files, so sampling its ids for the ranges is cheap
     ordered = encoded.select("doc_id", "ids").repartitionByRange(parts, order).sortWithinPartitions(order)
-    ordered.mapInArrow(run, BLOCKS).write.parquet(f"{path}/blocks")
+    mapped(ordered, run, BLOCKS).write.parquet(f"{path}/blocks")
 
 
 # ---- reading
@@ -267,7 +267,7 @@ def decode_documents(spark: SparkSession, path: str, with_ids: bool = False) ->
 
     names = ["doc_id", "n_tokens", "ids_crc32", "part", "before", "block"] + ["ids"] * with_ids
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
-    return blocks.mapInArrow(run, READ + ", block int" + ", ids array<int>" * with_ids)
+    return mapped(blocks, run, READ + ", block int" + ", ids array<int>" * with_ids)
 
 
 def block_starts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

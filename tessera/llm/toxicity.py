@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textvec as tv
+from tessera.llm.common import mapped
 
 #: Labelled documents that the model is fitted on, at most: those with the smallest hash of their id.
 SAMPLE = 20_000
@@ -225,7 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                     yield pa.RecordBatch.from_arrays([pa.array(units.view(np.int64)), pa.array(t), pa.array(n - t)], ["unit", "toxic", "clean"])
 
     y1, y0 = F.sum("toxic"), F.sum("clean")
-    counted = counting.mapInArrow(count, UNITS).groupBy("unit").agg(y1.alias("y1"), y0.alias("y0"))
+    counted = mapped(counting, count, UNITS).groupBy("unit").agg(y1.alias("y1"), y0.alias("y0"))
     # document counts with a Dirichlet prior of PRIOR times the unit's own count on either side
     a = PRIOR * (F.col("y1") + F.col("y0"))
     odds = F.log((F.col("y1") + a) / (toxic + PRIOR * (toxic + clean))) - F.log((F.col("y0") + a) / (clean + PRIOR * (toxic + clean)))
@@ -243,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                     s, n = np.unique(_token_scores(model, _units(data, starts)[3]).round(3), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(n)], ["s", "n"])
 
-    seen = calibrating.mapInArrow(tally, "s double, n long").groupBy("s").agg(F.sum("n").alias("n")).toPandas()
+    seen = mapped(calibrating, tally, "s double, n long").groupBy("s").agg(F.sum("n").alias("n")).toPandas()
     every = dict.fromkeys([GAP, *np.unique(model.odds[model.odds > 0].round(3)).tolist()], 0) | dict(zip(seen["s"].tolist(), seen["n"].tolist()))
     model.scale = _lambda(np.array(list(every)), np.array(list(every.values()), float))
 
@@ -252,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             found = [x for x, _ in _evidence(model, batch.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column("__toxic")], ["x", "y"])
 
-    weighed = calibrating.mapInArrow(weigh, "x double, y int").toPandas()
+    weighed = mapped(calibrating, weigh, "x double, y int").toPandas()
     model.slope, model.base = _logistic(np.log1p(weighed["x"].to_numpy()), weighed["y"].to_numpy(float))
     return model
 
@@ -273,7 +274,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 ["doc_id", "score", "evidence", "passages"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCORED)
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SCORED)
 
 
 def passages(docs: DataFrame, model: Model) -> DataFrame:
@@ -291,7 +292,7 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
                 ids, extra, parts = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(extra), pa.array(parts)], ["doc_id", "surplus", "passage"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, surplus double, passage string")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, surplus double, passage string")
 
 
 def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -309,4 +310,4 @@ def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
             evidence = np.array([x for x, _ in _evidence(held.value, batch.column("text"))], float)
             yield batch.filter(pa.array(held.value.probability(evidence) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
