@@ -9,10 +9,11 @@ agree in a coordinate with the probability of their similarity.
 
 Texts with equal sets form a class of exact copies first; only one of each class goes on. BANDS bands of ROWS
 coordinates are joined: at a similarity of 0.8 a pair shares a band with probability 1 - 8e-5, above that more.
-Within a band's group no pairs are spread out at random: round by round, the smallest members of a group that are not
-yet connected with its leader are compared with the members of other components, exactly, until no group holds two
-components that have not been compared. Groups of real duplicates need one round; only members that stay apart cost
-more, and no pair that shares a band is left out unless the two are already connected.
+Within a band's group pairs are not spread out: everyone is compared with the group's hub (the member with the fewest
+shingles of its own); then, round by round, members that are not connected with the hub are compared with the members
+of other components, until there are none left to compare. Two counts rule most pairs out beforehand, without loss:
+of a set's elements, those in no other set of the corpus can be shared with nobody. What is left is compared exactly,
+and no pair that shares a band is left out unless the two are already connected.
 
 Defined cases: a null or empty text, or one without words, has no shingles and is near nothing but itself: class_id
 is its own doc_id. A text of fewer than five words is one shingle of them all. Rows that repeat a doc_id are one
@@ -29,14 +30,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import textvec as tv
-from tessera.llm.common import keep_or_drop, materialize
+from tessera.llm.common import keep_or_drop, mapped, materialize
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 40, 7
 K = BANDS * ROWS
-#: Members of a group that are compared with the rest of it in a round; four times as many in the next.
-LEADERS = 8
+#: Members of a group that are compared with the rest of it in a round; 16 times as many in the next.
+LEADERS = 16
 
 SIGNED = "doc_id long, size long, set_a long, set_b long, bands array<long>"
 
@@ -144,7 +145,7 @@ def signed(docs: DataFrame) -> DataFrame:
                     ["doc_id", "size", "set_a", "set_b", "bands"],
                 ).filter(some)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(run, SIGNED)
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null"), run, SIGNED)
 
 
 def sets(docs: DataFrame) -> DataFrame:
@@ -158,7 +159,7 @@ def sets(docs: DataFrame) -> DataFrame:
                     [doc_ids[lo:hi], pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(regions.view(np.int64)))], ["doc_id", "elements"]
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, elements array<long>")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, elements array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -191,44 +192,85 @@ def _verified(pairs: DataFrame, whole: DataFrame, similarity: float) -> DataFram
     return both.where(F.col("shared") >= similarity * (F.col("sum") - F.col("shared")) - 1e-9).select("a", "b")
 
 
+def _possible(similarity: float):
+    """Whether sets of size and size_a elements, of which alone and alone_a are in no other set, can be that similar."""
+    most = F.least(F.col("size") - F.col("alone"), F.col("size_a") - F.col("alone_a"))
+    return most >= similarity * (F.col("size") + F.col("size_a") - most) - 1e-9
+
+
+def _facts(marks: DataFrame, whole: DataFrame) -> DataFrame:
+    """(doc_id, size, alone): alone counts elements that are in no other set of whole; 0 if the doc_id repeats."""
+    elements = whole.select("doc_id", F.explode("elements").alias("element"))
+    once = elements.groupBy("element").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
+    alone = once.groupBy("doc_id").agg(F.count("*").alias("alone"))
+    single = whole.groupBy("doc_id").agg(F.count("*").alias("n")).where("n = 1").select("doc_id")
+    facts = marks.select("doc_id", "size").distinct().join(alone.join(single, "doc_id"), "doc_id", "left")
+    return facts.withColumn("alone", F.coalesce("alone", F.lit(0)))
+
+
 def near_links(marks: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame | None:
     """(id, class) over the documents of marks(doc_id, size, bands) that are linked; None if there are none. The sets
     of those that share a band are read from docs again."""
     keys = marks.select("doc_id", F.explode("bands").alias("band"))
-    shared = keys.groupBy("band").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last")
-    members = keys.join(shared.select("band", "leader"), "band")
-    members = materialize(members.join(marks.select("doc_id", "size"), "doc_id").distinct(), "bands")
-    near_size = (F.col("size") >= similarity * F.col("size_a")) & (F.col("size_a") >= similarity * F.col("size"))
+    shared = keys.groupBy("band").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("band")
+    members = materialize(keys.join(shared, "band").distinct(), "bands")
     whole = materialize(sets(keep_or_drop(docs, members.select("doc_id"), "left_semi")).distinct(), "sets")
+    facts = materialize(_facts(marks, whole), "facts")
+    # a set that shares less than that with all others together is similar to none of them
+    members = members.join(facts, "doc_id").where(F.col("size") - F.col("alone") >= similarity * F.col("size") - 1e-9)
+    members = materialize(members, "members")
+    # a group's hub is the member that has least of its own
+    hubs = members.groupBy("band").agg(F.min(F.struct("alone", "doc_id", "size")).alias("hub"))
+    hubs = materialize(hubs.select("band", F.col("hub.doc_id").alias("a"), F.col("hub.size").alias("size_a"), F.col("hub.alone").alias("alone_a")), "hubs")
+
+    def compared(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
+        pairs = pairs.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
+        return materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
 
-    # at first everyone in a group against its leader
-    sizes = marks.select(F.col("doc_id").alias("leader"), F.col("size").alias("size_a"))
-    stars = members.where("doc_id != leader").select("leader", "doc_id", "size").distinct().join(sizes, "leader").where(near_size)
-    links = materialize(_verified(stars.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct(), whole, similarity), "links")
-    ranked, done, take = None, 0, LEADERS
+    # at first everyone in a group against its hub
+    tried = compared(members.join(hubs, "band").where((F.col("doc_id") != F.col("a")) & _possible(similarity)), None)
+    links = materialize(_verified(tried, whole, similarity), "links")
+    pivots, take = hubs.select("band", F.col("a").alias("doc_id")), LEADERS
+    linked = None
     while True:
-        linked = components(links) if links.limit(1).count() else None
+        linked = _relabelled(linked, links)
         if linked is None:
             now = members.withColumn("class", F.col("doc_id"))
         else:
-            linked = materialize(linked, "linked")
             now = members.join(linked.select(F.col("id").alias("doc_id"), "class"), "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
         # groups that hold several components
         mixed = now.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("band")
-        now = materialize(now.join(mixed, "band", "left_semi"), "mixed")
-        if ranked is None:
-            # those outside their leader's component take turns, in the order of their ids
-            lead = now.where("doc_id = leader").select("band", F.col("class").alias("lead")).distinct()
-            outside = now.join(lead, "band").where("class != lead").select("band", "doc_id").distinct()
-            ranked = materialize(outside.withColumn("rank", F.row_number().over(Window.partitionBy("band").orderBy("doc_id"))), "ranked")
-        turn = ranked.where((F.col("rank") > done) & (F.col("rank") <= done + take)).select("band", F.col("doc_id").alias("a"))
-        turn = turn.join(now.select("band", F.col("doc_id").alias("a"), F.col("size").alias("size_a"), F.col("class").alias("class_a")), ["band", "a"])
+        now = now.join(mixed, "band", "left_semi")
+        now = materialize(now.join(now.groupBy("doc_id").agg(F.collect_set("band").alias("own")), "doc_id"), "mixed")
+        # members outside their hub's component that have not been compared with the whole group take turns
+        main = now.join(hubs.select("band", F.col("a").alias("doc_id")), ["band", "doc_id"], "left_semi").select("band", F.col("class").alias("main")).distinct()
+        outside = now.join(main, "band").where("class != main").join(pivots, ["band", "doc_id"], "left_anti")
+        order = Window.partitionBy("band").orderBy("alone", "doc_id")
+        turn = materialize(outside.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= take), "turn")
         if not turn.limit(1).count():
             return linked
-        pairs = turn.join(now.select("band", "doc_id", "size", "class"), "band").where((F.col("class") != F.col("class_a")) & near_size)
-        pairs = pairs.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
-        links = materialize(links.unionByName(_verified(pairs, whole, similarity)), "links")
-        done, take = done + take, 4 * take
+        one = turn.select("band", F.col("doc_id").alias("a"), F.col("size").alias("size_a"), F.col("alone").alias("alone_a"), F.col("class").alias("class_a"), F.col("own").alias("own_a"))
+        # two that share several bands meet in the least of them only
+        meet = (F.col("class") != F.col("class_a")) & _possible(similarity) & (F.array_min(F.array_intersect("own", "own_a")) == F.col("band"))
+        pairs = compared(one.join(now, "band").where(meet), tried)
+        links = materialize(_verified(pairs, whole, similarity), "links")
+        tried = materialize(tried.unionByName(pairs), "tried")
+        pivots, take = materialize(pivots.unionByName(turn.select("band", "doc_id")), "pivots"), 16 * take
+
+
+def _relabelled(linked: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """(id, class) after links(a, b) joined some classes; only the classes that they join are gone through."""
+    if not links.limit(1).count():
+        return linked
+    if linked is None:
+        return materialize(components(links), "linked")
+    for x in ("a", "b"):
+        links = links.join(linked.select(F.col("id").alias(x), F.col("class").alias(f"class_{x}")), x, "left")
+    between = links.select(F.coalesce("class_a", "a").alias("a"), F.coalesce("class_b", "b").alias("b")).where("a != b")
+    merged = components(between).select(F.col("id").alias("class"), F.col("class").alias("merged"))
+    old = linked.join(merged, "class", "left").select("id", F.coalesce("merged", "class").alias("class"))
+    fresh = merged.join(linked.select(F.col("id").alias("class")), "class", "left_anti").select(F.col("class").alias("id"), F.col("merged").alias("class"))
+    return materialize(old.unionByName(fresh), "linked")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

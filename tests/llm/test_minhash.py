@@ -76,7 +76,7 @@ def test_signatures_agree_as_often_as_sets_are_similar():
 
 
 def test_classes_equal_brute_force(spark):
-    for seed, leaders in ((0, 8), (1, 1)):
+    for seed, leaders in ((0, 16), (1, 1)):
         mh.LEADERS = leaders
         rows = corpus(seed)
         got = mh.classes(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
@@ -84,7 +84,7 @@ def test_classes_equal_brute_force(spark):
         assert len(got) == len(rows)
         assert {r.doc_id: r.class_id for r in got if r.doc_id is not None} == want
         assert [r.class_id for r in got if r.doc_id is None] == [None]
-    mh.LEADERS = 8
+    mh.LEADERS = 16
 
 
 def test_deduplicate_keeps_one_of_each_class(spark):
