@@ -88,9 +88,9 @@ def accepted_edits(t):
 def splice_edits(t):
     edit = lambda a, b, x: F.struct(F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end"), F.lit(x).alias("text"))
     edits = F.array(edit(0, 4, "<"), edit(8, 10, "##"), edit(9, 3, "never"))
-    plain = t.documents.where(F.substring("text", 1, 12).rlike(r"\A[ -~\n]*\z"))
-    body = X.splice(F.encode("text", "UTF-8"), edits)
-    return plain.select("doc_id", F.when(F.length("text") >= 12, F.decode(body, "UTF-8")).alias("text"))
+    # over all documents, which the SQL is not: null where an edit would cut a character in two
+    body = X.splice(F.encode("text", "UTF-8"), edits).cast("string")
+    return t.documents.select("doc_id", F.when((F.octet_length("text") >= 12) & F.is_valid_utf8(body), body).alias("text"))
 
 
 LINES_SQL = "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), f AS (SELECT *, line ILIKE '%license%' AS changed FROM l)"
@@ -170,9 +170,10 @@ def target_precedence(t):
 def snippet_batch(t):
     from tessera.sources.files import read_snippets
 
-    plain = t.documents.where(F.substring("text", 1, 20).rlike(r"\A[ -~\n]*\z") & (F.length("text") == F.octet_length("text")))
-    contents = plain.select(F.col("doc_id").cast("string").alias("file_path"), F.encode("text", "UTF-8").alias("content"))
+    # over all documents, which the SQL is not
+    docs = t.documents
+    contents = docs.select(F.col("doc_id").cast("string").alias("file_path"), F.encode("text", "UTF-8").alias("content"))
     hash_ = F.when(F.col("doc_id") % 7 == 0, F.lit("old")).otherwise(I.content_hash(F.encode("text", "UTF-8")))
-    stop = F.when(F.length("text") < 20, F.lit(1_000_000)).otherwise(F.lit(14)).cast("long")
-    requests = plain.select("doc_id", F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("file_path"), F.lit(4).cast("long").alias("start_byte"), stop.alias("end_byte"), hash_.alias("file_hash"))
+    stop = F.when(F.octet_length("text") < 20, F.lit(1_000_000)).otherwise(F.lit(14)).cast("long")
+    requests = docs.select("doc_id", F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("file_path"), F.lit(4).cast("long").alias("start_byte"), stop.alias("end_byte"), hash_.alias("file_hash"))
     return read_snippets(requests, contents).select("doc_id", "status", "snippet")
