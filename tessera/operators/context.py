@@ -29,21 +29,21 @@ def policy_order(policy: str) -> list[Column]:
 def assemble(parts: DataFrame, policy: str = "score", max_total: int = MAX_TOTAL, per_file: int = PER_FILE, per_part: int = PER_PART, strict_total: bool = True, kinds: Sequence[str] | None = None) -> DataFrame:
     """parts(query, id, file_path, kind, text, score) -> (query, id, file_path, kind, text, tokens, truncated, position,
     admitted). Parts are deduplicated by id (the highest score stays), cut to per_part tokens, and admitted in order: a
-    part that would take its file beyond per_file (0: no limit) is passed over. With strict_total a part that would
-    take the query beyond max_total is passed over too; without, admission ends at a single part beyond max_total."""
+    part without text, and one that would take its file beyond per_file (0: no limit), is passed over. With strict_total
+    one that would take the query beyond max_total is passed over too; without, admission ends at a single part beyond max_total."""
     if kinds is not None:
         parts = parts.where(F.col("kind").isin(*kinds))
     once = stable_dedup(parts, "id", [F.col("score").desc(), F.col("file_path")], ["query"])
     cut = once.withColumn("truncated", X.approx_tokens(F.col("text")) > per_part).withColumn("text", X.trim_to_tokens(F.col("text"), per_part))
-    cut = cut.withColumn("tokens", X.approx_tokens(F.col("text")))
+    cut = cut.withColumn("truncated", F.coalesce("truncated", F.lit(False))).withColumn("tokens", X.approx_tokens(F.col("text")))
     cut = cut.withColumn("position", F.row_number().over(Window.partitionBy("query").orderBy(*policy_order(policy))))
     small = F.struct("position", "file_path", "tokens")
     state = F.struct(F.lit(0).cast("long").alias("total"), F.create_map().cast("map<string,bigint>").alias("used"), F.lit(False).alias("stopped"), F.array().cast("array<int>").alias("admitted"))
 
     def admit(s: Column, p: Column) -> Column:
         used = F.coalesce(F.get(F.map_values(F.map_filter(s["used"], lambda k, v: k == p["file_path"])), F.lit(0)), F.lit(0))
-        stop = s["stopped"] if strict_total else s["stopped"] | (p["tokens"] > max_total)
-        fits = ~stop
+        stop = s["stopped"] if strict_total else s["stopped"] | F.coalesce(p["tokens"] > max_total, F.lit(False))
+        fits = ~stop & p["tokens"].isNotNull()
         if per_file:
             fits &= used + p["tokens"] <= per_file
         if strict_total:

@@ -23,9 +23,9 @@ p AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY n_chars DESC, id)
 
 @query(PARTS_SQL + " SELECT query, id, tokens, truncated, position, true AS admitted FROM p")
 def context_budget(t):
-    """Admission that only a single part beyond max_total would end (none is), without a limit for a file."""
-    parts = _parts(t).where(F.length("text") < 2000)
-    return C.assemble(parts, max_total=4096, per_file=0, per_part=200, strict_total=False).select("query", "id", "tokens", "truncated", "position", "admitted")
+    """Admission that only a single part beyond max_total would end (none is), without a limit for a file; of all
+    documents, of which the SQL takes those under 2000 characters."""
+    return C.assemble(_parts(t), max_total=4096, per_file=0, per_part=200, strict_total=False).select("query", "id", "tokens", "truncated", "position", "admitted")
 
 
 FOLD_SQL = PARTS_SQL + """,
@@ -38,7 +38,7 @@ SELECT p.query, p.id, list_contains(s.ids, p.id) AS admitted FROM p JOIN f USING
 @query(FOLD_SQL)
 def context_strict_budget(t):
     """Every part that still fits under the total is admitted, in order."""
-    return C.assemble(_parts(t).where(F.length("text") < 2000), max_total=3000, per_file=0, per_part=200).select("query", "id", "admitted")
+    return C.assemble(_parts(t), max_total=3000, per_file=0, per_part=200).select("query", "id", "admitted")
 
 
 @query()
@@ -48,8 +48,7 @@ def context_file_caps(t):
 
 @query(PARTS_SQL + " SELECT query, sum(tokens) AS total_tokens, count(DISTINCT file_path) AS files, count(*) AS parts, count(*) FILTER (truncated) AS truncated_parts FROM p GROUP BY query")
 def context_stats(t):
-    parts = _parts(t).where(F.length("text") < 2000)
-    return C.stats(C.assemble(parts, max_total=4096, per_file=0, per_part=200, strict_total=False))
+    return C.stats(C.assemble(_parts(t), max_total=4096, per_file=0, per_part=200, strict_total=False))
 
 
 @query("WITH m AS (SELECT (conv_id % 4)::VARCHAR AS query, ceil(length(text) / 4.0)::BIGINT AS tokens, role = 'user' AS included FROM conversations) SELECT query, sum(CASE WHEN included THEN tokens ELSE 0 END) AS message_tokens, count(*) FILTER (NOT included) AS excluded_messages FROM m GROUP BY query")
@@ -57,8 +56,9 @@ def context_plan(t):
     from tessera.functions.text import approx_tokens
 
     messages = t.conversations.select((F.col("conv_id") % 4).cast("string").alias("query"), approx_tokens(F.col("text")).alias("tokens"), (F.col("role") == "user").alias("included"))
-    parts = messages.limit(0).select("query", "tokens", F.lit(True).alias("admitted"))
-    return C.plan(messages, parts).select("query", "message_tokens", "excluded_messages")
+    # documents are dealt to the queries of the messages as their parts
+    parts = C.assemble(_parts(t).withColumn("query", (F.col("id") % 4).cast("string")), max_total=3000, per_file=0, per_part=200)
+    return C.plan(messages, parts)
 
 
 def _messages(t):

@@ -51,3 +51,35 @@ def test_splices_and_snippets_of_all_documents(run):
     got = {r.doc_id: (r.status, r.snippet) for r in run("snippet_batch", documents=table)}
     assert got == {i: snippet(i, b) for i, b in raw.items()}
     assert {s for s, _ in got.values()} == {"ok", "missing", "hash_mismatch", "out_of_range", "not_text"}
+
+
+def test_context_budgets_of_long_texts(run):
+    texts = ["x" * n for n in (10, 900, 2000, 5000, 790, 3, 12_000, 2400, 300, 801, 44, 2100)] * 3 + [None]
+    rows = [(i, x, "de" if i % 2 else "en", f"s{i % 3}", 0 if x is None else len(x)) for i, x in enumerate(texts)]
+    table, talk = (rows, DOCS), ([(i // 3, i % 3, "user" if i % 2 else "assistant", "w" * i) for i in range(24)], "conv_id long, turn int, role string, text string")
+    size = lambda x, most=200: min(-(-len(x) // 4), most)
+
+    def admitted(own, most):
+        """Ids in order that still fit, and their tokens."""
+        ids, total = [], 0
+        for i, x, *_ in sorted(own, key=lambda r: (-r[4], r[0])):
+            if x is not None and total + size(x) <= most:
+                ids.append(i)
+                total += size(x)
+        return ids, total
+
+    budget = run("context_budget", documents=table)
+    assert {(r.id, r.tokens, r.truncated, r.admitted) for r in budget} == {(i, None if x is None else size(x), x is not None and len(x) > 800, x is not None) for i, x, *_ in rows}
+    strict = run("context_strict_budget", documents=table)
+    for lang in ("de", "en"):
+        assert [r.id for r in sorted(strict, key=lambda r: (-rows[r.id][4], r.id)) if r.query == lang and r.admitted] == admitted([x for x in rows if x[2] == lang], 3000)[0]
+    assert len(strict) == len(rows)
+    stats = {r.query: r for r in run("context_stats", documents=table)}
+    for lang in ("de", "en"):
+        own = [x for _, x, l, *_ in rows if l == lang and x is not None]
+        assert (stats[lang].total_tokens, stats[lang].parts, stats[lang].truncated_parts) == (sum(map(size, own)), len(own), sum(len(x) > 800 for x in own))
+    for r in run("context_plan", documents=table, conversations=talk):
+        own = [x for x in rows if str(x[0] % 4) == r.query]
+        ids, total = admitted(own, 3000)
+        said = sum(size(x, 10**9) for c, _, role, x in talk[0] if str(c % 4) == r.query and role == "user")
+        assert (r.part_tokens, r.excluded_parts, r.message_tokens, r.estimated_tokens) == (total, len(own) - len(ids), said, said + total)
