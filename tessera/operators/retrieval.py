@@ -6,10 +6,12 @@ Every ranking has a total order: score descending, then id ascending.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scores as S
@@ -92,7 +94,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, by: Sequence[str] = (),
     squared distance; with `by`, the k nearest in each group of these columns of vectors.
 
     where filters vectors before the k nearest are taken, post_filter afterwards (so fewer may be left). Queries are
-    few and broadcast; each task keeps the k best of its own rows, so what shuffles does not grow with the vectors.
+    broadcast in blocks of QUERY_BLOCK, and each block meets all vectors; only the k best of a batch leave it.
     """
     if where is not None:
         vectors = vectors.where(where)
@@ -102,10 +104,16 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, by: Sequence[str] = (),
 
 
 def _nearest_of_partitions(queries: DataFrame, vectors: DataFrame, k: int, by: Sequence[str], radius: float | None) -> DataFrame:
-    """Blocks of vectors against all queries as matrix products; the k best of each query and group in each batch."""
-    rows = queries.select("query", F.transform("vector", lambda x: x.cast("double")).alias("vector")).limit(QUERY_BLOCK + 1).collect()
-    if len(rows) > QUERY_BLOCK:
-        raise ValueError(f"more than {QUERY_BLOCK} queries: search them in blocks")
+    """Batches of vectors against blocks of queries; the k best of each query and group in each batch. Queries without a
+    vector find nothing."""
+    rows = queries.select("query", F.transform("vector", lambda x: x.cast("double")).alias("vector")).where("vector is not null").toLocalIterator()
+    blocks = iter(lambda: list(islice(rows, QUERY_BLOCK)), [])
+    found = [_nearest_to(block, queries, vectors, k, by, radius) for block in blocks]
+    return reduce(DataFrame.unionByName, found or [_nearest_to([], queries, vectors, k, by, radius)])
+
+
+def _nearest_to(rows: list[Row], queries: DataFrame, vectors: DataFrame, k: int, by: Sequence[str], radius: float | None) -> DataFrame:
+    """_nearest_of_partitions for one block of queries."""
     names = [r["query"] for r in rows]
     matrix = np.array([r["vector"] for r in rows], float) if rows else np.zeros((0, 1))
     query_type = queries.schema["query"].dataType.simpleString()

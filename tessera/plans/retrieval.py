@@ -120,8 +120,13 @@ def _vectors(t):
     return t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
 
 
-def _prompts(t, ids=(0,)):
-    return t.embeddings.where(F.col("vec_id").isin(*ids)).select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+def _prompts(t):
+    return t.embeddings.where("vec_id = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+
+
+def _queries(t):
+    """The stated set of queries: every row whose id is divisible by 100. The SQL has the first of them, or PROMPTS."""
+    return t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
 
 
 KNN_SQL = f"WITH n AS (SELECT q.vec_id AS query, e.vec_id AS id, e.label, {DIST_SQL} AS distance FROM embeddings q, embeddings e WHERE q.vec_id IN %s)"
@@ -129,17 +134,17 @@ KNN_SQL = f"WITH n AS (SELECT q.vec_id AS query, e.vec_id AS id, e.label, {DIST_
 
 @query(KNN_SQL % "(0)" + " SELECT id, round(distance, 6) AS distance, row_number() OVER (ORDER BY distance, id)::INTEGER AS rank FROM n QUALIFY rank <= 20")
 def knn_l2_topk(t):
-    return R.knn(_prompts(t), _vectors(t), TOP).select("id", F.round("distance", 6).alias("distance"), "rank")
+    return R.knn(_queries(t), _vectors(t), TOP).select("query", "id", F.round("distance", 6).alias("distance"), "rank")
 
 
 @query(KNN_SQL % "(0)" + " SELECT id, round(1 - distance, 6) AS score FROM n WHERE label = 3 QUALIFY row_number() OVER (ORDER BY distance, id) <= 20")
 def knn_prefilter_label(t):
-    return R.dense_scores(R.knn(_prompts(t), _vectors(t), TOP, where=F.col("label") == 3)).select("id", F.round("score", 6).alias("score"))
+    return R.dense_scores(R.knn(_queries(t), _vectors(t), TOP, where=F.col("label") == 3)).select("query", "id", F.round("score", 6).alias("score"))
 
 
 @query(KNN_SQL % "(0)" + ", r AS (SELECT *, row_number() OVER (ORDER BY distance, id) AS rank FROM n) SELECT id, round(distance, 6) AS distance, rank::INTEGER AS rank FROM r WHERE rank <= 100 AND label = 3")
 def knn_postfilter_label(t):
-    return R.knn(_prompts(t), _vectors(t), 100, post_filter=F.col("label") == 3).select("id", F.round("distance", 6).alias("distance"), "rank")
+    return R.knn(_queries(t), _vectors(t), 100, post_filter=F.col("label") == 3).select("query", "id", F.round("distance", 6).alias("distance"), "rank")
 
 
 @query(f"WITH n AS (SELECT q.vec_id AS id, e.vec_id AS neighbour, {DIST_SQL} AS distance FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id) SELECT id, neighbour, round(distance, 6) AS distance, row_number() OVER (PARTITION BY id ORDER BY distance, neighbour)::INTEGER AS rank FROM n QUALIFY rank <= 5")
@@ -152,12 +157,12 @@ RADIUS = 100.0
 
 @query(KNN_SQL % "(0)" + f" SELECT id, round(distance, 6) AS distance FROM n WHERE distance <= {RADIUS} QUALIFY row_number() OVER (ORDER BY distance, id) <= 50")
 def radius_search(t):
-    return R.knn(_prompts(t), _vectors(t), 50, radius=RADIUS).select("id", F.round("distance", 6).alias("distance"))
+    return R.knn(_queries(t), _vectors(t), 50, radius=RADIUS).select("query", "id", F.round("distance", 6).alias("distance"))
 
 
 @query(KNN_SQL % str(PROMPTS) + " SELECT query, label, id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY query, label ORDER BY distance, id)::INTEGER AS rank FROM n QUALIFY rank <= 3")
 def multi_prompt_knn(t):
-    return R.knn(_prompts(t, PROMPTS), _vectors(t), 3, by=["label"]).select("query", "label", "id", F.round("distance", 6).alias("distance"), "rank")
+    return R.knn(_queries(t), _vectors(t), 3, by=["label"]).select("query", "label", "id", F.round("distance", 6).alias("distance"), "rank")
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS norm, len(embedding) = 64 AS valid FROM embeddings")

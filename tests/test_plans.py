@@ -1,8 +1,10 @@
 """Queries over small tables of their own, against plain Python."""
 
+import numpy as np
 import pytest
 
 import __spark_entry__
+from tessera.operators import retrieval as R
 
 
 @pytest.fixture
@@ -83,3 +85,18 @@ def test_context_budgets_of_long_texts(run):
         ids, total = admitted(own, 3000)
         said = sum(size(x, 10**9) for c, _, role, x in talk[0] if str(c % 4) == r.query and role == "user")
         assert (r.part_tokens, r.excluded_parts, r.message_tokens, r.estimated_tokens) == (total, len(own) - len(ids), said, said + total)
+
+
+def test_searches_for_every_hundredth_vector(run, monkeypatch):
+    monkeypatch.setattr(R, "QUERY_BLOCK", 2)  # more queries than a block holds
+    v = np.random.default_rng(3).integers(-9, 9, size=(501, 4)).astype(float)
+    table = ([(i, x.tolist(), i % 5) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    d = ((v[:, None] - v) ** 2).sum(2)
+    near = lambda q, ids, k: sorted((d[q, i], i) for i in ids)[:k]
+    queries, threes = range(0, 501, 100), range(3, 501, 5)
+    rows = lambda name: run(name, embeddings=table)
+    assert {(r["query"], r["rank"], r.distance, r.id) for r in rows("knn_l2_topk")} == {(q, n + 1, *x) for q in queries for n, x in enumerate(near(q, range(501), 20))}
+    assert {(r["query"], 1 - r.score, r.id) for r in rows("knn_prefilter_label")} == {(q, *x) for q in queries for x in near(q, threes, 20)}
+    assert {(r["query"], r["rank"], r.distance, r.id) for r in rows("knn_postfilter_label")} == {(q, n + 1, *x) for q in queries for n, x in enumerate(near(q, range(501), 100)) if x[1] % 5 == 3}
+    assert {(r["query"], r.distance, r.id) for r in rows("radius_search")} == {(q, *x) for q in queries for x in near(q, range(501), 50) if x[0] <= 100}
+    assert {(r["query"], r.label, r["rank"], r.distance, r.id) for r in rows("multi_prompt_knn")} == {(q, g, n + 1, *x) for q in queries for g in range(5) for n, x in enumerate(near(q, range(g, 501, 5), 3))}
