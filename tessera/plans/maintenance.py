@@ -24,7 +24,7 @@ def except_sets(t):
 
 @query("SELECT p_partkey, triple, profile, features FROM part, (VALUES ('x86'), ('arm')) a(triple), (VALUES ('dev'), ('release')) b(profile), (VALUES (''), ('a,b')) c(features) WHERE p_partkey <= 50")
 def cu_cross_product(t):
-    units = M.cross_units(t.part.where("p_partkey <= 50").select("p_partkey"), ["x86", "arm"], ["dev", "release"], [[], ["b", "a", "b"]])
+    units = M.cross_units(t.part.select("p_partkey"), ["x86", "arm"], ["dev", "release"], [[], ["b", "a", "b"]])
     return units.withColumn("features", F.array_join("features", ","))
 
 
@@ -69,7 +69,7 @@ EDITS_SQL = "WITH e AS (SELECT event_id::VARCHAR AS id, user_id::VARCHAR AS file
 
 def _edits(t):
     start = F.col("event_id") * 37 % 1000
-    return t.events.where("event_id % 4 = 0").select(
+    return t.events.select(
         F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("file"), start.alias("start"), (start + F.col("event_id") % 9).alias("end"), F.col("event_id").alias("proposed_at")
     )
 
@@ -126,7 +126,7 @@ def latest_by_parent(t):
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'approved' ELSE 'denied' END AS state FROM events WHERE event_id < 100")
 def proposal_states(t):
     said = F.when(F.col("event_id") % 2 == 0, "Approved").otherwise("DENIED")
-    return t.events.where("event_id < 100").select("event_id", M.proposal_state(said).alias("state"))
+    return t.events.select("event_id", M.proposal_state(said).alias("state"))
 
 
 DEBOUNCE_SQL = """

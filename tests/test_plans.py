@@ -100,3 +100,25 @@ def test_searches_for_every_hundredth_vector(run, monkeypatch):
     assert {(r["query"], r["rank"], r.distance, r.id) for r in rows("knn_postfilter_label")} == {(q, n + 1, *x) for q in queries for n, x in enumerate(near(q, range(501), 100)) if x[1] % 5 == 3}
     assert {(r["query"], r.distance, r.id) for r in rows("radius_search")} == {(q, *x) for q in queries for x in near(q, range(501), 50) if x[0] <= 100}
     assert {(r["query"], r.label, r["rank"], r.distance, r.id) for r in rows("multi_prompt_knn")} == {(q, g, n + 1, *x) for q in queries for g in range(5) for n, x in enumerate(near(q, range(g, 501, 5), 3))}
+
+
+def test_edits_proposals_and_units_of_all_rows(run):
+    rows = [(i, i % 3) for i in range(240)]
+    table = (rows, "event_id long, user_id long")
+
+    def span(i):
+        lo = i * 37 % 1000
+        return lo, max(lo + i % 9, lo + 1)
+
+    meet = lambda a, b: a % 3 == b % 3 and span(a)[0] < span(b)[1] and span(b)[0] < span(a)[1]
+    want = {(str(a), str(b)) for a, _ in rows for b, _ in rows if str(a) < str(b) and meet(a, b)}
+    assert {(r.a, r.b) for r in run("overlapping_edits", events=table)} == want and want
+    taken = []
+    for i in range(239, -1, -1):
+        if not any(meet(i, x) for x in taken):
+            taken.append(i)
+    got = {r.id: r.status for r in run("accepted_edits", events=table)}
+    assert got == {str(i): "Accepted" if i in taken else "Stale" for i, _ in rows} and len(taken) < 240
+    assert {(r.event_id, r.state) for r in run("proposal_states", events=table)} == {(i, "denied" if i % 2 else "approved") for i, _ in rows}
+    units = run("cu_cross_product", part=([(i,) for i in range(120)], "p_partkey long"))
+    assert sorted(tuple(r) for r in units) == sorted((i, a, b, c) for i in range(120) for a in ("x86", "arm") for b in ("dev", "release") for c in ("", "a,b"))
