@@ -98,11 +98,11 @@ LINES_SQL = "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS li
 
 @query(LINES_SQL + ", w AS (SELECT *, max(changed::INT) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM f) SELECT doc_id, n::INTEGER AS n, left(line, 40) AS line FROM w WHERE near = 1")
 def unified_diff_filter(t):
-    """Lines within two of a changed one, by windows over each text's own lines."""
+    """Whole lines within two of a changed one, by windows over each text's own lines; the SQL has their heads."""
     lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     w = Window.partitionBy("doc_id").orderBy("n").rowsBetween(-2, 2)
     near = F.max(F.lower("line").contains("license").cast("int")).over(w)
-    return lines.withColumn("near", near).where("near = 1").select("doc_id", (F.col("n") + 1).alias("n"), F.substring("line", 1, 40).alias("line"))
+    return lines.withColumn("near", near).where("near = 1").select("doc_id", (F.col("n") + 1).alias("n"), "line")
 
 
 LOG_SQL = "WITH g AS (SELECT user_id AS request, event_id AS ts, CASE event_type WHEN 'signup' THEN 'requested' WHEN 'error' THEN 'failed' ELSE 'completed' END AS event FROM events WHERE event_type IN ('signup', 'error', 'purchase'))"

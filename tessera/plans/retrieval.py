@@ -96,7 +96,7 @@ def truncate_lines(t):
 
 @query("SELECT doc_id, CASE WHEN ceil(length(text) / 4.0) <= 512 THEN left(text, 40) END AS text FROM documents")
 def truncate_for_model(t):
-    return t.documents.select("doc_id", F.substring(X.truncate_for_model(F.col("text"), 512, "reject"), 1, 40).alias("text"))
+    return t.documents.select("doc_id", X.truncate_for_model(F.col("text"), 512, "reject").alias("text"))
 
 
 @query("SELECT o_orderkey, greatest(5, least(20, floor(o_totalprice / 200)))::INTEGER AS k FROM orders")

@@ -122,3 +122,11 @@ def test_edits_proposals_and_units_of_all_rows(run):
     assert {(r.event_id, r.state) for r in run("proposal_states", events=table)} == {(i, "denied" if i % 2 else "approved") for i, _ in rows}
     units = run("cu_cross_product", part=([(i,) for i in range(120)], "p_partkey long"))
     assert sorted(tuple(r) for r in units) == sorted((i, a, b, c) for i in range(120) for a in ("x86", "arm") for b in ("dev", "release") for c in ("", "a,b"))
+
+
+def test_lines_and_texts_come_back_whole(run):
+    lines = [f"{i} " + "long line " * 9 + ("License" if i == 5 else "") for i in range(12)]
+    texts = ["\n".join(lines), "y" * 2048, "z" * 2049, None]
+    table = (docs(texts), DOCS)
+    assert {(r.doc_id, r.n, r.line) for r in run("unified_diff_filter", documents=table)} == {(0, i + 1, lines[i]) for i in range(3, 8)}
+    assert {r.doc_id: r.text for r in run("truncate_for_model", documents=table)} == {0: texts[0], 1: texts[1], 2: None, 3: None}
