@@ -130,3 +130,35 @@ def test_lines_and_texts_come_back_whole(run):
     table = (docs(texts), DOCS)
     assert {(r.doc_id, r.n, r.line) for r in run("unified_diff_filter", documents=table)} == {(0, i + 1, lines[i]) for i in range(3, 8)}
     assert {r.doc_id: r.text for r in run("truncate_for_model", documents=table)} == {0: texts[0], 1: texts[1], 2: None, 3: None}
+
+
+def test_links_paths_and_chains_of_all_rows(run):
+    orders = [(k, c) for k, c in enumerate([1, 2, 3, 60, 61, 7, 7, 9, 49, 12, 13, 70], 1)]
+    nxt = {}
+    for k, c in orders:
+        nxt[c] = min(nxt.get(c, 99), k % 50 + 1)
+
+    def follow(at):
+        seen = [at]
+        while seen[-1] in nxt and nxt[seen[-1]] not in seen:
+            seen.append(nxt[seen[-1]])
+        return f"c:{at}", f"c:{seen[-1]}", len(seen) - 1, "cycle" if seen[-1] in nxt else "ok"
+
+    table = (orders, "o_orderkey long, o_custkey long")
+    want = {follow(c) for c in nxt}
+    assert {tuple(r) for r in run("reexport_chain", orders=table)} == want
+    assert {x[3] for x in want} == {"ok", "cycle"} and max(x[2] for x in want) > 1
+
+    talk = [(c, n, "user", "x") for c in range(9) for n in range(c + 1)]
+    got = run("conversation_path", conversations=(talk, "conv_id long, turn int, role string, text string"))
+    assert {tuple(r) for r in got} == {(f"{c}:{n}", n) for c, n, *_ in talk} and len(got) == len(talk)
+
+    names = [f"C{i}" for i in range(99)]
+    customers = [(i, names[i], i % 2, "BUILDING" if i % 3 == 0 else "OTHER") for i in range(99)]
+    got = run(
+        "resolve_edges", orders=table, customer=(customers, "c_custkey long, c_name string, c_nationkey long, c_mktsegment string"), supplier=([], "s_suppkey long, s_name string, s_nationkey long"),
+        nation=([(0, "N0", 0), (1, "N1", 0)], "n_nationkey long, n_name string, n_regionkey long"), region=([(0, "R")], "r_regionkey long, r_name string"),
+    )
+    links = {(c, c % 97 + 1) for _, c in orders}
+    ends = {(a, b, "outgoing") for a, b in links} | {(b, a, "incoming") for a, b in links}
+    assert {(r.source_id, r.target_id, r.direction) for r in got} == {(f"c:{a}", f"c:{b}", x) for a, b, x in ends if a % 3 == 0}
