@@ -27,6 +27,8 @@ ITEM_KINDS = (
     "ImplAssociatedItem", "TraitAssociatedItem", "ModuleImports", "ReExports",
 )
 LINK_KINDS = ("ResolvesToDefinition", "CustomPath")
+#: Rounds that go one step each; deeper graphs go on in steps that double.
+SINGLE_STEPS = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,23 +53,40 @@ def parent_of(edges: DataFrame, kinds: Sequence[str] = CONTAINS) -> DataFrame:
     return edges.where(F.col("relation_kind").isin(*kinds)).select(F.col("target_id").alias("child"), F.col("source_id").alias("parent")).distinct()
 
 
-def closure(pairs: DataFrame, seeds: DataFrame | None = None, most: int = 1000) -> DataFrame:
-    """(child, ancestor): the transitive closure of (child, parent), of the children in seeds(id) only if given.
-    Cycles end by themselves, as pairs that are known do not go on."""
+def _doubled(steps: DataFrame) -> DataFrame:
+    """Pairs (from, to) of walks twice as long as those of steps."""
+    return written(steps.join(steps.select(F.col("from").alias("to"), F.col("to").alias("__far")), "to").select("from", F.col("__far").alias("to")).distinct())
+
+
+def closure(pairs: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """(child, ancestor): the transitive closure of (child, parent), of the children in seeds(id) only if given, however
+    deep. Cycles end by themselves, as pairs that are known do not go on."""
     step = pairs.select(F.col("child").alias("ancestor"), F.col("parent").alias("__next"))
     new = pairs.select("child", F.col("parent").alias("ancestor"))
     if seeds is not None:
         new = new.join(seeds.select(F.col("id").alias("child")).distinct(), "child", "left_semi")
     new = written(new.distinct())
-    found = [new]
-    for _ in range(most):
-        if not new.limit(1).count():
-            break
+    found, length = [new], 1
+    while new.limit(1).count() and length < SINGLE_STEPS:
         known = reduce(DataFrame.unionByName, found)
         new = new.join(step, "ancestor").select("child", F.col("__next").alias("ancestor")).distinct()
         new = written(new.join(known, ["child", "ancestor"], "left_anti"))
         found.append(new)
-    return reduce(DataFrame.unionByName, found)
+        length += 1
+    if not new.limit(1).count():
+        return reduce(DataFrame.unionByName, found)
+    # walks of up to `length` steps are found; those of exactly `jump` steps, never more than `length`, go on from all
+    steps, jump = written(step.select(F.col("ancestor").alias("from"), F.col("__next").alias("to")).distinct()), 1
+    while jump * 2 <= length:
+        steps, jump = _doubled(steps), jump * 2
+    while True:
+        known = reduce(DataFrame.unionByName, found)
+        new = known.join(steps, F.col("ancestor") == F.col("from")).select("child", F.col("to").alias("ancestor")).distinct()
+        new = written(new.join(known, ["child", "ancestor"], "left_anti"))
+        if not new.limit(1).count():
+            return known
+        found.append(new)
+        steps = _doubled(steps)
 
 
 def ancestors(edges: DataFrame, kinds: Sequence[str] = CONTAINS, reflexive: DataFrame | None = None) -> DataFrame:
@@ -78,20 +97,33 @@ def ancestors(edges: DataFrame, kinds: Sequence[str] = CONTAINS, reflexive: Data
     return found
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, kinds: Sequence[str] | None = CONTAINS, most: int = 1000) -> DataFrame:
-    """(id, depth): nodes reached from seeds(id) along edges of these kinds (all if None), seeds at depth 0."""
+def reachable(edges: DataFrame, seeds: DataFrame, kinds: Sequence[str] | None = CONTAINS) -> DataFrame:
+    """(id, depth): nodes reached from seeds(id) along edges of these kinds (all if None), seeds at depth 0, however
+    deep."""
     step = edges if kinds is None else edges.where(F.col("relation_kind").isin(*kinds))
     step = step.select(F.col("source_id").alias("id"), F.col("target_id").alias("__next")).distinct()
     new = written(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
     found = [new]
-    for depth in range(1, most + 1):
+    for depth in range(1, SINGLE_STEPS + 1):
         known = reduce(DataFrame.unionByName, found).select("id")
         new = new.join(step, "id").select(F.col("__next").alias("id")).distinct().join(known, "id", "left_anti")
         new = written(new.withColumn("depth", F.lit(depth)))
         if not new.limit(1).count():
-            break
+            return reduce(DataFrame.unionByName, found)
+        found.append(new)
+    # from the last ones on, only nodes that are not known yet lie on a shortest way
+    known = reduce(DataFrame.unionByName, found)
+    steps = written(step.select(F.col("id").alias("from"), F.col("__next").alias("to")).join(known.select(F.col("id").alias("to")), "to", "left_anti").select("from", "to"))
+    beyond, jump = new, 1
+    while True:
+        # beyond has the nodes fewer than `jump` steps from the last ones, steps the ends of walks of `jump` steps
+        new = beyond.join(steps, F.col("id") == F.col("from")).select(F.col("to").alias("id"), (F.col("depth") + jump).alias("depth"))
+        new = new.groupBy("id").agg(F.min("depth").alias("depth"))
+        new = written(new.join(beyond.select("id"), "id", "left_anti"))
+        if not new.limit(1).count():
+            return reduce(DataFrame.unionByName, found)
         found.append(new)
-    return reduce(DataFrame.unionByName, found)
+        beyond, steps, jump = beyond.unionByName(new), _doubled(steps), jump * 2
 
 
 def file_owner(modules: DataFrame, files: DataFrame, closed: DataFrame) -> DataFrame:
@@ -256,13 +288,18 @@ def visible_by_glob(vis_kind: Column) -> Column:
     return vis_kind.isin("Public", "Crate")
 
 
-def root_to_leaf(messages: DataFrame, leaf: DataFrame, most: int = 10_000) -> DataFrame:
-    """(leaf, id, path_index): the messages from the root (0) to each leaf(id), along messages(id, parent)."""
-    closed = closure(messages.where("parent is not null").select(F.col("id").alias("child"), "parent"), leaf, most)
-    own = leaf.select(F.col("id").alias("leaf"), F.col("id"))
-    every = own.unionByName(closed.select(F.col("child").alias("leaf"), F.col("ancestor").alias("id"))).distinct()
-    depth = reachable(
-        messages.where("parent is not null").select(F.col("parent").alias("source_id"), F.col("id").alias("target_id"), F.lit("Contains").alias("relation_kind")),
-        messages.where("parent is null").select("id"),
-    )
-    return every.join(depth, "id").select("leaf", "id", F.col("depth").alias("path_index"))
+def root_to_leaf(messages: DataFrame, leaf: DataFrame) -> DataFrame:
+    """(leaf, id, path_index): the messages from the root (0) to each leaf(id), along messages(id, parent), by pointer
+    doubling. A leaf whose path ends at no root (it is a cycle, or a parent is missing) has none."""
+    count = messages.count()
+    steps = written(messages.where("parent is not null").select(F.col("id").alias("from"), F.col("parent").alias("to")).distinct())
+    path = leaf.select(F.col("id").alias("leaf"), "id", F.lit(0).alias("up")).distinct()
+    jump = 1
+    while jump < 2 * count and steps.limit(1).count():
+        # path has the messages fewer than `jump` steps above a leaf, steps the pairs that are `jump` steps apart
+        above = path.join(steps, F.col("id") == F.col("from")).select("leaf", F.col("to").alias("id"), (F.col("up") + jump).alias("up"))
+        path = written(path.unionByName(above))
+        steps, jump = _doubled(steps), jump * 2
+    roots = messages.where("parent is null").select("id").distinct()
+    ends = path.join(roots, "id", "left_semi").groupBy("leaf").agg(F.max("up").alias("__length"))
+    return path.join(ends, "leaf").select("leaf", "id", (F.col("__length") - F.col("up")).alias("path_index"))

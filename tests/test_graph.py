@@ -117,3 +117,29 @@ def test_versions(spark):
     gone = T.retract_rows(log, spark.createDataFrame([("l",), ("m",)], "id string"), ["id"], F.lit(9))
     assert gone.count() == 7 and rows(T.live(gone, ["id"]).select("id")) == [("k",)]
     assert rows(T.history(log, ["id"])) == [("k", 3, 2), ("l", 1, 1), ("m", 2, 1)]
+
+
+def test_graphs_deeper_than_a_thousand(spark):
+    n = 1100
+    name = lambda i: f"x{i:04d}"
+    chain = [(name(i), name(i + 1)) for i in range(n)]
+    # a cycle in the depth, a short cut that makes depths smaller, and a branch
+    extra = [(name(n), name(n - 5)), (name(3), name(30)), (name(500), "y0"), ("y0", "y1")]
+    edges = spark.createDataFrame([(a, b, "Contains") for a, b in chain + extra], "source_id string, target_id string, relation_kind string")
+    depth = {name(0): 0}
+    front = [name(0)]
+    while front:
+        front = [b for a in front for x, b in chain + extra if x == a and b not in depth and not depth.update({b: depth[a] + 1})]
+    got = G.reachable(edges, spark.createDataFrame([(name(0),)], "id string")).collect()
+    assert {r.id: r.depth for r in got} == depth and len(got) == len(depth) == n + 3
+    pairs = G.parent_of(edges.where("target_id != 'y1'"))
+    got = rows(G.closure(pairs, spark.createDataFrame([(name(n),), ("y0",)], "id string")))
+    assert got == sorted([(name(n), name(i)) for i in range(n + 1)] + [("y0", name(i)) for i in range(501)])
+
+
+def test_paths_longer_than_a_thousand(spark):
+    messages = [(f"m{i}", f"m{i - 1}" if i else None) for i in range(1100)] + [("c1", "c2"), ("c2", "c1"), ("lost", "nowhere"), ("one", None)]
+    messages = spark.createDataFrame(messages, "id string, parent string")
+    leaves = spark.createDataFrame([("m1099",), ("m3",), ("c1",), ("lost",), ("one",)], "id string")
+    got = rows(G.root_to_leaf(messages, leaves))
+    assert got == sorted([("m1099", f"m{i}", i) for i in range(1100)] + [("m3", f"m{i}", i) for i in range(4)] + [("one", "one", 0)])
