@@ -20,13 +20,15 @@ import dataclasses
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import mapped
 
-#: Training documents that weights are learned from, at most: those with the smallest hash of their id.
+#: Training documents that weights are learned from, at most: those with the smallest hash of their id, after as many of
+#: each language as QUOTA and half the sample allow (one at least).
 SAMPLE = 4000
+QUOTA = 500
 #: One in so many of them fits the temperature instead.
 HOLD_BACK = 8
 #: n-grams share 2**BITS features.
@@ -146,9 +148,18 @@ def _frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _vectors(train: DataFrame, sample: int):
-    """[(features, counts, lang)] of the sampled documents, by hash of their id; bounded by sample."""
-    ids = train.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = F.broadcast(ids.select(F.col("doc_id").alias("__id")))
+    """[(features, counts, lang)] of the sampled documents, by hash of their id; bounded by sample, or by the number of
+    languages if that is larger. Every language with a letter in its documents is among them."""
+    lettered = train.where(F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull())
+    found = max(1, lettered.select("lang").distinct().count())
+    quota = max(1, min(QUOTA, sample // (2 * found)))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    every = lettered.select("doc_id", "lang").distinct()
+    first = every.withColumn("__n", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("__n") <= quota)
+    rest = every.orderBy(*order, "lang").limit(sample)
+    both = first.select("doc_id", "lang", F.lit(0).alias("__n")).unionByName(rest.select("doc_id", "lang", F.lit(1).alias("__n")))
+    ids = both.groupBy("doc_id", "lang").agg(F.min("__n").alias("__n")).orderBy("__n", *order, "lang").limit(max(sample, found))
+    chosen = F.broadcast(ids.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang")))
 
     def run(batches):
         for batch in batches:
@@ -171,7 +182,7 @@ def _vectors(train: DataFrame, sample: int):
                 )
                 at += len(texts)
 
-    rows = train.join(chosen, F.col("doc_id") == F.col("__id")).select("doc_id", "lang", "text")
+    rows = train.join(chosen, (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__lang"))).select("doc_id", "lang", "text")
     rows = mapped(rows, run, "doc_id long, lang string, features binary, counts binary, letter boolean").where("letter").drop("letter")
     table = rows.toPandas().sort_values(["doc_id", "lang"])
     return [(np.frombuffer(f, "<u4").astype(np.int64), np.frombuffer(c, "<u4").astype(float), x) for f, c, x in zip(table["features"], table["counts"], table["lang"])]
@@ -217,9 +228,14 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         examples.append((at, SCALE * value / max(value.sum(), 1e-12), langs.index(lang)))
     if len(langs) < 2:
         return Model(langs, idf, np.zeros((features, len(langs))), np.zeros(len(langs)))
-    held = [x for i, x in enumerate(examples) if i % HOLD_BACK == 0]
-    weights, base = _ftrl([x for i, x in enumerate(examples) if i % HOLD_BACK], langs, features)
+    # the first example of a language is always learned from
+    firsts = {y: i for i, (_, _, y) in reversed(list(enumerate(examples)))}
+    back = [i % HOLD_BACK == 0 and firsts[y] != i for i, (_, _, y) in enumerate(examples)]
+    held = [x for x, b in zip(examples, back) if b]
+    weights, base = _ftrl([x for x, b in zip(examples, back) if not b], langs, features)
     model = Model(langs, idf, weights, base)
+    if not held:
+        return model
     logits = np.array([x @ weights[at] + base for at, x, _ in held])
     truth = np.array([y for _, _, y in held])
 

@@ -55,3 +55,11 @@ def test_nothing_to_learn(spark):
     assert li.predictions(docs.limit(0)).collect() == []
     one = spark.createDataFrame([(i, "abc", "en", "x") for i in range(9)], SCHEMA)
     assert {(r.lang_pred, r.score) for r in li.predictions(one).collect()} == {("en", 1.0)}
+
+
+def test_a_rare_language_is_learned(spark):
+    docs = corpus(300) + [(5000 + i, "zażółć gęślą jaźń łódź źrebię", "pl", "x") for i in range(3)]
+    train = spark.createDataFrame(docs, SCHEMA)
+    model = li.fit(train, 12)
+    assert model.langs == ["de", "en", "fr", "pl"] and np.abs(model.weights[:, 3]).sum() > 0
+    assert li.fit(train, 2).langs == model.langs
