@@ -2,48 +2,36 @@
 
 A byte-level BPE vocabulary splits a text into pieces (a word with its leading space, a run of digits, of other
 signs, of white space) and never merges across them. Encoder finds the pieces of a batch with array operations,
-looks their hashes up in a bounded table, and hands only pieces it has not met to the library. Ids equal those of
+looks them up in a bounded table that holds their bytes, and hands only pieces it has not met to the library. What
+kind of character a code point is, is asked of the tokenizer's own splitter when it first occurs. Ids equal those of
 ``Tokenizer.encode(text, add_special_tokens=False)``; a text that contains the string of an added token goes to the
-library whole.
+library whole, and so do all texts if the vocabulary splits in another way.
 """
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
-import regex
 from tokenizers import Tokenizer
 
-from tessera.llm.textvec import _powers, mix
+from tessera.llm.textvec import Chunks, mix
 
 #: Characters handled at once.
-SLICE_CHARS = 1 << 20
-#: Pieces kept in the table at most, half of its slots; at that number it starts afresh.
-MOST_PIECES = 1 << 21
-_LETTER, _NUMBER, _BLANK, _OTHER = 0, 1, 2, 3
-_CLASSES: np.ndarray | None = None
-
-
-def _classes() -> np.ndarray:
-    """The kind of every code point, by the same Unicode properties as the vocabulary's own pattern."""
-    global _CLASSES
-    if _CLASSES is None:
-        table = np.full(0x110000, _OTHER, np.uint8)
-        for lo in range(0, 0x110000, 0x800):  # a block at a time: as one text they would take hundreds of MB
-            if not 0xD800 <= lo < 0xE000:
-                block = "".join(map(chr, range(lo, lo + 0x800)))
-                for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_BLANK, r"\s+")):
-                    for run in regex.finditer(pattern, block):
-                        table[lo + run.start() : lo + run.end()] = kind
-        _CLASSES = table
-    return _CLASSES
-
-
-def pieces(chars: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Begin of every piece in code points; starts are the texts' first characters. The rule, for runs of one kind:
-    white space before something else leaves its last character to it if that is a space, else on its own; an
-    apostrophe alone takes the s, t, re, ve, m, ll or d that follows."""
+SLICE_CHARS = 1 << 18
+#: Pieces, and bytes of long ones, after which the table starts afresh.
+MOST_PIECES = 1 << 18
+MOST_BYTES = 1 << 23
+#: Bytes of pieces that are compared as two numbers; longer ones are looked up by their bytes.
+SHORT = 16
+_LETTER, _NUMBER, _OTHER, _BLANK, _UNKNOWN = range(5)
+
+
+def pieces(chars: np.ndarray, kind: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Begin of every piece in code points of the given kinds; starts are the texts' first characters. The rule, for
+    runs of one kind: white space before something else leaves its last character to it if that is a space, else on
+    its own; an apostrophe alone takes the s, t, re, ve, m, ll or d that follows."""
     n = len(chars)
-    kind = _classes()[chars]
     edge = np.zeros(n + 1, bool)
     edge[starts] = True
     edge[n] = True
@@ -77,7 +65,15 @@ def pieces(chars: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def _plain(piece: str) -> bool:
     """Latin letters, perhaps after one space."""
     word = piece[1:] if piece[0] == " " else piece
-    return word.isalpha() and (word.isascii() or max(word) < "\u0250")
+    return word.isalpha() and (word.isascii() or max(word) < "ɐ")
+
+
+def _split_by_pieces(tokenizer: Tokenizer) -> bool:
+    """Whether the vocabulary splits by the pattern that pieces() follows."""
+    made = json.loads(tokenizer.to_str())
+    split, model = made["pre_tokenizer"] or {}, made["model"]
+    by_bytes = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    return by_bytes and not made["normalizer"] and model["type"] == "BPE" and not model.get("dropout") and not made.get("truncation") and not made.get("padding")
 
 
 class Encoder:
@@ -93,47 +89,97 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_pieces = _split_by_pieces(self.tokenizer)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # a line break is a piece, and a token, of its own between a letter or sign and a space
-        (self.stop,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.kinds = np.full(0x110000, _UNKNOWN, np.uint8)
+        if self.by_pieces:
+            # a line break is a piece, and a token, of its own between a letter or sign and a space
+            (self.stop,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
-        self.slots = 1 << 22
-        self.keys = np.zeros(self.slots, np.uint64)
-        self.where = np.zeros(self.slots, np.int32)
-        self.first = np.zeros(1, np.int64)  # of each piece's ids in pool; one entry more than pieces
-        self.pool = np.zeros(0, np.uint32)
-
-    def _find(self, hashes: np.ndarray) -> np.ndarray:
-        """Piece number of each hash; -1 if unknown."""
-        out = np.full(len(hashes), -1, np.int32)
-        left = np.arange(len(hashes))
-        slot = (hashes >> np.uint64(42)).astype(np.int64)
-        h = hashes
+        """Forget all pieces."""
+        self.count, self.bytes = 0, 0
+        self.where = np.full(1 << 16, -1, np.int32)
+        self.one, self.two, self.size = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64), np.zeros(1024, np.int64)
+        self.first = np.zeros(1025, np.int64)  # of each piece's ids in pool
+        self.pool = np.zeros(4096, np.uint32)
+        self.long: dict[bytes, int] = {}
+
+    def _kinds(self, chars: np.ndarray) -> np.ndarray:
+        kind = self.kinds[chars]
+        unknown = kind == _UNKNOWN
+        if unknown.any():
+            self._ask(np.unique(chars[unknown]).tolist())
+            kind = self.kinds[chars]
+        return kind
+
+    def _ask(self, codes: list[int]) -> None:
+        """Learn the kind of code points: those that the tokenizer leaves in one piece with a letter, digit or sign."""
+        for lo in range(0, len(codes), 4096):
+            some = codes[lo : lo + 4096]
+            self.kinds[some] = _BLANK
+            for kind, before in ((_LETTER, "x"), (_NUMBER, "1"), (_OTHER, "!")):
+                text = "\n".join(before + chr(c) for c in some)
+                begins = np.zeros(len(text) + 1, bool)
+                begins[[a for _, (a, _) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]] = True
+                joined = np.flatnonzero(~begins[1 : 3 * len(some) : 3])
+                self.kinds[np.array(some)[joined]] = kind
+
+    def _find(self, one: np.ndarray, two: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Number of each short piece by its bytes; -1 if unknown."""
+        out = np.full(len(one), -1, np.int32)
+        left = np.arange(len(one))
+        slot = self._slot(one, two, size)
         while len(left):
-            key = self.keys[slot]
-            hit = key == h
-            out[left[hit]] = self.where[slot[hit]]
-            more = ~hit & (key != 0)
-            left, h, slot = left[more], h[more], (slot[more] + 1) & (self.slots - 1)
+            at = self.where[slot]
+            hit = (at >= 0) & (self.one[at] == one) & (self.two[at] == two) & (self.size[at] == size)
+            out[left[hit]] = at[hit]
+            more = np.flatnonzero(~hit & (at >= 0))
+            left, one, two, size, slot = left[more], one[more], two[more], size[more], (slot[more] + 1) & (len(self.where) - 1)
         return out
 
-    def _add(self, hashes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
-        known = len(self.first) - 1
-        self.first = np.r_[self.first, self.first[-1] + np.cumsum(counts)]
-        self.pool = np.r_[self.pool, ids]
-        number = np.arange(known, known + len(counts), dtype=np.int32)
-        slot = (hashes >> np.uint64(42)).astype(np.int64)
-        while len(hashes):
-            free = self.keys[slot] == 0
-            slot_free, index = np.unique(slot[free], return_index=True)
-            chosen = np.flatnonzero(free)[index]
-            self.keys[slot_free] = hashes[chosen]
-            self.where[slot_free] = number[chosen]
-            left = np.ones(len(hashes), bool)
+    def _slot(self, one, two, size) -> np.ndarray:
+        return (mix(one ^ mix(two + size.astype(np.uint64))) & np.uint64(len(self.where) - 1)).astype(np.int64)
+
+    def _insert(self, number: np.ndarray) -> None:
+        """Put pieces that are in no slot into slots."""
+        slot = self._slot(self.one[number], self.two[number], self.size[number])
+        while len(number):
+            free = np.flatnonzero(self.where[slot] < 0)
+            _, index = np.unique(slot[free], return_index=True)
+            chosen = free[index]
+            self.where[slot[chosen]] = number[chosen]
+            left = np.ones(len(number), bool)
             left[chosen] = False
-            hashes, number, slot = hashes[left], number[left], (slot[left] + 1) & (self.slots - 1)
+            number, slot = number[left], (slot[left] + 1) & (len(self.where) - 1)
+
+    def _add(self, found: list[bytes]) -> None:
+        """Encode pieces that are not in the table, all different, and put them there."""
+        order, ids, counts = self._encode_pieces([x.decode("utf-8") for x in found])
+        n, end = self.count + len(found), int(self.first[self.count])
+        if n > len(self.one):
+            more = max(n, 2 * len(self.one))
+            self.one, self.two, self.size, self.first = (np.resize(x, more + k) for x, k in ((self.one, 0), (self.two, 0), (self.size, 0), (self.first, 1)))
+        if end + len(ids) > len(self.pool):
+            self.pool = np.resize(self.pool, max(end + len(ids), 2 * len(self.pool)))
+        self.pool[end : end + len(ids)] = ids
+        self.first[self.count + 1 : n + 1] = end + np.cumsum(counts)
+        own = [found[i] for i in order.tolist()]
+        size = np.fromiter(map(len, own), np.int64, len(own))
+        begin = np.cumsum(size) - size
+        chunks = Chunks(np.frombuffer(b"".join(own) + bytes(8), np.uint8), None)
+        number = np.arange(self.count, n)
+        self.one[number], self.two[number], self.size[number] = chunks.at(begin, size), chunks.at(begin + 8 * (size > 8), np.maximum(size - 8, 0)), size
+        for i in np.flatnonzero(size > SHORT).tolist():
+            self.long[own[i]] = self.count + i
+            self.bytes += len(own[i]) + 100
+        self.count = n
+        short = number[size <= SHORT]
+        if 2 * n > len(self.where):
+            self.where = np.full(1 << (4 * n).bit_length(), -1, np.int32)
+            short = np.flatnonzero(self.size[:n] <= SHORT)
+        self._insert(short)
 
     def _encode_pieces(self, found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Order in which pieces were encoded, their ids after each other, and how many each has. Pieces of plain
@@ -164,51 +210,59 @@ class Encoder:
         all_ids, counts = [], []
         lo = 0
         while lo < len(texts):
-            hi, size = lo, 0
-            while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= SLICE_CHARS):
+            hi, size = lo + 1, len(texts[lo])
+            alone = self._for_library(texts[lo])
+            while not alone and hi < len(texts) and size + len(texts[hi]) <= SLICE_CHARS and not self._for_library(texts[hi]):
                 size += len(texts[hi])
                 hi += 1
-            ids, n = self._encode(texts[lo:hi])
+            ids, n = self._by_library(texts[lo]) if alone else self._encode(texts[lo:hi])
             all_ids.append(ids)
             counts.append(n)
             lo = hi
         ids = np.concatenate(all_ids) if all_ids else np.zeros(0, np.uint32)
         return ids, np.r_[0, np.cumsum(np.concatenate(counts))].astype(np.int64) if counts else np.zeros(1, np.int64)
 
+    def _for_library(self, text: str) -> bool:
+        return not self.by_pieces or any(a in text for a in self.added)
+
+    def _by_library(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        return ids, np.array([len(ids)], np.int64)
+
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if any(a in t for a in self.added for t in texts):
-            made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-            counts = np.array([len(x.ids) for x in made], np.int64)
-            return np.fromiter((y for x in made for y in x.ids), np.uint32, int(counts.sum())), counts
+        if self.count > MOST_PIECES or self.bytes > MOST_BYTES:
+            self.clear()
         joined = "".join(texts)
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         starts = np.r_[0, np.cumsum(lengths)]
         if not joined:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        begin = pieces(chars, starts[:-1][lengths > 0])
-        end = np.r_[begin[1:], len(chars)]
-        power, inverse = _powers(len(chars))
-        with np.errstate(over="ignore"):
-            total = np.zeros(len(chars) + 1, np.uint64)
-            np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * power[: len(chars)], out=total[1:])
-            hashes = mix((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
-        hashes[hashes == 0] = 1
-        found = self._find(hashes)
+        chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        begin = pieces(chars, self._kinds(chars), starts[:-1][lengths > 0])
+        of_text = np.searchsorted(begin, starts)
+        raw = joined.encode("utf-8")
+        if len(raw) > len(chars):  # from code points to bytes
+            wide = np.ones(len(chars) + 1, np.int64)
+            for limit in (0x80, 0x800, 0x10000):
+                wide[1:] += chars >= limit
+            wide[0] = 0
+            begin = np.cumsum(wide)[begin]
+        size = np.diff(np.r_[begin, len(raw)])
+        chunks = Chunks(np.frombuffer(raw, np.uint8), None)
+        one, two = chunks.at(begin, size), chunks.at(begin + 8 * (size > 8), np.maximum(size - 8, 0))
+        found = self._find(one, two, size)
+        far = np.flatnonzero(size > SHORT).tolist()
+        found[far] = [self.long.get(raw[begin[i] : begin[i] + size[i]], -1) for i in far]
         missing = np.flatnonzero(found < 0)
         if len(missing):
-            new, index = np.unique(hashes[missing], return_index=True)
-            if len(self.first) + len(new) > MOST_PIECES:
-                self.clear()
-                missing = np.arange(len(hashes))
-                new, index = np.unique(hashes, return_index=True)
-            at = missing[index]
-            order, ids, counts = self._encode_pieces([joined[b:e] for b, e in zip(begin[at].tolist(), end[at].tolist())])
-            self._add(new[order], ids, counts)
-            found[missing] = self._find(hashes[missing])
+            names = [raw[b : b + n] for b, n in zip(begin[missing].tolist(), size[missing].tolist())]
+            new = {x: i for i, x in enumerate(dict.fromkeys(names))}
+            self._add(list(new))
+            short = size[missing] <= SHORT
+            found[missing[short]] = self._find(one[missing[short]], two[missing[short]], size[missing[short]])
+            found[missing[~short]] = [self.long[names[i]] for i in np.flatnonzero(~short).tolist()]
         first = self.first[found]
-        size = self.first[found + 1] - first
-        total_ids = np.r_[0, np.cumsum(size)]
-        ids = self.pool[np.repeat(first - total_ids[:-1], size) + np.arange(total_ids[-1])]
-        of_text = np.searchsorted(begin, starts)
-        return ids, np.diff(total_ids[of_text])
+        count = self.first[found + 1] - first
+        total = np.r_[0, np.cumsum(count)]
+        ids = self.pool[np.repeat(first - total[:-1], count) + np.arange(total[-1])]
+        return ids, np.diff(total[of_text])

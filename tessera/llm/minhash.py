@@ -118,7 +118,7 @@ def sets_of(column: pa.Array):
     lowered = pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), ""))
     for lo, hi, data, starts in tv.slices(lowered):
         begin, end, first = tv.spans(data, starts, tv.ALNUM)
-        shingles, first = tv.shingles(tv.Sums(data).hash(begin, end), first, WORDS)
+        shingles, first = tv.shingles(tv.Chunks(data).hash(begin, end), first, WORDS)
         yield lo, hi, *elements(shingles, first)
 
 

@@ -93,7 +93,7 @@ def segments(docs: DataFrame, size: int = SEGMENT) -> DataFrame:
             doc_ids, folds = batch.column("doc_id").to_pylist(), np.array(batch.column("fold").to_pylist(), np.int64)
             for lo, hi, data, starts in tv.slices(batch.column("text")):
                 begin, end, first = tv.spans(data, starts, tv.BLANKS)
-                words = np.insert(tv.Sums(data).hash(begin, end), first[1:], END)
+                words = np.insert(tv.Chunks(data).hash(begin, end), first[1:], END)
                 sizes = np.diff(first) + 1
                 for learning in (False, True):  # documents that weights are learned on have segments of their own
                     mine = (folds[lo:hi] == 1) == learning

@@ -1,8 +1,8 @@
 """Vectorised text scanning over Arrow string columns: word spans, word hashes and shingles for whole batches.
 
-Words are hashed as polynomials of their bytes, taken as differences of one running sum over the batch, so the cost
-is a handful of array passes a byte. Arrays are built for a bounded slice of the batch at a time; a single text
-longer than the slice forms a slice of its own.
+Words are hashed eight bytes at a time, each chunk mixed into the hash of those before, for all words of a batch
+together; words beyond LONG bytes go through xxHash, of which a text has few. Arrays are built for a bounded slice of
+the batch at a time; a single text longer than the slice forms a slice of its own.
 """
 
 from __future__ import annotations
@@ -10,14 +10,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text handled at once.
 SLICE_BYTES = 1 << 20
 #: Texts handled at once.
 SLICE_ROWS = 2048
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POW = np.ones(1, np.uint64)
-_INV = np.ones(1, np.uint64)
+#: Bytes of a word that are hashed by chunks, at most.
+LONG = 64
 
 #: Separators of plain tokens: space and the ASCII controls 0x09 to 0x0D.
 BLANKS = np.ones(256, np.uint8)
@@ -26,20 +26,10 @@ BLANKS[[0x20, *range(0x09, 0x0E)]] = 0
 ALNUM = np.zeros(256, np.uint8)
 ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 #: Byte values with A-Z lower-cased.
-LOWER = np.arange(256, dtype=np.uint64)
+LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i up to n."""
-    global _POW, _INV
-    if len(_POW) <= n:
-        size = max(n + 1, SLICE_BYTES + 1)
-        inverse = pow(_BASE, -1, 1 << 64)
-        with np.errstate(over="ignore"):
-            _POW = np.cumprod(np.r_[np.uint64(1), np.full(size, _BASE, np.uint64)], dtype=np.uint64)
-            _INV = np.cumprod(np.r_[np.uint64(1), np.full(size, inverse, np.uint64)], dtype=np.uint64)
-    return _POW, _INV
+#: Masks of the first 0 to 8 bytes of a chunk.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -89,18 +79,30 @@ def spans(data: np.ndarray, starts: np.ndarray, word: np.ndarray) -> tuple[np.nd
     return begin, end, np.searchsorted(begin, starts)
 
 
-class Sums:
-    """Running polynomial sums over bytes, from which any span's hash is a difference."""
+class Chunks:
+    """The eight bytes from every position of a slice, from which spans are hashed."""
 
-    def __init__(self, data: np.ndarray, values: np.ndarray = LOWER):
-        power, self.inverse = _powers(len(data))
-        self.total = np.zeros(len(data) + 1, np.uint64)
-        with np.errstate(over="ignore"):
-            np.cumsum((values[data] + np.uint64(1)) * power[: len(data)], out=self.total[1:])
+    def __init__(self, data: np.ndarray, values: np.ndarray | None = LOWER):
+        self.data = np.zeros(len(data) + 8, np.uint8)
+        self.data[: len(data)] = data if values is None else values[data]
+        self.view = np.ndarray((len(data) + 1,), "<u8", self.data.data, strides=(1,))
+
+    def at(self, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The first size bytes from begin, 8 at most, as numbers; zeros behind them."""
+        return self.view[begin] & _FIRST[np.minimum(size, 8)]
 
     def hash(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        size = end - begin
         with np.errstate(over="ignore"):
-            return mix((self.total[end] - self.total[begin]) * self.inverse[begin] + (end - begin).astype(np.uint64))
+            out = mix(self.at(begin, size) ^ (size.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)))
+            for k in range(8, LONG, 8):
+                more = np.flatnonzero((size > k) & (size <= LONG))
+                if not len(more):
+                    break
+                out[more] = mix((out[more] * np.uint64(0xE7037ED1A0B428DB)) ^ self.at(begin[more] + k, size[more] - k))
+        for i in np.flatnonzero(size > LONG).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(self.data[begin[i] : end[i]])
+        return out
 
 
 def shingles(words: np.ndarray, first: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -70,12 +70,12 @@ class Model:
 def _units(data: np.ndarray, starts: np.ndarray):
     """Word spans, each text's first word, and for each kind of unit its hashes and which words have it."""
     begin, end, first = tv.spans(data, starts, tv.ALNUM)
-    sums = tv.Sums(data)
-    kinds = [(sums.hash(begin, end), np.ones(len(begin), bool))]
+    chunks = tv.Chunks(data)
+    kinds = [(chunks.hash(begin, end), np.ones(len(begin), bool))]
     for i, k in enumerate(PREFIXES, 1):
         has = end - begin >= k
         stop = np.where(has, begin + k, end)
-        kinds.append((sums.hash(begin, stop) ^ _KINDS[i], has))
+        kinds.append((chunks.hash(begin, stop) ^ _KINDS[i], has))
     return begin, end, first, kinds
 
 
