@@ -7,16 +7,14 @@ pairs found in the round before, and rounds are written to the cluster's shared
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.shared import materialize
+
 # Kinds of nodes that can be retrieved, and kinds of edges.
 PRIMARY = ("function", "const", "enum", "macro", "module", "static", "struct", "trait", "type_alias", "union")
 RETRIEVABLE = (*PRIMARY, "method")
@@ -31,21 +29,9 @@ LINK_KINDS = ("ResolvesToDefinition", "CustomPath")
 SINGLE_STEPS = 16
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only where it is unset, a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tessera-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def written(df: DataFrame) -> DataFrame:
     """df by way of files in the shared folder, which ends its lineage."""
-    path = f"{shared_dir(df.sparkSession)}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return materialize(df, "round")
 
 
 def parent_of(edges: DataFrame, kinds: Sequence[str] = CONTAINS) -> DataFrame:
