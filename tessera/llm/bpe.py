@@ -15,12 +15,13 @@ import json
 import numpy as np
 from tokenizers import Tokenizer
 
+from tessera.llm.common import KEPT
 from tessera.llm.textvec import Chunks, mix
 
 #: Characters handled at once.
 SLICE_CHARS = 1 << 18
 #: Pieces, and bytes of long ones, after which the table starts afresh.
-MOST_PIECES = 1 << 18
+MOST_PIECES = 1 << 19
 MOST_BYTES = 1 << 23
 #: Bytes of pieces that are compared as two numbers; longer ones are looked up by their bytes.
 SHORT = 16
@@ -266,3 +267,6 @@ class Encoder:
         total = np.r_[0, np.cumsum(count)]
         ids = self.pool[np.repeat(first - total[:-1], count) + np.arange(total[-1])]
         return ids, np.diff(total[of_text])
+
+
+KEPT["bpe"] = Encoder._own.clear

@@ -1,44 +1,47 @@
-"""Shared folder, written tables and id-based filtering for the llm operators."""
+"""Python workers, tables and id-based filtering of the llm operators."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.shared import discard, materialize, scratch, shared_dir  # noqa: F401
+
 #: Rows handed to a Python worker at once, at most: texts are long, and workers share their executor's memory.
 ARROW_ROWS = 1000
 #: Ids that may be broadcast at most (8 bytes each on the wire).
 BROADCAST_IDS = 2_000_000
+#: Large arrays go back to the system when they are freed, in workers that are used again.
+_MMAP_THRESHOLD, _TRIM_THRESHOLD, _ARENA_MAX = -3, -1, -8
+#: Empties what a worker keeps between tasks; filled by the modules that keep something.
+KEPT: dict[str, Callable[[], None]] = {}
+_worker: dict = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; only where it is unset, a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tessera-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
+def _begin(job: str) -> None:
+    """A task of a job begins in this worker: what other jobs kept is let go."""
+    if not _worker:
+        import pyarrow as pa
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        libc = _worker["libc"] = ctypes.CDLL(None)
+        if hasattr(libc, "mallopt"):
+            for option, value in ((_MMAP_THRESHOLD, 1 << 18), (_TRIM_THRESHOLD, 1 << 20), (_ARENA_MAX, 1)):
+                libc.mallopt(option, value)
+        pa.set_memory_pool(pa.system_memory_pool())
+    if _worker.get("job") != job:
+        for empty in KEPT.values():
+            empty()
+        _worker["job"] = job
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there, and any executor can be lost."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _end() -> None:
+    gc.collect()
+    if hasattr(_worker["libc"], "malloc_trim"):
+        _worker["libc"].malloc_trim(0)
 
 
 def mapped(df: DataFrame, run: Callable[[Iterator], Iterator], schema) -> DataFrame:
@@ -47,7 +50,16 @@ def mapped(df: DataFrame, run: Callable[[Iterator], Iterator], schema) -> DataFr
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(df.sparkSession.conf.get(key)) <= ARROW_ROWS:
         df.sparkSession.conf.set(key, str(ARROW_ROWS))
-    return df.mapInArrow(run, schema)
+    job = f"{run.__module__}.{run.__qualname__}"
+
+    def lean(batches):
+        _begin(job)
+        try:
+            yield from run(batches)
+        finally:
+            _end()
+
+    return df.mapInArrow(lean, schema)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

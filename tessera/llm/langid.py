@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mapped
+from tessera.llm.common import KEPT, mapped
 
 #: Training documents that weights are learned from, at most: those with the smallest hash of their id, after as many of
 #: each language as QUOTA and half the sample allow (one at least).
@@ -76,6 +76,14 @@ def _letters() -> np.ndarray:
 _CODES: np.ndarray | None = None
 
 
+def _forget() -> None:
+    global _CODES
+    _CODES = None
+
+
+KEPT["langid"] = _forget
+
+
 def grams(texts: list[str]):
     """Features of a batch of texts: yield for each order the features and the text of each. Every text begins and
     ends with a space; runs of spaces are one."""

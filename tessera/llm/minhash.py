@@ -7,13 +7,16 @@ darts of its regions up to the rank at which K ln K + 2K of them are expected, a
 earliest dart. Long texts throw few darts a shingle, so a signature costs little more than reading the text. Texts
 agree in a coordinate with the probability of their similarity.
 
-Texts with equal sets form a class of exact copies first; only one of each class goes on. BANDS bands of ROWS
-coordinates are joined: at a similarity of 0.8 a pair shares a band with probability 1 - 8e-5, above that more.
-Within a band's group pairs are not spread out: everyone is compared with the group's hub (the member with the fewest
-shingles of its own); then, round by round, members that are not connected with the hub are compared with the members
-of other components, until there are none left to compare. Two counts rule most pairs out beforehand, without loss:
-of a set's elements, those in no other set of the corpus can be shared with nobody. What is left is compared exactly,
-and no pair that shares a band is left out unless the two are already connected.
+1. Texts with equal sets form a class of exact copies; only one of each class goes on.
+2. BANDS bands of ROWS coordinates are joined: at a similarity of 0.8 a pair shares a band with probability
+   1 - 8e-5, above that more. Each member of a band's group is tied to the group's first, never to all, and connected
+   components of these ties are the clusters: no two texts of different clusters share a band.
+3. A cluster's sets move to one task, once. There every pair of the cluster that can reach the similarity and is not
+   yet connected is compared exactly: by a prefix filter (two such sets share one of their rarest elements) and by
+   size. Only classes leave the task.
+4. A cluster of more than BLOCK elements is dealt to blocks. All its members are compared with its hub, the member most
+   others are tied to; those that are not similar to it then meet all blocks, a task for each pair of blocks. Links
+   leave those tasks, at most one less than members, and their components are the classes.
 
 Defined cases: a null or empty text, or one without words, has no shingles and is near nothing but itself: class_id
 is its own doc_id. A text of fewer than five words is one shingle of them all. Rows that repeat a doc_id are one
@@ -26,18 +29,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textvec as tv
-from tessera.llm.common import keep_or_drop, mapped, materialize
+from tessera.llm.common import BROADCAST_IDS, discard, keep_or_drop, mapped, materialize
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 40, 7
 K = BANDS * ROWS
-#: Members of a group that are compared with the rest of it in a round; 16 times as many in the next.
-LEADERS = 16
+#: Elements of a cluster that are compared in one task, and of a block of a larger cluster, on average.
+BLOCK = 1 << 19
 
 SIGNED = "doc_id long, size long, set_a long, set_b long, bands array<long>"
 
@@ -123,43 +126,46 @@ def sets_of(column: pa.Array):
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """See SIGNED: two sums that identify the set, and the band keys. One row per row with words and a doc_id."""
+    """See SIGNED: two sums that identify the set, and the band keys. One row per row; bands is empty without words."""
 
     def run(batches):
         for batch in batches:
             doc_ids = batch.column("doc_id")
             for lo, hi, regions, owner, first in sets_of(batch.column("text")):
-                bands = band_keys(signatures(regions, owner, hi - lo))
+                some = np.diff(first) > 0
+                bands = band_keys(signatures(regions, owner, hi - lo)[some])
                 with np.errstate(over="ignore"):
                     sums = [np.r_[np.uint64(0), np.cumsum(x, dtype=np.uint64)] for x in (tv.mix(regions), tv.mix(~regions))]
                     a, b = (x[first[1:]] - x[first[:-1]] for x in sums)
-                some = pa.array(np.diff(first) > 0)
+                ends = np.r_[0, np.cumsum(some)] * BANDS
                 yield pa.RecordBatch.from_arrays(
                     [
                         doc_ids[lo:hi],
                         pa.array(np.diff(first)),
                         pa.array(a.view(np.int64)),
                         pa.array(b.view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * BANDS, pa.int32()), pa.array(bands.reshape(-1).view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands.reshape(-1).view(np.int64))),
                     ],
                     ["doc_id", "size", "set_a", "set_b", "bands"],
-                ).filter(some)
+                )
 
-    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null"), run, SIGNED)
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SIGNED)
 
 
-def sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, elements): the whole sets, as sorted numbers."""
+def sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(cluster, blocks, doc_id, elements): the whole sets, as sorted numbers, of documents in ids(id, cluster, blocks).
+    The ids are broadcast only if counted to be BROADCAST_IDS at most."""
 
     def run(batches):
         for batch in batches:
-            doc_ids = batch.column("doc_id")
             for lo, hi, regions, _, first in sets_of(batch.column("text")):
-                yield pa.RecordBatch.from_arrays(
-                    [doc_ids[lo:hi], pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(regions.view(np.int64)))], ["doc_id", "elements"]
-                )
+                own = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(regions.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c)[lo:hi] for c in ("cluster", "blocks", "doc_id")), own], ["cluster", "blocks", "doc_id", "elements"])
 
-    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, elements array<long>")
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id") == F.col("id"))
+    return mapped(every.select("cluster", "blocks", "doc_id", "text"), run, "cluster long, blocks long, doc_id long, elements array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -174,7 +180,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v")
         small = small.select("v", F.col("m").alias("u")).unionByName(small.select(F.col("u").alias("v"), F.col("m").alias("u"))).where("u < v").distinct()
-        edges = materialize(small, "edges")
+        before, edges = edges, materialize(small, "edges")
+        discard(before)
         seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
@@ -183,117 +190,180 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.select(F.col("v").alias("id"), "class").unionByName(labels.select(F.col("class").alias("id"), "class").distinct())
 
 
-def _verified(pairs: DataFrame, whole: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) whose sets reach the similarity, by their whole sets."""
-    left = whole.select(F.col("doc_id").alias("a"), F.col("elements").alias("ea"))
-    right = whole.select(F.col("doc_id").alias("b"), F.col("elements").alias("eb"))
-    shared = F.size(F.array_intersect("ea", "eb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", shared.alias("shared"), (F.size("ea") + F.size("eb")).alias("sum"))
-    return both.where(F.col("shared") >= similarity * (F.col("sum") - F.col("shared")) - 1e-9).select("a", "b")
-
-
-def _possible(similarity: float):
-    """Whether sets of size and size_a elements, of which alone and alone_a are in no other set, can be that similar."""
-    most = F.least(F.col("size") - F.col("alone"), F.col("size_a") - F.col("alone_a"))
-    return most >= similarity * (F.col("size") + F.col("size_a") - most) - 1e-9
-
-
-def _facts(marks: DataFrame, whole: DataFrame) -> DataFrame:
-    """(doc_id, size, alone): alone counts elements that are in no other set of whole; 0 if the doc_id repeats."""
-    elements = whole.select("doc_id", F.explode("elements").alias("element"))
-    once = elements.groupBy("element").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
-    alone = once.groupBy("doc_id").agg(F.count("*").alias("alone"))
-    single = whole.groupBy("doc_id").agg(F.count("*").alias("n")).where("n = 1").select("doc_id")
-    facts = marks.select("doc_id", "size").distinct().join(alone.join(single, "doc_id"), "doc_id", "left")
-    return facts.withColumn("alone", F.coalesce("alone", F.lit(0)))
-
-
-def near_links(marks: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame | None:
-    """(id, class) over the documents of marks(doc_id, size, bands) that are linked; None if there are none. The sets
-    of those that share a band are read from docs again."""
-    keys = marks.select("doc_id", F.explode("bands").alias("band"))
-    shared = keys.groupBy("band").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("band")
-    members = materialize(keys.join(shared, "band").distinct(), "bands")
-    whole = materialize(sets(keep_or_drop(docs, members.select("doc_id"), "left_semi")).distinct(), "sets")
-    facts = materialize(_facts(marks, whole), "facts")
-    # a set that shares less than that with all others together is similar to none of them
-    members = members.join(facts, "doc_id").where(F.col("size") - F.col("alone") >= similarity * F.col("size") - 1e-9)
+def connect(elements: np.ndarray, first: np.ndarray, root: np.ndarray, active: np.ndarray, similarity: float) -> np.ndarray:
+    """Component of each set (a number of one of its members) when all pairs of an active set and any other that reach
+    the similarity are linked. root holds what is connected beforehand; sets are distinct numbers in elements."""
+    size = np.diff(first)
+    n = len(size)
+    _, element, frequency = np.unique(elements, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), size)
+    # a set's rarest elements first; its first size - ceil(similarity * size) + 1 hold one of those shared with a similar set
+    order = np.lexsort((element, frequency[element], owner))
+    element = element[order]
+    prefix = np.arange(len(element)) - first[owner] < (size - np.ceil(similarity * size - 1e-9) + 1)[owner]
+    prefix &= frequency[element] > 1
+    listed, listing = element[prefix], owner[prefix]
+    by_element = np.argsort(listed, kind="stable")
+    lists = listing[by_element]  # the sets that have an element in their prefix, by element
+    begin, end = np.searchsorted(listed[by_element], listed, "left"), np.searchsorted(listed[by_element], listed, "right")
+    of_set = np.searchsorted(listing, np.arange(n + 1))
+    alone = np.add.reduceat(np.r_[frequency[element] == 1, False], np.minimum(first[:-1], len(element)), dtype=np.int64) * (size > 0)
+    mark = np.zeros(len(frequency), bool)
+    for i in np.argsort(alone / np.maximum(size, 1), kind="stable").tolist():
+        if not active[i] or of_set[i] == of_set[i + 1]:
+            continue
+        own = [lists[begin[k] : end[k]] for k in range(of_set[i], of_set[i + 1])]
+        others = np.concatenate([x[root[x] != root[i]] for x in own])
+        if not len(others):
+            continue
+        others = np.unique(others)
+        others = others[np.minimum(size[others], size[i]) >= similarity * np.maximum(size[others], size[i]) - 1e-9]
+        if not len(others):
+            continue
+        mark[element[first[i] : first[i + 1]]] = True
+        ends = np.cumsum(size[others])
+        at = np.arange(ends[-1]) + np.repeat(first[others] - ends + size[others], size[others])
+        shared = np.add.reduceat(mark[element[at]].astype(np.int64), ends - size[others])
+        mark[element[first[i] : first[i + 1]]] = False
+        near = others[shared >= similarity * (size[others] + size[i] - shared) - 1e-9]
+        if len(near):
+            root[np.isin(root, root[np.r_[near, i]])] = i
+    return root
+
+
+def _tasks(batches, keys: list[str]):
+    """Yield the rows of each group of a stream that is sorted by keys: key values, and a list of column values."""
+    held: list[list[pa.RecordBatch]] = []
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        marks = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys])
+        cuts = np.r_[0, np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0)) + 1, batch.num_rows]
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            key = tuple(marks[:, lo].tolist())
+            if held and key != now:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = key
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc_ids, all elements, and each set's first (one entry more)."""
+    column = table.column("elements").combine_chunks()
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    return table.column("doc_id").to_numpy(), column.flatten().to_numpy(), np.r_[0, np.cumsum(sizes)]
+
+
+def _small_clusters(whole: DataFrame, similarity: float) -> DataFrame:
+    """(id, class) of the members of clusters that one task takes."""
+
+    def run(batches):
+        for table in _tasks(batches, ["cluster"]):
+            ids, elements, first = _arrays(table)
+            if len(ids) == 1:
+                continue
+            _, at, same = np.unique(ids, return_index=True, return_inverse=True)
+            root = connect(elements, first, at[same], np.ones(len(ids), bool), similarity)
+            order = np.lexsort((ids, root))
+            least = ids[order][np.r_[True, root[order][1:] != root[order][:-1]]]
+            classes = least[np.cumsum(np.r_[True, root[order][1:] != root[order][:-1]]) - 1]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[order]), pa.array(classes)], ["id", "class"])
+
+    dealt = whole.select("cluster", "doc_id", "elements").repartition("cluster").sortWithinPartitions("cluster")
+    return mapped(dealt, run, "id long, class long")
+
+
+def _large_clusters(whole: DataFrame, hubs: DataFrame, similarity: float) -> DataFrame:
+    """(id, class) of those members of clusters in more than one block that are linked; hubs(cluster, hub)."""
+    hub = whole.join(hubs, (whole["cluster"] == hubs["cluster"]) & (whole["doc_id"] == hubs["hub"])).select(whole["cluster"].alias("c"), "hub", F.col("elements").alias("of_hub"))
+    hub = materialize(hub.dropDuplicates(["c"]), "hubs")
+    shared = F.size(F.array_intersect("elements", "of_hub"))
+    near = shared >= similarity * (F.size("elements") + F.size("of_hub") - shared) - 1e-9
+    met = materialize(whole.join(hub, F.col("cluster") == F.col("c")).select("cluster", "blocks", "doc_id", "elements", "hub", near.alias("near")), "met")
+    links = met.where("near").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
+    # a side of those that are not near the hub, in blocks of their own, and the side of all
+    rest = met.where("not near").groupBy(F.col("cluster").alias("c")).agg(F.ceil(F.sum(F.size("elements")) / BLOCK).alias("rests"))
+    both = met.join(materialize(rest, "rests"), F.col("cluster") == F.col("c"))
+    side, other = F.pmod(F.xxhash64("doc_id"), "rests").alias("i"), F.pmod(F.xxhash64("doc_id", F.lit(1)), "blocks").alias("j")
+    columns = ["cluster", "doc_id", "elements", "near"]
+    left = both.where("not near").select(*columns, side, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("active"))
+    right = both.select(*columns, other, F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("i"), F.lit(False).alias("active"))
+
+    def run(batches):
+        for table in _tasks(batches, ["cluster", "i", "j"]):
+            ids, elements, first = _arrays(table)
+            _, at, same = np.unique(ids, return_index=True, return_inverse=True)  # a document may stand on both sides
+            root, near = at[same], np.flatnonzero(table.column("near").to_numpy(zero_copy_only=False))
+            root[np.isin(root, root[near])] = near[0] if len(near) else 0  # all are linked to the hub
+            root = connect(elements, first, root, table.column("active").to_numpy(zero_copy_only=False), similarity)
+            made = np.stack([ids[root], ids])[:, ids[root] != ids]
+            yield pa.RecordBatch.from_arrays([pa.array(made[0]), pa.array(made[1])], ["a", "b"])
+
+    dealt = left.unionByName(right).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    found = mapped(dealt, run, "a long, b long")
+    return components(links.unionByName(found))
+
+
+def near_links(distinct: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame | None:
+    """(id, class) over the documents of distinct(doc_id, size, bands) that are linked; None if no two share a band.
+    The sets of those that do are read from docs again."""
+    keys = distinct.select("doc_id", F.explode("bands").alias("band"))
+    groups = keys.groupBy("band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("band", "a")
+    ties = keys.join(materialize(groups, "groups"), "band").where("doc_id != a").select("a", F.col("doc_id").alias("b")).distinct()
+    ties = materialize(ties, "ties")
+    if not ties.limit(1).count():
+        return None
+    clusters = materialize(components(ties), "clusters")
+    sizes = distinct.groupBy(F.col("doc_id").alias("id")).agg(F.sum("size").alias("size"))
+    totals = clusters.join(sizes, "id").groupBy("class").agg(F.ceil(F.sum("size") / BLOCK).alias("blocks"))
+    members = clusters.join(materialize(totals, "totals"), "class").select("id", F.col("class").alias("cluster"), "blocks")
     members = materialize(members, "members")
-    # a group's hub is the member that has least of its own
-    hubs = members.groupBy("band").agg(F.min(F.struct("alone", "doc_id", "size")).alias("hub"))
-    hubs = materialize(hubs.select("band", F.col("hub.doc_id").alias("a"), F.col("hub.size").alias("size_a"), F.col("hub.alone").alias("alone_a")), "hubs")
-
-    def compared(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
-        pairs = pairs.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
-        return materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-
-    # at first everyone in a group against its hub
-    tried = compared(members.join(hubs, "band").where((F.col("doc_id") != F.col("a")) & _possible(similarity)), None)
-    links = materialize(_verified(tried, whole, similarity), "links")
-    pivots, take = hubs.select("band", F.col("a").alias("doc_id")), LEADERS
-    linked = None
-    while True:
-        linked = _relabelled(linked, links)
-        if linked is None:
-            now = members.withColumn("class", F.col("doc_id"))
-        else:
-            now = members.join(linked.select(F.col("id").alias("doc_id"), "class"), "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
-        # groups that hold several components
-        mixed = now.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("band")
-        now = now.join(mixed, "band", "left_semi")
-        now = materialize(now.join(now.groupBy("doc_id").agg(F.collect_set("band").alias("own")), "doc_id"), "mixed")
-        # members outside their hub's component that have not been compared with the whole group take turns
-        main = now.join(hubs.select("band", F.col("a").alias("doc_id")), ["band", "doc_id"], "left_semi").select("band", F.col("class").alias("main")).distinct()
-        outside = now.join(main, "band").where("class != main").join(pivots, ["band", "doc_id"], "left_anti")
-        order = Window.partitionBy("band").orderBy("alone", "doc_id")
-        turn = materialize(outside.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= take), "turn")
-        if not turn.limit(1).count():
-            return linked
-        one = turn.select("band", F.col("doc_id").alias("a"), F.col("size").alias("size_a"), F.col("alone").alias("alone_a"), F.col("class").alias("class_a"), F.col("own").alias("own_a"))
-        # two that share several bands meet in the least of them only
-        meet = (F.col("class") != F.col("class_a")) & _possible(similarity) & (F.array_min(F.array_intersect("own", "own_a")) == F.col("band"))
-        pairs = compared(one.join(now, "band").where(meet), tried)
-        links = materialize(_verified(pairs, whole, similarity), "links")
-        tried = materialize(tried.unionByName(pairs), "tried")
-        pivots, take = materialize(pivots.unionByName(turn.select("band", "doc_id")), "pivots"), 16 * take
-
-
-def _relabelled(linked: DataFrame | None, links: DataFrame) -> DataFrame | None:
-    """(id, class) after links(a, b) joined some classes; only the classes that they join are gone through."""
-    if not links.limit(1).count():
-        return linked
-    if linked is None:
-        return materialize(components(links), "linked")
-    for x in ("a", "b"):
-        links = links.join(linked.select(F.col("id").alias(x), F.col("class").alias(f"class_{x}")), x, "left")
-    between = links.select(F.coalesce("class_a", "a").alias("a"), F.coalesce("class_b", "b").alias("b")).where("a != b")
-    merged = components(between).select(F.col("id").alias("class"), F.col("class").alias("merged"))
-    old = linked.join(merged, "class", "left").select("id", F.coalesce("merged", "class").alias("class"))
-    fresh = merged.join(linked.select(F.col("id").alias("class")), "class", "left_anti").select(F.col("class").alias("id"), F.col("merged").alias("class"))
-    return materialize(old.unionByName(fresh), "linked")
+    large = members.where("blocks > 1")
+    whole = sets(docs, members)
+    if not large.limit(1).count():
+        return materialize(_small_clusters(whole, similarity), "near")
+    whole = materialize(whole.distinct(), "sets")
+    degrees = ties.join(large, F.col("a") == F.col("id")).groupBy("cluster", "a").agg(F.count("*").alias("n"))
+    hubs = degrees.groupBy("cluster").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("hub"))
+    small = _small_clusters(whole.where("blocks = 1"), similarity)
+    return materialize(small.unionByName(_large_clusters(whole.where("blocks > 1"), materialize(hubs, "hubs"), similarity)), "near")
+
+
+def _classed(docs: DataFrame, similarity: float) -> DataFrame:
+    """(doc_id, class_id): one row per row of docs."""
+    marks = materialize(signed(docs), "signatures")
+    worded = marks.where("size > 0 and doc_id is not null")
+    # equal sets have equal bands
+    distinct = worded.groupBy("set_a", "set_b", "size").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    distinct = materialize(distinct, "distinct-sets")
+    linked = near_links(distinct, docs, similarity)
+    own = distinct.select("set_a", "set_b", "size", F.col("doc_id").alias("id"))
+    if linked is not None:
+        linked = linked.groupBy("id").agg(F.min("class").alias("class"))
+        own = own.join(linked, "id", "left").withColumn("id", F.coalesce("class", "id"))
+    named = materialize(own.select("set_a", "set_b", "size", F.col("id").alias("class_id")), "named")
+    found = worded.select("doc_id", "set_a", "set_b", "size").join(named, ["set_a", "set_b", "size"]).select("doc_id", "class_id")
+    found = materialize(found.unionByName(marks.where("size = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"))), "classes")
+    # rows of one doc_id with different texts
+    split = found.groupBy("doc_id").agg(F.min("class_id").alias("least"), F.max("class_id").alias("most")).where("least < most")
+    split = materialize(split.select(F.col("doc_id").alias("__id"), "least"), "split")
+    if not split.limit(1).count():
+        return found
+    return materialize(found.join(split, F.col("doc_id") == F.col("__id"), "left").select("doc_id", F.coalesce("least", "class_id").alias("class_id")), "classes")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of docs: doc_id, class_id (the smallest doc_id of its near duplicates), class_size (rows)."""
-    marks = materialize(signed(docs), "signatures")
-    copies = materialize(marks.groupBy("set_a", "set_b", "size").agg(F.min("doc_id").alias("copy_of")), "copies")
-    own = marks.select("doc_id", "set_a", "set_b", "size").join(copies, ["set_a", "set_b", "size"]).select("doc_id", "copy_of")
-    # one row for each distinct set; a doc_id that repeats may bring several
-    alone = marks.join(copies, ["set_a", "set_b", "size"]).where("doc_id = copy_of").dropDuplicates(["doc_id", "set_a", "set_b"])
-    linked = near_links(materialize(alone, "distinct-sets"), docs, similarity)
-    if linked is None:
-        found = own.select("doc_id", F.col("copy_of").alias("class_id"))
-    else:
-        found = own.join(linked.select(F.col("id").alias("copy_of"), "class"), "copy_of", "left")
-        found = found.select("doc_id", F.coalesce("class", "copy_of").alias("class_id"))
-    found = materialize(found.groupBy(F.col("doc_id").alias("__id")).agg(F.min("class_id").alias("class_id")), "classes")
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    rows = every.join(found, F.col("doc_id") == F.col("__id"), "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    rows = _classed(docs, similarity)
     sizes = rows.groupBy("class_id").agg(F.count("*").alias("class_size"))
     return rows.join(materialize(sizes, "class-sizes"), "class_id", "left").select("doc_id", "class_id", "class_size")
 
 
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs with the document of the smallest doc_id of each class; rows without words or doc_id all stay."""
-    gone = classes(docs, similarity).where("class_id < doc_id").select("doc_id")
+    gone = _classed(docs, similarity).where("class_id < doc_id").select("doc_id")
     return keep_or_drop(docs, materialize(gone, "near-copies"), "left_anti")

@@ -45,7 +45,7 @@ def test_table_starts_afresh(monkeypatch):
 
 
 def test_every_code_point_before_an_ending():
-    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    every = [chr(c) for r in (range(0xD800), range(0xE000, 0x20000), range(0x2FF00, 0x31400), range(0xE0000, 0xE0200)) for c in r]
     tokenizer = Tokenizer.from_file(PATH)
     encoder = Encoder(PATH)
     for lo in range(0, len(every), 20_000):

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from tessera.llm import minhash as mh
 
@@ -75,16 +76,38 @@ def test_signatures_agree_as_often_as_sets_are_similar():
     assert all((mh.signatures(r, o, 1, k)[0] == s[i]).all() for i, (_, _, r, o, _) in enumerate(alone))
 
 
-def test_classes_equal_brute_force(spark):
-    for seed, leaders in ((0, 16), (1, 1)):
-        mh.LEADERS = leaders
-        rows = corpus(seed)
-        got = mh.classes(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
-        want = brute(rows)
-        assert len(got) == len(rows)
-        assert {r.doc_id: r.class_id for r in got if r.doc_id is not None} == want
-        assert [r.class_id for r in got if r.doc_id is None] == [None]
-    mh.LEADERS = 16
+@pytest.mark.parametrize("block", [mh.BLOCK, 2000, 150])
+def test_classes_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(mh, "BLOCK", block)  # small ones deal clusters to blocks
+    rows = corpus(block)
+    got = mh.classes(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id: r.class_id for r in got if r.doc_id is not None} == brute(rows)
+    assert [r.class_id for r in got if r.doc_id is None] == [None]
+
+
+@pytest.mark.parametrize("block", [mh.BLOCK, 3000])
+def test_a_group_most_of_whose_members_are_too_far(spark, monkeypatch, block):
+    monkeypatch.setattr(mh, "BLOCK", block)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(120):
+        t = list(base)
+        for k in rng.sample(range(120), rng.choice([0, 1, 2, 3, 4, 5])):
+            t[k] = f"v{rng.randrange(100_000)}"
+        rows.append((i, " ".join(t), None, None))
+    rows = [r for r in rows if shingles(r[1]) != shingles(" ".join(base))]
+    got = {r.doc_id: r.class_id for r in mh.classes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute(rows) and 10 < len(set(got.values())) < 110
+
+
+def test_words_whose_linear_hashes_collide():
+    a = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    (_, _, regions, _, first), *_ = mh.sets_of(pa.array([f"{a} {a} {a} x y z", f"{b} {b} {b} x y z"]))
+    x, y = (set(regions[first[i] : first[i + 1]].tolist()) for i in (0, 1))
+    assert len(x) == len(y) == 2 and not x & y
 
 
 def test_deduplicate_keeps_one_of_each_class(spark):
