@@ -15,8 +15,6 @@ from tessera.shared import discard, materialize, scratch, shared_dir  # noqa: F4
 ARROW_ROWS = 1000
 #: Ids that may be broadcast at most (8 bytes each on the wire).
 BROADCAST_IDS = 2_000_000
-#: Large arrays go back to the system when they are freed, in workers that are used again.
-_MMAP_THRESHOLD, _TRIM_THRESHOLD, _ARENA_MAX = -3, -1, -8
 #: Empties what a worker keeps between tasks; filled by the modules that keep something.
 KEPT: dict[str, Callable[[], None]] = {}
 _worker: dict = {}
@@ -27,10 +25,7 @@ def _begin(job: str) -> None:
     if not _worker:
         import pyarrow as pa
 
-        libc = _worker["libc"] = ctypes.CDLL(None)
-        if hasattr(libc, "mallopt"):
-            for option, value in ((_MMAP_THRESHOLD, 1 << 18), (_TRIM_THRESHOLD, 1 << 20), (_ARENA_MAX, 1)):
-                libc.mallopt(option, value)
+        _worker["libc"] = ctypes.CDLL(None)
         pa.set_memory_pool(pa.system_memory_pool())
     if _worker.get("job") != job:
         for empty in KEPT.values():
@@ -39,6 +34,7 @@ def _begin(job: str) -> None:
 
 
 def _end() -> None:
+    """A task ends: what was freed goes back to the system, as workers stay and share their executor's memory."""
     gc.collect()
     if hasattr(_worker["libc"], "malloc_trim"):
         _worker["libc"].malloc_trim(0)
