@@ -1,12 +1,14 @@
-"""Token-budgeted context: ordered, greedy admission as left folds inside Catalyst, and conversations.
+"""Token-budgeted context: ordered, greedy admission, and conversations.
 
-A query's parts are few (they are top-k results), so they are gathered in one array per query and folded there.
+Admission depends on all that was admitted before, so each query's parts stream past a running state in their order:
+time is linear in the parts, and only the totals are held.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,25 @@ def policy_order(policy: str) -> list[Column]:
     return {"score": by_score, "file": [F.col("file_path"), *by_score]}[policy]
 
 
+def _admit(rows: DataFrame, by: str, order: str, facts: Sequence[str], start: Callable[[], Callable[..., bool]], name: str) -> DataFrame:
+    """rows with a boolean column: what start() says of the facts of each row of a group, in order. All groups are sorted
+    by one shuffle; a group's rows pass through one task as a stream."""
+    columns = rows.columns
+
+    def run(batches):
+        now, admit = None, None
+        for batch in batches:
+            said = []
+            for key, *own in zip(*(batch.column(c).to_pylist() for c in (by, *facts))):
+                if admit is None or key != now:
+                    now, admit = key, start()
+                said.append(admit(*own))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.bool_())], [*columns, name])
+
+    schema = rows.withColumn(name, F.lit(True)).schema
+    return rows.repartition(by).sortWithinPartitions(by, order).mapInArrow(run, schema)
+
+
 def assemble(parts: DataFrame, policy: str = "score", max_total: int = MAX_TOTAL, per_file: int = PER_FILE, per_part: int = PER_PART, strict_total: bool = True, kinds: Sequence[str] | None = None) -> DataFrame:
     """parts(query, id, file_path, kind, text, score) -> (query, id, file_path, kind, text, tokens, truncated, position,
     admitted). Parts are deduplicated by id (the highest score stays), cut to per_part tokens, and admitted in order: a
@@ -37,40 +58,45 @@ def assemble(parts: DataFrame, policy: str = "score", max_total: int = MAX_TOTAL
     cut = once.withColumn("truncated", X.approx_tokens(F.col("text")) > per_part).withColumn("text", X.trim_to_tokens(F.col("text"), per_part))
     cut = cut.withColumn("truncated", F.coalesce("truncated", F.lit(False))).withColumn("tokens", X.approx_tokens(F.col("text")))
     cut = cut.withColumn("position", F.row_number().over(Window.partitionBy("query").orderBy(*policy_order(policy))))
-    small = F.struct("position", "file_path", "tokens")
-    state = F.struct(F.lit(0).cast("long").alias("total"), F.create_map().cast("map<string,bigint>").alias("used"), F.lit(False).alias("stopped"), F.array().cast("array<int>").alias("admitted"))
-
-    def admit(s: Column, p: Column) -> Column:
-        used = F.coalesce(F.get(F.map_values(F.map_filter(s["used"], lambda k, v: k == p["file_path"])), F.lit(0)), F.lit(0))
-        stop = s["stopped"] if strict_total else s["stopped"] | F.coalesce(p["tokens"] > max_total, F.lit(False))
-        fits = ~stop & p["tokens"].isNotNull()
-        if per_file:
-            fits &= used + p["tokens"] <= per_file
-        if strict_total:
-            fits &= s["total"] + p["tokens"] <= max_total
-        other = F.map_filter(s["used"], lambda k, v: k != p["file_path"])
-        return F.struct(
-            F.when(fits, s["total"] + p["tokens"]).otherwise(s["total"]).alias("total"),
-            F.when(fits, F.map_concat(other, F.create_map(p["file_path"], used + p["tokens"]))).otherwise(s["used"]).alias("used"),
-            stop.alias("stopped"),
-            F.when(fits, F.array_append(s["admitted"], p["position"])).otherwise(s["admitted"]).alias("admitted"),
-        )
-
-    folded = cut.groupBy("query").agg(F.array_sort(F.collect_list(small)).alias("__parts"))
-    folded = folded.select("query", F.aggregate("__parts", state, admit)["admitted"].alias("__admitted"))
-    out = cut.join(folded, "query").withColumn("admitted", F.array_contains("__admitted", F.col("position")))
-    return out.select("query", "id", "file_path", "kind", "text", "tokens", "truncated", "position", "admitted")
-
-
-def stats(assembled: DataFrame) -> DataFrame:
-    """Admitted tokens, files and parts; truncated counts parts that were passed over too."""
+
+    def start() -> Callable[[str | None, int | None], bool]:
+        total, stopped, used = 0, False, {}
+
+        def admit(file: str | None, tokens: int | None) -> bool:
+            nonlocal total, stopped
+            if tokens is None:
+                return False
+            if not strict_total and tokens > max_total:
+                stopped = True
+            over = per_file and used.get(file, 0) + tokens > per_file
+            if stopped or over or strict_total and total + tokens > max_total:
+                return False
+            total += tokens
+            if per_file:
+                used[file] = used.get(file, 0) + tokens
+            return True
+
+        return admit
+
+    out = cut.select("query", "id", "file_path", "kind", "text", "tokens", "truncated", "position")
+    return _admit(out, "query", "position", ["file_path", "tokens"], start, "admitted")
+
+
+def stats(assembled: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """Admitted tokens, files and parts; truncated counts parts that were passed over too. With the parts that assemble()
+    was given, dedup_removed counts those that repeated an id."""
     yes = F.col("admitted")
-    return assembled.groupBy("query").agg(
+    found = assembled.groupBy("query").agg(
         F.coalesce(F.sum(F.when(yes, F.col("tokens"))), F.lit(0)).alias("total_tokens"),
         F.countDistinct(F.when(yes, F.col("file_path"))).alias("files"),
         F.count_if(yes).alias("parts"),
         F.count_if("truncated").alias("truncated_parts"),
+        F.count("*").alias("__kept"),
     )
+    if parts is not None:
+        given = parts.groupBy(F.col("query").alias("__query")).agg(F.count("*").alias("__given"))
+        found = found.join(given, F.col("query").eqNullSafe(F.col("__query"))).withColumn("dedup_removed", F.col("__given") - F.col("__kept")).drop("__query", "__given")
+    return found.drop("__kept")
 
 
 def plan(messages: DataFrame, parts: DataFrame) -> DataFrame:
@@ -94,19 +120,25 @@ def select_leased(messages: DataFrame, cap: int, by: str = "conv") -> DataFrame:
     still fits under the cap is kept; the first always is."""
     expired = F.coalesce(F.col("ttl") <= 0, F.lit(False))
     ranked = messages.withColumn("expired", expired).withColumn("lease_rank", F.row_number().over(Window.partitionBy(by, "expired").orderBy(*lease_order())))
-    state = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<int>").alias("kept"))
 
-    def admit(s: Column, m: Column) -> Column:
-        fits = (F.size(s["kept"]) == 0) | (s["total"] + m["tokens"] <= cap)
-        return F.struct(F.when(fits, s["total"] + m["tokens"]).otherwise(s["total"]).alias("total"), F.when(fits, F.array_append(s["kept"], m["lease_rank"])).otherwise(s["kept"]).alias("kept"))
+    def start() -> Callable[[bool, int], bool]:
+        total, kept = 0, 0
+
+        def admit(expired: bool, tokens: int) -> bool:
+            nonlocal total, kept
+            if expired or kept and total + tokens > cap:
+                return False
+            total, kept = total + tokens, kept + 1
+            return True
+
+        return admit
 
-    small = F.struct("lease_rank", F.col("tokens").cast("long").alias("tokens"))
-    folded = ranked.where("not expired").groupBy(by).agg(F.array_sort(F.collect_list(small)).alias("__m"))
-    folded = folded.select(F.col(by).alias("__by"), F.aggregate("__m", state, admit)["kept"].alias("__kept"))
-    out = ranked.join(folded, F.col(by).eqNullSafe(F.col("__by")), "left")
-    kept = ~F.col("expired") & F.coalesce(F.array_contains("__kept", F.col("lease_rank")), F.lit(False))
+    # the expired come last, so that the others are in lease order from the first
+    ranked = ranked.withColumn("__place", F.struct("expired", "lease_rank"))
+    out = _admit(ranked, by, "__place", ["expired", "tokens"], start, "included")
+    kept = F.col("included")
     reason = F.when(F.col("expired"), F.lit("TtlExpired")).when(~kept, F.lit("Budget"))
-    return out.withColumn("included", kept).withColumn("reason", reason).drop("__by", "__kept", "expired")
+    return out.withColumn("reason", reason).drop("__place", "expired")
 
 
 def decrement_ttl(retention: Column, ttl: Column) -> Column:

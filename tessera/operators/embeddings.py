@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -65,25 +66,6 @@ def changes_since(log: DataFrame, ts: int) -> DataFrame:
     return log.where(F.col("ts") > ts).withColumn("op", F.when(F.col("is_assert"), "put").otherwise("retract"))
 
 
-class IndexCatalog:
-    """Which sets have a vector index, and its parameters. Searches are exact, so an index is a record only."""
-
-    def __init__(self):
-        self.indexes: dict[int, dict] = {}
-
-    def create(self, set_id: int, replace: bool = False, m: int = 32, ef_construction: int = 200, distance: str = "L2") -> bool:
-        if set_id in self.indexes and not replace:
-            return False
-        self.indexes[set_id] = {"m": m, "ef_construction": ef_construction, "distance": distance}
-        return True
-
-    def registered(self, set_id: int) -> bool:
-        return set_id in self.indexes
-
-    def drop(self, set_id: int) -> bool:
-        return self.indexes.pop(set_id, None) is not None
-
-
 def check_response(indices: Sequence[int], vectors: Sequence[Sequence[float]], n: int, dims: int) -> list[list[float]]:
     """Vectors of a provider's answer in the order of their indices; raises if any is missing, repeated or malformed."""
     if len(vectors) != n or len(indices) != n:
@@ -98,21 +80,24 @@ def check_response(indices: Sequence[int], vectors: Sequence[Sequence[float]], n
     return out
 
 
-def embed(rows: DataFrame, text: Column, provider: Callable[[list[str]], tuple[Sequence[int], Sequence[Sequence[float]]]], dims: int, batch: int = 100, attempts: int = 3) -> DataFrame:
+def embed(rows: DataFrame, text: Column, provider: Callable[[list[str]], tuple[Sequence[int], Sequence[Sequence[float]]]], dims: int, batch: int = 100, attempts: int = 3, wait: float = 0.5, pause: float = 0.0) -> DataFrame:
     """(id, vector, error): texts sent to a provider in batches from the executors; a batch that keeps failing gives its
-    rows an error instead of a vector."""
+    rows an error instead of a vector. Between attempts it waits, twice as long each time; pause (seconds after each
+    batch) bounds the calls that a task makes."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for lo in range(0, len(frame), batch):
                 part = frame.iloc[lo : lo + batch]
                 vectors, error = [None] * len(part), None
-                for _ in range(attempts):
+                for attempt in range(attempts):
+                    time.sleep(wait * 2 ** (attempt - 1) if attempt else 0)
                     try:
                         vectors, error = check_response(*provider(part["text"].tolist()), len(part), dims), None
                         break
                     except Exception as e:  # noqa: BLE001  (any failure of the provider is reported with the rows)
                         error = str(e)
+                time.sleep(pause)
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "vector": vectors, "error": [error] * len(part)})
 
     source = rows.select("id", text.alias("text"))

@@ -150,6 +150,14 @@ def resolve_for_edit(places: DataFrame, file_path: str, canon: str) -> DataFrame
     return ranked.where(F.col("__any").isNull() | (F.col("file_path") == file_path)).drop("__any")
 
 
+def one_for_edit(places: DataFrame, file_path: str, canon: str) -> str:
+    """The id of resolve_for_edit's match; raises ValueError unless there is exactly one."""
+    found = [r["id"] for r in resolve_for_edit(places, file_path, canon).select("id").distinct().limit(2).collect()]
+    if len(found) != 1:
+        raise ValueError(f"{canon} in {file_path} is " + ("ambiguous" if found else "not known"))
+    return found[0]
+
+
 def canonical_paths(places: DataFrame) -> DataFrame:
     """(id, file_path, canon)."""
     return places.select("id", "file_path", F.concat_ws("::", F.array_join("module_path", "::"), "name").alias("canon"))
@@ -240,10 +248,10 @@ def accessible(pairs: DataFrame, targets: DataFrame, closed: DataFrame) -> DataF
     return joined.select("source_id", "target_id", (free | F.col("source_id").eqNullSafe(F.col("__scope")) | F.coalesce("__under", F.lit(False))).alias("accessible"))
 
 
-def shortest_public_paths(places: DataFrame, parents: DataFrame, reexports: DataFrame, root: str, most: int = 100) -> DataFrame:
+def shortest_public_paths(places: DataFrame, parents: DataFrame, reexports: DataFrame, root: str, most: int = 1000) -> DataFrame:
     """(id, path): the fewest names by which an item is reached from the root module, through public modules
     (parents(id, parent, name, vis_kind)) and re-exports (reexports(id, module_id, name)). Of equally short paths the
-    first by name; items that are not public have none."""
+    first by name; items that are not public have none. A way of more than `most` names raises a RuntimeError."""
     modules = parents.select("id", "parent", "name", "vis_kind")
     direct = places.where("vis_kind = 'Public'").select("id", F.col("module_id").alias("at"), F.array("name").alias("path"))
     shown = reexports.select("id", F.col("module_id").alias("at"), F.array("name").alias("path"))
@@ -262,7 +270,9 @@ def shortest_public_paths(places: DataFrame, parents: DataFrame, reexports: Data
         front = written(least(up.unionByName(side)).join(seen, ["id", "at"], "left_anti"))
         if not front.limit(1).count():
             break
-        seen = seen.unionByName(front.select("id", "at"))
+        seen = written(seen.unionByName(front.select("id", "at")))
+    else:
+        raise RuntimeError(f"ways of more than {most} names are left")
     return done.select("id", F.concat(F.array(F.lit("crate")), "path").alias("path"))
 
 
@@ -289,3 +299,48 @@ def root_to_leaf(messages: DataFrame, leaf: DataFrame) -> DataFrame:
     roots = messages.where("parent is null").select("id").distinct()
     ends = path.join(roots, "id", "left_semi").groupBy("leaf").agg(F.max("up").alias("__length"))
     return path.join(ends, "leaf").select("leaf", "id", (F.col("__length") - F.col("up")).alias("path_index"))
+
+
+def delete_subtree(messages: DataFrame, ids: DataFrame) -> DataFrame:
+    """messages(id, parent, ...) without those of ids(id) and all that answer them."""
+    edges = messages.where("parent is not null").select(F.col("parent").alias("source_id"), F.col("id").alias("target_id"), F.lit("reply").alias("relation_kind"))
+    return messages.join(reachable(edges, ids, None).select("id"), "id", "left_anti")
+
+
+def crate_files(modules: DataFrame, files: DataFrame, crates: DataFrame, name: str | None = None) -> DataFrame:
+    """(crate_id, crate, module_id, path, file_path) of the modules with a file of their own, by namespace; of the crates
+    of this name only, if one is given."""
+    some = crates if name is None else crates.where(F.col("name") == name)
+    some = some.select(F.col("id").alias("crate_id"), F.col("name").alias("crate"), "namespace")
+    own = modules.select(F.col("id").alias("owner_id"), F.col("id").alias("module_id"), "path").join(files, "owner_id")
+    return own.join(some, "namespace").select("crate_id", "crate", "module_id", "path", "file_path")
+
+
+def modules_of_file(modules: DataFrame, files: DataFrame, file_path: str) -> DataFrame:
+    """(module_id, path, namespace) of the modules whose own file this is."""
+    own = files.where(F.col("file_path") == file_path).select(F.col("owner_id").alias("id"), "namespace")
+    return modules.join(own, "id").select(F.col("id").alias("module_id"), "path", "namespace")
+
+
+def merge_graphs(graphs: Sequence[dict[str, DataFrame]], keys: dict[str, Sequence[str]]) -> dict[str, DataFrame]:
+    """One graph of the graphs of single files: each relation is the union of its parts. Raises ValueError if rows of a
+    relation share its key, naming some."""
+    out = {name: reduce(DataFrame.unionByName, [g[name] for g in graphs if name in g]) for name in dict.fromkeys(n for g in graphs for n in g)}
+    for name, key in keys.items():
+        twice = duplicate_edges(out[name], key).limit(5).collect() if name in out else []
+        if twice:
+            raise ValueError(f"{name} has rows that share a key: {[tuple(r[c] for c in key) for r in twice]}")
+    return out
+
+
+def root_rank(file_path: Column) -> Column:
+    """Order of root files: main.rs, then lib.rs, then any other."""
+    name = F.element_at(F.split(file_path, "/"), -1)
+    return F.when(name == "main.rs", 0).when(name == "lib.rs", 1).otherwise(2)
+
+
+def select_root(roots: DataFrame, by: Sequence[str] = ("namespace",)) -> DataFrame:
+    """roots(file_path, ...) with is_root: the first of each group by root_rank, then by path."""
+    first = roots.groupBy(*by).agg(F.min(F.struct(root_rank(F.col("file_path")), F.col("file_path"))).alias("__first"))
+    first = first.select(*by, F.col("__first.file_path").alias("__root"))
+    return roots.join(first, list(by)).withColumn("is_root", F.col("file_path") == F.col("__root")).drop("__root")

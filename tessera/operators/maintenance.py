@@ -95,6 +95,22 @@ def remove(relations: dict[str, tuple[DataFrame, str]], ids: DataFrame, edges: D
     return out | {"edges": kept.join(gone.withColumnRenamed("id", "target_id"), "target_id", "left_anti")}
 
 
+def clear(relations: dict[str, DataFrame], names: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    """Relations with those named (all if None) left without rows; an unknown name raises KeyError."""
+    for name in names or ():
+        relations[name]
+    return {n: df.limit(0) if names is None or n in names else df for n, df in relations.items()}
+
+
+def count_relations(relations: dict[str, DataFrame]) -> DataFrame:
+    """(relation, rows), by one pass over each."""
+    counted = [df.agg(F.count("*").alias("rows")).select(F.lit(n).alias("relation"), "rows") for n, df in sorted(relations.items())]
+    out = counted[0]
+    for df in counted[1:]:
+        out = out.unionByName(df)
+    return out
+
+
 def drift(loaded: DataFrame, current: DataFrame, key: str = "member") -> DataFrame:
     """(member, change): added to or removed from the loaded set."""
     a, b = loaded.select(key).distinct(), current.select(key).distinct()
@@ -280,3 +296,31 @@ def failure_clusters(failures: DataFrame, keys: Sequence[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("id")
     first = failures.withColumn("__n", F.row_number().over(w)).where("__n <= 5").groupBy(*keys).agg(F.array_sort(F.collect_list("id")).alias("examples"))
     return failures.groupBy(*keys).agg(F.count("*").alias("n"), F.array_sort(F.collect_set("repo")).alias("repos")).join(first, list(keys))
+
+
+# ---- usage and build logs
+
+
+def usage_totals(log: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Requests, prompt, completion and all tokens, and cost of log(prompt_tokens, completion_tokens, cost, ...); what a
+    provider did not report counts as 0."""
+    of = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    sums = [of("prompt_tokens").alias("prompt_tokens"), of("completion_tokens").alias("completion_tokens")]
+    totals = log.groupBy(*by).agg(F.count("*").alias("requests"), *sums, F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost"))
+    return totals.withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
+
+
+def build_summary(lines: DataFrame, by: str, tail: int = 20, cap: int = 32 * 1024) -> DataFrame:
+    """(by, errors, warnings, messages, unreadable, tail) of lines(by, line_no, line), a build's output of one JSON object
+    a line: compiler messages are counted by level; a line that is none is unreadable. tail is the last lines of a build
+    in order, cut to cap characters from its beginning."""
+    reason, level = F.get_json_object("line", "$.reason"), F.get_json_object("line", "$.message.level")
+    said = lines.withColumn("__level", F.when(reason == "compiler-message", level)).withColumn("__bad", F.get_json_object("line", "$").isNull())
+    counts = said.groupBy(by).agg(
+        F.count_if(F.col("__level") == "error").alias("errors"), F.count_if(F.col("__level") == "warning").alias("warnings"), F.count("__level").alias("messages"), F.count_if("__bad").alias("unreadable")
+    )
+    # Spark limits groups before it shuffles them, so only `tail` lines of a build meet
+    last = lines.withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy(F.col("line_no").desc()))).where(F.col("__n") <= tail)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    ends = last.groupBy(by).agg(text.alias("__text")).select(by, F.substring("__text", -cap, cap).alias("tail"))
+    return counts.join(ends, by)

@@ -5,7 +5,8 @@ Every ranking has a total order: score descending, then id ascending.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import time
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from itertools import islice
 
@@ -16,19 +17,22 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scores as S
 from tessera.functions import text as X
+from tessera.shared import materialize
 
 K1, B = 1.2, 0.75
 RRF_K = 60.0
 #: Query vectors that are broadcast at most; more are searched in blocks.
 QUERY_BLOCK = 4096
+# Seconds between the attempts of a lenient search.
+RETRY_WAITS = (0.05, 0.1)
 
 
 # ---- sparse
 
 
 def postings(docs: DataFrame, tokens: Column, key: str = "doc_id") -> DataFrame:
-    """(doc, term, tf, len). Terms are counted inside each row, so only distinct ones leave it."""
-    found = docs.select(F.col(key).alias("doc"), tokens.alias("__t"))
+    """(doc, term, tf, len). The task that reads a row counts its terms, so only distinct ones move."""
+    found = docs.select(F.col(key).alias("doc"), F.explode(F.array(tokens)).alias("__t"))  # split once, not once a term
     exploded = found.select("doc", F.size("__t").alias("len"), F.explode("__t").alias("term"))
     return exploded.groupBy("doc", "term", "len").agg(F.count("*").alias("tf"))
 
@@ -53,15 +57,18 @@ def bm25(tf: Column, length: Column, avgdl: Column, weight: Column, k1: float =
 def bm25_scores(docs: DataFrame, tokens: Column, terms: DataFrame, key: str = "doc_id", scope: Column | None = None) -> DataFrame:
     """(query, doc, score) of terms(query, term), for documents within the scope; term statistics are corpus-wide.
 
-    Reads the documents once: only occurrences of query terms go on, with their document's length.
+    Documents are read once: what goes on, by way of a written table, is the length of each and how often it holds a
+    query's terms. Terms and their frequencies are broadcast where Spark finds them small enough.
     """
-    wanted = F.broadcast(terms.select("term").distinct())
-    rows = docs.select(F.col(key).alias("doc"), tokens.alias("__t"), (F.lit(True) if scope is None else scope).alias("inside"))
-    corpus = average_length(rows.select(F.size("__t").alias("len")))
-    hits = rows.select("doc", "inside", F.size("__t").alias("len"), F.explode("__t").alias("term")).join(wanted, "term")
-    hits = hits.groupBy("doc", "inside", "len", "term").agg(F.count("*").alias("tf"))
+    wanted = terms.select("term", F.lit(True).alias("__wanted")).distinct()
+    rows = docs.select(F.col(key).alias("doc"), (F.lit(True) if scope is None else scope).alias("inside"), F.explode(F.array(tokens)).alias("__t"))
+    # a row without a term stands for the document itself
+    every = rows.select("doc", "inside", F.size("__t").alias("len"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "__t")).alias("term"))
+    kept = every.join(wanted, "term", "left").where("term is null or __wanted")
+    counted = materialize(kept.groupBy("doc", "inside", "len", "term").agg(F.count("*").alias("tf")), "hits")
+    corpus, hits = average_length(counted.where("term is null")), counted.where("term is not null")
     frequency = hits.groupBy("term").agg(F.countDistinct("doc").alias("df"))
-    found = hits.where("inside").join(F.broadcast(frequency), "term").join(F.broadcast(corpus)).join(F.broadcast(terms), "term")
+    found = hits.where("inside").join(frequency, "term").join(F.broadcast(corpus)).join(terms, "term")
     one = bm25(F.col("tf"), F.col("len"), F.col("avgdl"), idf(F.col("n_docs"), F.col("df")))
     return found.groupBy("query", "doc").agg(F.sum(one).alias("score"))
 
@@ -144,6 +151,18 @@ def _nearest_to(rows: list[Row], queries: DataFrame, vectors: DataFrame, k: int,
     return vectors.mapInPandas(run, schema)
 
 
+def knn_of_prompts(prompts: DataFrame, vectors: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(query, id, distance, rank, ...) of prompts(query, vector, k, radius): for each the k nearest, in each group of
+    `by`, no further than its radius (a null radius is no limit)."""
+    most = prompts.agg(F.max("k")).first()[0] or 0
+    if not most:
+        return knn(prompts, vectors, 1, by).limit(0)
+    near = knn(prompts, vectors, most, by)
+    limits = prompts.select("query", F.col("k").alias("__k"), F.col("radius").alias("__radius"))
+    kept = near.join(limits, "query").where((F.col("rank") <= F.col("__k")) & (F.col("__radius").isNull() | (F.col("distance") <= F.col("__radius"))))
+    return kept.drop("__k", "__radius")
+
+
 def knn_graph(vectors: DataFrame, k: int, by: str) -> DataFrame:
     """(id, neighbour, distance, rank): the k nearest others of every vector within its group of `by`.
 
@@ -251,12 +270,16 @@ def rerank(ranked: DataFrame, score: Column, key: str = "doc") -> DataFrame:
     return ranked.withColumn("score", score).withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), F.col(key))))
 
 
-def search_with_fallback(sparse: DataFrame, dense: DataFrame, status: str, n_docs: int, strict: bool) -> DataFrame:
-    """Sparse results if their index is ready and holds documents; else an error if strict, dense results if not."""
-    if status == "ready" and n_docs > 0:
-        return sparse
+def search_with_fallback(sparse: DataFrame, dense: DataFrame, status: Callable[[], tuple[str, int]], strict: bool, waits: Sequence[float] = RETRY_WAITS) -> DataFrame:
+    """Sparse results if their index is ready and holds documents. If it is not, strict callers get a RuntimeError at
+    once; for others its status() is asked again after each of waits (seconds), then the dense results stand in."""
+    for wait in (0.0, *(() if strict else waits)):
+        time.sleep(wait)
+        state, n_docs = status()
+        if state == "ready" and n_docs > 0:
+            return sparse
     if strict:
-        raise RuntimeError(f"sparse index is {status} with {n_docs} documents")
+        raise RuntimeError(f"sparse index is {state} with {n_docs} documents")
     return dense
 
 

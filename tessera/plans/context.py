@@ -16,22 +16,21 @@ def _parts(t):
 
 
 PARTS_SQL = """
-WITH c AS (SELECT lang AS query, doc_id AS id, source AS file_path, n_chars, least(ceil(length(text) / 4.0), 200)::BIGINT AS tokens, ceil(length(text) / 4.0) > 200 AS truncated FROM documents WHERE length(text) < 2000),
+WITH c AS (SELECT lang AS query, doc_id AS id, source AS file_path, n_chars, CASE WHEN text IS NOT NULL THEN least(ceil(length(text) / 4.0), 200)::BIGINT END AS tokens, coalesce(ceil(length(text) / 4.0) > 200, false) AS truncated FROM documents),
 p AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY n_chars DESC, id)::INTEGER AS position FROM c)
 """
 
 
-@query(PARTS_SQL + " SELECT query, id, tokens, truncated, position, true AS admitted FROM p")
+@query(PARTS_SQL + " SELECT query, id, tokens, truncated, position, tokens IS NOT NULL AS admitted FROM p")
 def context_budget(t):
-    """Admission that only a single part beyond max_total would end (none is), without a limit for a file; of all
-    documents, of which the SQL takes those under 2000 characters."""
+    """Admission that only a single part beyond max_total would end (none is), without a limit for a file."""
     return C.assemble(_parts(t), max_total=4096, per_file=0, per_part=200, strict_total=False).select("query", "id", "tokens", "truncated", "position", "admitted")
 
 
 FOLD_SQL = PARTS_SQL + """,
-l AS (SELECT query, list({'id': id, 'tokens': tokens} ORDER BY position) AS ps FROM p GROUP BY query),
+l AS (SELECT query, list({'id': id, 'tokens': tokens} ORDER BY position) AS ps FROM p WHERE tokens IS NOT NULL GROUP BY query),
 f AS (SELECT query, list_reduce(list_transform(ps, lambda x: {'total': x.tokens, 'ids': [x.id]}), lambda s, x: CASE WHEN s.total + x.total <= 3000 THEN {'total': s.total + x.total, 'ids': list_concat(s.ids, x.ids)} ELSE s END, {'total': 0::BIGINT, 'ids': []::BIGINT[]}) AS s FROM l)
-SELECT p.query, p.id, list_contains(s.ids, p.id) AS admitted FROM p JOIN f USING (query)
+SELECT p.query, p.id, coalesce(list_contains(s.ids, p.id), false) AS admitted FROM p LEFT JOIN f ON f.query IS NOT DISTINCT FROM p.query
 """
 
 
@@ -41,17 +40,40 @@ def context_strict_budget(t):
     return C.assemble(_parts(t), max_total=3000, per_file=0, per_part=200).select("query", "id", "admitted")
 
 
-@query()
+CAPS_SQL = PARTS_SQL.replace("200", "300").replace("ORDER BY n_chars DESC", "ORDER BY file_path NULLS FIRST, n_chars DESC") + """,
+l AS (SELECT query, list({'id': id, 'file': coalesce(file_path, ''), 'tokens': tokens} ORDER BY position) AS ps FROM p WHERE tokens IS NOT NULL GROUP BY query),
+f AS (SELECT query, list_reduce(list_transform(ps, lambda x: {'total': x.tokens, 'file': x.file, 'used': x.tokens, 'ids': [x.id]}), lambda s, x:
+        CASE WHEN s.total + x.total <= 20000 AND (CASE WHEN s.file = x.file THEN s.used ELSE 0 END) + x.used <= 1500
+             THEN {'total': s.total + x.total, 'file': x.file, 'used': (CASE WHEN s.file = x.file THEN s.used ELSE 0 END) + x.used, 'ids': list_concat(s.ids, x.ids)}
+             ELSE {'total': s.total, 'file': x.file, 'used': CASE WHEN s.file = x.file THEN s.used ELSE 0 END, 'ids': s.ids} END,
+        {'total': 0::BIGINT, 'file': '', 'used': 0::BIGINT, 'ids': []::BIGINT[]}) AS s FROM l)
+SELECT p.query, p.id, p.file_path, p.tokens, p.position, coalesce(list_contains(s.ids, p.id), false) AS admitted FROM p LEFT JOIN f ON f.query IS NOT DISTINCT FROM p.query
+"""
+
+
+@query(CAPS_SQL)
 def context_file_caps(t):
     return C.assemble(_parts(t), policy="file", max_total=20_000, per_file=1500, per_part=300).select("query", "id", "file_path", "tokens", "position", "admitted")
 
 
-@query(PARTS_SQL + " SELECT query, sum(tokens) AS total_tokens, count(DISTINCT file_path) AS files, count(*) AS parts, count(*) FILTER (truncated) AS truncated_parts FROM p GROUP BY query")
+@query(PARTS_SQL + " SELECT query, coalesce(sum(tokens), 0)::BIGINT AS total_tokens, count(DISTINCT file_path) FILTER (tokens IS NOT NULL) AS files, count(tokens) AS parts, count(*) FILTER (truncated) AS truncated_parts, count(*) FILTER (id % 10 = 0) AS dedup_removed FROM p GROUP BY query")
 def context_stats(t):
-    return C.stats(C.assemble(_parts(t), max_total=4096, per_file=0, per_part=200, strict_total=False))
+    """Every tenth document is given twice, the second time with a lower score."""
+    parts = _parts(t).unionByName(_parts(t).where("id % 10 = 0").withColumn("score", F.col("score") - 1))
+    return C.stats(C.assemble(parts, max_total=4096, per_file=0, per_part=200, strict_total=False), parts)
+
+
+PLAN_SQL = FOLD_SQL.replace("lang AS query", "(doc_id % 4)::VARCHAR AS query")
+PLAN_SQL = PLAN_SQL[: PLAN_SQL.rindex("SELECT p.query")] + """
+, a AS (SELECT p.query, sum(CASE WHEN list_contains(s.ids, p.id) THEN tokens ELSE 0 END) AS part_tokens, count(*) FILTER (NOT coalesce(list_contains(s.ids, p.id), false)) AS excluded_parts FROM p LEFT JOIN f USING (query) GROUP BY p.query),
+m AS (SELECT (conv_id % 4)::VARCHAR AS query, ceil(length(text) / 4.0)::BIGINT AS tokens, role = 'user' AS included FROM conversations),
+n AS (SELECT query, sum(CASE WHEN included THEN tokens ELSE 0 END) AS message_tokens, count(*) FILTER (NOT included) AS excluded_messages FROM m GROUP BY query),
+b AS (SELECT query, coalesce(message_tokens, 0)::BIGINT AS message_tokens, coalesce(excluded_messages, 0) AS excluded_messages, coalesce(part_tokens, 0)::BIGINT AS part_tokens, coalesce(excluded_parts, 0) AS excluded_parts FROM n FULL JOIN a USING (query))
+SELECT *, message_tokens + part_tokens AS estimated_tokens FROM b
+"""
 
 
-@query("WITH m AS (SELECT (conv_id % 4)::VARCHAR AS query, ceil(length(text) / 4.0)::BIGINT AS tokens, role = 'user' AS included FROM conversations) SELECT query, sum(CASE WHEN included THEN tokens ELSE 0 END) AS message_tokens, count(*) FILTER (NOT included) AS excluded_messages FROM m GROUP BY query")
+@query(PLAN_SQL)
 def context_plan(t):
     from tessera.functions.text import approx_tokens
 

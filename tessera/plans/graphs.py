@@ -108,7 +108,7 @@ def primary_nodes(t):
     return places(t).select("id", "node_type", "name", "module_id", F.array_join("module_path", "/").alias("module"), "file_path", "namespace")
 
 
-LINKS_SQL = ", k AS (SELECT 'c:' || o_custkey AS source_id, 'c:' || (o_custkey % 97 + 1) AS target_id, 'ImportedBy' AS relation_kind FROM orders WHERE o_orderkey % 5 = 0)"
+LINKS_SQL = ", k AS (SELECT 'c:' || o_custkey AS source_id, 'c:' || (o_custkey % 97 + 1) AS target_id, 'ImportedBy' AS relation_kind FROM orders)"
 
 
 @query(
@@ -137,7 +137,7 @@ def prune_unlinked(t):
     return kept.where("relation_kind != 'ResolvesToDefinition'").select("source_id", "target_id", "relation_kind")
 
 
-@query("SELECT conv_id::VARCHAR || ':' || turn AS id, turn::INTEGER AS path_index FROM conversations c WHERE conv_id % 7 = 0 AND turn <= (SELECT max(turn) FROM conversations x WHERE x.conv_id = c.conv_id)")
+@query("SELECT conv_id::VARCHAR || ':' || turn AS id, turn::INTEGER AS path_index FROM conversations c WHERE turn <= (SELECT max(turn) FROM conversations x WHERE x.conv_id = c.conv_id)")
 def conversation_path(t):
     c = t.conversations
     id_ = F.concat_ws(":", "conv_id", "turn")
@@ -152,9 +152,14 @@ def conversation_last_user(t):
     return t.conversations.where("role = 'user'").groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by("text", "turn").alias("text"))
 
 
-@query("WITH RECURSIVE s AS (SELECT o_custkey AS id, min(o_orderkey % 50 + 1) AS nxt FROM orders WHERE o_custkey > 50 GROUP BY 1) SELECT 'c:' || id AS id, 'c:' || nxt AS target, 1 AS hops, 'ok' AS status FROM s")
+@query(
+    "WITH RECURSIVE s AS (SELECT o_custkey AS id, min(o_orderkey % 50 + 1) AS nxt FROM orders GROUP BY 1), "
+    "w AS (SELECT id, id AS target, 0 AS hops, [id] AS seen FROM s UNION ALL SELECT w.id, s.nxt, hops + 1, list_append(seen, s.nxt) FROM w JOIN s ON s.id = w.target WHERE NOT list_contains(seen, s.nxt)), "
+    "l AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY id ORDER BY hops DESC) = 1) "
+    "SELECT 'c:' || l.id AS id, 'c:' || target AS target, hops, CASE WHEN s.id IS NULL THEN 'ok' ELSE 'cycle' END AS status FROM l LEFT JOIN s ON s.id = l.target"
+)
 def reexport_chain(t):
-    # customers 1 to 50 link too, so that chains go on and some are cycles; the SQL has those of one hop
+    # customers 1 to 50 link too, so that chains go on and some are cycles
     links = t.orders.groupBy("o_custkey").agg(F.min(F.col("o_orderkey") % 50 + 1).alias("n"))
     links = links.select(F.concat(F.lit("c:"), "o_custkey").alias("source_id"), F.concat(F.lit("c:"), "n").alias("target_id"))
     return G.follow_chain(links, links.select(F.col("source_id").alias("id")))
@@ -199,3 +204,93 @@ def tracking_uuid5(t):
 @query("SELECT p_partkey, 'emb_' || replace(replace(p_brand || '/' || p_size, '-', '_'), '/', '_slash_') || '_' || 384 AS relation FROM part")
 def embedding_relation_names(t):
     return t.part.select("p_partkey", I.relation_name(F.concat_ws("/", "p_brand", "p_size"), F.lit(384)).alias("relation"))
+
+
+# ---- links and access
+
+
+@query("SELECT 'd:' || s_suppkey AS source_id, 'n:' || n_nationkey AS target_id, 'ResolvesToDefinition' AS relation_kind FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def declaration_links(t):
+    """Nations are modules with a file, suppliers declare that of theirs."""
+    defined = modules(t).where("id like 'n:%'").withColumn("module_kind", F.lit("file"))
+    declared = t.supplier.join(defined, F.concat(F.lit("n:"), "s_nationkey") == F.col("id")).select(F.concat(F.lit("d:"), "s_suppkey").alias("id"), "path", F.lit("declaration").alias("module_kind"))
+    return G.link_declarations(defined.unionByName(declared))
+
+
+@query("SELECT 'n:' || n_nationkey AS id, 'r:' || n_regionkey AS parent FROM nation")
+def module_parents(t):
+    """Three quarters of the nations are contained directly, the others by way of a declaration."""
+    region, nation, declared = F.concat(F.lit("r:"), "n_regionkey"), F.concat(F.lit("n:"), "n_nationkey"), F.concat(F.lit("d:"), "n_nationkey")
+    direct = F.col("n_nationkey") % 4 != 0
+    held = t.nation.select(region.alias("source_id"), F.when(direct, nation).otherwise(declared).alias("target_id"), F.lit("Contains").alias("relation_kind"))
+    links = t.nation.where(~direct).select(declared.alias("source_id"), nation.alias("target_id"), F.lit("ResolvesToDefinition").alias("relation_kind"))
+    return G.module_parent(t.nation.select(nation.alias("id")), held.unionByName(links))
+
+
+@query(
+    "SELECT 'c:' || o_custkey AS source_id, 'o:' || o_orderkey AS target_id, 'ImportedBy' AS relation_kind FROM orders JOIN customer ON o_custkey = c_custkey "
+    "UNION ALL SELECT 'c:' || c_custkey, 's:' || s_suppkey, 'ImportedBy' FROM supplier JOIN customer ON c_nationkey = s_nationkey WHERE c_custkey % 3 <> 0"
+)
+def import_links(t):
+    """Orders import their customer by its path, suppliers everything visible of their nation."""
+    items = G.written(places(t).withColumn("vis_kind", F.when(F.substring("id", 3, 20).cast("long") % 3 == 0, "Inherited").otherwise("Public")))
+    named = G.canonical_paths(items).select(F.col("id").alias("item"), F.split("canon", "::").alias("path"))
+    plain = t.orders.join(named, F.concat(F.lit("c:"), "o_custkey") == F.col("item")).select(F.concat(F.lit("o:"), "o_orderkey").alias("id"), "path", F.lit(False).alias("is_glob"))
+    below = modules(t).select(F.col("id").alias("module"), "path")
+    glob = t.supplier.join(below, F.concat(F.lit("n:"), "s_nationkey") == F.col("module")).select(F.concat(F.lit("s:"), "s_suppkey").alias("id"), "path", F.lit(True).alias("is_glob"))
+    return G.import_links(plain.unionByName(glob), items, modules(t))
+
+
+@query("SELECT DISTINCT 'n:' || a.n_nationkey AS source_id, 'n:' || b.n_nationkey AS target_id, b.n_nationkey % 4 < 2 OR a.n_regionkey = b.n_regionkey AS accessible FROM supplier JOIN nation a ON s_nationkey = a.n_nationkey JOIN nation b ON s_suppkey % 25 = b.n_nationkey")
+def access_checks(t):
+    """Nations that are public, visible in the crate, restricted to their region, or visible in their parent only."""
+    kind = F.element_at(F.array(*map(F.lit, ("Public", "Crate", "Restricted", "Inherited"))), (F.col("n_nationkey") % 4 + 1).cast("int"))
+    region = F.concat(F.lit("r:"), "n_regionkey")
+    targets = t.nation.select(F.concat(F.lit("n:"), "n_nationkey").alias("id"), kind.alias("vis_kind"), region.alias("restricted_to"), region.alias("parent"))
+    pairs = t.supplier.select(F.concat(F.lit("n:"), "s_nationkey").alias("source_id"), F.concat(F.lit("n:"), F.col("s_suppkey") % 25).alias("target_id")).distinct()
+    return G.accessible(pairs, targets, G.ancestors(edges(t).where("target_id like 'n:%'")))
+
+
+@query(
+    "WITH c AS (SELECT 'c:' || c_custkey AS id, c_custkey, c_name, n_name, n_nationkey, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) "
+    "SELECT id, 'crate/' || r_name || CASE WHEN c_custkey % 7 = 0 THEN '' ELSE '/' || n_name END || '/' || c_name AS path FROM c WHERE c_custkey % 7 = 0 OR c_custkey % 3 <> 0 AND n_nationkey % 5 <> 0"
+)
+def shortest_public_paths(t):
+    """Every fifth nation is private, every third customer too; every seventh is shown by its region as well."""
+    number = F.expr("try_cast(substring(id, 3) AS bigint)")
+    items = G.written(places(t).withColumn("vis_kind", F.when(number % 3 == 0, "Inherited").otherwise("Public")))
+    nations = t.nation.select(F.concat(F.lit("n:"), "n_nationkey").alias("id"), F.concat(F.lit("r:"), "n_regionkey").alias("parent"), F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 5 == 0, "Inherited").otherwise("Public").alias("vis_kind"))
+    regions = t.region.select(F.concat(F.lit("r:"), "r_regionkey").alias("id"), F.lit("root").alias("parent"), F.col("r_name").alias("name"), F.lit("Public").alias("vis_kind"))
+    shown = items.where(number % 7 == 0).join(nations.select(F.col("id").alias("module_id"), "parent"), "module_id").select("id", F.col("parent").alias("module_id"), "name")
+    found = G.shortest_public_paths(items, nations.unionByName(regions), shown, "root")
+    return found.select("id", F.array_join("path", "/").alias("path"))
+
+
+@query(f"WITH {PLACES_SQL}, q AS (SELECT id, file_path, array_to_string(module_path, '::') || '::' || name AS canon FROM p) SELECT id FROM q WHERE canon = (SELECT min(canon) FROM q)")
+def canonical_id_lookup(t):
+    from tessera.operators import indexing as N
+
+    where = G.written(places(t))
+    return N.canonical_id(where, G.canonical_paths(where).agg(F.min("canon")).first()[0])
+
+
+@query(f"WITH {PLACES_SQL}, q AS (SELECT id, file_path, array_to_string(module_path, '::') || '::' || name AS canon FROM p) SELECT id, file_path FROM q WHERE canon = (SELECT max(canon) FROM q)")
+def resolve_for_edit(t):
+    """By a path that ends like the file's own, and by a canonical path without its crate."""
+    where = G.written(places(t))
+    last = G.canonical_paths(where).orderBy(F.col("canon").desc()).first()
+    if G.one_for_edit(where, last["file_path"], last["canon"]) != last["id"]:
+        raise AssertionError(last)
+    return G.resolve_for_edit(where, "/home/x/" + last["file_path"], last["canon"].removeprefix("crate::")).select("id", "file_path")
+
+
+@query("SELECT 'r:' || r_regionkey AS crate_id, lower(r_name) AS crate, 'r:' || r_regionkey AS module_id, 'src/' || r_name || '.rs' AS file_path FROM region")
+def crate_files(t):
+    crates = t.region.select(F.concat(F.lit("r:"), "r_regionkey").alias("id"), F.lower("r_name").alias("name"), F.col("r_name").alias("namespace"))
+    return G.crate_files(modules(t), files(t), crates).select("crate_id", "crate", "module_id", "file_path")
+
+
+@query("SELECT 'r:' || r_regionkey AS module_id, 'crate/' || r_name AS path, r_name AS namespace FROM region WHERE r_name = (SELECT max(r_name) FROM region)")
+def modules_of_file(t):
+    last = t.region.agg(F.max("r_name")).first()[0]
+    return G.modules_of_file(modules(t), files(t), f"src/{last}.rs").select("module_id", F.array_join("path", "/").alias("path"), "namespace")

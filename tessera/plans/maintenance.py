@@ -22,7 +22,7 @@ def except_sets(t):
     return t.customer.select(F.col("c_nationkey").alias("key")).distinct().join(t.supplier.where("s_nationkey % 2 = 0").select(F.col("s_nationkey").alias("key")), "key", "left_anti")
 
 
-@query("SELECT p_partkey, triple, profile, features FROM part, (VALUES ('x86'), ('arm')) a(triple), (VALUES ('dev'), ('release')) b(profile), (VALUES (''), ('a,b')) c(features) WHERE p_partkey <= 50")
+@query("SELECT p_partkey, triple, profile, features FROM part, (VALUES ('x86'), ('arm')) a(triple), (VALUES ('dev'), ('release')) b(profile), (VALUES (''), ('a,b')) c(features)")
 def cu_cross_product(t):
     units = M.cross_units(t.part.select("p_partkey"), ["x86", "arm"], ["dev", "release"], [[], ["b", "a", "b"]])
     return units.withColumn("features", F.array_join("features", ","))
@@ -64,7 +64,7 @@ def freshness_report(t):
     return M.freshness(files, files, changes)
 
 
-EDITS_SQL = "WITH e AS (SELECT event_id::VARCHAR AS id, user_id::VARCHAR AS file, (event_id * 37 % 1000)::BIGINT AS s, (event_id * 37 % 1000 + event_id % 9)::BIGINT AS t FROM events WHERE event_id % 4 = 0), r AS (SELECT id, file, least(s, t) AS lo, CASE WHEN s = t THEN t + 1 ELSE greatest(s, t) END AS hi FROM e)"
+EDITS_SQL = "WITH e AS (SELECT event_id::VARCHAR AS id, user_id::VARCHAR AS file, (event_id * 37 % 1000)::BIGINT AS s, (event_id * 37 % 1000 + event_id % 9)::BIGINT AS t FROM events), r AS (SELECT id, file, least(s, t) AS lo, CASE WHEN s = t THEN t + 1 ELSE greatest(s, t) END AS hi FROM e)"
 
 
 def _edits(t):
@@ -79,16 +79,24 @@ def overlapping_edits(t):
     return M.overlaps(_edits(t))
 
 
-@query()
+@query(
+    EDITS_SQL + """, l AS (SELECT file, list({'id': id, 'lo': lo, 'hi': hi} ORDER BY id::BIGINT DESC) AS es FROM r GROUP BY file),
+f AS (SELECT file, list_reduce(list_transform(es, lambda e: [e]), lambda acc, e: CASE WHEN len(list_filter(acc, lambda a: a.lo < e[1].hi AND e[1].lo < a.hi)) = 0 THEN list_concat(acc, e) ELSE acc END) AS acc FROM l)
+SELECT r.id, CASE WHEN list_contains(list_transform(acc, lambda a: a.id), r.id) THEN 'Accepted' ELSE 'Stale' END AS status FROM r JOIN f USING (file)"""
+)
 def accepted_edits(t):
     return M.accept_greedily(_edits(t))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) < 12 THEN NULL ELSE '<' || substr(text, 5, 4) || '##' || substr(text, 11) END AS text FROM documents WHERE regexp_matches(left(text, 12), '^[ -~\\n]*$')")
+#: Bytes as hexadecimal digits; text of bytes that are no UTF-8 is null.
+HEX_SQL = "WITH h AS (SELECT doc_id, text, hex(encode(text)) AS x FROM documents)"
+
+
+@query(HEX_SQL + " SELECT doc_id, CASE WHEN length(x) >= 24 THEN try(decode(unhex('3C' || substr(x, 9, 8) || '2323' || substr(x, 21)))) END AS text FROM h")
 def splice_edits(t):
     edit = lambda a, b, x: F.struct(F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end"), F.lit(x).alias("text"))
     edits = F.array(edit(0, 4, "<"), edit(8, 10, "##"), edit(9, 3, "never"))
-    # over all documents, which the SQL is not: null where an edit would cut a character in two
+    # null where an edit would cut a character in two
     body = X.splice(F.encode("text", "UTF-8"), edits).cast("string")
     return t.documents.select("doc_id", F.when((F.octet_length("text") >= 12) & F.is_valid_utf8(body), body).alias("text"))
 
@@ -96,9 +104,9 @@ def splice_edits(t):
 LINES_SQL = "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), f AS (SELECT *, line ILIKE '%license%' AS changed FROM l)"
 
 
-@query(LINES_SQL + ", w AS (SELECT *, max(changed::INT) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM f) SELECT doc_id, n::INTEGER AS n, left(line, 40) AS line FROM w WHERE near = 1")
+@query(LINES_SQL + ", w AS (SELECT *, max(changed::INT) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM f) SELECT doc_id, n::INTEGER AS n, line FROM w WHERE near = 1")
 def unified_diff_filter(t):
-    """Whole lines within two of a changed one, by windows over each text's own lines; the SQL has their heads."""
+    """Lines within two of a changed one, by windows over each text's own lines."""
     lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     w = Window.partitionBy("doc_id").orderBy("n").rowsBetween(-2, 2)
     near = F.max(F.lower("line").contains("license").cast("int")).over(w)
@@ -123,7 +131,7 @@ def latest_by_parent(t):
     return M.latest_by_parent(t.events, "user_id", "ts", "event_id", 3).select("user_id", "event_id", "rank")
 
 
-@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'approved' ELSE 'denied' END AS state FROM events WHERE event_id < 100")
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'approved' ELSE 'denied' END AS state FROM events")
 def proposal_states(t):
     said = F.when(F.col("event_id") % 2 == 0, "Approved").otherwise("DENIED")
     return t.events.select("event_id", M.proposal_state(said).alias("state"))
@@ -151,11 +159,33 @@ def failure_clusters(t):
     return M.failure_clusters(t.part.select(F.col("p_type").alias("key"), F.col("p_brand").alias("repo"), F.col("p_partkey").alias("id")), ["key"])
 
 
-@query("SELECT level, count(*) AS n FROM (SELECT CASE event_type WHEN 'error' THEN 'error' ELSE 'note' END AS level FROM events WHERE value > 10) GROUP BY level")
+BUILD_SQL = """
+WITH l AS (SELECT user_id AS build, event_id, event_type, CASE event_type WHEN 'error' THEN '{"reason":"compiler-message","message":{"level":"error"}}' WHEN 'click' THEN '{"reason":"compiler-message","message":{"level":"warning"}}' WHEN 'view' THEN '{"reason":"build-finished"}' ELSE 'no json ' || event_id END AS line FROM events),
+e AS (SELECT build, event_id, line FROM l QUALIFY row_number() OVER (PARTITION BY build ORDER BY event_id DESC) <= 3)
+SELECT build, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'click') AS warnings, count(*) FILTER (event_type IN ('error', 'click')) AS messages, count(*) FILTER (event_type NOT IN ('error', 'click', 'view')) AS unreadable,
+       (SELECT right(string_agg(e.line, chr(10) ORDER BY e.event_id), 80) FROM e WHERE e.build = l.build) AS tail FROM l GROUP BY build
+"""
+
+
+@query(BUILD_SQL)
 def build_summary(t):
-    line = F.to_json(F.struct(F.when(F.col("event_type") == "error", "error").otherwise("note").alias("level")))
-    parsed = t.events.where("value > 10").select(F.get_json_object(line, "$.level").alias("level"))
-    return parsed.groupBy("level").agg(F.count("*").alias("n"))
+    """Events as the lines of a build's output, a build for each user."""
+    said = lambda level: F.to_json(F.struct(F.lit("compiler-message").alias("reason"), F.struct(F.lit(level).alias("level")).alias("message")))
+    done = F.to_json(F.struct(F.lit("build-finished").alias("reason")))
+    kind = F.col("event_type")
+    line = F.when(kind == "error", said("error")).when(kind == "click", said("warning")).when(kind == "view", done).otherwise(F.concat(F.lit("no json "), "event_id"))
+    return M.build_summary(t.events.select(F.col("user_id").alias("build"), F.col("event_id").alias("line_no"), line.alias("line")), "build", tail=3, cap=80)
+
+
+@query("SELECT doc_id, 1::BIGINT AS removed, 2::BIGINT AS added, '@@ -1' AS head FROM documents WHERE length(trim(text)) > 0")
+def unified_diffs(t):
+    """Each text against itself with a changed first line and one line more before it."""
+    from tessera.functions import diff
+
+    texts = t.documents.where("length(trim(text)) > 0").select("doc_id", F.col("doc_id").cast("string").alias("file_path"), F.concat(F.lit("first\n"), F.col("text")).alias("old"))
+    changed = texts.withColumn("new", F.concat(F.lit("changed line\nnew line\n"), F.substring("old", 7, 2**30)))
+    found = diff.unified_diffs(changed, 2)
+    return found.select("doc_id", "removed", "added", F.substring(F.element_at(F.split("diff", "\n"), 3), 1, 5).alias("head"))
 
 
 @query("SELECT root, kind, name FROM (SELECT p_size AS root, p_brand AS kind, p_name AS name, p_partkey FROM part) QUALIFY row_number() OVER (PARTITION BY root ORDER BY kind, name, p_partkey) = 1")
@@ -166,11 +196,14 @@ def target_precedence(t):
     return one_target_per_root(targets, F.col("kind"), [F.col("p_partkey")]).select("root", "kind", "name")
 
 
-@query("SELECT doc_id, CASE WHEN length(text) < 20 THEN 'out_of_range' WHEN doc_id % 7 = 0 THEN 'hash_mismatch' ELSE 'ok' END AS status, CASE WHEN length(text) >= 20 AND doc_id % 7 <> 0 THEN substr(text, 5, 10) END AS snippet FROM documents WHERE regexp_matches(left(text, 20), '^[ -~\\n]*$') AND length(text) = strlen(text)")
+@query(
+    HEX_SQL + ", s AS (SELECT *, try(decode(unhex(substr(x, 9, 20)))) AS snippet FROM h), "
+    "r AS (SELECT *, CASE WHEN text IS NULL THEN 'missing' WHEN doc_id % 7 = 0 THEN 'hash_mismatch' WHEN length(x) < 40 THEN 'out_of_range' WHEN snippet IS NULL THEN 'not_text' ELSE 'ok' END AS status FROM s) "
+    "SELECT doc_id, status, CASE WHEN status = 'ok' THEN snippet END AS snippet FROM r"
+)
 def snippet_batch(t):
     from tessera.sources.files import read_snippets
 
-    # over all documents, which the SQL is not
     docs = t.documents
     contents = docs.select(F.col("doc_id").cast("string").alias("file_path"), F.encode("text", "UTF-8").alias("content"))
     hash_ = F.when(F.col("doc_id") % 7 == 0, F.lit("old")).otherwise(I.content_hash(F.encode("text", "UTF-8")))

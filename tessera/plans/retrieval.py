@@ -12,7 +12,6 @@ from tessera.plans.registry import query
 # Fixed values of the sample queries.
 TERMS = ("the", "and", "licensed", "scum", "version")
 TOP = 20
-PROMPTS = (0, 1, 2, 3, 4)
 
 TOKENS_SQL = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
 BM25_SQL = f"""
@@ -72,11 +71,10 @@ def identifier_split_tokens(t):
     return t.part.select("p_partkey", X.split_identifier(F.replace(name, F.lit(" "), F.lit(""))).alias("words"))
 
 
-@query("SELECT p_partkey, list_transform(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(replace(p_name || 'XMLNode_' || p_type, ' ', '') , '([a-z])([A-Z])', '\\1_\\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1_\\2', 'g'), '_|([^A-Za-z0-9])'), lambda x: x <> ''), lambda x: lower(x)) AS tokens FROM part WHERE regexp_matches(p_name || p_type, '^[A-Za-z0-9 _]*$')")
+@query("SELECT p_partkey, list_transform(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(replace(p_name || 'XMLNode_' || p_type, ' ', '') , '([a-z])([A-Z])', '\\1_\\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1_\\2', 'g'), '_|([^A-Za-z0-9])'), lambda x: x <> ''), lambda x: lower(x)) AS tokens FROM part")
 def code_tokens_parts(t):
     name = F.concat(F.col("p_name"), F.lit("XMLNode_"), F.col("p_type"))
-    plain = F.concat(F.col("p_name"), F.col("p_type")).rlike("^[A-Za-z0-9 _]*$")
-    return t.part.where(plain).select("p_partkey", X.code_tokens(F.replace(name, F.lit(" "), F.lit(""))).alias("tokens"))
+    return t.part.select("p_partkey", X.code_tokens(F.replace(name, F.lit(" "), F.lit(""))).alias("tokens"))
 
 
 @query("SELECT doc_id, (ceil(length(text) / 4.0))::BIGINT AS tokens FROM documents")
@@ -94,7 +92,7 @@ def truncate_lines(t):
     return t.documents.select("doc_id", X.truncate_lines(F.col("text"), 3).alias("text"))
 
 
-@query("SELECT doc_id, CASE WHEN ceil(length(text) / 4.0) <= 512 THEN left(text, 40) END AS text FROM documents")
+@query("SELECT doc_id, CASE WHEN ceil(length(text) / 4.0) <= 512 THEN text END AS text FROM documents")
 def truncate_for_model(t):
     return t.documents.select("doc_id", X.truncate_for_model(F.col("text"), 512, "reject").alias("text"))
 
@@ -125,24 +123,26 @@ def _prompts(t):
 
 
 def _queries(t):
-    """The stated set of queries: every row whose id is divisible by 100. The SQL has the first of them, or PROMPTS."""
+    """The stated set of queries: every row whose id is divisible by 100."""
     return t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
 
 
+#: Every hundredth vector against all; KNN_SQL takes the queries of a list.
+NEAR_SQL = f"WITH n AS (SELECT q.vec_id AS query, e.vec_id AS id, e.label, {DIST_SQL} AS distance FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0)"
 KNN_SQL = f"WITH n AS (SELECT q.vec_id AS query, e.vec_id AS id, e.label, {DIST_SQL} AS distance FROM embeddings q, embeddings e WHERE q.vec_id IN %s)"
 
 
-@query(KNN_SQL % "(0)" + " SELECT id, round(distance, 6) AS distance, row_number() OVER (ORDER BY distance, id)::INTEGER AS rank FROM n QUALIFY rank <= 20")
+@query(NEAR_SQL + " SELECT query, id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY query ORDER BY distance, id)::INTEGER AS rank FROM n QUALIFY rank <= 20")
 def knn_l2_topk(t):
     return R.knn(_queries(t), _vectors(t), TOP).select("query", "id", F.round("distance", 6).alias("distance"), "rank")
 
 
-@query(KNN_SQL % "(0)" + " SELECT id, round(1 - distance, 6) AS score FROM n WHERE label = 3 QUALIFY row_number() OVER (ORDER BY distance, id) <= 20")
+@query(NEAR_SQL + " SELECT query, id, round(1 - distance, 6) AS score FROM n WHERE label = 3 QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, id) <= 20")
 def knn_prefilter_label(t):
     return R.dense_scores(R.knn(_queries(t), _vectors(t), TOP, where=F.col("label") == 3)).select("query", "id", F.round("score", 6).alias("score"))
 
 
-@query(KNN_SQL % "(0)" + ", r AS (SELECT *, row_number() OVER (ORDER BY distance, id) AS rank FROM n) SELECT id, round(distance, 6) AS distance, rank::INTEGER AS rank FROM r WHERE rank <= 100 AND label = 3")
+@query(NEAR_SQL + ", r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, id) AS rank FROM n) SELECT query, id, round(distance, 6) AS distance, rank::INTEGER AS rank FROM r WHERE rank <= 100 AND label = 3")
 def knn_postfilter_label(t):
     return R.knn(_queries(t), _vectors(t), 100, post_filter=F.col("label") == 3).select("query", "id", F.round("distance", 6).alias("distance"), "rank")
 
@@ -155,16 +155,24 @@ def knn_graph_per_label(t):
 RADIUS = 100.0
 
 
-@query(KNN_SQL % "(0)" + f" SELECT id, round(distance, 6) AS distance FROM n WHERE distance <= {RADIUS} QUALIFY row_number() OVER (ORDER BY distance, id) <= 50")
+@query(NEAR_SQL + f" SELECT query, id, round(distance, 6) AS distance FROM n WHERE distance <= {RADIUS} QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, id) <= 50")
 def radius_search(t):
     return R.knn(_queries(t), _vectors(t), 50, radius=RADIUS).select("query", "id", F.round("distance", 6).alias("distance"))
 
 
-@query(KNN_SQL % str(PROMPTS) + " SELECT query, label, id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY query, label ORDER BY distance, id)::INTEGER AS rank FROM n QUALIFY rank <= 3")
+@query(NEAR_SQL + " SELECT query, label, id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY query, label ORDER BY distance, id)::INTEGER AS rank FROM n QUALIFY rank <= 3")
 def multi_prompt_knn(t):
     return R.knn(_queries(t), _vectors(t), 3, by=["label"]).select("query", "label", "id", F.round("distance", 6).alias("distance"), "rank")
 
 
+@query(NEAR_SQL + ", r AS (SELECT *, row_number() OVER (PARTITION BY query, label ORDER BY distance, id)::INTEGER AS rank FROM n) SELECT query, label, id, round(distance, 6) AS distance, rank FROM r WHERE rank <= 1 + query // 100 % 4 AND (query % 300 = 0 OR distance <= 90 + query % 50)")
+def prompt_batch(t):
+    """Prompts with limits of their own: one to four hits in each label, most of them within a radius."""
+    asked = _queries(t)
+    k, radius = (1 + F.floor(F.col("query") / 100) % 4).cast("int"), F.when(F.col("query") % 300 != 0, (90 + F.col("query") % 50).cast("double"))
+    return R.knn_of_prompts(asked.withColumn("k", k).withColumn("radius", radius), _vectors(t), ["label"]).select("query", "label", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS norm, len(embedding) = 64 AS valid FROM embeddings")
 def vector_validation(t):
     good = R.valid_vectors(t.embeddings.withColumnRenamed("embedding", "vector"), 64)
@@ -214,11 +222,21 @@ def rrf_hybrid(t):
     return R.top_k(fused, TOP, ["query"]).select("doc", F.round("score", 6).alias("score"), "rank")
 
 
-@query()
+MMR_SQL = """
+WITH RECURSIVE n AS (SELECT e.vec_id AS id, e.embedding AS x, %s AS distance FROM embeddings q, embeddings e WHERE q.vec_id = 0 ORDER BY distance, id LIMIT 50),
+u AS (SELECT id, 1 - distance AS rel, list_transform(x, lambda y: y::DOUBLE / nullif(sqrt(list_sum(list_transform(x, lambda z: z::DOUBLE * z::DOUBLE))), 0)) AS v FROM n),
+r AS (SELECT 0 AS rank, list({'id': id, 'rel': rel, 'v': v, 'sim': 0.0::DOUBLE} ORDER BY id) AS cs, NULL::BIGINT AS doc, NULL::DOUBLE AS objective FROM u
+      UNION ALL SELECT rank + 1, list_transform(list_filter(cs, lambda c: c.id <> best.id), lambda c: {'id': c.id, 'rel': c.rel, 'v': c.v, 'sim': greatest(c.sim, list_dot_product(c.v, best.v))}), best.id, 0.7 * best.rel - 0.3 * best.sim
+      FROM (SELECT rank, cs, list_reduce(cs, lambda a, b: CASE WHEN 0.7 * a.rel - 0.3 * a.sim >= 0.7 * b.rel - 0.3 * b.sim THEN a ELSE b END) AS best FROM r WHERE rank < 10))
+SELECT 0 AS query, doc, round(objective, 6) AS objective, rank::INTEGER AS rank FROM r WHERE rank > 0
+""" % DIST_SQL
+
+
+@query(MMR_SQL)
 def mmr_select(t):
     near = R.dense_scores(R.knn(_prompts(t), _vectors(t), 50)).select("query", F.col("id").alias("doc"), "score")
     vectors = _vectors(t).select(F.col("id").alias("doc"), "vector")
-    return R.mmr(near.join(vectors, "doc"), 10)
+    return R.mmr(near.join(vectors, "doc"), 10).withColumn("objective", F.round("objective", 6))
 
 
 @query(KNN_SQL % "(0)" + f", k AS (SELECT label, id, 1 - distance AS score FROM n QUALIFY row_number() OVER (PARTITION BY label ORDER BY distance, id) <= 5) SELECT id AS doc, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, id)::INTEGER AS rank FROM k QUALIFY rank <= {TOP}")

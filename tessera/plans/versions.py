@@ -141,6 +141,10 @@ def inline_relation(t):
     return t.part.join(F.broadcast(rows), F.col("p_size") == F.col("size")).select("v", "p_partkey")
 
 
-@query("SELECT sum(l_quantity) AS total, count(*) AS rows, count(DISTINCT l_suppkey) AS suppliers FROM lineitem")
+@query("SELECT l_suppkey AS model, count(*) AS requests, sum(l_quantity)::BIGINT AS prompt_tokens, sum(l_linenumber)::BIGINT AS completion_tokens, round(sum(l_discount), 6) AS cost, sum(l_quantity + l_linenumber)::BIGINT AS total_tokens FROM lineitem GROUP BY l_suppkey")
 def usage_totals(t):
-    return t.lineitem.agg(F.sum("l_quantity").alias("total"), F.count("*").alias("rows"), F.countDistinct("l_suppkey").alias("suppliers"))
+    """Lines as requests to a model (their supplier)."""
+    from tessera.operators.maintenance import usage_totals as totals
+
+    log = t.lineitem.select(F.col("l_suppkey").alias("model"), F.col("l_quantity").cast("long").alias("prompt_tokens"), F.col("l_linenumber").cast("long").alias("completion_tokens"), F.col("l_discount").cast("double").alias("cost"))
+    return totals(log, ["model"]).withColumn("cost", F.round("cost", 6))

@@ -38,11 +38,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any store that Spark writes to."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete the files of materialized tables that nothing reads any more."""
     for df in tables:
         path = df.__dict__.pop("written_to", None) if df is not None else None
         if path:
-            jvm = df.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+            remove_path(df.sparkSession, path)

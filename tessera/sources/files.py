@@ -113,9 +113,9 @@ def load_snapshot(spark: SparkSession, path: str, skip: Sequence[str] = ()) -> d
     return {n: spark.read.parquet(f"{path}/{n}") for n in names if n not in skip}
 
 
-def read_prompts(spark: SparkSession, path: str) -> DataFrame:
-    """(prompt, k, ef, max_hits, radius) of a JSON file."""
-    return spark.read.schema("prompt string, k long, ef long, max_hits long, radius double").option("multiLine", True).json(path)
+def read_prompts(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(prompt, k, ef, max_hits, radius) of a JSON file: a list of prompts, or with lines one a line."""
+    return spark.read.schema("prompt string, k long, ef long, max_hits long, radius double").option("multiLine", not lines).json(path)
 
 
 def write_results(results: DataFrame, path: str) -> None:
@@ -127,5 +127,10 @@ def catalog_relations(spark: SparkSession) -> list[tuple[str, list[str]]]:
     return [(t.name, [c.name for c in spark.catalog.listColumns(t.name)]) for t in spark.catalog.listTables()]
 
 
-def to_json_text(rows: DataFrame) -> str:
-    return json.dumps([json.loads(x) for x in rows.toJSON().collect()], ensure_ascii=False)
+def to_json_text(rows: DataFrame, most: int = 10_000) -> str:
+    """Rows as one JSON list, for results that a caller reads whole; raises ValueError beyond `most` rows, which
+    write_results() is for."""
+    found = rows.limit(most + 1).toJSON().collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows")
+    return json.dumps([json.loads(x) for x in found], ensure_ascii=False)

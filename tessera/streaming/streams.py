@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.retrieval import postings
+
 # Of several events of a path, the kind that counts most.
 KIND_RANK = {"Removed": 5, "Renamed": 4, "Created": 3, "Modified": 2, "Other": 1}
 
@@ -31,14 +33,14 @@ def on_change(changes: DataFrame, handle: Callable[[DataFrame, int], None], chec
 
 
 def index_stream(rows: DataFrame, tokens: Column, path: str, checkpoint: str, key: str = "doc_id"):
-    """Append postings of new rows to Parquet, a micro-batch at a time; stop and start again at will. Corpus statistics
-    are computed by a batch query over what was written (finalize)."""
-    found = rows.select(F.col(key).alias("doc"), F.size(tokens).alias("len"), F.explode(tokens).alias("term"))
+    """Write postings of new rows to Parquet, a micro-batch at a time, each in a folder of its number: a batch that is
+    handed over again replaces itself. Stop and start again at will. Corpus statistics are computed by a batch query
+    over what was written (finalize)."""
 
-    def handle(batch: DataFrame, _: int) -> None:
-        batch.groupBy("doc", "term", "len").agg(F.count("*").alias("tf")).write.mode("append").parquet(path)
+    def handle(batch: DataFrame, number: int) -> None:
+        postings(batch, tokens, key).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return on_change(found, handle, checkpoint)
+    return on_change(rows, handle, checkpoint)
 
 
 def finalize(postings: DataFrame) -> DataFrame:

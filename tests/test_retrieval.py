@@ -9,6 +9,7 @@ from tessera.functions import text as X
 from tessera.operators import context as C
 from tessera.operators import maintenance as M
 from tessera.operators import retrieval as R
+from tessera.operators import vector_index as V
 
 
 def test_bm25_ranks_and_scopes(spark):
@@ -71,10 +72,48 @@ def test_mmr_equals_plain_choice(spark):
 
 
 def test_fallback():
-    assert R.search_with_fallback("s", "d", "ready", 3, True) == "s"
-    assert R.search_with_fallback("s", "d", "empty", 0, False) == "d"
+    asked = []
+
+    def status(*states):
+        left = list(states)
+        return lambda: asked.append(1) or left.pop(0)
+
+    assert R.search_with_fallback("s", "d", status(("ready", 3)), True) == "s"
+    assert R.search_with_fallback("s", "d", status(("building", 0), ("empty", 0), ("ready", 1)), False) == "s"
+    assert R.search_with_fallback("s", "d", status(*[("empty", 0)] * 3), False) == "d" and len(asked) == 7
     with pytest.raises(RuntimeError):
-        R.search_with_fallback("s", "d", "building", 0, True)
+        R.search_with_fallback("s", "d", status(("building", 0)), True)
+
+
+def test_vector_index_recall_and_exact_search(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(1)
+    x = (rng.normal(size=(30, 16)) * 3)[rng.integers(0, 30, 3000)] + rng.normal(size=(3000, 16))
+    x[:900] = x[0]  # a third are alike
+    monkeypatch.setattr(V, "BLOCK", 200)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9000, None)], "id long, vector array<double>")
+    asked = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 3000, 100)] + [(-1, None)], "query long, vector array<double>")
+    indexes = V.VectorIndexes(spark, str(tmp_path))
+    with pytest.raises(KeyError):
+        indexes.search(1, asked, 5)
+    assert indexes.create(1, vectors) and not indexes.create(1, vectors) and indexes.registered(1)
+    want = {(q, int(i)) for q in range(0, 3000, 100) for i in np.lexsort((np.arange(3000), ((x - x[q]) ** 2).sum(1)))[:10]}
+    assert {(r["query"], r.id) for r in indexes.search(1, asked, 10, probes=None).collect()} == want
+    assert len({(r["query"], r.id) for r in indexes.search(1, asked, 10).collect()} & want) >= 0.9 * len(want)
+    assert indexes.create(1, vectors.limit(0), replace=True) and indexes.search(1, asked, 10).count() == 0
+    assert indexes.drop(1) and not indexes.drop(1) and not (tmp_path / "set-1").exists()
+
+
+def test_recall_of_the_vector_index_on_the_tables(spark, tmp_path):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    vectors = rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    x = np.array([r.vector for r in vectors.orderBy("id").collect()], float)
+    ids = np.array([r.id for r in vectors.orderBy("id").collect()])
+    V.build(vectors, str(tmp_path / "index"))
+    asked = vectors.where("id % 100 = 0").withColumnRenamed("id", "query")
+    at = np.flatnonzero(ids % 100 == 0)
+    want = {(int(ids[q]), int(i)) for q in at for i in ids[np.lexsort((ids, ((x - x[q]) ** 2).sum(1)))[:20]]}
+    got = {(r["query"], r.id) for r in V.search(spark, str(tmp_path / "index"), asked, 20, V.PROBES).collect()}
+    assert len(got & want) >= 0.9 * len(want)
 
 
 def budget_plain(parts, max_total, per_file, per_part, strict):
