@@ -8,10 +8,11 @@ weighted Jaccard similarity with the item, each shingle weighing as often as it
    more. Those anchors of all items are broadcast in blocks of BLOCK_ANCHORS; every document is read whole, and only
    where one of its shingles is an anchor are windows made: all those of the anchor's item size that contain it.
 2. SimHash. Each window's fingerprint is the majority, bit by bit, of its shingles' 64-bit hashes.
-3. Multi-index Hamming join. Fingerprints are cut into BLOCKS blocks. Two within a radius of BLOCKS - 1 agree in one
-   block at least, so joining on block and value finds every item within the radius; only the first block that agrees
-   reports a pair. At a similarity of 0.8 bits differ with a probability of 0.15: 10 of 64, and 20 is beyond three and
-   a half standard deviations; above 0.8 there are fewer.
+3. Multi-index Hamming join. Fingerprints are cut into six blocks of 10 or 11 bits. Two within RADIUS differ in at most
+   NEAR bits of one block at least, so the index holds each item's blocks with all changes of so few bits, and joining
+   on block and value finds every item within the radius; only the first block that is near reports a pair. A window
+   probes six times and meets one in four unrelated items of its size. At a similarity of 0.8 bits differ with a
+   probability of 0.15: 10 of 64, and more than 17 in one of 200 windows; above 0.8 there are fewer.
 4. The survivors' similarity is computed exactly from their shingles.
 
 Nothing but matches is shuffled. Defined cases: null, empty or wordless texts match nothing and are no items. An item
@@ -32,10 +33,12 @@ from tessera.llm.common import keep_or_drop, materialize
 
 WORDS = 5
 SIMILARITY = 0.8
-#: Blocks of a fingerprint: 20 of 3 bits and one of 4. The radius is one less.
-BLOCKS = 21
+#: Bits of each block of a fingerprint, the radius within which every pair is found, and the bits of a block that may differ.
+BLOCKS = (11, 11, 11, 11, 10, 10)
+RADIUS = 17
+NEAR = RADIUS // len(BLOCKS)
 #: Anchors that are broadcast at once (24 bytes each), and the size of the item index that is (both by blocks of items).
-BLOCK_ANCHORS = 200_000
+BLOCK_ANCHORS = 500_000
 SEPARATORS = r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
 #: The most shingles for which a fingerprint's counts fit lanes of 8 bits; above, lanes have 16.
 NARROW = 63
@@ -66,9 +69,22 @@ def fingerprint(shingles: str, lanes: int) -> str:
     return f"aggregate({bits}, 0L, (a, x) -> a | x)"
 
 
-def _block(of: str, j: str) -> str:
+def _block(of: str, j: int) -> str:
     """SQL: block j of a fingerprint."""
-    return f"(shiftrightunsigned({of}, 3 * {j}) & IF({j} = {BLOCKS - 1}, 15L, 7L))"
+    return f"(shiftrightunsigned({of}, {sum(BLOCKS[:j])}) & {(1 << BLOCKS[j]) - 1}L)"
+
+
+def _changes(width: int) -> str:
+    """SQL: all numbers of width bits of which NEAR are set at most."""
+    return f"array({', '.join(f'{x}L' for x in range(1 << width) if x.bit_count() <= NEAR)})"
+
+
+def _blocks(of: str, changed: bool) -> str:
+    """SQL: (block, value) of all blocks of a fingerprint; changed adds the values that are near."""
+    one = lambda j, value: f"named_struct('block', {j}, 'value', {value})"
+    if not changed:
+        return f"array({', '.join(one(j, _block(of, j)) for j in range(len(BLOCKS)))})"
+    return f"concat({', '.join(f'transform({_changes(w)}, c -> {one(j, f"{_block(of, j)} ^ c")})' for j, w in enumerate(BLOCKS))})"
 
 
 def similarity(a: str, b: str) -> str:
@@ -80,18 +96,18 @@ def similarity(a: str, b: str) -> str:
 
 
 def items(benchmark: DataFrame) -> DataFrame:
-    """(item_id, width, shingles): the items that have words."""
+    """(item_no, item_id, width, shingles): the items that have words, each once."""
     found = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words().alias("w")).where("size(w) > 0")
     cases = "CASE " + " ".join(f"WHEN size(w) = {k} THEN {_shingle_hashes('w', k)}" for k in range(1, WORDS)) + f" ELSE {_shingle_hashes('w', WORDS)} END"
-    return found.select("item_id", F.least(F.size("w"), F.lit(WORDS)).alias("width"), F.expr(cases).alias("shingles")).distinct()
+    return found.select("item_id", F.least(F.size("w"), F.lit(WORDS)).alias("width"), F.expr(cases).alias("shingles")).distinct().withColumn("item_no", F.monotonically_increasing_id())
 
 
 def _scan(docs: DataFrame, chosen: DataFrame, width: int, lanes: int) -> DataFrame:
     """Matches of the chosen items of one shingle width, which are few enough to broadcast."""
     chosen = chosen.withColumn("n", F.size("shingles"))
     anchors = chosen.select("n", F.explode(F.expr(f"slice(array_sort(shingles), 1, CAST(floor({1 - SIMILARITY:.4f} * n + 1e-9) AS INT) + 1)")).alias("anchor")).distinct()
-    index = chosen.select("item_id", "n", "shingles", F.expr(fingerprint("shingles", lanes)).alias("item_print"))
-    index = index.select("*", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block")).withColumn("value", F.expr(_block("item_print", "block")))
+    index = chosen.select("item_no", "n", F.expr(fingerprint("shingles", lanes)).alias("item_print"))
+    index = index.select("item_no", "n", "item_print", F.explode(F.expr(_blocks("item_print", True))).alias("b")).select("item_no", "n", "item_print", "b.block", "b.value")
     # every shingle of every document, from its words side by side; the words themselves go along by reference
     sides = ", ".join("w" if k == 0 else f"slice(w, {k + 1}, greatest(size(w), 1))" for k in range(width))
     names = [f"`{k}`" for k in range(width)]
@@ -105,9 +121,11 @@ def _scan(docs: DataFrame, chosen: DataFrame, width: int, lanes: int) -> DataFra
     region = region.select("doc_id", "n", "origin", F.expr(_shingle_hashes("near", width)).alias("near"))
     windows = region.select("doc_id", "n", "origin", F.expr("posexplode(transform(sequence(0, greatest(0, size(near) - n)), i -> slice(near, i + 1, n)))").alias("shift", "window"))
     windows = windows.withColumn("print", F.expr(fingerprint("window", lanes)))
-    probes = windows.select("*", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block")).withColumn("value", F.expr(_block("print", "block")))
+    probes = windows.select("*", F.explode(F.expr(_blocks("print", False))).alias("b")).select("doc_id", "n", "origin", "shift", "window", "print", "b.block", "b.value")
     close = probes.join(F.broadcast(index), ["n", "block", "value"]).withColumn("differ", F.expr("print ^ item_print"))
-    close = close.where(F.bit_count("differ") < BLOCKS).where(F.expr(f"forall(sequence(0, {BLOCKS - 1}), j -> j >= block OR {_block('differ', 'j')} != 0)"))
+    first = " AND ".join(f"(block <= {j} OR bit_count({_block('differ', j)}) > {NEAR})" for j in range(len(BLOCKS) - 1))
+    close = close.where((F.bit_count("differ") <= RADIUS) & F.expr(first)).drop("n")
+    close = close.join(F.broadcast(chosen.select("item_no", "item_id", "shingles")), "item_no")
     close = close.withColumn("similarity", F.expr(similarity("window", "shingles"))).where(F.col("similarity") >= SIMILARITY - 1e-9)
     return close.select("doc_id", "item_id", "similarity", (F.col("origin") + F.col("shift")).cast("long").alias("word_start"))
 
@@ -120,7 +138,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for r in sorted(sizes, key=lambda r: r.width):
         blocks = -(-r.total // BLOCK_ANCHORS)
         for b in range(blocks):
-            chosen = known.where((F.col("width") == r.width) & (F.pmod(F.xxhash64("shingles"), F.lit(blocks)) == b)).select("item_id", "shingles")
+            chosen = known.where((F.col("width") == r.width) & (F.pmod(F.xxhash64("shingles"), F.lit(blocks)) == b)).select("item_no", "item_id", "shingles")
             found.append(_scan(docs, chosen, r.width, 8 if r.most <= NARROW else 16))
     if not found:
         return docs.sparkSession.createDataFrame([], MATCHES)
