@@ -1,10 +1,10 @@
 """Exact deduplication by two-pass Bloom filtering, in DataFrame functions only.
 
-Pass 1 hashes every text into two slots of a bit array and marks the slots that more than one row reached. Pass 2
-looks both slots of each row up in the broadcast array: a row with a slot that nobody else reached is unique and
-passes straight through; only the rest, the possibly repeated, shuffle by their SHA-256 and are decided exactly.
-A crowded array costs more shuffling, never a wrong result. Its size follows the number of rows up to MAX_BITS, which
-bounds what is broadcast (2**30 bits: 128 MB).
+Pass 1 hashes every text to a slot of a bit array and marks the slots that more than one row reached. What moves for
+that is slot numbers, one for each slot and task: never a text, hash or id. Pass 2 looks each row's slot up in the
+broadcast array: a row whose slot nobody else reached is unique and passes straight through; only the rest, the
+possibly repeated, shuffle by their SHA-256 and are decided exactly. A crowded array costs more shuffling, never a
+wrong result. Its size follows the number of rows up to MAX_BITS, which bounds what is broadcast (2**30 bits: 128 MB).
 
 Defined cases: a null text counts as empty, and empty texts equal each other. Of equal texts the row with the
 largest doc_id stays (null is the smallest). Rows that repeat both text and doc_id are one document: decisions()
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialize
 
 MAX_BITS = 1 << 30
-BITS_PER_ROW = 16
+BITS_PER_ROW = 32
 #: Bits in one bitmap of Spark's bitmap functions.
 BITMAP_BITS = 32768
 
@@ -35,15 +35,14 @@ def bits_for(rows: int, max_bits: int = MAX_BITS) -> int:
     return min(max_bits, 1 << max(BITMAP_BITS.bit_length() - 1, (rows * BITS_PER_ROW).bit_length()))
 
 
-def _slots(sha, bits: int) -> list:
-    """Two slots from independent digits of the hash."""
-    return [F.conv(F.substring(sha, start, 15), 16, 10).cast("long") % bits for start in (1, 17)]
+def _slot(sha, bits: int):
+    """The slot of a hash."""
+    return F.conv(F.substring(sha, 1, 15), 16, 10).cast("long") % bits
 
 
 def crowded_slots(hashes: DataFrame, bits: int) -> DataFrame:
-    """(bucket, bitmap): the slots that two or more rows of hashes(sha) reached, as bitmaps."""
-    slot = F.explode(F.array_distinct(F.array(*_slots(F.col("sha"), bits)))).alias("slot")
-    many = hashes.select(slot).groupBy("slot").agg(F.count("*").alias("n")).where("n > 1")
+    """(bucket, bitmap): the slots that two or more rows of hashes(sha) reached, as bitmaps. A task sends each slot once."""
+    many = hashes.select(_slot(F.col("sha"), bits).alias("slot")).groupBy("slot").agg(F.count("*").alias("n")).where("n > 1")
     return many.groupBy(F.shiftright("slot", 15).alias("bucket")).agg(
         F.bitmap_construct_agg((F.col("slot") % BITMAP_BITS)).alias("bitmap")
     )
@@ -57,13 +56,11 @@ def _is_set(bitmap, slot):
 
 
 def mark_suspects(hashes: DataFrame, crowded: DataFrame, bits: int) -> DataFrame:
-    """hashes with suspect: whether both slots are crowded. The bitmaps are broadcast; bits bounds their size."""
-    for i, slot in enumerate(_slots(F.col("sha"), bits)):
-        side = F.broadcast(crowded.select(F.col("bucket").alias(f"__b{i}"), F.col("bitmap").alias(f"__m{i}")))
-        hashes = hashes.withColumn(f"__s{i}", slot)
-        hashes = hashes.join(side, F.shiftright(F.col(f"__s{i}"), 15) == F.col(f"__b{i}"), "left")
-    suspect = _is_set(F.col("__m0"), F.col("__s0")) & _is_set(F.col("__m1"), F.col("__s1"))
-    return hashes.withColumn("suspect", suspect).drop(*(f"__{x}{i}" for x in "bms" for i in (0, 1)))
+    """hashes with suspect: whether its slot is crowded. The bitmaps are broadcast; bits bounds their size."""
+    side = F.broadcast(crowded.select(F.col("bucket").alias("__b"), F.col("bitmap").alias("__m")))
+    hashes = hashes.withColumn("__s", _slot(F.col("sha"), bits))
+    hashes = hashes.join(side, F.shiftright("__s", 15) == F.col("__b"), "left")
+    return hashes.withColumn("suspect", _is_set(F.col("__m"), F.col("__s"))).drop("__b", "__m", "__s")
 
 
 def decisions(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
