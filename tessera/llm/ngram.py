@@ -2,13 +2,15 @@
 
 Documents become segments of a bounded number of tokens, written once: the sorted hashes of a segment's distinct
 words, and for every token the number of its word. Counting asks, for every distinct word and every distinct pair of
-a segment, how often the training corpus holds it: hashes go by value ranges to as many buckets as there are
-segments, each bucket adds up what all segments say about a hash and answers each of them in the order it asked. So
-a frequent word sends one number a segment, and what moves follows the distinct pairs, not the tokens.
+a segment, how often the training corpus holds it: hashes go by value ranges to buckets, one for each BUCKET tokens of
+the corpus; each adds up what all segments say about a hash and answers each of them in the order it asked. So a
+frequent word sends one number a segment, and what moves follows the distinct pairs, not the tokens. A segment and
+bucket share one row, and none if the segment has no hash there, so rows are never more than distinct pairs.
 
 P(w | h) = l2 c(h w) / c(h) + l1 c(w) / N + l0 / (V + 1), the weights by the context's frequency (buckets of powers of
 two). They are learned by expectation-maximisation on a tenth of the training documents, held out from the counts
-that they are weighed with; the final counts take all of them. Both cover the whole corpus.
+that they are weighed with; the final counts take all of them. Both cover the whole corpus. For learning, tokens whose
+two estimates lie in the same bins (FINE to a factor of two) are added up and stand for the means of their estimates.
 
 Defined cases: a null or empty text has the end alone. A null doc_id counts as a training document. Rows that repeat a
 doc_id are scored each for itself. A corpus without training tokens gives every token a probability of one half or
@@ -27,6 +29,8 @@ from tessera.llm.common import mapped, materialize
 
 #: Tokens of a segment at least, unless a partition ends.
 SEGMENT = 1 << 20
+#: Tokens of the corpus for each bucket of hashes; of pairs, a bucket holds less than half as many.
+BUCKET = 1 << 22
 #: Bins a factor of two, of the probabilities that weights are learned from.
 FINE = 8
 ROUNDS = 100
@@ -243,15 +247,19 @@ def learn(joined: DataFrame, tokens: int, distinct: int, texts: int) -> np.ndarr
             s = Segment(row)
             level, p2, p1, _ = _probabilities(s, row, tokens, texts, True)
             q2, q1 = (np.where(p > 0, np.round(-np.log2(np.maximum(p, 1e-300)) * FINE), -1).astype(np.int64) for p in (p2, p1))
-            cell, n = np.unique(np.stack([level.astype(np.int64), q2, q1]), axis=1, return_counts=True)
-            yield pa.RecordBatch.from_arrays([*map(pa.array, cell), pa.array(n)], ["level", "q2", "q1", "n"])
-
-    rows = mapped(joined, run, "level long, q2 long, q1 long, n long").groupBy("level", "q2", "q1").agg(F.sum("n").alias("n")).toPandas()
+            code = (level.astype(np.int64) << 40) + (q2 + 1 << 20) + q1 + 1  # a bin is below 2**14
+            cell, index, n = np.unique(code, return_inverse=True, return_counts=True)
+            sums = [np.bincount(index, x) for x in (p2, p1)]
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n), *map(pa.array, sums)], ["cell", "n", "s2", "s1"])
+
+    rows = mapped(joined, run, "cell long, n long, s2 double, s1 double").groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("n", "s2", "s1"))).toPandas()
+    rows["level"] = rows["cell"] // (1 << 40)  # bounded by the bins, whatever the corpus
+    rows = rows.sort_values("cell")
     weights = np.tile(np.array([0.3, 0.5, 0.2]), (65, 1))
     weights[0] = (0, 0.8, 0.2)
     known = []
     for level, own in rows.groupby("level"):
-        p = np.stack([np.where(own["q2"] < 0, 0, 2.0 ** (-own["q2"] / FINE)), np.where(own["q1"] < 0, 0, 2.0 ** (-own["q1"] / FINE)), np.full(len(own), 1 / (distinct + 1))], 1)
+        p = np.stack([own["s2"] / own["n"], own["s1"] / own["n"], np.full(len(own), 1 / (distinct + 1))], 1)
         n, w = own["n"].to_numpy(float), weights[level].copy()
         for _ in range(ROUNDS):
             share = p * w
@@ -266,11 +274,12 @@ def learn(joined: DataFrame, tokens: int, distinct: int, texts: int) -> np.ndarr
     return weights
 
 
-def score(docs: DataFrame, size: int = SEGMENT) -> DataFrame:
+def score(docs: DataFrame, size: int = SEGMENT, bucket: int = BUCKET) -> DataFrame:
     """See SCORED: base_score by smoothed unigrams, score by the model, both log10 of the whole text."""
     spark = docs.sparkSession
     parts = materialize(segments(docs, size), "segments")
-    buckets = max(1, parts.count())
+    held = parts.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    buckets = max(1, -(-held // bucket))
     words, pairs = count(parts, buckets, False), count(parts, buckets, True)
 
     sums = words.where("segment is null").agg(*(F.coalesce(F.sum(F.get("sums", F.lit(i))), F.lit(0)) for i in range(4))).first()
