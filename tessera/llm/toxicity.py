@@ -3,12 +3,12 @@
 Fitting, on at most SAMPLE labelled training documents (one of each group with equal text), counts for every unit how
 many toxic and how many clean documents hold it. A unit is a word or the first 4, 5 or 6 bytes of one. Its log-odds
 take a Dirichlet prior in proportion to the unit's own frequency; units beyond Z standard deviations from 0 (toxic
-ones also beyond LEAST) are kept, MOST_UNITS at most. A token scores as its most specific kept unit, any other token scores GAP.
+ones also beyond LEAST) are kept; the sample bounds them. A token scores as its most specific kept unit, any other token scores GAP.
 
 A scan linear in the tokens finds all maximal scoring segments of a text (Ruzzo and Tompa). Scores of random segments
 follow an extreme-value law: of n tokens, K n exp(-lambda S) segments reach S by chance, lambda being the root of
-E[exp(lambda s)] = 1 over clean tokens. A segment's surplus is lambda S - ln(K n) where positive, a document's
-evidence the sum of its different passages' surpluses, and its score a logistic function of that sum's logarithm. Lambda and the logistic function are
+E[exp(lambda s)] = 1 over clean tokens and K fitted to the segments of clean texts that reach TAIL / lambda. A segment's surplus is lambda S - ln(K n) where positive, a document's
+evidence the sum of its different passages' surpluses, and its score a logistic function of that sum's logarithm. Lambda, K and the logistic function are
 fitted on a quarter of the sample that no unit was counted in.
 
 Defined cases: a null or empty text, or one without words, has no evidence and the lowest score. Labels of a doc_id
@@ -33,8 +33,6 @@ from tessera.llm.common import mapped
 
 #: Labelled documents that the model is fitted on, at most: those with the smallest hash of their id.
 SAMPLE = 20_000
-#: Units kept, at most: those furthest from 0.
-MOST_UNITS = 50_000
 Z = 2.0
 #: Log-odds that a toxic unit has at least: function words lean one way or the other by less.
 LEAST = 3.0
@@ -43,7 +41,9 @@ CALIBRATE = 4
 PRIOR = 0.01
 GAP = -1.0
 LARGEST = 8.0
-K = 0.1
+#: Nats beyond which clean texts' segments are counted for K, and the least K that is taken.
+TAIL = 2.0
+LEAST_K = 0.001
 PREFIXES = (4, 5, 6)
 _KINDS = np.array([0, *(0x9E3779B97F4A7C15 * k % (1 << 64) for k in PREFIXES)], np.uint64)
 
@@ -56,6 +56,7 @@ class Model:
     units: np.ndarray  # sorted hashes
     odds: np.ndarray
     scale: float = 1.0  # lambda
+    k: float = 0.1  # K, unless it is fitted
     slope: float = 0.0
     base: float = -50.0
 
@@ -119,9 +120,9 @@ def segments(scores: list[float] | np.ndarray) -> list[tuple[float, int, int]]:
     return [(r - lo, a, b) for lo, r, a, b in stack]
 
 
-def surplus(score: float, tokens: int, scale: float) -> float:
+def surplus(score: float, tokens: int, scale: float, k: float) -> float:
     """How far a segment's score lies beyond what a text of so many tokens holds by chance, in nats."""
-    return max(0.0, scale * score - math.log(max(1.0, K * tokens)))
+    return max(0.0, scale * score - math.log(max(1.0, k * tokens)))
 
 
 def _evidence(model: Model, column: pa.Array):
@@ -136,7 +137,7 @@ def _evidence(model: Model, column: pa.Array):
             found = []
             if positive[t + 1] > positive[t]:
                 for s, i, j in segments(scores[a:b]):
-                    extra = surplus(s, b - a, model.scale)
+                    extra = surplus(s, b - a, model.scale, model.k)
                     if extra > 0:
                         found.append((extra, int(begin[a + i] - starts[t]), int(end[a + j - 1] - starts[t])))
             distinct = {data[starts[t] + i : starts[t] + j].tobytes(): extra for extra, i, j in found}
@@ -231,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     a = PRIOR * (F.col("y1") + F.col("y0"))
     odds = F.log((F.col("y1") + a) / (toxic + PRIOR * (toxic + clean))) - F.log((F.col("y0") + a) / (clean + PRIOR * (toxic + clean)))
     z = odds / F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a))
-    rows = counted.select("unit", odds.alias("odds"), z.alias("z")).where((F.abs("z") >= Z) & ~F.col("odds").between(0, LEAST)).orderBy(F.abs("z").desc(), "unit").limit(MOST_UNITS).toPandas()
+    rows = counted.select("unit", odds.alias("odds"), z.alias("z")).where((F.abs("z") >= Z) & ~F.col("odds").between(0, LEAST)).toPandas()
     units = rows["unit"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(units)
     model = Model(units[order], np.clip(rows["odds"].to_numpy(float)[order], -LARGEST, LARGEST))
@@ -248,6 +249,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     every = dict.fromkeys([GAP, *np.unique(model.odds[model.odds > 0].round(3)).tolist()], 0) | dict(zip(seen["s"].tolist(), seen["n"].tolist()))
     model.scale = _lambda(np.array(list(every)), np.array(list(every.values()), float))
 
+    def tails(batches):  # clean tokens, and segments of clean texts beyond TAIL
+        tokens = beyond = 0
+        for batch in batches:
+            only = batch.filter(pc.equal(batch.column("__toxic"), 0))
+            for _, _, data, starts in tv.slices(_lower(only.column("text"))):
+                _, _, first, kinds = _units(data, starts)
+                scores = _token_scores(model, kinds)
+                tokens += len(scores)
+                for a, b in zip(first[:-1], first[1:]):
+                    beyond += sum(model.scale * s >= TAIL for s, _, _ in segments(scores[a:b]))
+        yield pa.RecordBatch.from_arrays([pa.array([tokens]), pa.array([beyond])], ["tokens", "beyond"])
+
+    tokens, beyond = mapped(calibrating, tails, "tokens long, beyond long").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "beyond"))).first()
+    model.k = max(LEAST_K, (beyond + 0.5) / (max(1, tokens) * math.exp(-TAIL)))
+
     def weigh(batches):
         for batch in batches:
             found = [x for x, _ in _evidence(model, batch.column("text"))]
