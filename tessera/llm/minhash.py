@@ -41,6 +41,8 @@ BANDS, ROWS = 40, 7
 K = BANDS * ROWS
 #: Elements of a cluster that are compared in one task, and of a block of a larger cluster, on average.
 BLOCK = 1 << 19
+#: Edges that one task reduces to stars.
+EDGES = 1 << 21
 
 SIGNED = "doc_id long, size long, set_a long, set_b long, bands array<long>"
 
@@ -168,25 +170,57 @@ def sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return mapped(every.select("cluster", "blocks", "doc_id", "text"), run, "cluster long, blocks long, doc_id long, elements array<long>")
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, smallest id) of the connected components of edges (a, b), for each id that is not its component's smallest."""
+    ids, index = np.unique(np.r_[a, b], return_inverse=True)
+    u, v = index[: len(a)], index[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        x, y = label[u], label[v]
+        apart = x != y
+        if not apart.any():
+            break
+        np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (label != label[label]).any():
+            label = label[label]
+    own = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[own], ids[label[own]]
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(id, class): connected components of edges(a, b), each with its smallest id. Alternates between linking a node's
-    larger and its smaller neighbours to their smallest until nothing changes; every round is written out."""
+    """(id, class): connected components of edges(a, b), each with its smallest id. Parts of EDGES edges are reduced to
+    stars in one task each. If there are several, a node's larger and its smaller neighbours are linked to their smallest
+    in turn, until nothing changes; every round is written out, and again begins with stars."""
+
+    def run(batches):
+        held = [(x.column("v").to_numpy(), x.column("u").to_numpy()) for x in batches if x.num_rows]
+        if held:
+            v, u = forest(*map(np.concatenate, zip(*held)))
+            for lo in range(0, len(v), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(v[lo : lo + (1 << 17)]), pa.array(u[lo : lo + (1 << 17)])], ["v", "u"])
+
     edges = materialize(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u < v").distinct(), "edges")
     mark = None
     while True:
-        both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
+        parts = max(1, -(-edges.count() // EDGES))
+        before, stars = edges, materialize(mapped(edges.coalesce(parts), run, "v long, u long"), "stars")
+        discard(before)
+        if parts == 1:
+            labels = stars.select("v", F.col("u").alias("class"))
+            break
+        both = stars.unionByName(stars.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.min(F.least("u", "v")).alias("m"))
         large = both.where("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("u < v").distinct()
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v")
         small = small.select("v", F.col("m").alias("u")).unionByName(small.select(F.col("u").alias("v"), F.col("m").alias("u"))).where("u < v").distinct()
-        before, edges = edges, materialize(small, "edges")
-        discard(before)
+        edges = materialize(small, "edges")
+        discard(stars)
         seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
+            labels = edges.groupBy("v").agg(F.min("u").alias("class"))
             break
         mark = seen
-    labels = edges.groupBy("v").agg(F.min("u").alias("class"))
     return labels.select(F.col("v").alias("id"), "class").unionByName(labels.select(F.col("class").alias("id"), "class").distinct())
 
 
@@ -300,7 +334,7 @@ def _large_clusters(whole: DataFrame, hubs: DataFrame, similarity: float) -> Dat
             root, near = at[same], np.flatnonzero(table.column("near").to_numpy(zero_copy_only=False))
             root[np.isin(root, root[near])] = near[0] if len(near) else 0  # all are linked to the hub
             root = connect(elements, first, root, table.column("active").to_numpy(zero_copy_only=False), similarity)
-            made = np.stack([ids[root], ids])[:, ids[root] != ids]
+            made = forest(ids[root], ids)
             yield pa.RecordBatch.from_arrays([pa.array(made[0]), pa.array(made[1])], ["a", "b"])
 
     dealt = left.unionByName(right).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")

@@ -123,7 +123,9 @@ def test_empty(spark):
     assert mh.classes(empty).collect() == [] and mh.deduplicate(empty).collect() == []
 
 
-def test_components_of_a_path_and_a_star(spark):
+@pytest.mark.parametrize("edges", [mh.EDGES, 9])
+def test_components_of_a_path_and_a_star(spark, monkeypatch, edges):
+    monkeypatch.setattr(mh, "EDGES", edges)  # few for a task: rounds
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, x) for x in range(101, 140)]
     random.Random(0).shuffle(edges)
     got = {r.id: r["class"] for r in mh.components(spark.createDataFrame(edges, "a long, b long")).collect()}
