@@ -49,8 +49,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir, each written and read again."""
+    """All stages over the documents of sf_dir, each written and read again; a stage's table goes when the next is written."""
     docs = common.documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = common.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, common.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        common.discard(before)
     return docs
