@@ -134,7 +134,8 @@ def _nearest_to(rows: list[Row], queries: DataFrame, vectors: DataFrame, k: int,
                 continue
             own = np.array(batch["vector"].tolist(), float)
             groups = list(batch.groupby(list(by), dropna=False).indices.values()) if by else [np.arange(len(batch))]
-            for name, q in zip(names, matrix):
+            found, distances, owners = [], [], []
+            for number, q in enumerate(matrix):
                 distance = ((own - q) ** 2).sum(1)
                 for at in groups:
                     d = distance[at]
@@ -142,11 +143,13 @@ def _nearest_to(rows: list[Row], queries: DataFrame, vectors: DataFrame, k: int,
                         at = at[d <= np.partition(d, k - 1)[k - 1]]  # ties go on: the order of ids decides later
                     if radius is not None:
                         at = at[distance[at] <= radius]
-                    if len(at):
-                        out = batch.iloc[at][["id", *other]].copy()
-                        out.insert(1, "distance", distance[at])
-                        out.insert(0, "query", name)
-                        yield out[["query", "id", "distance", *other]]
+                    found.append(at)
+                    distances.append(distance[at])
+                    owners.append(np.full(len(at), number))
+            out = batch.iloc[np.concatenate(found)][["id", *other]].reset_index(drop=True)
+            out.insert(1, "distance", np.concatenate(distances))
+            out.insert(0, "query", [names[i] for i in np.concatenate(owners).tolist()])
+            yield out
 
     return vectors.mapInPandas(run, schema)
 
