@@ -6,6 +6,7 @@ would need beyond that (macro expansion, types) is left out. Files that cannot b
 
 from __future__ import annotations
 
+import bisect
 import re
 import uuid
 from collections.abc import Iterator
@@ -63,13 +64,19 @@ def _end(clean: str, at: int, value: bool) -> tuple[int, bool]:
     return at, at < len(clean) and clean[at] == "{"
 
 
-def parse(file_path: str, source: str) -> list[dict]:
-    """The file's module and its items; spans are byte offsets."""
-    clean = _SKIP.sub(_blank, source)
+def without_comments(source: str) -> str:
+    """The source with blanks for comments, strings and characters."""
+    return _SKIP.sub(_blank, source)
+
+
+def parse(file_path: str, source: str, details: bool = False) -> list[dict]:
+    """The file's module and its items; spans are byte offsets. With details, also where in the source an item begins
+    (lo), its body or semicolon stands (stop), it ends (hi), and what is before it begins (gap), and vis_path."""
+    clean = without_comments(source)
     root = module_path(file_path)
     new = lambda kind, name, start, path: str(uuid.uuid5(PROJECT, "\x1f".join([file_path, "::".join(path), name, str(start), kind])))
-    top = {"id": new("module", root[-1], 0, root), "node_type": "module", "name": root[-1], "vis_kind": "Public", "path": root, "parent": None, "lo": 0, "hi": len(source)}
-    out, stack, depth, at = [top], [(top, 0)], 0, 0
+    top = {"id": new("module", root[-1], 0, root), "node_type": "module", "name": root[-1], "vis_kind": "Public", "path": root, "parent": None, "lo": 0, "hi": len(source), "stop": 0, "gap": 0, "vis_path": None}
+    out, stack, depth, at, gap = [top], [(top, 0)], 0, 0, 0
     while at < len(clean):
         c = clean[at]
         if c == "{":
@@ -89,7 +96,9 @@ def parse(file_path: str, source: str) -> list[dict]:
                 stop, body = _end(clean, found.end(), kind in ("const", "static", "import"))
                 name = found["name"] or clean[found.end("key") : stop].strip()
                 path = [*owner["path"], name] if kind == "module" else owner["path"]
-                item = {"id": new(kind, name, at, owner["path"]), "node_type": kind, "name": name, "vis_kind": vis, "path": path, "parent": owner["id"], "lo": at, "hi": stop + 1}
+                item = {"id": new(kind, name, at, owner["path"]), "node_type": kind, "name": name, "vis_kind": vis, "path": path, "parent": owner["id"], "lo": at, "hi": stop + 1, "stop": stop, "gap": gap}
+                inside = re.search(r"\(\s*(?:in\s+)?([^)]*)\)", found["vis"] or "")
+                item["vis_path"] = inside[1].strip().split("::") if inside else None
                 out.append(item)
                 if body and kind in ("module", "impl", "trait"):
                     depth += 1
@@ -97,17 +106,30 @@ def parse(file_path: str, source: str) -> list[dict]:
                 elif body:  # nothing inside is an item
                     stop = _close(clean, stop)
                     item["hi"] = stop + 1
-                at = stop + 1
+                at = gap = stop + 1
                 continue
             word = re.compile(r"\w+").match(clean, at)
             at = word.end() if word else at + 1
             continue
         at += 1
-    to_bytes = lambda n: len(source[:n].encode())
+    ends = [0]  # bytes before each line
+    for line in source.split("\n"):
+        ends.append(ends[-1] + len(line.encode()) + 1)
+    starts = [0]
+    for line in source.split("\n"):
+        starts.append(starts[-1] + len(line) + 1)
+
+    def to_bytes(n: int) -> int:
+        line = bisect.bisect_right(starts, n) - 1
+        return ends[line] + len(source[starts[line] : n].encode())
+
     for item in out:
         body = " ".join(_SKIP.sub(lambda m: m[0] if m[0][:1] not in "/" else " ", source[item["lo"] : item["hi"]]).split())
         item["tracking_hash"] = str(uuid.uuid5(PROJECT, f"{file_path}::CONTENT::{body}"))
-        item["span_start"], item["span_end"] = to_bytes(item.pop("lo")), to_bytes(item.pop("hi"))
+        item["span_start"], item["span_end"] = to_bytes(item["lo"]), to_bytes(item["hi"])
+        if not details:
+            for extra in ("lo", "hi", "stop", "gap", "vis_path"):
+                del item[extra]
     return out
 
 
