@@ -8,8 +8,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import schema
 from tessera.functions import text as X
 from tessera.operators import embeddings, graph, maintenance, retrieval, temporal
+from tessera.sources import files as sources
+from tessera.sources import rust_relations
 
 TOKENIZER_VERSION = "code-1"
 
@@ -110,3 +113,37 @@ def apply_changes(stored: DataFrame, current: DataFrame, files: DataFrame, edges
     modules = files.join(changes, "file_path").select(F.col("owner_id").alias("id"))
     touched = graph.reachable(edges, modules, kinds)
     return {"changes": changes, "touched": touched.select("id"), "vectors": embeddings.retract_changed(vectors, set_id, modules, edges, ts, kinds)}
+
+
+#: The column of a relation that names the node it belongs to.
+OWNERS = ("owner_id", "function_id", "source_id", "id")
+
+
+def refresh(tables: dict[str, DataFrame], stored: DataFrame, contents: DataFrame, vectors: DataFrame, postings: DataFrame, set_id: int, ts: int) -> dict[str, DataFrame]:
+    """The whole change pipeline: files(file_path, content) whose hash is no longer the stored one are read again, alone;
+    what was known of them is retracted in all versioned relations, as are the vectors of their items, so that these are
+    pending; and the postings of their items are replaced. Returns changes, vectors, postings, and the relations."""
+    changes = graph.written(maintenance.scan_changes(stored, sources.file_hashes(contents)))
+    now = {name: temporal.live(tables[name], schema.RELATIONS[name].keys) for name in ("file_mod", "syntax_edge")}
+    roots = now["file_mod"].join(changes.where("change != 'added'"), "file_path", "left_semi").select(F.col("owner_id").alias("id"))
+    old = graph.written(graph.reachable(now["syntax_edge"], roots, graph.ITEM_KINDS).select("id"))
+    changed = contents.join(changes.where("change != 'removed'"), "file_path", "left_semi")
+    fresh = rust_relations.to_tables(graph.written(rust_relations.parse_rows(changed)), ts)
+    out = {}
+    for name, table in tables.items():
+        owner = next((c for c in OWNERS if c in table.columns), None)
+        if owner is None or not schema.RELATIONS[name].versioned:
+            known = table.columns[0]
+            out[name] = table.unionByName(fresh[name].join(table.select(known).distinct(), known, "left_anti"), allowMissingColumns=True)
+            continue
+        keys = list(schema.RELATIONS[name].keys)
+        gone = table.join(old, table[owner] == old["id"], "left_semi").select(*keys)
+        out[name] = graph.written(temporal.retract_rows(table, gone, keys, F.lit(ts - 1).cast("long")).unionByName(fresh[name], allowMissingColumns=True))
+    ids = old.select(F.col("id").alias("node_id"), F.lit(set_id).cast("long").alias("set_id"))
+    items = fresh["function"].select("id", "name", F.col("body").alias("text")).unionByName(fresh["method"].select("id", "name", F.col("body").alias("text")))
+    kept = retrieval.remove_docs(postings, old.select(F.col("id").alias("doc")))
+    return {
+        "changes": changes,
+        "vectors": temporal.retract_rows(vectors, ids, ["node_id", "set_id"], F.lit(ts).cast("long")),
+        "postings": kept.unionByName(build_index(items)),
+    } | out

@@ -87,6 +87,41 @@ def import_rows(existing: dict[str, DataFrame], incoming: dict[str, DataFrame],
     return {name: df.unionByName(incoming[name], allowMissingColumns=True) if name in incoming else df for name, df in existing.items()}
 
 
+def workspace_conflicts(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """(field, value): roots of incoming workspaces(namespace, root_path, members) other than the one that is loaded."""
+    roots = existing.select(F.col("root_path").alias("__root")).distinct()
+    other = incoming.select(F.col("root_path").alias("value")).distinct().join(F.broadcast(roots.agg(F.min("__root").alias("__root"))))
+    return other.where("__root is not null and value != __root").select(F.lit("workspace_root").alias("field"), "value")
+
+
+def merge_workspaces(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """workspaces(root_path, members): one row for each root, with the members of both, sorted."""
+    every = existing.select("root_path", "members").unionByName(incoming.select("root_path", "members"))
+    return every.groupBy("root_path").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("members")))).alias("members"))
+
+
+def import_namespace(existing: dict[str, DataFrame], incoming: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], set[str]]:
+    """Relations after an import, and the indexes that it makes stale. crates(namespace, name, root_path) and, if there,
+    workspaces(root_path, members) must not conflict; workspaces are merged, other relations appended."""
+    report = conflicts(existing["crates"], incoming["crates"])
+    if "workspaces" in existing and "workspaces" in incoming:
+        report = report.unionByName(workspace_conflicts(existing["workspaces"], incoming["workspaces"]))
+    out = import_rows(existing, incoming, report)
+    if "workspaces" in existing and "workspaces" in incoming:
+        out["workspaces"] = merge_workspaces(existing["workspaces"], incoming["workspaces"])
+    return out, {"sparse", "dense"}
+
+
+def remove_namespace(relations: dict[str, tuple[DataFrame, str]], crates: DataFrame, files: DataFrame, edges: DataFrame, workspaces: DataFrame, namespace: str) -> tuple[dict[str, DataFrame], set[str]]:
+    """Relations without a namespace: its inventory's rows, the edges that touch them, its crate and files, and its place
+    among the workspaces' members; and the indexes that this makes stale (none if nothing was removed)."""
+    ids = graph.written(inventory(crates, files, edges, namespace).select("id"))
+    out = remove(relations, ids, edges)
+    out["crates"], out["files"] = (df.where(F.col("namespace") != namespace) for df in (crates, files))
+    out["workspaces"] = workspaces.withColumn("members", F.array_remove("members", namespace))
+    return out, {"sparse", "dense"} if ids.limit(1).count() else set()
+
+
 def remove(relations: dict[str, tuple[DataFrame, str]], ids: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
     """Relations without the rows of ids, and edges without those that touch one."""
     gone = ids.select("id").distinct()

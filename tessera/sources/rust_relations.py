@@ -148,7 +148,11 @@ class Collector:
             name = head.strip().removeprefix("const ").strip()
             self.add(kind, id=id, owner_id=owner, name=name, bounds=[bounds.strip()] if kind == "generic_const" else split_top(bounds, "+"))
 
-    def fields(self, owner: str, text: str, named: bool) -> list[str]:
+    def edge(self, source: str, target: str, relation: str, source_kind: str, target_kind: str) -> None:
+        self.add("syntax_edge", source_id=source, target_id=target, relation_kind=relation, source_kind=source_kind, target_kind=target_kind)
+
+    def fields(self, owner: str, text: str, named: bool, kind: str) -> list[str]:
+        """Fields of a struct, union or variant."""
         out = []
         for k, part in enumerate(split_top(text, ",")):
             docs, attributes = above(part)
@@ -157,10 +161,11 @@ class Collector:
                 continue
             vis = re.match(r"pub\b\s*(\([^)]*\))?\s*", part)
             body = part[vis.end() :] if vis else part
-            name, _, kind = body.partition(":") if named else (str(k), "", body)
+            name, _, of = body.partition(":") if named else (str(k), "", body)
             id = str(uuid.uuid5(PROJECT, f"{owner}::FIELD::{k}::{name.strip()}"))
             seen = "Inherited" if not vis else "Public" if not vis[1] else "Crate" if "crate" in vis[1] else "Restricted"
-            self.add("field", id=id, owner_id=owner, index=k, name=name.strip(), type_id=self.type(kind), vis_kind=seen)
+            self.add("field", id=id, owner_id=owner, index=k, name=name.strip(), type_id=self.type(of), vis_kind=seen)
+            self.edge(owner, id, f"{kind.capitalize()}Field", kind, "field")
             self.attributes(id, attributes)
             out.append(id)
         return out
@@ -213,7 +218,7 @@ def rows_of(file_path: str, source: str) -> list[tuple[str, dict]]:
             tail = tail[at:].lstrip()
         if parent is not None:
             edge = "ImplAssociatedItem" if parent["node_type"] == "impl" else "TraitAssociatedItem" if parent["node_type"] == "trait" else "Contains"
-            made.add("syntax_edge", source_id=parent["id"], target_id=id, relation_kind=edge, source_kind=parent["node_type"], target_kind=kind)
+            made.edge(parent["id"], id, edge, parent["node_type"], kind)
         if kind == "module":
             made.add("module", **node, **shown, path=x["path"], module_kind="file" if parent is None else "inline" if body.startswith("{") else "declaration")
             if parent is None:
@@ -237,7 +242,7 @@ def rows_of(file_path: str, source: str) -> list[tuple[str, dict]]:
         elif kind in ("struct", "union"):
             tuple_body = enclosed(tail, 0)[0] if tail.startswith("(") else None
             inside = clean[stop + 1 : hi - 1] if body.startswith("{") else ""
-            ids = made.fields(id, source_like(source, clean, stop + 1, hi - 1) if body.startswith("{") else inside, True) if tuple_body is None else made.fields(id, tuple_body, False)
+            ids = made.fields(id, source_like(source, clean, stop + 1, hi - 1) if body.startswith("{") else inside, True, kind) if tuple_body is None else made.fields(id, tuple_body, False, kind)
             made.add(kind, **item, fields=ids)
         elif kind == "enum":
             ids = []
@@ -250,9 +255,10 @@ def rows_of(file_path: str, source: str) -> list[tuple[str, dict]]:
                 variant = str(uuid.uuid5(PROJECT, f"{id}::VARIANT::{k}::{name}"))
                 if rest[:1] in ("(", "{"):
                     inside, at = enclosed(rest, 0)
-                    made.fields(variant, inside, rest[0] == "{")
+                    made.fields(variant, inside, rest[0] == "{", "variant")
                     rest = rest[at:].strip()
                 made.add("variant", id=variant, owner_id=id, index=k, name=name, discriminant=rest[1:].strip() if rest[:1] == "=" else None)
+                made.edge(id, variant, "EnumVariant", "enum", "variant")
                 ids.append(variant)
             made.add("enum", **item, variants=ids)
         elif kind == "trait":

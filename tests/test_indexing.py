@@ -1,10 +1,13 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tessera import schema
 from tessera.operators import embeddings as E
 from tessera.operators import graph as G
 from tessera.operators import indexing as N
+from tessera.operators import maintenance as M
 from tessera.operators import temporal as T
+from tessera.sources import files, rust_relations
 
 
 def rows(df):
@@ -46,3 +49,43 @@ def test_units_and_changes(spark):
     places = spark.createDataFrame([("f", ["crate"], "run", "src/lib.rs")], "id string, module_path array<string>, name string, file_path string")
     assert rows(N.canonical_id(places, "crate::run")) == [("f",)]
     assert G.PRIMARY
+
+
+def test_refresh_reads_changed_files_again(spark):
+    def contents(**texts):
+        return spark.createDataFrame([(f"src/{k}.rs", bytearray(v.encode())) for k, v in texts.items()], "file_path string, content binary")
+
+    before = contents(a="fn one() { old(); }\nstruct S { x: u8 }", b="fn two() {}", c="fn three() {}")
+    tables = {k: G.written(v) for k, v in rust_relations.to_tables(G.written(rust_relations.parse_rows(before)), 1).items() if k in ("function", "method", "struct", "field", "file_mod", "module", "syntax_edge", "named_type")}
+    stored = G.written(files.file_hashes(before))
+    nodes = tables["function"].select("id", "name", F.col("body").alias("text"))
+    vectors = nodes.select(F.col("id").alias("node_id"), F.lit(1).cast("long").alias("set_id"), F.array(F.lit(1.0).cast("float")).alias("vector"), F.lit(1).cast("long").alias("ts"), F.lit(True).alias("is_assert"))
+    postings = N.build_index(nodes)
+    after = contents(a="fn one() { fresh(); }\nstruct S { y: u16 }", b="fn two() {}", d="fn four() {}")
+    out = N.refresh(tables, stored, after, vectors, postings, 1, 5)
+    assert {(r.file_path, r.change) for r in out["changes"].collect()} == {("src/a.rs", "modified"), ("src/c.rs", "removed"), ("src/d.rs", "added")}
+    live = lambda name: T.live(out[name], schema.RELATIONS[name].keys)
+    assert sorted((r.name, r.body) for r in live("function").collect()) == [("four", "{}"), ("one", "{ fresh(); }"), ("two", "{}")]
+    assert [r.name for r in live("field").collect()] == ["y"] and live("file_mod").count() == 3
+    assert {r.name for r in nodes.join(T.live(out["vectors"], ["node_id", "set_id"]), F.col("node_id") == F.col("id"), "left_semi").collect()} == {"two"}
+    terms = {r.term for r in out["postings"].select("term").distinct().collect()}
+    assert {"fresh", "four", "two"} <= terms and not {"old", "three"} & terms
+
+
+def test_namespaces_with_workspaces(spark):
+    crates = lambda *rows: spark.createDataFrame(list(rows), "namespace string, name string, root_path string")
+    spaces = lambda root, *members: spark.createDataFrame([(root, list(members))], "root_path string, members array<string>")
+    existing = {"crates": crates(("n1", "a", "/w/a")), "workspaces": spaces("/w", "n1")}
+    out, stale = M.import_namespace(existing, {"crates": crates(("n2", "b", "/w/b")), "workspaces": spaces("/w", "n2", "n1")})
+    assert stale == {"sparse", "dense"} and out["crates"].count() == 2
+    assert [(r.root_path, r.members) for r in out["workspaces"].collect()] == [("/w", ["n1", "n2"])]
+    for wrong, space in ((("n2", "a", "/w/b"), "/w"), (("n2", "b", "/x/b"), "/x")):
+        with pytest.raises(ValueError):
+            M.import_namespace(existing, {"crates": crates(wrong), "workspaces": spaces(space, "n2")})
+    own = spark.createDataFrame([("k1", "n1"), ("k2", "n2")], "id string, namespace string")
+    files_ = spark.createDataFrame([("f1", "x.rs", "n1"), ("f2", "y.rs", "n2")], "owner_id string, file_path string, namespace string")
+    edges = spark.createDataFrame([("f1", "i1", "Contains"), ("f2", "i2", "Contains"), ("i2", "i1", "Uses")], "source_id string, target_id string, relation_kind string")
+    nodes = spark.createDataFrame([("i1",), ("i2",)], "id string")
+    left, stale = M.remove_namespace({"nodes": (nodes, "id")}, own, files_, edges, out["workspaces"], "n1")
+    assert [r.id for r in left["nodes"].collect()] == ["i2"] and left["edges"].count() == 1 and left["files"].count() == 1 and stale
+    assert [r.members for r in left["workspaces"].collect()] == [["n2"]]
