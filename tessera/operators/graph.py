@@ -112,6 +112,18 @@ def reachable(edges: DataFrame, seeds: DataFrame, kinds: Sequence[str] | None =
         beyond, steps, jump = beyond.unionByName(new), _doubled(steps), jump * 2
 
 
+def reachable_by(edges: DataFrame, seeds: DataFrame, mark: str) -> DataFrame:
+    """(mark, id): nodes reached along edges from the seeds(mark, id) of each mark; edges are not multiplied by marks."""
+    step = edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("__next")).distinct()
+    new = written(seeds.select(mark, "id").distinct())
+    known = new
+    while new.limit(1).count():
+        found = new.join(step, "id").select(mark, F.col("__next").alias("id")).distinct()
+        new = written(found.join(known, [mark, "id"], "left_anti"))
+        known = known.unionByName(new)
+    return known
+
+
 def file_owner(modules: DataFrame, files: DataFrame, closed: DataFrame) -> DataFrame:
     """(module_id, file_path, namespace): a module's own file, or that of an ancestor."""
     own = modules.select(F.col("id").alias("module_id")).withColumn("owner_id", F.col("module_id"))

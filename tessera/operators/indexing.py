@@ -82,13 +82,8 @@ def unit_masks(units: DataFrame, files: DataFrame, edges: DataFrame, cfgs: DataF
         out = cfgs.where(~holds).select("id")
         edges = edges.join(out.withColumnRenamed("id", "target_id"), "target_id", "left_anti")
         roots = roots.join(out, "id", "left_anti")
-    # units are few: one walk for all of them, on nodes marked with their unit
-    marked = edges.join(F.broadcast(units.select("cu_id")))
-    pair = lambda c: F.concat_ws("\x1f", F.col("cu_id").cast("string"), c)
-    steps = marked.where(F.col("relation_kind").isin(*graph.ITEM_KINDS, *graph.LINK_KINDS)).select(pair("source_id").alias("source_id"), pair("target_id").alias("target_id"), "relation_kind")
-    found = graph.reachable(steps, roots.select(pair("id").alias("id")), None)
-    parts = F.split("id", "\x1f")
-    nodes = found.select(parts[0].alias("cu_id"), parts[1].alias("node_id"))
+    steps = edges.where(F.col("relation_kind").isin(*graph.ITEM_KINDS, *graph.LINK_KINDS))
+    nodes = graph.reachable_by(steps, roots, "cu_id").select(F.col("cu_id").cast("string").alias("cu_id"), F.col("id").alias("node_id"))
     kept = maintenance.mask_edges(edges, nodes).select("cu_id", "source_id", "target_id", "relation_kind")
     kept_files = nodes.join(files, F.col("node_id") == F.col("owner_id")).select("cu_id", "file_path").distinct()
     return {"nodes": nodes, "edges": kept, "files": kept_files}

@@ -248,10 +248,18 @@ def cfg_column(text: str, atoms: dict[str, Column]) -> Column:
 
 def overlaps(edits: DataFrame) -> DataFrame:
     """(a, b): edits(id, file, start, end) of one file whose ranges overlap; reversed ranges are turned round, empty ones
-    widened by 1."""
-    r = _ranges(edits)
-    a, b = (r.select("file", F.col("id").alias(x), F.col("lo").alias(f"{x}_lo"), F.col("hi").alias(f"{x}_hi")) for x in ("a", "b"))
-    return a.join(b, "file").where("a < b AND a_lo < b_hi AND b_lo < a_hi").select("a", "b").distinct()
+    widened by 1.
+
+    A range of up to 2**n bytes lies in two cells of 2**n at most. Ranges meet in the cells of the longer one, so edits of
+    one file that are far apart never do, however many it has.
+    """
+    r = _ranges(edits).withColumn("level", F.ceil(F.log2((F.col("hi") - F.col("lo")).cast("double"))).cast("int"))
+    cells = lambda level: F.explode(F.sequence(F.expr(f"shiftright(lo, {level})"), F.expr(f"shiftright(hi - 1, {level})")))
+    own = r.select("file", "id", "lo", "hi", "level", cells("level").alias("cell"))
+    levels = r.select("file", F.col("level").alias("__at")).distinct()
+    met = r.join(levels, "file").where("__at >= level").select("file", F.col("id").alias("__id"), F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), F.col("level").alias("__level"), F.col("__at").alias("level"), cells("__at").alias("cell"))
+    pairs = own.join(met, ["file", "level", "cell"]).where("(__level < level OR id < __id) AND id != __id AND lo < __hi AND __lo < hi")
+    return pairs.select(F.least("id", "__id").alias("a"), F.greatest("id", "__id").alias("b")).distinct()
 
 
 def _ranges(edits: DataFrame) -> DataFrame:
@@ -261,8 +269,8 @@ def _ranges(edits: DataFrame) -> DataFrame:
 
 def accept_greedily(edits: DataFrame) -> DataFrame:
     """(id, status) of proposals with edits(id, proposed_at, file, start, end): the newest first (then the largest id),
-    each is accepted unless it overlaps an accepted one; the others are Stale. Proposals are decided together only if
-    files connect them."""
+    each is accepted unless it overlaps an accepted one; the others are Stale. Each depends on all newer ones of its
+    files, so proposals that files connect are decided in one task, which holds their ranges; others elsewhere."""
     ranges = _ranges(edits)
     links = ranges.select(F.concat(F.lit("p:"), "id").alias("a"), F.concat(F.lit("f:"), "file").alias("b")).distinct()
     flat = links.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"))

@@ -173,7 +173,7 @@ def knn_graph(vectors: DataFrame, k: int, by: str) -> DataFrame:
     leave a pair of blocks.
     """
     rows_per_block = 2048
-    sizes = F.broadcast(vectors.groupBy(by).agg(F.count("*").alias("__n")))
+    sizes = vectors.groupBy(by).agg(F.count("*").alias("__n"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("__n") / rows_per_block))
     dealt = vectors.select(by, "id", "vector").join(sizes, by).select(by, "id", "vector", blocks.alias("__blocks"), F.pmod(F.xxhash64("id"), blocks).alias("__block"))
     left = dealt.select(by, "id", "vector", F.col("__block").alias("__a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)).alias("__b"))
