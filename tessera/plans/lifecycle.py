@@ -18,7 +18,7 @@ from tessera.operators import vector_index as V
 from tessera.plans import graphs
 from tessera.plans.registry import query
 from tessera.plans.retrieval import NEAR_SQL, TOKENS_SQL, TOP, _queries, _vectors
-from tessera.sources import files
+from tessera.sources import files, rust_relations
 from tessera.streaming import streams
 
 # ---- the sparse index
@@ -328,6 +328,39 @@ def subtree_delete(t):
     return G.delete_subtree(messages, messages.where("turn = 2").select("id")).select("conv_id", "turn")
 
 
+@query("SELECT sum(strlen(n_name) + 1)::BIGINT AS bytes FROM nation")
+def source_discovery(t):
+    """Files of one pattern found below a folder, whatever else lies there."""
+    path = shared.scratch(t.spark, "sources")
+    t.nation.select("n_name").repartition(3).write.text(f"{path}/a/b")
+    t.region.write.parquet(f"{path}/c")
+    return files.source_files(t.spark, path, "*.txt").agg(F.sum("length").alias("bytes"))
+
+
+def _sources(t):
+    text = F.concat(
+        F.lit("/// Part.\n#[derive(Debug)]\npub struct P"), "p_partkey", F.lit(" {\n    pub size: Vec<u"), "p_size", F.lit(">, // \"}\n    name: String,\n}\nimpl P"), "p_partkey",
+        F.lit(" {\n    fn get(&self, mut k: usize) -> u"), "p_size", F.lit(" { self.size[k] }\n}\n"),
+    )
+    return t.part.select(F.concat(F.lit("src/p"), "p_partkey", F.lit(".rs")).alias("file_path"), F.encode(text, "UTF-8").alias("content"))
+
+
+@query("SELECT 'P' || p_partkey AS struct, unnest(['size', 'name']) AS field, unnest(['Public', 'Inherited']) AS visible, unnest(['Vec', 'String']) AS type FROM part")
+def rust_fields(t):
+    """Fields of structs with the types they name, from a source file for each part."""
+    tables = rust_relations.to_tables(shared.materialize(rust_relations.parse_rows(_sources(t)), "rows"), 1)
+    types = tables["named_type"].select("type_id", F.element_at("path", -1).alias("type"))
+    named = tables["struct"].select(F.col("id").alias("owner_id"), F.col("name").alias("struct"))
+    return tables["field"].join(named, "owner_id").join(types, "type_id").select("struct", F.col("name").alias("field"), F.col("vis_kind").alias("visible"), "type")
+
+
+@query("SELECT 'src/p' || p_partkey || '.rs' AS file_path, 1::BIGINT AS structs, 1::BIGINT AS impls, 1::BIGINT AS methods, 2::BIGINT AS params, 1::BIGINT AS attributes, 2::BIGINT AS fields FROM part")
+def rust_relation_counts(t):
+    rows = rust_relations.parse_rows(_sources(t))
+    of = lambda name: F.count_if(F.col("relation") == name).alias(f"{name}s")
+    return rows.groupBy("file_path").agg(*map(of, ("struct", "impl", "method", "param", "attribute", "field")))
+
+
 @query("SELECT doc_id, sha256(text) AS hash FROM documents WHERE text IS NOT NULL")
 def file_hashes(t):
     contents = t.documents.where("text is not null").select(F.col("doc_id").alias("file_path"), F.encode("text", "UTF-8").alias("content"))
