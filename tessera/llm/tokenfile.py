@@ -1,13 +1,14 @@
 """Token files: canonical length-limited Huffman coding of token ids in independent blocks.
 
-Code lengths come from the counts of all ids of the corpus (package-merge, at most MAX_BITS bits); canonical codes
+Code lengths come from the counts of all ids of the corpus (package-merge, at most MAX_BITS bits, or as many as a larger
+vocabulary needs); canonical codes
 follow from the lengths alone, so a reader needs just one length for each id. A file is a Parquet table of blocks in
 ascending doc_id order. A block holds the documents of a bounded number of tokens: their ids and sizes, the coded
 bits, and the bit offset of every CHECK-th token. Decoding starts at all those checkpoints at once and moves them
 forward together, one table look-up a token.
 
 Defined cases: a null or empty text has the end id alone. Documents are ordered by doc_id, null first; rows that
-repeat a doc_id stand beside each other in no defined order. One document larger than BLOCK is a block of its own.
+repeat a doc_id stand beside each other, the shorter first, equally long ones by their bytes. One document larger than BLOCK is a block of its own.
 An empty table gives a file without blocks. Other columns are ignored.
 """
 
@@ -41,11 +42,13 @@ READ = "doc_id long, n_tokens long, ids_crc32 long, part int, before long"
 # ---- codes
 
 
-def code_lengths(counts: dict[int, int], most: int = MAX_BITS) -> dict[int, int]:
-    """Length of each id's code: an optimal prefix code of at most `most` bits (package-merge)."""
+def code_lengths(counts: dict[int, int], most: int | None = None) -> dict[int, int]:
+    """Length of each id's code: an optimal prefix code of at most `most` bits (package-merge); by default MAX_BITS, or
+    what that many ids need."""
     symbols = sorted(counts, key=lambda s: (counts[s], s))
     if len(symbols) == 1:
         return {symbols[0]: 1}
+    most = most or max(MAX_BITS, (len(symbols) - 1).bit_length())
     if len(symbols) > 1 << most:
         raise ValueError("more ids than codes of that length")
     weight = np.array([counts[s] for s in symbols], np.float64)
@@ -76,7 +79,8 @@ def code_lengths(counts: dict[int, int], most: int = MAX_BITS) -> dict[int, int]
 class Codebook:
     """Canonical codes: shorter first, then by id."""
 
-    def __init__(self, lengths: dict[int, int], most: int = MAX_BITS):
+    def __init__(self, lengths: dict[int, int]):
+        most = max([MAX_BITS, *lengths.values()])
         order = sorted(lengths, key=lambda s: (lengths[s], s))
         size = (max(order) + 1) if order else 0
         self.most = most
@@ -227,8 +231,8 @@ def write(encoded: DataFrame, lengths: dict[int, int], path: str, part: int = PA
             yield flush()
 
     order = F.col("doc_id").asc_nulls_first()  # encoded is read from files, so sampling its ids for the ranges is cheap
-    ordered = encoded.select("doc_id", "ids").repartitionByRange(parts, order).sortWithinPartitions(order)
-    mapped(ordered, run, BLOCKS).write.parquet(f"{path}/blocks")
+    ordered = encoded.repartitionByRange(parts, order).sortWithinPartitions(order, "n_tokens", "ids")
+    mapped(ordered.select("doc_id", "ids"), run, BLOCKS).write.parquet(f"{path}/blocks")
 
 
 # ---- reading

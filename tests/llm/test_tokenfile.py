@@ -82,3 +82,13 @@ def test_empty_null_and_repeated(spark):
     docs = spark.createDataFrame([(4, "a"), (4, "a"), (None, "b c")], schema)
     got = tf.digest(spark, tf.write_documents(docs, PATH, 2)).collect()
     assert sorted((str(r.doc_id), r.start, r.n_tokens) for r in got) == [("4", 3, 2), ("4", 5, 2), ("None", 0, 3)]
+
+
+def test_vocabularies_beyond_two_bytes():
+    counts = {i: 1 + (i % 997) ** 2 for i in range(70_000)}
+    lengths = tf.code_lengths(counts)
+    assert tf.MAX_BITS < max(lengths.values()) <= 17 and sum(2.0 ** -x for x in lengths.values()) <= 1
+    book = tf.Codebook(lengths)
+    ids = np.random.default_rng(0).integers(0, 70_000, 5000).astype(np.uint32)
+    bits, checkpoints = book.encode(ids)
+    assert (book.decode(bits, checkpoints, len(ids)) == ids).all()
