@@ -58,6 +58,12 @@ def mapped(df: DataFrame, run: Callable[[Iterator], Iterator], schema) -> DataFr
     return df.mapInArrow(lean, schema)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffles and broadcasts that nothing refers to any more; it does so when garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole table of documents."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

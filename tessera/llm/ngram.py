@@ -1,16 +1,17 @@
-"""Bigram language model by deleted interpolation, counted and scored without moving texts.
+"""Trigram language model by deleted interpolation, counted and scored without moving texts.
 
 Documents become segments of a bounded number of tokens, written once: the sorted hashes of a segment's distinct
-words, and for every token the number of its word. Counting asks, for every distinct word and every distinct pair of
+words, and for every token the number of its word. Counting asks, for every distinct word, pair and triple of words of
 a segment, how often the training corpus holds it: hashes go by value ranges to buckets, one for each BUCKET tokens of
 the corpus; each adds up what all segments say about a hash and answers each of them in the order it asked. So a
-frequent word sends one number a segment, and what moves follows the distinct pairs, not the tokens. A segment and
-bucket share one row, and none if the segment has no hash there, so rows are never more than distinct pairs.
+frequent word sends one number a segment, and what moves follows the distinct triples, not the tokens. A segment and
+bucket share one row, and none if the segment has no hash there, so rows are never more than distinct triples.
 
-P(w | h) = l2 c(h w) / c(h) + l1 c(w) / N + l0 / (V + 1), the weights by the context's frequency (buckets of powers of
-two). They are learned by expectation-maximisation on a tenth of the training documents, held out from the counts
-that they are weighed with; the final counts take all of them. Both cover the whole corpus. For learning, tokens whose
-two estimates lie in the same bins (FINE to a factor of two) are added up and stand for the means of their estimates.
+P(w | g h) = l3 c(g h w) / c(g h) + l2 c(h w) / c(h) + l1 c(w) / N + l0 / (V + 1), the weights by the context's frequency
+(buckets of powers of two): that of g h if training holds it, else that of h, where l3 is 0. They are learned by
+expectation-maximisation on a tenth of the training documents, held out from the counts that they are weighed with; the
+final counts take all of them. Both cover the whole corpus. For learning, tokens whose three estimates lie in the same
+bins (FINE to a factor of two) are added up and stand for the means of their estimates.
 
 Defined cases: a null or empty text has the end alone. A null doc_id counts as a training document. Rows that repeat a
 doc_id are scored each for itself. A corpus without training tokens gives every token a probability of one half or
@@ -19,20 +20,24 @@ less by l0 alone. An empty table gives no rows. Other columns are ignored. Texts
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textvec as tv
-from tessera.llm.common import mapped, materialize
+from tessera.llm.common import mapped, materialize, release
 
 #: Tokens of a segment at least, unless a partition ends.
 SEGMENT = 1 << 20
-#: Tokens of the corpus for each bucket of hashes; of pairs, a bucket holds less than half as many.
-BUCKET = 1 << 22
+#: Tokens of the corpus for each bucket of hashes.
+BUCKET = 1 << 21
 #: Bins a factor of two, of the probabilities that weights are learned from.
-FINE = 8
+FINE = 4
+#: Levels of a context's frequency: of one word, and behind them of two.
+LEVELS = 65
 ROUNDS = 100
 END = np.uint64(0x2545F4914F6CDD1D)
 BEGIN = np.uint64(0x9E6C63D0876A9A47)
@@ -128,18 +133,20 @@ class Segment:
         self.folds = np.repeat(folds, self.sizes)  # of each token
         self.doc_ids, self.doc_folds = row["doc_ids"], folds
 
-    def pairs(self) -> np.ndarray:
-        """A hash of each token and the one before it in its text."""
-        h = self.words[self.token]
-        before = np.r_[BEGIN, h[:-1]]
-        before[self.first] = BEGIN
-        with np.errstate(over="ignore"):
-            return tv.mix(before * np.uint64(0xD6E8FEB86659FD93) + h)
-
-    def context(self, of_word: np.ndarray, of_begin: int) -> np.ndarray:
-        """A value of the word before each token; at a text's begin of_begin."""
-        out = np.r_[0, of_word[self.token[:-1]]]
-        out[self.first] = of_begin
+    def grams(self, order: int) -> np.ndarray:
+        """A hash of each token and the order - 1 before it; a text begins behind as many begins."""
+        made = h = self.words[self.token]
+        for _ in range(order - 1):
+            before = np.r_[BEGIN, made[:-1]]
+            before[self.first] = BEGIN
+            with np.errstate(over="ignore"):
+                made = tv.mix(before * np.uint64(0xD6E8FEB86659FD93) + h)
+        return made
+
+    def before(self, values: np.ndarray, at_begin: int) -> np.ndarray:
+        """The value of the token before each; at a text's begin at_begin."""
+        out = np.r_[0, values[:-1]]
+        out[self.first] = at_begin
         return out
 
 
@@ -149,7 +156,7 @@ def _rows(batches):
             yield {c: batch.column(c)[i].as_py() for c in batch.schema.names}
 
 
-def _ask(parts: DataFrame, buckets: int, pairs: bool) -> DataFrame:
+def _ask(parts: DataFrame, buckets: int, order: int) -> DataFrame:
     """What each segment asks of each bucket: distinct hashes, ascending, with its counts in training documents, and in
     those of them that weights are learned on. Buckets are ranges of hashes."""
     cuts = np.array([((b << 64) // buckets) for b in range(1, buckets)], np.uint64)
@@ -157,7 +164,7 @@ def _ask(parts: DataFrame, buckets: int, pairs: bool) -> DataFrame:
     def run(batches):
         for row in _rows(batches):
             s = Segment(row)
-            keys, index = np.unique(s.pairs(), return_inverse=True) if pairs else (s.words, s.token)
+            keys, index = np.unique(s.grams(order), return_inverse=True) if order > 1 else (s.words, s.token)
             counts = np.bincount(index[s.folds > 0], minlength=len(keys))
             held = np.bincount(index[s.folds == 1], minlength=len(keys))
             at = [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
@@ -204,17 +211,20 @@ def _answer(asked: DataFrame) -> DataFrame:
     return asked.groupBy("bucket").applyInArrow(run, ANSWERED)
 
 
-def count(parts: DataFrame, buckets: int, pairs: bool) -> DataFrame:
+def count(parts: DataFrame, buckets: int, order: int) -> DataFrame:
     """Ask and answer; one row a segment and bucket."""
-    return materialize(_answer(_ask(parts, buckets, pairs)), "pairs" if pairs else "words")
+    answers = materialize(_answer(_ask(parts, buckets, order)), f"grams-{order}")
+    release(parts.sparkSession)  # the questions
+    return answers
 
 
-def _joined(parts: DataFrame, words: DataFrame, pairs: DataFrame) -> DataFrame:
+def _joined(parts: DataFrame, counted: list[DataFrame]) -> DataFrame:
     """Segments with all the answers they got, in the order of buckets. A segment is bounded, and so are its answers."""
-    for name, answers in (("w", words), ("p", pairs)):
-        gathered = answers.where("segment is not null").groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("bucket", "counts", "held"))).alias(name))
-        parts = parts.join(gathered, "segment")
-    return parts
+    every = [x.where("segment is not null").withColumn("order", F.lit(k)) for k, x in enumerate(counted)]
+    gathered = reduce(DataFrame.unionByName, every).groupBy("segment").agg(
+        *(F.array_sort(F.collect_list(F.when(F.col("order") == k, F.struct("bucket", "counts", "held")))).alias(f"g{k}") for k in range(len(every)))
+    )
+    return parts.join(gathered, "segment")
 
 
 def _gather(answers: list[dict], key: str) -> np.ndarray:
@@ -227,50 +237,50 @@ def _level(counts: np.ndarray) -> np.ndarray:
 
 
 def _probabilities(s: Segment, row: dict, total: int, texts: int, learning: bool):
-    """For each token (when learning: from the counts without the held part): level of its context, the two
-    maximum-likelihood estimates, and its word's count."""
-    words, pairs = _gather(row["w"], "counts"), _gather(row["p"], "counts")
-    if learning:
-        words, pairs = words - _gather(row["w"], "held"), pairs - _gather(row["p"], "held")
-    _, index = np.unique(s.pairs(), return_inverse=True)
-    context = s.context(words, texts)
-    seen = words[s.token]
-    return _level(context), pairs[index] / np.maximum(context, 1), seen / max(total, 1), seen
+    """For each token (when learning: from the counts without the held part): level of its context, the three
+    maximum-likelihood estimates, longest first, and its word's count."""
+    counts = [_gather(row[f"g{k}"], "counts") - (_gather(row[f"g{k}"], "held") if learning else 0) for k in range(3)]
+    seen = counts[0][s.token]
+    pair, triple = (counts[k][np.unique(s.grams(k + 1), return_inverse=True)[1]] for k in (1, 2))
+    one, two = s.before(seen, texts), s.before(pair, texts)
+    level = np.where(two > 0, LEVELS + _level(two), _level(one))
+    return level, (triple / np.maximum(two, 1), pair / np.maximum(one, 1), seen / max(total, 1)), seen
 
 
 def learn(joined: DataFrame, tokens: int, distinct: int, texts: int) -> np.ndarray:
-    """Weights (l2, l1, l0) of each context level, by expectation-maximisation over a histogram of all tokens of the
+    """Weights (l3, l2, l1, l0) of each context level, by expectation-maximisation over a histogram of all tokens of the
     learning segments."""
 
     def run(batches):
         for row in _rows(batches):
             s = Segment(row)
-            level, p2, p1, _ = _probabilities(s, row, tokens, texts, True)
-            q2, q1 = (np.where(p > 0, np.round(-np.log2(np.maximum(p, 1e-300)) * FINE), -1).astype(np.int64) for p in (p2, p1))
-            code = (level.astype(np.int64) << 40) + (q2 + 1 << 20) + q1 + 1  # a bin is below 2**14
+            level, estimates, _ = _probabilities(s, row, tokens, texts, True)
+            code = level.astype(np.int64)
+            for p in estimates:  # a bin is below 2**12
+                code = code << 12 | np.where(p > 0, np.round(-np.log2(np.maximum(p, 1e-300)) * FINE) + 1, 0).astype(np.int64)
             cell, index, n = np.unique(code, return_inverse=True, return_counts=True)
-            sums = [np.bincount(index, x) for x in (p2, p1)]
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n), *map(pa.array, sums)], ["cell", "n", "s2", "s1"])
-
-    rows = mapped(joined, run, "cell long, n long, s2 double, s1 double").groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("n", "s2", "s1"))).toPandas()
-    rows["level"] = rows["cell"] // (1 << 40)  # bounded by the bins, whatever the corpus
-    rows = rows.sort_values("cell")
-    weights = np.tile(np.array([0.3, 0.5, 0.2]), (65, 1))
-    weights[0] = (0, 0.8, 0.2)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n), *(pa.array(np.bincount(index, p)) for p in estimates)], ["cell", "n", "s3", "s2", "s1"])
+
+    sums = mapped(joined, run, "cell long, n long, s3 double, s2 double, s1 double").groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("n", "s3", "s2", "s1")))
+    rows = sums.orderBy("cell").toPandas()  # bounded by the bins, whatever the corpus
+    weights = np.tile(np.array([0.0, 0.3, 0.5, 0.2]), (2 * LEVELS, 1))
+    weights[0] = (0, 0, 0.8, 0.2)
+    weights[LEVELS:] = (0.3, 0.3, 0.3, 0.1)
     known = []
-    for level, own in rows.groupby("level"):
-        p = np.stack([own["s2"] / own["n"], own["s1"] / own["n"], np.full(len(own), 1 / (distinct + 1))], 1)
+    for level, own in rows.groupby(rows["cell"] // (1 << 36)):
         n, w = own["n"].to_numpy(float), weights[level].copy()
+        p = np.stack([*(own[c] / n for c in ("s3", "s2", "s1")), np.full(len(own), 1 / (distinct + 1))], 1)
         for _ in range(ROUNDS):
             share = p * w
-            share = (share / share.sum(1, keepdims=True) * n[:, None]).sum(0) + np.array([0.01 * (level > 0), 0.01, 0.01])
+            share = (share / share.sum(1, keepdims=True) * n[:, None]).sum(0) + 0.01 * (w > 0)
             w = share / share.sum()
         weights[level] = w
         known.append(level)
-    for level in range(1, 65):  # a level that no held token had takes the nearest one's
-        near = [k for k in known if k > 0]
-        if near and level not in known:
-            weights[level] = weights[min(near, key=lambda k: abs(k - level))]
+    for levels in (range(1, LEVELS), range(LEVELS + 1, 2 * LEVELS)):  # a level that no held token had takes the nearest one's
+        near = [k for k in known if k in levels]
+        for level in levels:
+            if near and level not in near:
+                weights[level] = weights[min(near, key=lambda k: abs(k - level))]
     return weights
 
 
@@ -280,21 +290,22 @@ def score(docs: DataFrame, size: int = SEGMENT, bucket: int = BUCKET) -> DataFra
     parts = materialize(segments(docs, size), "segments")
     held = parts.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     buckets = max(1, -(-held // bucket))
-    words, pairs = count(parts, buckets, False), count(parts, buckets, True)
+    counted = [count(parts, buckets, order) for order in (1, 2, 3)]
 
-    sums = words.where("segment is null").agg(*(F.coalesce(F.sum(F.get("sums", F.lit(i))), F.lit(0)) for i in range(4))).first()
-    tokens, distinct, counted, counted_distinct = sums
+    sums = counted[0].where("segment is null").agg(*(F.coalesce(F.sum(F.get("sums", F.lit(i))), F.lit(0)) for i in range(4))).first()
+    tokens, distinct, known, known_distinct = sums
     folds = parts.select(F.explode("folds").alias("fold"))
     texts, held_texts = folds.agg(F.coalesce(F.sum((F.col("fold") > 0).cast("long")), F.lit(0)), F.coalesce(F.sum((F.col("fold") == 1).cast("long")), F.lit(0))).first()
-    odd = [x.where("segment % 2 = 1") for x in (parts, words, pairs)]
-    weights = spark.sparkContext.broadcast(learn(_joined(*odd), counted, counted_distinct, texts - held_texts))
+    odd = [x.where("segment % 2 = 1") for x in (parts, *counted)]
+    weights = spark.sparkContext.broadcast(learn(_joined(odd[0], odd[1:]), known, known_distinct, texts - held_texts))
+    release(spark)
 
     def run(batches):
         for row in _rows(batches):
             s = Segment(row)
-            level, p2, p1, seen = _probabilities(s, row, tokens, texts, False)
-            l2, l1, l0 = (x[level] for x in weights.value.T)
-            model = np.log10(l2 * p2 + l1 * p1 + l0 / (distinct + 1))
+            level, estimates, seen = _probabilities(s, row, tokens, texts, False)
+            *share, l0 = (x[level] for x in weights.value.T)
+            model = np.log10(sum(x * p for x, p in zip(share, estimates)) + l0 / (distinct + 1))
             base = np.log10((seen + 0.1) / (tokens + 0.1 * (distinct + 1)))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -309,4 +320,4 @@ def score(docs: DataFrame, size: int = SEGMENT, bucket: int = BUCKET) -> DataFra
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    return mapped(_joined(parts, words, pairs), run, SCORED)
+    return mapped(_joined(parts, counted), run, SCORED)

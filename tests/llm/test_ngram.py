@@ -41,23 +41,33 @@ def want(rows):
         yield str(i), fold(i) == 0, len(own), sum(train[t] > 0 for t in own), total, round(base, 6)
 
 
+class Counts:
+    """Words, pairs and triples of the texts of some folds."""
+
+    def __init__(self, rows, folds):
+        self.grams, self.begins = [Counter(), Counter(), Counter()], 0
+        for i, x, _ in rows:
+            if fold(i) in folds:
+                own = ["^", "^", *tokens(x)]
+                self.begins += 1
+                for k in range(3):
+                    self.grams[k].update(tuple(own[j - k : j + 1]) for j in range(2, len(own)))
+        self.total, self.distinct = sum(self.grams[0].values()), len(self.grams[0])
+
+    def probabilities(self, text, weights):
+        own = ["^", "^", *tokens(text)]
+        for j in range(2, len(own)):
+            one = self.begins if j == 2 else self.grams[0][(own[j - 1],)]
+            two = self.begins if j == 2 else self.grams[1][tuple(own[j - 2 : j])]
+            w = weights[ngram.LEVELS + two.bit_length() if two else one.bit_length()]
+            estimates = [self.grams[2][tuple(own[j - 2 : j + 1])] / max(two, 1), self.grams[1][tuple(own[j - 1 : j + 1])] / max(one, 1), self.grams[0][(own[j],)] / self.total]
+            yield sum(a * p for a, p in zip(w, estimates)) + w[3] / (self.distinct + 1)
+
+
 def brute_score(rows, weights):
-    train, pairs = Counter(), Counter()
-    begins = 0
+    counts = Counts(rows, range(1, 10))
     for i, x, _ in rows:
-        if fold(i):
-            own = tokens(x)
-            begins += 1
-            train.update(own)
-            pairs.update(zip(["^", *own], own))
-    total, distinct = sum(train.values()), len(train)
-    for i, x, _ in rows:
-        own, s = tokens(x), 0.0
-        for h, t in zip(["^", *own], own):
-            c = begins if h == "^" else train[h]
-            w = weights[c.bit_length()]
-            s += math.log10(w[0] * pairs[h, t] / max(c, 1) + w[1] * train[t] / total + w[2] / (distinct + 1))
-        yield str(i), len(own), round(s, 6)
+        yield str(i), len(tokens(x)), round(sum(map(math.log10, counts.probabilities(x, weights))), 6)
 
 
 def test_counts_and_scores_equal_brute_force(spark, monkeypatch):
@@ -82,27 +92,13 @@ def test_weights_maximise_held_likelihood(spark, monkeypatch):
     real = ngram.learn
     monkeypatch.setattr(ngram, "learn", lambda *a: learned.append(real(*a)) or learned[-1])
     ngram.score(spark.createDataFrame(rows, SCHEMA), size=10**6).collect()
-    train, pairs = Counter(), Counter()
-    begins = 0
-    for i, x, _ in rows:
-        if fold(i) > 1:
-            begins += 1
-            train.update(tokens(x))
-            pairs.update(zip(["^", *tokens(x)], tokens(x)))
-    total, distinct = sum(train.values()), len(train)
+    counts = Counts(rows, range(2, 10))
 
     def likelihood(weights):
-        s = 0.0
-        for i, x, _ in rows:
-            if fold(i) == 1:
-                for h, t in zip(["^", *tokens(x)], tokens(x)):
-                    c = begins if h == "^" else train[h]
-                    w = weights[c.bit_length()]
-                    s += math.log(w[0] * pairs[h, t] / max(c, 1) + w[1] * train[t] / total + w[2] / (distinct + 1))
-        return s
+        return sum(math.log(p) for i, x, _ in rows if fold(i) == 1 for p in counts.probabilities(x, weights))
 
     best = likelihood(learned[0])
-    for other in ((1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 1)):
+    for other in ((1, 0, 0, 0), (0, 1, 0, 0), (0, 0, 1, 0), (0, 0, 0, 1), (1, 1, 1, 1)):
         near = 0.9 * learned[0] + 0.1 * np.array(other) / sum(other)
         near[0] = learned[0][0]
         assert likelihood(near) < best + 0.01 * abs(best)
