@@ -40,7 +40,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 40, 7
 K = BANDS * ROWS
 #: Elements of a cluster that are compared in one task, and of a block of a larger cluster, on average.
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 #: Edges that one task reduces to stars.
 EDGES = 1 << 21
 

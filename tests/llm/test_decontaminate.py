@@ -92,3 +92,15 @@ def test_clean_and_empty(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d[0]) for d in docs if d[0] is None or str(d[0]) not in bad)
     assert dc.matches(frame.limit(0), items).collect() == []
     assert dc.matches(frame, items.limit(0)).collect() == [] and dc.clean(frame, items.limit(0)).count() == len(docs)
+
+
+def test_items_that_repeat_or_lack_an_id_and_clashing_columns(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    docs = [(1, f"before {a} behind", 7, "x"), (2, b.upper(), 7, "x"), (2, "none of it", 7, "x"), (None, a, 7, "x")]
+    bench = [(5, a, 1, "y"), (5, b, 1, "y"), (None, a, 1, "y"), (5, a, 1, "y")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, item_id long, similarity string")
+    items = spark.createDataFrame(bench, "item_id long, text string, doc_id long, similarity string")
+    got = dc.matches(frame, items).collect()
+    assert sorted((str(r.doc_id), str(r.item_id), r.similarity, r.word_start) for r in got) == [("1", "5", 1.0, 1), ("1", "None", 1.0, 1), ("2", "5", 1.0, 0), ("None", "5", 1.0, 0), ("None", "None", 1.0, 0)]
+    kept = dc.clean(frame, items)
+    assert kept.columns == frame.columns and sorted(r.text for r in kept.collect()) == [a]
