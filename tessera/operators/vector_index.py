@@ -1,8 +1,9 @@
 """An index of vectors by cells: a Parquet table whose rows lie with the centroid nearest to them.
 
-Centroids are fitted on a bounded sample, every vector is indexed. A search reads the cells nearest to each query; with
-`probes` of None it reads all of them, which is exact. Cells of more than BLOCK vectors meet their queries in blocks, so
-that no task holds more, however many vectors are alike.
+Centroids are fitted on a bounded sample, every vector is indexed. How many cells a search reads for a query is found
+when the index is built: so many that sampled queries find RECALL of their NEIGHBOURS nearest in the sample. True
+neighbours are nearer than those of a sample, so a search finds more. An exact search reads all cells. Cells of more
+than BLOCK vectors meet their queries in blocks, so that no task holds more, however many vectors are alike.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ SAMPLE = 20_000
 #: Centroids at most; there are as many as the square root of the vectors.
 MOST_CELLS = 4096
 ROUNDS = 12
-#: Cells read for a query, unless the caller says otherwise.
-PROBES = 24
+#: The share of the nearest that a search is to find, of so many, for so many sampled queries.
+RECALL, NEIGHBOURS, TRIALS = 0.95, 20, 200
 #: Vectors of a cell that one task compares with the queries of that cell.
 BLOCK = 8192
 
@@ -51,18 +52,32 @@ def fit_centres(sample: np.ndarray, cells: int) -> np.ndarray:
     return centres
 
 
+def probes_for(sample: np.ndarray, centres: np.ndarray) -> int:
+    """Cells to read for RECALL of the NEIGHBOURS nearest in the sample, on average over its first TRIALS."""
+    if not len(sample):
+        return 1
+    trials = sample[:TRIALS]
+    own, order = _nearest(sample, centres)[:, 0], _nearest(trials, centres, len(centres))
+    place = np.argsort(order, 1)  # of each cell in the order of each trial
+    near = _nearest(trials, sample, min(NEIGHBOURS, len(sample)))
+    return int(np.quantile(np.take_along_axis(place, own[near], 1), RECALL, method="higher")) + 1
+
+
 def _matrix(column) -> np.ndarray:
     return np.array(column.to_pylist(), float)
 
 
 def build(vectors: DataFrame, path: str, cells: int | None = None, sample: int = SAMPLE) -> None:
-    """Write the index of vectors(id, vector, ...) to <path>/centres and <path>/cells; rows without a vector are left out."""
+    """Write the index of vectors(id, vector, ...) to <path>/centres, <path>/probes and <path>/cells; rows without a
+    vector are left out."""
     spark = vectors.sparkSession
     rows = vectors.where("vector is not null")
     n = rows.count()
     cells = cells or min(MOST_CELLS, max(1, int(n**0.5)))
     chosen = rows.select("vector", "id").orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(sample).toPandas()
-    centres = fit_centres(np.array(chosen["vector"].tolist(), float), cells) if n else np.zeros((0, 1))
+    points = np.array(chosen["vector"].tolist(), float) if n else np.zeros((0, 1))
+    centres = fit_centres(points, cells)
+    spark.createDataFrame([(probes_for(points, centres),)], "probes int").coalesce(1).write.parquet(f"{path}/probes")
     held = spark.sparkContext.broadcast(centres)
     columns = rows.columns
 
@@ -77,9 +92,12 @@ def build(vectors: DataFrame, path: str, cells: int | None = None, sample: int =
     rows.mapInArrow(run, schema).repartition("cell").sortWithinPartitions("cell").write.parquet(f"{path}/cells")
 
 
-def search(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: int | None = PROBES) -> DataFrame:
+def search(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: int | None = None, exact: bool = False) -> DataFrame:
     """(query, id, distance, rank): the k nearest of queries(query, vector) among the vectors of the cells nearest to
-    each, by squared distance; ties go to the smaller id. probes: cells read for a query, all if None."""
+    each, by squared distance; ties go to the smaller id. probes: cells read for a query, by default as many as the index
+    was found to need; all if exact."""
+    if not exact and probes is None:
+        probes = spark.read.parquet(f"{path}/probes").first()["probes"]
     centres = spark.read.parquet(f"{path}/centres").orderBy("cell").toPandas()["centre"].tolist()  # MOST_CELLS at most
     held = spark.sparkContext.broadcast(np.array(centres, float) if centres else np.zeros((0, 1)))
     index = spark.read.parquet(f"{path}/cells")
@@ -88,7 +106,7 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: i
     def route(batches):
         for batch in batches:
             if batch.num_rows and len(held.value):
-                n = len(held.value) if probes is None else min(probes, len(held.value))
+                n = len(held.value) if exact else min(probes, len(held.value))
                 near = _nearest(_matrix(batch.column("vector")), held.value, n)
                 at = pa.array(np.repeat(np.arange(batch.num_rows), n))
                 yield pa.RecordBatch.from_arrays([batch.column("query").take(at), batch.column("vector").take(at), pa.array(near.reshape(-1), pa.int32())], ["query", "vector", "cell"])
@@ -140,7 +158,7 @@ class VectorIndexes:
             remove_path(self.spark, at)
         return at is not None
 
-    def search(self, set_id: int, queries: DataFrame, k: int, probes: int | None = PROBES) -> DataFrame:
+    def search(self, set_id: int, queries: DataFrame, k: int, probes: int | None = None, exact: bool = False) -> DataFrame:
         if set_id not in self.known:
             raise KeyError(f"set {set_id} has no vector index")
-        return search(self.spark, self.known[set_id], queries, k, probes)
+        return search(self.spark, self.known[set_id], queries, k, probes, exact)

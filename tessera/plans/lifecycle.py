@@ -86,7 +86,7 @@ def vector_index_all_cells(t):
     """The index read cell by cell, all of them: the exact answer."""
     indexes = V.VectorIndexes(t.spark, shared.scratch(t.spark, "vectors"))
     indexes.create(1, _vectors(t))
-    return indexes.search(1, _queries(t), TOP, probes=None).select("query", "id", F.round("distance", 6).alias("distance"), "rank")
+    return indexes.search(1, _queries(t), TOP, exact=True).select("query", "id", F.round("distance", 6).alias("distance"), "rank")
 
 
 @query("SELECT label, count(*) AS n FROM embeddings GROUP BY label")

@@ -97,7 +97,7 @@ def test_vector_index_recall_and_exact_search(spark, tmp_path, monkeypatch):
         indexes.search(1, asked, 5)
     assert indexes.create(1, vectors) and not indexes.create(1, vectors) and indexes.registered(1)
     want = {(q, int(i)) for q in range(0, 3000, 100) for i in np.lexsort((np.arange(3000), ((x - x[q]) ** 2).sum(1)))[:10]}
-    assert {(r["query"], r.id) for r in indexes.search(1, asked, 10, probes=None).collect()} == want
+    assert {(r["query"], r.id) for r in indexes.search(1, asked, 10, exact=True).collect()} == want
     assert len({(r["query"], r.id) for r in indexes.search(1, asked, 10).collect()} & want) >= 0.9 * len(want)
     assert indexes.create(1, vectors.limit(0), replace=True) and indexes.search(1, asked, 10).count() == 0
     assert indexes.drop(1) and not indexes.drop(1) and not (tmp_path / "set-1").exists()
@@ -112,7 +112,7 @@ def test_recall_of_the_vector_index_on_the_tables(spark, tmp_path):
     asked = vectors.where("id % 100 = 0").withColumnRenamed("id", "query")
     at = np.flatnonzero(ids % 100 == 0)
     want = {(int(ids[q]), int(i)) for q in at for i in ids[np.lexsort((ids, ((x - x[q]) ** 2).sum(1)))[:20]]}
-    got = {(r["query"], r.id) for r in V.search(spark, str(tmp_path / "index"), asked, 20, V.PROBES).collect()}
+    got = {(r["query"], r.id) for r in V.search(spark, str(tmp_path / "index"), asked, 20).collect()}
     assert len(got & want) >= 0.9 * len(want)
 
 
