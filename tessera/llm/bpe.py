@@ -21,7 +21,7 @@ from tessera.llm.textvec import Chunks, mix
 #: Characters handled at once.
 SLICE_CHARS = 1 << 18
 #: Pieces, and bytes of long ones, after which the table starts afresh.
-MOST_PIECES = 1 << 19
+MOST_PIECES = 1 << 20
 MOST_BYTES = 1 << 23
 #: Bytes of pieces that are compared as two numbers; longer ones are looked up by their bytes.
 SHORT = 16
@@ -178,7 +178,7 @@ class Encoder:
         self.count = n
         short = number[size <= SHORT]
         if 2 * n > len(self.where):
-            self.where = np.full(1 << (4 * n).bit_length(), -1, np.int32)
+            self.where = np.full(1 << (3 * n).bit_length(), -1, np.int32)
             short = np.flatnonzero(self.size[:n] <= SHORT)
         self._insert(short)
 
