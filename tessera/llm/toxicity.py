@@ -7,9 +7,11 @@ ones also beyond LEAST) are kept; the sample bounds them. A token scores as its
 
 A scan linear in the tokens finds all maximal scoring segments of a text (Ruzzo and Tompa). Scores of random segments
 follow an extreme-value law: of n tokens, K n exp(-lambda S) segments reach S by chance, lambda being the root of
-E[exp(lambda s)] = 1 over clean tokens and K fitted to the segments of clean texts that reach TAIL / lambda. A segment's surplus is lambda S - ln(K n) where positive, a document's
-evidence the sum of its different passages' surpluses, and its score a logistic function of that sum's logarithm. Lambda, K and the logistic function are
-fitted on a quarter of the sample that no unit was counted in.
+E[exp(lambda s)] = 1 over clean tokens and K fitted to the segments of clean texts that reach TAIL / lambda. A segment's surplus
+is lambda S - ln(K n / CHANCE) where positive: how far it lies beyond a score that fewer than CHANCE segments of a text
+of its length reach by chance. A document's evidence is the sum of its different passages' surpluses, and its score a
+logistic function of that sum's logarithm. Lambda, K and the logistic function are fitted on a quarter of the sample
+that no unit was counted in.
 
 Defined cases: a null or empty text, or one without words, has no evidence and the lowest score. Labels of a doc_id
 that repeats count as toxic if any is; null labels and ids are skipped. With no labels of both kinds every score is
@@ -44,6 +46,8 @@ LARGEST = 8.0
 #: Nats beyond which clean texts' segments are counted for K, and the least K that is taken.
 TAIL = 2.0
 LEAST_K = 0.001
+#: A passage is significant if a text holds fewer of its score by chance.
+CHANCE = 0.01
 PREFIXES = (4, 5, 6)
 _KINDS = np.array([0, *(0x9E3779B97F4A7C15 * k % (1 << 64) for k in PREFIXES)], np.uint64)
 
@@ -121,8 +125,8 @@ def segments(scores: list[float] | np.ndarray) -> list[tuple[float, int, int]]:
 
 
 def surplus(score: float, tokens: int, scale: float, k: float) -> float:
-    """How far a segment's score lies beyond what a text of so many tokens holds by chance, in nats."""
-    return max(0.0, scale * score - math.log(max(1.0, k * tokens)))
+    """How far a segment's score lies beyond a significant one in a text of so many tokens, in nats."""
+    return max(0.0, scale * score - math.log(max(1.0, k * tokens / CHANCE)))
 
 
 def _evidence(model: Model, column: pa.Array):
