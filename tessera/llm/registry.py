@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import os
-
 from tessera.llm import decontaminate, exact_dedup, langid, minhash, ngram, packing, sharding, tokenfile, toxicity, warc
 from tessera.llm.common import documents
 
 
 def tokenizer_path() -> str:
-    """The vocabulary of the token queries; TESSERA_TOKENIZER names another file."""
+    """The vocabulary of the token queries."""
     import public_tokenizers
 
-    return os.environ.get("TESSERA_TOKENIZER") or public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_decontaminate(spark, sf_dir):
