@@ -35,7 +35,7 @@ SEGMENT = 1 << 20
 #: Tokens of the corpus for each bucket of hashes.
 BUCKET = 1 << 21
 #: Bins a factor of two, of the probabilities that weights are learned from.
-FINE = 4
+FINE = 1
 #: Levels of a context's frequency: of one word, and behind them of two.
 LEVELS = 65
 ROUNDS = 100
