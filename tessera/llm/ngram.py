@@ -31,7 +31,7 @@ from tessera.llm import textvec as tv
 from tessera.llm.common import mapped, materialize, release
 
 #: Tokens of a segment at least, unless a partition ends.
-SEGMENT = 1 << 20
+SEGMENT = 3 << 18
 #: Tokens of the corpus for each bucket of hashes.
 BUCKET = 1 << 21
 #: Bins a factor of two, of the probabilities that weights are learned from.
