@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, exact_dedup, langid, minhash, ngram, packing, sharding, tokenfile, toxicity, warc
+from tessera.llm import decontaminate, exact_dedup, filter_audit, langid, minhash, ngram, packing, sharding, tokenfile, toxicity, warc
 from tessera.llm.common import documents
 
 
@@ -56,6 +56,10 @@ def op10_near_dedup(spark, sf_dir):
     return minhash.classes(documents(spark, sf_dir))
 
 
+def op12_filter_audit(spark, sf_dir):
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_shard": op2_shard,
@@ -67,5 +71,6 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_near_dedup": op10_near_dedup,
+    "op12_filter_audit": op12_filter_audit,
 }
-ORACLES = {"op2_shard": sharding.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op2_shard": sharding.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE, "op12_filter_audit": filter_audit.ORACLE}
