@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, exact_dedup, filter_audit, langid, minhash, ngram, packing, sharding, tokenfile, toxicity, warc
+from tessera.llm import decontaminate, exact_dedup, filter_audit, join_view, langid, minhash, ngram, packing, sharding, tokenfile, toxicity, warc
 from tessera.llm.common import documents
 
 
@@ -60,6 +60,10 @@ def op12_filter_audit(spark, sf_dir):
     return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op13_join_view(spark, sf_dir):
+    return join_view.maintain(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_shard": op2_shard,
@@ -72,5 +76,6 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_near_dedup": op10_near_dedup,
     "op12_filter_audit": op12_filter_audit,
+    "op13_join_view": op13_join_view,
 }
-ORACLES = {"op2_shard": sharding.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE, "op12_filter_audit": filter_audit.ORACLE}
+ORACLES = {"op2_shard": sharding.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE, "op12_filter_audit": filter_audit.ORACLE, "op13_join_view": join_view.ORACLE}
