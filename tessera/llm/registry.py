@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, exact_dedup, filter_audit, join_view, langid, minhash, ngram, packing, sharding, tokenfile, toxicity, warc
+from tessera.llm import decontaminate, exact_dedup, filter_audit, join_view, langid, minhash, ngram, packing, pii, sharding, tokenfile, toxicity, warc
 from tessera.llm.common import documents
 
 
@@ -56,6 +56,10 @@ def op10_near_dedup(spark, sf_dir):
     return minhash.classes(documents(spark, sf_dir))
 
 
+def op11_pii(spark, sf_dir):
+    return pii.audit(documents(spark, sf_dir))
+
+
 def op12_filter_audit(spark, sf_dir):
     return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -75,6 +79,7 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_near_dedup": op10_near_dedup,
+    "op11_pii": op11_pii,
     "op12_filter_audit": op12_filter_audit,
     "op13_join_view": op13_join_view,
 }
