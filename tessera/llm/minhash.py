@@ -7,6 +7,9 @@ darts of its regions up to the rank at which K ln K + 2K of them are expected, a
 earliest dart. Long texts throw few darts a shingle, so a signature costs little more than reading the text. Texts
 agree in a coordinate with the probability of their similarity.
 
+Whether two shingles are the same is decided by numbers with a secret key over 128-bit digests of their words (see
+textvec): sets, sums and comparisons hold these. Darts take fixed numbers, so that candidates are the same in every run.
+
 1. Texts with equal sets form a class of exact copies; only one of each class goes on.
 2. BANDS bands of ROWS coordinates are joined: at a similarity of 0.8 a pair shares a band with probability
    1 - 8e-5, above that more. Each member of a band's group is tied to the group's first, never to all, and connected
@@ -44,25 +47,29 @@ BLOCK = 1 << 18
 #: Edges that one task reduces to stars.
 EDGES = 1 << 21
 
+#: Multipliers of the shingles' numbers that darts are thrown with: the same in every run.
+FIXED = tv.fixed_keys(WORDS)
+
 SIGNED = "doc_id long, size long, set_a long, set_b long, bands array<long>"
 
 
-def elements(shingles: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def elements(shingles: np.ndarray, first: np.ndarray, fixed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Unit regions of texts: a distinct number for each shingle and time it occurs, sorted by text; their texts; and
-    each text's first (one entry more, as first)."""
+    the same with fixed numbers for the shingles, in the same order."""
+    fixed = shingles if fixed is None else fixed
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
     order = np.lexsort((shingles, owner))
-    s = shingles[order]
+    s, f = shingles[order], fixed[order]
     n = len(s)
     if n:
         new = np.r_[True, (s[1:] != s[:-1]) | (owner[1:] != owner[:-1])]
         at = np.arange(n)
         again = at - np.maximum.accumulate(np.where(new, at, 0))
         repeated = again > 0
-        s = s.copy()
         with np.errstate(over="ignore"):
-            s[repeated] = tv.mix(s[repeated] + again[repeated].astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
-    return s, owner, first
+            more = again[repeated].astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
+            s[repeated], f[repeated] = tv.mix(s[repeated] + more), tv.mix(f[repeated] + more)
+    return s, owner, f
 
 
 def _uniform(h: np.ndarray) -> np.ndarray:
@@ -118,24 +125,26 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return tv.mix(key.reshape(-1)).reshape(key.shape)
 
 
-def sets_of(column: pa.Array):
-    """Yield (regions, their texts, each text's first) over slices of a text column."""
+def sets_of(column: pa.Array, key: np.ndarray):
+    """Yield (regions, their texts, their fixed numbers, each text's first) over slices of a text column. Regions are
+    numbered by the secret key."""
     lowered = pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), ""))
     for lo, hi, data, starts in tv.slices(lowered):
         begin, end, first = tv.spans(data, starts, tv.ALNUM)
-        shingles, first = tv.shingles(tv.Chunks(data).hash(begin, end), first, WORDS)
-        yield lo, hi, *elements(shingles, first)
+        index, words = tv.distinct_words(data, begin, end)
+        (shingles, fixed), first = tv.shingles(tv.digests(words)[index], first, [key, FIXED])
+        yield lo, hi, *elements(shingles, first, fixed), first
 
 
-def signed(docs: DataFrame) -> DataFrame:
+def signed(docs: DataFrame, key: np.ndarray) -> DataFrame:
     """See SIGNED: two sums that identify the set, and the band keys. One row per row; bands is empty without words."""
 
     def run(batches):
         for batch in batches:
             doc_ids = batch.column("doc_id")
-            for lo, hi, regions, owner, first in sets_of(batch.column("text")):
+            for lo, hi, regions, owner, fixed, first in sets_of(batch.column("text"), key):
                 some = np.diff(first) > 0
-                bands = band_keys(signatures(regions, owner, hi - lo)[some])
+                bands = band_keys(signatures(fixed, owner, hi - lo)[some])
                 with np.errstate(over="ignore"):
                     sums = [np.r_[np.uint64(0), np.cumsum(x, dtype=np.uint64)] for x in (tv.mix(regions), tv.mix(~regions))]
                     a, b = (x[first[1:]] - x[first[:-1]] for x in sums)
@@ -154,13 +163,13 @@ def signed(docs: DataFrame) -> DataFrame:
     return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SIGNED)
 
 
-def sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def sets(docs: DataFrame, ids: DataFrame, key: np.ndarray) -> DataFrame:
     """(cluster, blocks, doc_id, elements): the whole sets, as sorted numbers, of documents in ids(id, cluster, blocks).
     The ids are broadcast only if counted to be BROADCAST_IDS at most."""
 
     def run(batches):
         for batch in batches:
-            for lo, hi, regions, _, first in sets_of(batch.column("text")):
+            for lo, hi, regions, _, _, first in sets_of(batch.column("text"), key):
                 own = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(regions.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c)[lo:hi] for c in ("cluster", "blocks", "doc_id")), own], ["cluster", "blocks", "doc_id", "elements"])
 
@@ -342,7 +351,7 @@ def _large_clusters(whole: DataFrame, hubs: DataFrame, similarity: float) -> Dat
     return components(links.unionByName(found))
 
 
-def near_links(distinct: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame | None:
+def near_links(distinct: DataFrame, docs: DataFrame, key: np.ndarray, similarity: float = SIMILARITY) -> DataFrame | None:
     """(id, class) over the documents of distinct(doc_id, size, bands) that are linked; None if no two share a band.
     The sets of those that do are read from docs again."""
     keys = distinct.select("doc_id", F.explode("bands").alias("band"))
@@ -357,7 +366,7 @@ def near_links(distinct: DataFrame, docs: DataFrame, similarity: float = SIMILAR
     members = clusters.join(materialize(totals, "totals"), "class").select("id", F.col("class").alias("cluster"), "blocks")
     members = materialize(members, "members")
     large = members.where("blocks > 1")
-    whole = sets(docs, members)
+    whole = sets(docs, members, key)
     if not large.limit(1).count():
         return materialize(_small_clusters(whole, similarity), "near")
     whole = materialize(whole.distinct(), "sets")
@@ -369,12 +378,13 @@ def near_links(distinct: DataFrame, docs: DataFrame, similarity: float = SIMILAR
 
 def _classed(docs: DataFrame, similarity: float) -> DataFrame:
     """(doc_id, class_id): one row per row of docs."""
-    marks = materialize(signed(docs), "signatures")
+    key = tv.secret(WORDS)
+    marks = materialize(signed(docs, key), "signatures")
     worded = marks.where("size > 0 and doc_id is not null")
     # equal sets have equal bands
     distinct = worded.groupBy("set_a", "set_b", "size").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     distinct = materialize(distinct, "distinct-sets")
-    linked = near_links(distinct, docs, similarity)
+    linked = near_links(distinct, docs, key, similarity)
     own = distinct.select("set_a", "set_b", "size", F.col("doc_id").alias("id"))
     if linked is not None:
         linked = linked.groupBy("id").agg(F.min("class").alias("class"))

@@ -1,12 +1,20 @@
-"""Vectorised text scanning over Arrow string columns: word spans, word hashes and shingles for whole batches.
+"""Vectorised text scanning over Arrow string columns: word spans, words and shingles for whole batches.
 
-Words are hashed eight bytes at a time, each chunk mixed into the hash of those before, for all words of a batch
-together; words beyond LONG bytes go through xxHash, of which a text has few. Arrays are built for a bounded slice of
-the batch at a time; a single text longer than the slice forms a slice of its own.
+Which words of a slice are equal is decided by their bytes (an Arrow dictionary); across slices a word stands for its
+128-bit BLAKE2b digest. Runs of words are told apart by multilinear hashing of their digests with a secret drawn for each
+run: whatever the texts, two different runs have the same number with a probability of 2**-60 or so, and nobody can choose
+texts for which they have, as the secret is not there yet. Hashes for the search of candidates alone take fixed keys, so
+that it finds the same ones always.
+
+Chunks hashes eight bytes at a time, for tables that compare bytes afterwards. Arrays are built for a bounded slice of the
+batch at a time; a single text longer than the slice forms a slice of its own.
 """
 
 from __future__ import annotations
 
+import hashlib
+import os
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -105,31 +113,58 @@ class Chunks:
         return out
 
 
-def shingles(words: np.ndarray, first: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of width words and each text's first (one entry more). A text of fewer words, but at least
-    one, gives one shingle of them all."""
-    counts = np.diff(first)
-    texts = len(counts)
-    n = len(words)
+def distinct_words(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """For each span the number of its word, and the different words, as bytes. Spans do not overlap."""
+    if not len(begin):
+        return np.zeros(0, np.int64), pa.array([], pa.large_binary())
+    marks = np.zeros(len(data) + 1, np.int8)
+    np.add.at(marks, begin, 1)
+    np.add.at(marks, end, -1)
+    own = np.ascontiguousarray(data[np.cumsum(marks[:-1], dtype=np.int8) > 0])
+    offsets = np.r_[0, np.cumsum(end - begin)].astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(own)])
+    encoded = words.dictionary_encode()
+    return encoded.indices.to_numpy().astype(np.int64), encoded.dictionary
+
+
+def digests(words: pa.Array) -> np.ndarray:
+    """128-bit BLAKE2b of each word, as two columns of numbers."""
+    return np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in words.to_pylist()), "<u8").reshape(-1, 2)
+
+
+def secret(size: int) -> np.ndarray:
+    """Odd multipliers that nobody knows beforehand, a row of two for each word of a run, and one for its length."""
+    return np.frombuffer(os.urandom(16 * (size + 1)), "<u8").reshape(-1, 2) | np.uint64(1)
+
+
+def fixed_keys(size: int) -> np.ndarray:
+    """The same multipliers always, as secret()."""
+    return mix(np.arange(1, 2 * size + 3, dtype=np.uint64)).reshape(-1, 2) | np.uint64(1)
+
+
+def shingles(words: np.ndarray, first: np.ndarray, keys: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Numbers of all runs of words (given by their digests), for each of the keys, and each text's first (one entry
+    more). A run is as long as keys have rows for. A text of fewer words, but at least one, gives one run of them all."""
+    counts, width, n = np.diff(first), len(keys[0]) - 1, len(words)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    runs = max(0, n - width + 1)
+    whole = owner[:runs] == owner[width - 1 :] if runs else np.zeros(0, bool)
+    short = np.flatnonzero((counts > 0) & (counts < width))
+    made = np.maximum(counts - width + 1, 0)
+    made[short] = 1
+    out_first = np.r_[0, np.cumsum(made)]
+    long_ = np.ones(out_first[-1], bool)
+    long_[out_first[short]] = False
+    outs = []
     with np.errstate(over="ignore"):
-        run = np.zeros(max(0, n - width + 1), np.uint64)
-        for i in range(width):
-            run = run * np.uint64(0xD6E8FEB86659FD93) + words[i : i + len(run)]
-        run = mix(run)
-        owner = np.repeat(np.arange(texts), counts)
-        whole = owner[: len(run)] == owner[width - 1 :] if len(run) else np.zeros(0, bool)
-        short = np.flatnonzero((counts > 0) & (counts < width))
-        made = np.maximum(counts - width + 1, 0)
-        made[short] = 1
-        out_first = np.r_[0, np.cumsum(made)]
-        out = np.empty(out_first[-1], np.uint64)
-        at_short = out_first[short]
-        mask = np.ones(len(out), bool)
-        mask[at_short] = False
-        out[mask] = run[whole]
-        for t, at in zip(short, at_short):
-            value = np.uint64(0)
-            for w in words[first[t] : first[t + 1]]:
-                value = value * np.uint64(0xD6E8FEB86659FD93) + w
-            out[at] = mix(value + np.uint64(counts[t]))[0]
-    return out, out_first
+        for key in keys:
+            run = np.full(runs, key[width, 0] * np.uint64(width), np.uint64)
+            for i in range(width):
+                run += words[i : i + runs, 0] * key[i, 0] + words[i : i + runs, 1] * key[i, 1]
+            out = np.empty(out_first[-1], np.uint64)
+            out[long_] = run[whole]
+            for t in short.tolist():
+                own = words[first[t] : first[t + 1]]
+                out[out_first[t]] = (own * key[: len(own)]).sum(dtype=np.uint64) + key[width, 0] * np.uint64(len(own))
+            outs.append(mix(out))
+    return outs, out_first
