@@ -1,17 +1,19 @@
 """Toxic passages: maximum-scoring segments of token log-odds, aggregated by extreme-value calibration.
 
 Fitting, on at most SAMPLE labelled training documents (one of each group with equal text), counts for every unit how
-many toxic and how many clean documents hold it. A unit is a word or the first 4, 5 or 6 bytes of one. Its log-odds
-take a Dirichlet prior in proportion to the unit's own frequency; units beyond Z standard deviations from 0 (toxic
-ones also beyond LEAST) are kept; the sample bounds them. A token scores as its most specific kept unit, any other token scores GAP.
+many toxic and how many clean documents hold it. A unit is a word or the first 4, 5 or 6 bytes of one, told apart by its
+bytes (a word beyond LONG bytes by its SHA-256). Its log-odds take a Dirichlet prior in proportion to the unit's own
+frequency; units beyond Z standard deviations from 0 (toxic ones also beyond a least value) are kept; the sample bounds
+them. A token scores as its most specific kept unit, any other token scores GAP.
 
 A scan linear in the tokens finds all maximal scoring segments of a text (Ruzzo and Tompa). Scores of random segments
 follow an extreme-value law: of n tokens, K n exp(-lambda S) segments reach S by chance, lambda being the root of
 E[exp(lambda s)] = 1 over clean tokens and K fitted to the segments of clean texts that reach TAIL / lambda. A segment's surplus
-is lambda S - ln(K n / CHANCE) where positive: how far it lies beyond a score that fewer than CHANCE segments of a text
+is lambda S - ln(K n / chance) where positive: how far it lies beyond a score that fewer than `chance` segments of a text
 of its length reach by chance. A document's evidence is the sum of its different passages' surpluses, and its score a
 logistic function of that sum's logarithm. Lambda, K and the logistic function are fitted on a quarter of the sample
-that no unit was counted in.
+that no unit was counted in; the least log-odds (of LEASTS) and `chance` (of CHANCES) are those with which that quarter's
+labels are likeliest. Documents outside the training folds have no part in any of it.
 
 Defined cases: a null or empty text, or one without words, has no evidence and the lowest score. Labels of a doc_id
 that repeats count as toxic if any is; null labels and ids are skipped. With no labels of both kinds every score is
@@ -22,6 +24,7 @@ documents are ignored by score() and pass through reject() unchanged. Texts are
 from __future__ import annotations
 
 import dataclasses
+import hashlib
 import math
 
 import numpy as np
@@ -31,13 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textvec as tv
-from tessera.llm.common import mapped
+from tessera.llm.common import discard, mapped, materialize
 
 #: Labelled documents that the model is fitted on, at most: those with the smallest hash of their id.
 SAMPLE = 20_000
 Z = 2.0
-#: Log-odds that a toxic unit has at least: function words lean one way or the other by less.
-LEAST = 3.0
+#: Log-odds that a toxic unit has at least, to choose from: function words lean one way or the other by little.
+LEASTS = (1.0, 2.0, 3.0)
+#: Bytes of a word that is a unit as it is, at most.
+LONG = 64
 #: One in so many sampled documents is not counted, but calibrates: counted ones would flatter their own words.
 CALIBRATE = 4
 PRIOR = 0.01
@@ -46,59 +51,64 @@ LARGEST = 8.0
 #: Nats beyond which clean texts' segments are counted for K, and the least K that is taken.
 TAIL = 2.0
 LEAST_K = 0.001
-#: A passage is significant if a text holds fewer of its score by chance.
-CHANCE = 0.01
+#: A passage is significant if a text holds fewer of its score by chance, to choose from.
+CHANCES = (1.0, 0.1, 0.01, 0.001)
 PREFIXES = (4, 5, 6)
-_KINDS = np.array([0, *(0x9E3779B97F4A7C15 * k % (1 << 64) for k in PREFIXES)], np.uint64)
 
-UNITS = "unit long, toxic long, clean long"
+#: kind: 0 for a word, else the length of the prefix.
+UNITS = "kind int, unit binary, toxic long, clean long"
 SCORED = "doc_id long, score double, evidence double, passages int"
 
 
 @dataclasses.dataclass
 class Model:
-    units: np.ndarray  # sorted hashes
-    odds: np.ndarray
+    units: dict[int, pa.Array]  # by kind
+    odds: dict[int, np.ndarray]
     scale: float = 1.0  # lambda
     k: float = 0.1  # K, unless it is fitted
+    chance: float = CHANCES[0]
     slope: float = 0.0
     base: float = -50.0
 
-    def __post_init__(self):
-        self.maybe = np.zeros(1 << 20, bool)  # of a unit's last bits; tells most unknown units at once
-        self.maybe[(self.units & np.uint64(0xFFFFF)).astype(np.int64)] = True
-
     def probability(self, evidence):
         return 1 / (1 + np.exp(-np.clip(self.slope * np.log1p(evidence) + self.base, -50, 50)))
 
 
-def _units(data: np.ndarray, starts: np.ndarray):
-    """Word spans, each text's first word, and for each kind of unit its hashes and which words have it."""
+NOTHING = Model({}, {})
+
+
+def _words(data: np.ndarray, starts: np.ndarray):
+    """Word spans, each text's first word, the number of each one's word, and the different words."""
     begin, end, first = tv.spans(data, starts, tv.ALNUM)
-    chunks = tv.Chunks(data)
-    kinds = [(chunks.hash(begin, end), np.ones(len(begin), bool))]
-    for i, k in enumerate(PREFIXES, 1):
-        has = end - begin >= k
-        stop = np.where(has, begin + k, end)
-        kinds.append((chunks.hash(begin, stop) ^ _KINDS[i], has))
-    return begin, end, first, kinds
+    return begin, end, first, *tv.distinct_words(data, begin, end)
+
+
+def _units(words: pa.Array):
+    """(kind, units, which words have them), most specific first."""
+    size = pc.binary_length(words).to_numpy(zero_copy_only=False)
+    whole = words
+    if (size > LONG).any():
+        whole = pa.array([w if len(w) <= LONG else b"\0" + hashlib.sha256(w).digest() for w in words.to_pylist()], pa.large_binary())
+    yield 0, whole, np.ones(len(words), bool)
+    for k in reversed(PREFIXES):
+        yield k, pc.binary_slice(words, 0, k), size >= k
 
 
 def _lower(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), ""))
 
 
-def _token_scores(model: Model, kinds) -> np.ndarray:
-    scores = np.full(len(kinds[0][0]), GAP)
+def _word_scores(model: Model, words: pa.Array) -> np.ndarray:
+    """The score of each different word: that of its most specific known unit."""
+    scores = np.full(len(words), GAP)
     open_ = np.ones(len(scores), bool)  # no more specific unit known
-    for i in (0, *range(len(PREFIXES), 0, -1)):
-        hashes, has = kinds[i]
-        at = np.flatnonzero(model.maybe[(hashes & np.uint64(0xFFFFF)).astype(np.int64)] & has & open_)
-        if len(at):
-            slot = np.minimum(np.searchsorted(model.units, hashes[at]), len(model.units) - 1)
-            known = model.units[slot] == hashes[at]
-            scores[at[known]] = np.where(model.odds[slot[known]] > 0, model.odds[slot[known]], GAP)
-            open_[at[known]] = False
+    for kind, units, has in _units(words):
+        if kind in model.units and len(units):
+            slot = pc.fill_null(pc.index_in(units, value_set=model.units[kind]), -1).to_numpy(zero_copy_only=False)
+            known = np.flatnonzero((slot >= 0) & has & open_)
+            odds = model.odds[kind][slot[known]]
+            scores[known] = np.where(odds > 0, odds, GAP)
+            open_[known] = False
     return scores
 
 
@@ -124,28 +134,28 @@ def segments(scores: list[float] | np.ndarray) -> list[tuple[float, int, int]]:
     return [(r - lo, a, b) for lo, r, a, b in stack]
 
 
-def surplus(score: float, tokens: int, scale: float, k: float) -> float:
+def surplus(score: float, tokens: int, scale: float, k: float, chance: float) -> float:
     """How far a segment's score lies beyond a significant one in a text of so many tokens, in nats."""
-    return max(0.0, scale * score - math.log(max(1.0, k * tokens / CHANCE)))
+    return max(0.0, scale * score - math.log(max(1.0, k * tokens / chance)))
 
 
-def _evidence(model: Model, column: pa.Array):
-    """Yield for each text: evidence and its significant passages (surplus, byte begin, byte end). A passage that is
-    repeated word for word counts once: lines that repeat are no further evidence."""
+def _evidence(model: Model, column: pa.Array, chances: tuple[float, ...] | None = None):
+    """Yield for each text: evidence and its significant passages (surplus, byte begin, byte end); evidence is a list where
+    several chances are asked for, and passages are those of the last. A passage that is repeated word for word counts
+    once: lines that repeat are no further evidence."""
     for _, _, data, starts in tv.slices(_lower(column)):
-        begin, end, first, kinds = _units(data, starts)
-        scores = _token_scores(model, kinds)
+        begin, end, first, index, words = _words(data, starts)
+        scores = _word_scores(model, words)[index]
         positive = np.r_[0, np.cumsum(scores > 0)][first]
         for t in range(len(starts) - 1):
             a, b = first[t], first[t + 1]
-            found = []
-            if positive[t + 1] > positive[t]:
-                for s, i, j in segments(scores[a:b]):
-                    extra = surplus(s, b - a, model.scale, model.k)
-                    if extra > 0:
-                        found.append((extra, int(begin[a + i] - starts[t]), int(end[a + j - 1] - starts[t])))
-            distinct = {data[starts[t] + i : starts[t] + j].tobytes(): extra for extra, i, j in found}
-            yield sum(distinct.values()), found
+            maximal = segments(scores[a:b]) if positive[t + 1] > positive[t] else []
+            sums, found = [], []
+            for chance in chances or (model.chance,):
+                found = [(surplus(s, b - a, model.scale, model.k, chance), int(begin[a + i] - starts[t]), int(end[a + j - 1] - starts[t])) for s, i, j in maximal]
+                found = [x for x in found if x[0] > 0]
+                sums.append(sum({data[starts[t] + i : starts[t] + j].tobytes(): extra for extra, i, j in found}.values()))
+            yield (sums if chances else sums[0]), found
 
 
 # ---- fitting
@@ -187,95 +197,134 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return beta[0] / unit, beta[1]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on the labelled documents outside the held-out fold; see the module."""
+def _chosen(docs: DataFrame, labels: DataFrame, sample: int) -> list[tuple[int, int]]:
+    """(toxic, doc_id) of the documents that the model is fitted on, one of each text: at most `sample`."""
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("doc_id is not null and toxic is not null").where(~in_fold())
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    # about twice as many as are taken, so that every task's best are few
+    share, rank = -(-(2 * sample << 20) // max(1, known.count())), F.xxhash64("doc_id")
+    known = known.where(F.pmod(rank, F.lit(1 << 20)) < share).orderBy(rank, "doc_id").limit(sample)
     known = [(r.doc_id, int(r.toxic)) for r in known.collect()]  # bounded by sample
     if not known:
-        return Model(np.zeros(0, np.uint64), np.zeros(0))
+        return []
     chosen = F.broadcast(spark.createDataFrame(known, "__id long, __toxic int"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, F.col("doc_id") == F.col("__id"))
     # copies of one text would weigh as many documents
-    firsts = texts.groupBy(F.xxhash64("text"), F.length("text")).agg(F.min("doc_id").alias("doc_id"), F.max("__toxic").alias("toxic")).collect()
-    kept = sorted((int(r.toxic), r.doc_id) for r in firsts)
-    parts = [[x for i, x in enumerate(kept) if (i % CALIBRATE == 1) == aside] for aside in (False, True)]
-    toxic, clean = (sum(t == k for t, _ in parts[0]) for k in (1, 0))
-    if not toxic or not clean or len({t for t, _ in parts[1]}) < 2:
-        share = sum(t for t, _ in kept) / len(kept) if kept else 0.0
-        return Model(np.zeros(0, np.uint64), np.zeros(0), base=math.log((share + 1e-9) / (1 - share + 1e-9)))
+    firsts = texts.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256)).agg(F.min("doc_id").alias("doc_id"), F.max("__toxic").alias("toxic")).collect()
+    return sorted((int(r.toxic), r.doc_id) for r in firsts)
 
-    def labelled(rows):
-        chosen = F.broadcast(spark.createDataFrame(rows, "__toxic int, __id long"))
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, F.col("doc_id") == F.col("__id")).select("text", "__toxic")
 
-    counting, calibrating = map(labelled, parts)
+def count_units(counting: DataFrame) -> DataFrame:
+    """(kind, unit, y1, y0): toxic and clean documents of counting(text, __toxic) that hold each unit."""
 
-    def count(batches):
+    def run(batches):
         for batch in batches:
             marks = np.array(batch.column("__toxic").to_pylist(), np.int64)
             for lo, hi, data, starts in tv.slices(_lower(batch.column("text"))):
-                _, _, first, kinds = _units(data, starts)
+                _, _, first, index, words = _words(data, starts)
                 owner = np.repeat(np.arange(hi - lo), np.diff(first))
-                every = np.concatenate([h[has] for h, has in kinds])
-                owners = np.concatenate([owner[has] for _, has in kinds])
-                order = np.lexsort((owners, every))
-                every, owners = every[order], owners[order]
-                once = np.r_[True, (every[1:] != every[:-1]) | (owners[1:] != owners[:-1])] if len(every) else np.zeros(0, bool)
-                every, is_toxic = every[once], marks[lo:hi][owners[once]]
-                units, at = np.unique(every, return_index=True)
-                if len(units):
-                    n = np.diff(np.r_[at, len(every)])
-                    t = np.add.reduceat(is_toxic, at)
-                    yield pa.RecordBatch.from_arrays([pa.array(units.view(np.int64)), pa.array(t), pa.array(n - t)], ["unit", "toxic", "clean"])
-
-    y1, y0 = F.sum("toxic"), F.sum("clean")
-    counted = mapped(counting, count, UNITS).groupBy("unit").agg(y1.alias("y1"), y0.alias("y0"))
-    # document counts with a Dirichlet prior of PRIOR times the unit's own count on either side
+                held = np.unique(owner * max(1, len(words)) + index)  # a text's different words
+                owner, word = held // max(1, len(words)), held % max(1, len(words))
+                for kind, units, has in _units(words):
+                    encoded = units.dictionary_encode()
+                    unit, n = encoded.indices.to_numpy().astype(np.int64), len(encoded.dictionary)
+                    pairs = np.unique(owner[has[word]] * max(1, n) + unit[word[has[word]]])
+                    if len(pairs):
+                        is_toxic = marks[lo:hi][pairs // n]
+                        every, toxic = np.bincount(pairs % n, minlength=n), np.bincount(pairs % n, is_toxic, minlength=n).astype(np.int64)
+                        own = np.flatnonzero(every)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(own), kind, np.int32)), encoded.dictionary.take(pa.array(own)).cast(pa.binary()), pa.array(toxic[own]), pa.array((every - toxic)[own])],
+                            ["kind", "unit", "toxic", "clean"],
+                        )
+
+    return mapped(counting, run, UNITS).groupBy("kind", "unit").agg(F.sum("toxic").alias("y1"), F.sum("clean").alias("y0"))
+
+
+def log_odds(counted: DataFrame, toxic: int, clean: int) -> DataFrame:
+    """counted with odds and z: document counts with a Dirichlet prior of PRIOR times the unit's own count on either side."""
     a = PRIOR * (F.col("y1") + F.col("y0"))
     odds = F.log((F.col("y1") + a) / (toxic + PRIOR * (toxic + clean))) - F.log((F.col("y0") + a) / (clean + PRIOR * (toxic + clean)))
-    z = odds / F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a))
-    rows = counted.select("unit", odds.alias("odds"), z.alias("z")).where((F.abs("z") >= Z) & ~F.col("odds").between(0, LEAST)).toPandas()
-    units = rows["unit"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(units)
-    model = Model(units[order], np.clip(rows["odds"].to_numpy(float)[order], -LARGEST, LARGEST))
+    return counted.withColumn("odds", odds).withColumn("z", odds / F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a)))
+
+
+def _clean_only(batch: pa.RecordBatch) -> pa.Array:
+    return _lower(batch.filter(pc.equal(batch.column("__toxic"), 0)).column("text"))
+
+
+def calibrate(model: Model, calibrating: DataFrame) -> list[tuple[float, Model]]:
+    """For each of CHANCES the model with lambda, K and the logistic function fitted to calibrating(text, __toxic), and
+    the labels' mean log-likelihood under it."""
 
     def tally(batches):  # clean tokens by score, for lambda; bounded by the number of kept units
         for batch in batches:
-            only = batch.filter(pc.equal(batch.column("__toxic"), 0))
-            if only.num_rows:
-                for _, _, data, starts in tv.slices(_lower(only.column("text"))):
-                    s, n = np.unique(_token_scores(model, _units(data, starts)[3]).round(3), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(n)], ["s", "n"])
+            for _, _, data, starts in tv.slices(_clean_only(batch)):
+                *_, index, words = _words(data, starts)
+                s, n = np.unique(_word_scores(model, words)[index].round(3), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(n)], ["s", "n"])
 
     seen = mapped(calibrating, tally, "s double, n long").groupBy("s").agg(F.sum("n").alias("n")).toPandas()
-    every = dict.fromkeys([GAP, *np.unique(model.odds[model.odds > 0].round(3)).tolist()], 0) | dict(zip(seen["s"].tolist(), seen["n"].tolist()))
-    model.scale = _lambda(np.array(list(every)), np.array(list(every.values()), float))
+    possible = np.unique(np.concatenate([[GAP], *(x[x > 0].round(3) for x in model.odds.values())])).tolist()
+    every = dict.fromkeys(possible, 0) | dict(zip(seen["s"].tolist(), seen["n"].tolist()))
+    model = dataclasses.replace(model, scale=_lambda(np.array(list(every)), np.array(list(every.values()), float)))
 
     def tails(batches):  # clean tokens, and segments of clean texts beyond TAIL
         tokens = beyond = 0
         for batch in batches:
-            only = batch.filter(pc.equal(batch.column("__toxic"), 0))
-            for _, _, data, starts in tv.slices(_lower(only.column("text"))):
-                _, _, first, kinds = _units(data, starts)
-                scores = _token_scores(model, kinds)
+            for _, _, data, starts in tv.slices(_clean_only(batch)):
+                _, _, first, index, words = _words(data, starts)
+                scores = _word_scores(model, words)[index]
                 tokens += len(scores)
                 for a, b in zip(first[:-1], first[1:]):
                     beyond += sum(model.scale * s >= TAIL for s, _, _ in segments(scores[a:b]))
         yield pa.RecordBatch.from_arrays([pa.array([tokens]), pa.array([beyond])], ["tokens", "beyond"])
 
     tokens, beyond = mapped(calibrating, tails, "tokens long, beyond long").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "beyond"))).first()
-    model.k = max(LEAST_K, (beyond + 0.5) / (max(1, tokens) * math.exp(-TAIL)))
+    model = dataclasses.replace(model, k=max(LEAST_K, (beyond + 0.5) / (max(1, tokens) * math.exp(-TAIL))))
 
     def weigh(batches):
         for batch in batches:
-            found = [x for x, _ in _evidence(model, batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column("__toxic")], ["x", "y"])
+            found = [x for x, _ in _evidence(model, batch.column("text"), CHANCES)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column("__toxic")], ["x", "y"])
+
+    weighed = mapped(calibrating, weigh, "x array<double>, y int").toPandas()  # bounded by the sample
+    x, y, out = np.array(weighed["x"].tolist(), float).reshape(len(weighed), len(CHANCES)), weighed["y"].to_numpy(float), []
+    for i, chance in enumerate(CHANCES):
+        slope, base = _logistic(np.log1p(x[:, i]), y)
+        made = dataclasses.replace(model, chance=chance, slope=slope, base=base)
+        p = np.clip(made.probability(x[:, i]), 1e-12, 1 - 1e-12)
+        out.append((float(np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))), made))
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """Fit on the labelled documents outside the held-out fold; see the module."""
+    spark = docs.sparkSession
+    kept = _chosen(docs, labels, sample)
+    if not kept:
+        return NOTHING
+    parts = [[x for i, x in enumerate(kept) if (i % CALIBRATE == 1) == aside] for aside in (False, True)]
+    toxic, clean = (sum(t == k for t, _ in parts[0]) for k in (1, 0))
+    if not toxic or not clean or len({t for t, _ in parts[1]}) < 2:
+        share = sum(t for t, _ in kept) / len(kept)
+        return dataclasses.replace(NOTHING, base=math.log((share + 1e-9) / (1 - share + 1e-9)))
+
+    def labelled(rows):
+        chosen = F.broadcast(spark.createDataFrame(rows, "__toxic int, __id long"))
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, F.col("doc_id") == F.col("__id")).select("text", "__toxic")
 
-    weighed = mapped(calibrating, weigh, "x double, y int").toPandas()
-    model.slope, model.base = _logistic(np.log1p(weighed["x"].to_numpy()), weighed["y"].to_numpy(float))
-    return model
+    counting, calibrating = labelled(parts[0]), materialize(labelled(parts[1]), "calibrating")
+    counted = log_odds(count_units(counting), toxic, clean).where((F.abs("z") >= Z) & ~F.col("odds").between(0, min(LEASTS)))
+    rows = counted.select("kind", "unit", "odds").toPandas().sort_values(["kind", "unit"])
+    made = []
+    for least in LEASTS:
+        own = rows[(rows["odds"] <= 0) | (rows["odds"] > least)]
+        by_kind = {int(k): x for k, x in own.groupby("kind")}
+        units = {k: pa.array([bytes(u) for u in x["unit"]], pa.large_binary()) for k, x in by_kind.items()}
+        made += calibrate(Model(units, {k: np.clip(x["odds"].to_numpy(float), -LARGEST, LARGEST) for k, x in by_kind.items()}), calibrating)
+    discard(calibrating)
+    return max(made, key=lambda x: x[0])[1]  # the first of equals: the smallest least value, the largest chance
 
 
 # ---- use
