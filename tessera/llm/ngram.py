@@ -1,11 +1,15 @@
 """Trigram language model by deleted interpolation, counted and scored without moving texts.
 
-Documents become segments of a bounded number of tokens, written once: the sorted hashes of a segment's distinct
-words, and for every token the number of its word. Counting asks, for every distinct word, pair and triple of words of
-a segment, how often the training corpus holds it: hashes go by value ranges to buckets, one for each BUCKET tokens of
-the corpus; each adds up what all segments say about a hash and answers each of them in the order it asked. So a
-frequent word sends one number a segment, and what moves follows the distinct triples, not the tokens. A segment and
-bucket share one row, and none if the segment has no hash there, so rows are never more than distinct triples.
+Documents become segments of a bounded number of tokens, written once: a segment's distinct words, and for every token
+the number of its word. Counting asks, for every distinct word, pair and triple of words of a segment, how often the
+training corpus holds it: by their hashes they go to buckets, one for each BUCKET tokens of the corpus; each adds up what
+all segments say about a word or run and answers each of them in the order it asked. So a frequent word sends one number
+a segment, and what moves follows the distinct triples, not the tokens. A segment and bucket share one row, and none if
+the segment has nothing there, so rows are never more than distinct triples. The bucket of a frequent word hears from
+every segment: beyond FAN of them, groups of FAN segments are summed up first, and answered through their group.
+
+Words are counted by their bytes. Pairs and triples are told apart by numbers with a secret key over the 128-bit digests
+of their words (see textvec).
 
 P(w | g h) = l3 c(g h w) / c(g h) + l2 c(h w) / c(h) + l1 c(w) / N + l0 / (V + 1), the weights by the context's frequency
 (buckets of powers of two): that of g h if training holds it, else that of h, where l3 is 0. They are learned by
@@ -24,6 +28,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,15 +41,18 @@ SEGMENT = 3 << 18
 BUCKET = 1 << 21
 #: Bins a factor of two, of the probabilities that weights are learned from.
 FINE = 1
+#: Segments that one task adds up.
+FAN = 1 << 10
 #: Levels of a context's frequency: of one word, and behind them of two.
 LEVELS = 65
 ROUNDS = 100
-END = np.uint64(0x2545F4914F6CDD1D)
-BEGIN = np.uint64(0x9E6C63D0876A9A47)
+#: The end's word is empty, which no other is. What stands before a text has a digest of its own.
+END = b""
+BEGIN = np.array([[0x9E6C63D0876A9A47, 0x2545F4914F6CDD1D]], np.uint64)
 
 #: A learning segment's number is odd.
-SEGMENTS = "segment long, learning boolean, doc_ids array<long>, folds array<int>, sizes array<long>, words binary, tokens binary"
-ASKED = "bucket long, segment long, keys binary, counts binary, held binary"
+SEGMENTS = "segment long, learning boolean, doc_ids array<long>, folds array<int>, sizes array<long>, lengths binary, words binary, tokens binary"
+ASKED = "bucket long, segment long, lengths binary, keys binary, counts binary, held binary"
 ANSWERED = "segment long, bucket long, counts binary, held binary, sums array<long>"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -71,6 +79,32 @@ def _wide(blob: bytes) -> np.ndarray:
     return _unpack(blob[1:], f"<u{blob[0]}").astype(np.int64)
 
 
+def _pack_keys(keys: pa.Array | np.ndarray) -> tuple[bytes, bytes]:
+    """Words (as their lengths and bytes), or ascending numbers."""
+    if isinstance(keys, np.ndarray):
+        return b"", _pack(np.diff(keys, prepend=np.uint64(0)))
+    return _narrow(pc.binary_length(keys).to_numpy(zero_copy_only=False).astype(np.int64)), _pack(np.frombuffer(b"".join(keys.to_pylist()), np.uint8))
+
+
+def _unpack_keys(lengths: bytes, keys: bytes) -> pa.Array | np.ndarray:
+    if not lengths:
+        return np.cumsum(_unpack(keys, "<u8"), dtype=np.uint64)
+    offsets = np.r_[0, np.cumsum(_wide(lengths))].astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(_unpack(keys, "u1"))])
+
+
+def _merged(parts: list[pa.Array | np.ndarray]) -> tuple[np.ndarray, pa.Array | np.ndarray]:
+    """The number of each key in all parts, and the different keys: numbers ascending, words in the order of their bytes."""
+    if isinstance(parts[0], np.ndarray):
+        keys, index = np.unique(np.concatenate(parts), return_inverse=True)
+        return index, keys
+    encoded = pa.concat_arrays(parts).dictionary_encode()
+    order = pc.array_sort_indices(encoded.dictionary).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return place[encoded.indices.to_numpy()], encoded.dictionary.take(pa.array(order))
+
+
 def segments(docs: DataFrame, size: int = SEGMENT) -> DataFrame:
     """See SEGMENTS; folds holds crc32 of the id as text modulo 10, and learning segments those where it is 1."""
 
@@ -84,7 +118,10 @@ def segments(docs: DataFrame, size: int = SEGMENT) -> DataFrame:
         def flush(learning: bool):
             nonlocal number
             own, held[learning], tokens[learning], number = held[learning], [], 0, number + 1
-            words, index = np.unique(np.concatenate([x[3] for x in own]), return_inverse=True)
+            index, words = _merged([x[3] for x in own])  # of each slice's words
+            ends = np.r_[0, np.cumsum([len(x[3]) for x in own])]
+            index = np.concatenate([index[lo + x[4]] for lo, x in zip(ends, own)])
+            lengths, words = _pack_keys(words)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([(task << 24 | number) << 1 | learning], pa.int64()),
@@ -92,23 +129,24 @@ def segments(docs: DataFrame, size: int = SEGMENT) -> DataFrame:
                     pa.array([[i for x in own for i in x[0]]], pa.list_(pa.int64())),
                     pa.array([[i for x in own for i in x[1]]], pa.list_(pa.int32())),
                     pa.array([np.concatenate([x[2] for x in own]).tolist()], pa.list_(pa.int64())),
-                    pa.array([_pack(np.diff(words, prepend=np.uint64(0)))], pa.binary()),
-                    pa.array([_pack(index.astype("<u4"))], pa.binary()),
+                    *(pa.array([x], pa.binary()) for x in (lengths, words, _pack(index.astype("<u4")))),
                 ],
-                ["segment", "learning", "doc_ids", "folds", "sizes", "words", "tokens"],
+                ["segment", "learning", "doc_ids", "folds", "sizes", "lengths", "words", "tokens"],
             )
 
         for batch in batches:
             doc_ids, folds = batch.column("doc_id").to_pylist(), np.array(batch.column("fold").to_pylist(), np.int64)
             for lo, hi, data, starts in tv.slices(batch.column("text")):
                 begin, end, first = tv.spans(data, starts, tv.BLANKS)
-                words = np.insert(tv.Chunks(data).hash(begin, end), first[1:], END)
-                sizes = np.diff(first) + 1
+                data = tv.LOWER[data]
+                index, words = tv.distinct_words(data, begin, end)
+                words = pa.concat_arrays([words, pa.array([END], pa.large_binary())])
+                index, sizes = np.insert(index, first[1:], len(words) - 1), np.diff(first) + 1
                 for learning in (False, True):  # documents that weights are learned on have segments of their own
                     mine = (folds[lo:hi] == 1) == learning
                     if mine.any():
                         at = np.flatnonzero(mine) + lo
-                        held[learning].append(([doc_ids[i] for i in at.tolist()], folds[at].tolist(), sizes[mine], words[np.repeat(mine, sizes)]))
+                        held[learning].append(([doc_ids[i] for i in at.tolist()], folds[at].tolist(), sizes[mine], words, index[np.repeat(mine, sizes)]))
                         tokens[learning] += int(sizes[mine].sum())
                         if tokens[learning] >= size:
                             yield flush(learning)
@@ -121,27 +159,34 @@ def segments(docs: DataFrame, size: int = SEGMENT) -> DataFrame:
 
 
 class Segment:
-    """A row of segments(), unpacked: its words, and the pair of words of each token."""
+    """A row of segments(), unpacked: its words, and of each token the number of its word."""
 
     def __init__(self, row: dict):
         self.id = row["segment"]
-        self.words = np.cumsum(_unpack(row["words"], "<u8"), dtype=np.uint64)
+        self.words = _unpack_keys(row["lengths"], row["words"])
         self.token = _unpack(row["tokens"], "<u4").astype(np.int64)
         self.sizes = np.array(row["sizes"], np.int64)
         self.first = np.r_[0, np.cumsum(self.sizes)][:-1]
         folds = np.array(row["folds"], np.int64)
         self.folds = np.repeat(folds, self.sizes)  # of each token
         self.doc_ids, self.doc_folds = row["doc_ids"], folds
-
-    def grams(self, order: int) -> np.ndarray:
-        """A hash of each token and the order - 1 before it; a text begins behind as many begins."""
-        made = h = self.words[self.token]
-        for _ in range(order - 1):
-            before = np.r_[BEGIN, made[:-1]]
-            before[self.first] = BEGIN
-            with np.errstate(over="ignore"):
-                made = tv.mix(before * np.uint64(0xD6E8FEB86659FD93) + h)
-        return made
+        self._digests = None
+
+    def digests(self) -> np.ndarray:
+        """Of each word, and behind them the begin's."""
+        if self._digests is None:
+            self._digests = np.concatenate([tv.digests(self.words), BEGIN])
+        return self._digests
+
+    def grams(self, order: int, key: np.ndarray) -> np.ndarray:
+        """The number of each token with the order - 1 before it; a text begins behind as many begins."""
+        with np.errstate(over="ignore"):
+            of_word = [(self.digests() * k).sum(1, dtype=np.uint64) for k in key[:order]]
+            out, token = np.full(len(self.token), key[-1, 0] * np.uint64(order), np.uint64), self.token
+            for values in of_word:
+                out += values[token]
+                token = self.before(token, len(self.words))
+        return tv.mix(out)
 
     def before(self, values: np.ndarray, at_begin: int) -> np.ndarray:
         """The value of the token before each; at a text's begin at_begin."""
@@ -156,64 +201,94 @@ def _rows(batches):
             yield {c: batch.column(c)[i].as_py() for c in batch.schema.names}
 
 
-def _ask(parts: DataFrame, buckets: int, order: int) -> DataFrame:
-    """What each segment asks of each bucket: distinct hashes, ascending, with its counts in training documents, and in
-    those of them that weights are learned on. Buckets are ranges of hashes."""
+def _ask(parts: DataFrame, buckets: int, order: int, key: np.ndarray) -> DataFrame:
+    """What each segment asks of each bucket: distinct words or runs in order, with its counts in training documents, and
+    in those of them that weights are learned on. Buckets are ranges of hashes."""
     cuts = np.array([((b << 64) // buckets) for b in range(1, buckets)], np.uint64)
 
     def run(batches):
         for row in _rows(batches):
             s = Segment(row)
-            keys, index = np.unique(s.grams(order), return_inverse=True) if order > 1 else (s.words, s.token)
+            if order > 1:
+                keys, index = np.unique(s.grams(order, key), return_inverse=True)
+                hashes, own = keys, np.arange(len(keys))
+            else:
+                keys, index = s.words, s.token
+                own = np.argsort(s.digests()[:-1, 0], kind="stable")
+                hashes = s.digests()[:-1, 0][own]
             counts = np.bincount(index[s.folds > 0], minlength=len(keys))
             held = np.bincount(index[s.folds == 1], minlength=len(keys))
-            at = [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
+            at = [0, *np.searchsorted(hashes, cuts).tolist(), len(keys)]
             for lo in range(0, buckets, 64):
                 some = [b for b in range(lo, min(buckets, lo + 64)) if at[b] < at[b + 1]]
                 if some:
+                    mine = [np.sort(own[at[b] : at[b + 1]]) for b in some]  # words keep the order of their bytes
+                    packed = [_pack_keys(keys[x] if order > 1 else keys.take(pa.array(x))) for x in mine]
+                    columns = [[a for a, _ in packed], [b for _, b in packed], [_narrow(counts[x]) for x in mine], [_narrow(held[x]) for x in mine]]
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(some, pa.int64()),
-                            pa.array([s.id] * len(some), pa.int64()),
-                            pa.array([_pack(np.diff(keys[at[b] : at[b + 1]], prepend=np.uint64(0))) for b in some], pa.binary()),
-                            pa.array([_narrow(counts[at[b] : at[b + 1]]) for b in some], pa.binary()),
-                            pa.array([_narrow(held[at[b] : at[b + 1]]) for b in some], pa.binary()),
-                        ],
-                        ["bucket", "segment", "keys", "counts", "held"],
+                        [pa.array(some, pa.int64()), pa.array([s.id] * len(some), pa.int64()), *(pa.array(x, pa.binary()) for x in columns)],
+                        ["bucket", "segment", "lengths", "keys", "counts", "held"],
                     )
 
     return mapped(parts, run, ASKED)
 
 
-def _answer(asked: DataFrame) -> DataFrame:
+def _add_up(table: pa.Table):
+    """Rows of a bucket (or of a group of it) in the order of their segments; where each one's keys are; the keys, and
+    their counts."""
+    rows = table.sort_by("segment").to_pylist()
+    keys = [_unpack_keys(r["lengths"], r["keys"]) for r in rows]
+    index, merged = _merged(keys)
+    counts, held = (np.bincount(index, np.concatenate([_wide(r[c]) for r in rows])).astype(np.int64) for c in ("counts", "held"))
+    return rows, np.split(index, np.cumsum([len(k) for k in keys])[:-1]), merged, counts, held
+
+
+def _answers(bucket: int, rows, own, counts: np.ndarray, held: np.ndarray, sums: list[int] | None) -> pa.Table:
+    last = [] if sums is None else [None]
+    return pa.table(
+        {
+            "segment": pa.array([*(r["segment"] for r in rows), *last], pa.int64()),
+            "bucket": pa.array([bucket] * (len(rows) + len(last)), pa.int64()),
+            "counts": pa.array([*(_narrow(counts[x]) for x in own), *last], pa.binary()),
+            "held": pa.array([*(_narrow(held[x]) for x in own), *last], pa.binary()),
+            "sums": pa.array([*(None for _ in rows), *([] if sums is None else [sums])], pa.list_(pa.int64())),
+        }
+    )
+
+
+def _answer(asked: DataFrame, groups: int = 1) -> DataFrame:
     """Totals over all segments, in the order of each one's question; sums, on a row without segment: occurrences and
-    distinct hashes of the bucket, over all training documents and over the counted part."""
-
-    def run(key, table):
-        rows = table.sort_by("segment").to_pylist()
-        keys = [np.cumsum(_unpack(r["keys"], "<u8"), dtype=np.uint64) for r in rows]
-        ends = np.cumsum([len(k) for k in keys])
-        _, index = np.unique(np.concatenate(keys), return_inverse=True)
-        counts = np.bincount(index, np.concatenate([_wide(r["counts"]) for r in rows])).astype(np.int64)
-        held = np.bincount(index, np.concatenate([_wide(r["held"]) for r in rows])).astype(np.int64)
-        own = np.split(index, ends[:-1])
+    distinct keys of the bucket, over all training documents and over the counted part. With several groups of segments,
+    a bucket hears from groups, which answer their segments."""
+
+    def whole(key, table):
+        rows, own, _, counts, held = _add_up(table)
         sums = [int(y) for x in (counts, counts - held) for y in (x.sum(), (x > 0).sum())]
-        return pa.table(
-            {
-                "segment": pa.array([*(r["segment"] for r in rows), None], pa.int64()),
-                "bucket": pa.array([key[0].as_py()] * (len(rows) + 1), pa.int64()),
-                "counts": pa.array([*(_narrow(counts[x]) for x in own), None], pa.binary()),
-                "held": pa.array([*(_narrow(held[x]) for x in own), None], pa.binary()),
-                "sums": pa.array([*(None for _ in rows), sums], pa.list_(pa.int64())),
-            }
-        )
+        return _answers(key[0].as_py(), rows, own, counts, held, sums)
+
+    if groups <= 1:
+        return asked.groupBy("bucket").applyInArrow(whole, ANSWERED)
+
+    def part(key, table):
+        _, _, merged, counts, held = _add_up(table)
+        lengths, keys = _pack_keys(merged)
+        return pa.table({"bucket": [key[0].as_py()], "segment": [key[1].as_py()]} | {c: pa.array([x], pa.binary()) for c, x in zip(("lengths", "keys", "counts", "held"), (lengths, keys, _narrow(counts), _narrow(held)))})
+
+    def back(key, questions, answer):
+        rows, own, *_ = _add_up(questions.drop_columns(["group"]))
+        told = answer.to_pylist()[0]
+        return _answers(key[0].as_py(), rows, own, _wide(told["counts"]), _wide(told["held"]), None)
 
-    return asked.groupBy("bucket").applyInArrow(run, ANSWERED)
+    asked = materialize(asked.withColumn("group", F.pmod(F.xxhash64("segment"), F.lit(groups))), "questions")
+    answered = materialize(_answer(asked.groupBy("bucket", "group").applyInArrow(part, ASKED)), "group-answers")
+    replies = answered.where("segment is not null").select("bucket", F.col("segment").alias("group"), "counts", "held")
+    told = asked.groupBy("bucket", "group").cogroup(replies.groupBy("bucket", "group")).applyInArrow(back, ANSWERED)
+    return told.unionByName(answered.where("segment is null"))
 
 
-def count(parts: DataFrame, buckets: int, order: int) -> DataFrame:
+def count(parts: DataFrame, buckets: int, order: int, key: np.ndarray, groups: int = 1) -> DataFrame:
     """Ask and answer; one row a segment and bucket."""
-    answers = materialize(_answer(_ask(parts, buckets, order)), f"grams-{order}")
+    answers = materialize(_answer(_ask(parts, buckets, order, key), groups), f"grams-{order}")
     release(parts.sparkSession)  # the questions
     return answers
 
@@ -236,25 +311,31 @@ def _level(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype(np.float64))[1]
 
 
-def _probabilities(s: Segment, row: dict, total: int, texts: int, learning: bool):
+def _probabilities(s: Segment, row: dict, key: np.ndarray, total: int, texts: int, learning: bool):
     """For each token (when learning: from the counts without the held part): level of its context, the three
     maximum-likelihood estimates, longest first, and its word's count."""
     counts = [_gather(row[f"g{k}"], "counts") - (_gather(row[f"g{k}"], "held") if learning else 0) for k in range(3)]
-    seen = counts[0][s.token]
-    pair, triple = (counts[k][np.unique(s.grams(k + 1), return_inverse=True)[1]] for k in (1, 2))
+    # words were asked for bucket by bucket
+    hashes = s.digests()[:-1, 0]
+    cuts = np.array([((b << 64) // row["buckets"]) for b in range(1, row["buckets"])], np.uint64)
+    asked = np.lexsort((np.arange(len(hashes)), np.searchsorted(cuts, hashes, "right")))
+    words = np.empty(len(hashes), np.int64)
+    words[asked] = counts[0]
+    seen = words[s.token]
+    pair, triple = (counts[k][np.unique(s.grams(k + 1, key), return_inverse=True)[1]] for k in (1, 2))
     one, two = s.before(seen, texts), s.before(pair, texts)
     level = np.where(two > 0, LEVELS + _level(two), _level(one))
     return level, (triple / np.maximum(two, 1), pair / np.maximum(one, 1), seen / max(total, 1)), seen
 
 
-def learn(joined: DataFrame, tokens: int, distinct: int, texts: int) -> np.ndarray:
+def learn(joined: DataFrame, key: np.ndarray, tokens: int, distinct: int, texts: int) -> np.ndarray:
     """Weights (l3, l2, l1, l0) of each context level, by expectation-maximisation over a histogram of all tokens of the
     learning segments."""
 
     def run(batches):
         for row in _rows(batches):
             s = Segment(row)
-            level, estimates, _ = _probabilities(s, row, tokens, texts, True)
+            level, estimates, _ = _probabilities(s, row, key, tokens, texts, True)
             code = level.astype(np.int64)
             for p in estimates:  # a bin is below 2**12
                 code = code << 12 | np.where(p > 0, np.round(-np.log2(np.maximum(p, 1e-300)) * FINE) + 1, 0).astype(np.int64)
@@ -284,26 +365,27 @@ def learn(joined: DataFrame, tokens: int, distinct: int, texts: int) -> np.ndarr
     return weights
 
 
-def score(docs: DataFrame, size: int = SEGMENT, bucket: int = BUCKET) -> DataFrame:
+def score(docs: DataFrame, size: int = SEGMENT, bucket: int = BUCKET, fan: int = FAN) -> DataFrame:
     """See SCORED: base_score by smoothed unigrams, score by the model, both log10 of the whole text."""
     spark = docs.sparkSession
     parts = materialize(segments(docs, size), "segments")
     held = parts.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    buckets = max(1, -(-held // bucket))
-    counted = [count(parts, buckets, order) for order in (1, 2, 3)]
+    buckets, groups, key = max(1, -(-held // bucket)), max(1, -(-parts.count() // fan)), tv.secret(3)
+    counted = [count(parts, buckets, order, key, groups) for order in (1, 2, 3)]
+    parts = parts.withColumn("buckets", F.lit(buckets))
 
     sums = counted[0].where("segment is null").agg(*(F.coalesce(F.sum(F.get("sums", F.lit(i))), F.lit(0)) for i in range(4))).first()
     tokens, distinct, known, known_distinct = sums
     folds = parts.select(F.explode("folds").alias("fold"))
     texts, held_texts = folds.agg(F.coalesce(F.sum((F.col("fold") > 0).cast("long")), F.lit(0)), F.coalesce(F.sum((F.col("fold") == 1).cast("long")), F.lit(0))).first()
     odd = [x.where("segment % 2 = 1") for x in (parts, *counted)]
-    weights = spark.sparkContext.broadcast(learn(_joined(odd[0], odd[1:]), known, known_distinct, texts - held_texts))
+    weights = spark.sparkContext.broadcast(learn(_joined(odd[0], odd[1:]), key, known, known_distinct, texts - held_texts))
     release(spark)
 
     def run(batches):
         for row in _rows(batches):
             s = Segment(row)
-            level, estimates, seen = _probabilities(s, row, tokens, texts, False)
+            level, estimates, seen = _probabilities(s, row, key, tokens, texts, False)
             *share, l0 = (x[level] for x in weights.value.T)
             model = np.log10(sum(x * p for x, p in zip(share, estimates)) + l0 / (distinct + 1))
             base = np.log10((seen + 0.1) / (tokens + 0.1 * (distinct + 1)))

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from tessera.llm import ngram
 
@@ -70,13 +71,18 @@ def brute_score(rows, weights):
         yield str(i), len(tokens(x)), round(sum(map(math.log10, counts.probabilities(x, weights))), 6)
 
 
-def test_counts_and_scores_equal_brute_force(spark, monkeypatch):
-    rows = corpus()
+PAIR = ["documentdocument", "oqhp4xe0s6a0zbro"]  # of one hash, eight bytes at a time
+
+
+@pytest.mark.parametrize("bucket,fan", [(ngram.BUCKET, ngram.FAN), (9000, ngram.FAN), (20_000, 7)])
+def test_counts_and_scores_equal_brute_force(spark, monkeypatch, bucket, fan):
+    held, trained = (next(i for i in range(5000, 6000) if (fold(i) == 0) == out) for out in (True, False))
+    rows = corpus() + [(trained, f"{PAIR[0]} x", ""), (held, f"{PAIR[1]} w1 {PAIR[0]}", ""), (trained + 1, "x" * 3000 + " " + "x" * 3001, "")]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     learned = []
     real = ngram.learn
     monkeypatch.setattr(ngram, "learn", lambda *a: learned.append(real(*a)) or learned[-1])
-    got = ngram.score(docs, size=500).collect()
+    got = ngram.score(docs, 500, bucket, fan).collect()
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == sorted(want(rows))
     assert np.allclose(learned[0].sum(1), 1)
     a = sorted((str(r.doc_id), r.n_tokens, r.score) for r in got)
@@ -98,10 +104,33 @@ def test_weights_maximise_held_likelihood(spark, monkeypatch):
         return sum(math.log(p) for i, x, _ in rows if fold(i) == 1 for p in counts.probabilities(x, weights))
 
     best = likelihood(learned[0])
+    exact = exact_em(counts, [x for i, x, _ in rows if fold(i) == 1], learned[0])
+    assert best > likelihood(exact) - 0.002 * abs(best)  # what the bins cost
     for other in ((1, 0, 0, 0), (0, 1, 0, 0), (0, 0, 1, 0), (0, 0, 0, 1), (1, 1, 1, 1)):
         near = 0.9 * learned[0] + 0.1 * np.array(other) / sum(other)
         near[0] = learned[0][0]
-        assert likelihood(near) < best + 0.01 * abs(best)
+        assert likelihood(near) < best + 0.002 * abs(best)
+
+
+def exact_em(counts, texts, start):
+    """Expectation-maximisation over every held token with its own estimates."""
+    terms = {}
+    for x in texts:
+        own = ["^", "^", *tokens(x)]
+        for j in range(2, len(own)):
+            one = counts.begins if j == 2 else counts.grams[0][(own[j - 1],)]
+            two = counts.begins if j == 2 else counts.grams[1][tuple(own[j - 2 : j])]
+            level = ngram.LEVELS + two.bit_length() if two else one.bit_length()
+            estimates = [counts.grams[2][tuple(own[j - 2 : j + 1])] / max(two, 1), counts.grams[1][tuple(own[j - 1 : j + 1])] / max(one, 1), counts.grams[0][(own[j],)] / counts.total]
+            terms.setdefault(level, []).append([*estimates, 1 / (counts.distinct + 1)])
+    out = start.copy()
+    for level, p in terms.items():
+        p, w = np.array(p), np.full(4, 0.25)
+        for _ in range(300):
+            share = p * w
+            w = (share / share.sum(1, keepdims=True)).mean(0)
+        out[level] = w
+    return out
 
 
 def test_empty(spark):
