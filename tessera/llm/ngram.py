@@ -36,9 +36,9 @@ from tessera.llm import textvec as tv
 from tessera.llm.common import mapped, materialize, release
 
 #: Tokens of a segment at least, unless a partition ends.
-SEGMENT = 3 << 18
+SEGMENT = 1 << 19
 #: Tokens of the corpus for each bucket of hashes.
-BUCKET = 1 << 21
+BUCKET = 1 << 20
 #: Bins a factor of two, of the probabilities that weights are learned from.
 FINE = 1
 #: Segments that one task adds up.
