@@ -48,7 +48,7 @@ BLOCK = 1 << 18
 EDGES = 1 << 21
 
 #: Multipliers of the shingles' numbers that darts are thrown with: the same in every run.
-FIXED = tv.fixed_keys(WORDS)
+FIXED = tv.run_key(WORDS, fixed=True)
 
 SIGNED = "doc_id long, size long, set_a long, set_b long, bands array<long>"
 
@@ -132,7 +132,7 @@ def sets_of(column: pa.Array, key: np.ndarray):
     for lo, hi, data, starts in tv.slices(lowered):
         begin, end, first = tv.spans(data, starts, tv.ALNUM)
         index, words = tv.distinct_words(data, begin, end)
-        (shingles, fixed), first = tv.shingles(tv.digests(words)[index], first, [key, FIXED])
+        (shingles, fixed), first = tv.shingles(tv.digests(words), index, first, [key, FIXED])
         yield lo, hi, *elements(shingles, first, fixed), first
 
 
@@ -378,7 +378,7 @@ def near_links(distinct: DataFrame, docs: DataFrame, key: np.ndarray, similarity
 
 def _classed(docs: DataFrame, similarity: float) -> DataFrame:
     """(doc_id, class_id): one row per row of docs."""
-    key = tv.secret(WORDS)
+    key = tv.run_key(WORDS)
     marks = materialize(signed(docs, key), "signatures")
     worded = marks.where("size > 0 and doc_id is not null")
     # equal sets have equal bands

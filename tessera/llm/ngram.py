@@ -8,8 +8,8 @@ a segment, and what moves follows the distinct triples, not the tokens. A segmen
 the segment has nothing there, so rows are never more than distinct triples. The bucket of a frequent word hears from
 every segment: beyond FAN of them, groups of FAN segments are summed up first, and answered through their group.
 
-Words are counted by their bytes. Pairs and triples are told apart by numbers with a secret key over the 128-bit digests
-of their words (see textvec).
+Words are counted by their bytes. Pairs and triples are told apart by universal hashing of their words with secret
+multipliers (see textvec).
 
 P(w | g h) = l3 c(g h w) / c(g h) + l2 c(h w) / c(h) + l1 c(w) / N + l0 / (V + 1), the weights by the context's frequency
 (buckets of powers of two): that of g h if training holds it, else that of h, where l3 is 0. They are learned by
@@ -24,6 +24,7 @@ less by l0 alone. An empty table gives no rows. Other columns are ignored. Texts
 
 from __future__ import annotations
 
+import dataclasses
 from functools import reduce
 
 import numpy as np
@@ -36,7 +37,7 @@ from tessera.llm import textvec as tv
 from tessera.llm.common import mapped, materialize, release
 
 #: Tokens of a segment at least, unless a partition ends.
-SEGMENT = 1 << 19
+SEGMENT = 3 << 18
 #: Tokens of the corpus for each bucket of hashes.
 BUCKET = 1 << 20
 #: Bins a factor of two, of the probabilities that weights are learned from.
@@ -82,13 +83,15 @@ def _wide(blob: bytes) -> np.ndarray:
 def _pack_keys(keys: pa.Array | np.ndarray) -> tuple[bytes, bytes]:
     """Words (as their lengths and bytes), or ascending numbers."""
     if isinstance(keys, np.ndarray):
-        return b"", _pack(np.diff(keys, prepend=np.uint64(0)))
+        # the differences' lowest bytes first, then the next: the highest are all zero
+        return b"", _pack(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
     return _narrow(pc.binary_length(keys).to_numpy(zero_copy_only=False).astype(np.int64)), _pack(np.frombuffer(b"".join(keys.to_pylist()), np.uint8))
 
 
 def _unpack_keys(lengths: bytes, keys: bytes) -> pa.Array | np.ndarray:
     if not lengths:
-        return np.cumsum(_unpack(keys, "<u8"), dtype=np.uint64)
+        planes = _unpack(keys, "u1").reshape(8, -1)
+        return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64)
     offsets = np.r_[0, np.cumsum(_wide(lengths))].astype(np.int64)
     return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(_unpack(keys, "u1"))])
 
@@ -158,10 +161,19 @@ def segments(docs: DataFrame, size: int = SEGMENT) -> DataFrame:
     return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", fold.alias("fold")), run, SEGMENTS)
 
 
+@dataclasses.dataclass
+class Key:
+    """Secret multipliers, the same for all tasks of a job."""
+
+    word: np.ndarray = dataclasses.field(default_factory=tv.word_key)
+    run: np.ndarray = dataclasses.field(default_factory=lambda: tv.run_key(3))
+
+
 class Segment:
     """A row of segments(), unpacked: its words, and of each token the number of its word."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, key: "Key"):
+        self.key = key
         self.id = row["segment"]
         self.words = _unpack_keys(row["lengths"], row["words"])
         self.token = _unpack(row["tokens"], "<u4").astype(np.int64)
@@ -170,23 +182,22 @@ class Segment:
         folds = np.array(row["folds"], np.int64)
         self.folds = np.repeat(folds, self.sizes)  # of each token
         self.doc_ids, self.doc_folds = row["doc_ids"], folds
-        self._digests = None
+        self._hashes = None
 
-    def digests(self) -> np.ndarray:
-        """Of each word, and behind them the begin's."""
-        if self._digests is None:
-            self._digests = np.concatenate([tv.digests(self.words), BEGIN])
-        return self._digests
+    def hashes(self) -> np.ndarray:
+        """128 bits of each word, and behind them the begin's."""
+        if self._hashes is None:
+            self._hashes = np.concatenate([tv.keyed_words(self.words, self.key.word), BEGIN])
+        return self._hashes
 
-    def grams(self, order: int, key: np.ndarray) -> np.ndarray:
+    def grams(self, order: int) -> np.ndarray:
         """The number of each token with the order - 1 before it; a text begins behind as many begins."""
+        lanes, token = np.zeros((len(self.token), 2), np.uint64), self.token
         with np.errstate(over="ignore"):
-            of_word = [(self.digests() * k).sum(1, dtype=np.uint64) for k in key[:order]]
-            out, token = np.full(len(self.token), key[-1, 0] * np.uint64(order), np.uint64), self.token
-            for values in of_word:
-                out += values[token]
+            for k in self.key.run[:order]:
+                lanes += tv.word_sums(self.hashes(), k)[token]
                 token = self.before(token, len(self.words))
-        return tv.mix(out)
+        return tv.run_number(lanes, order, self.key.run)
 
     def before(self, values: np.ndarray, at_begin: int) -> np.ndarray:
         """The value of the token before each; at a text's begin at_begin."""
@@ -201,21 +212,21 @@ def _rows(batches):
             yield {c: batch.column(c)[i].as_py() for c in batch.schema.names}
 
 
-def _ask(parts: DataFrame, buckets: int, order: int, key: np.ndarray) -> DataFrame:
+def _ask(parts: DataFrame, buckets: int, order: int, key: Key) -> DataFrame:
     """What each segment asks of each bucket: distinct words or runs in order, with its counts in training documents, and
     in those of them that weights are learned on. Buckets are ranges of hashes."""
     cuts = np.array([((b << 64) // buckets) for b in range(1, buckets)], np.uint64)
 
     def run(batches):
         for row in _rows(batches):
-            s = Segment(row)
+            s = Segment(row, key)
             if order > 1:
-                keys, index = np.unique(s.grams(order, key), return_inverse=True)
+                keys, index = np.unique(s.grams(order), return_inverse=True)
                 hashes, own = keys, np.arange(len(keys))
             else:
                 keys, index = s.words, s.token
-                own = np.argsort(s.digests()[:-1, 0], kind="stable")
-                hashes = s.digests()[:-1, 0][own]
+                own = np.argsort(s.hashes()[:-1, 0], kind="stable")
+                hashes = s.hashes()[:-1, 0][own]
             counts = np.bincount(index[s.folds > 0], minlength=len(keys))
             held = np.bincount(index[s.folds == 1], minlength=len(keys))
             at = [0, *np.searchsorted(hashes, cuts).tolist(), len(keys)]
@@ -286,7 +297,7 @@ def _answer(asked: DataFrame, groups: int = 1) -> DataFrame:
     return told.unionByName(answered.where("segment is null"))
 
 
-def count(parts: DataFrame, buckets: int, order: int, key: np.ndarray, groups: int = 1) -> DataFrame:
+def count(parts: DataFrame, buckets: int, order: int, key: Key, groups: int = 1) -> DataFrame:
     """Ask and answer; one row a segment and bucket."""
     answers = materialize(_answer(_ask(parts, buckets, order, key), groups), f"grams-{order}")
     release(parts.sparkSession)  # the questions
@@ -311,31 +322,31 @@ def _level(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype(np.float64))[1]
 
 
-def _probabilities(s: Segment, row: dict, key: np.ndarray, total: int, texts: int, learning: bool):
+def _probabilities(s: Segment, row: dict, total: int, texts: int, learning: bool):
     """For each token (when learning: from the counts without the held part): level of its context, the three
     maximum-likelihood estimates, longest first, and its word's count."""
     counts = [_gather(row[f"g{k}"], "counts") - (_gather(row[f"g{k}"], "held") if learning else 0) for k in range(3)]
     # words were asked for bucket by bucket
-    hashes = s.digests()[:-1, 0]
+    hashes = s.hashes()[:-1, 0]
     cuts = np.array([((b << 64) // row["buckets"]) for b in range(1, row["buckets"])], np.uint64)
     asked = np.lexsort((np.arange(len(hashes)), np.searchsorted(cuts, hashes, "right")))
     words = np.empty(len(hashes), np.int64)
     words[asked] = counts[0]
     seen = words[s.token]
-    pair, triple = (counts[k][np.unique(s.grams(k + 1, key), return_inverse=True)[1]] for k in (1, 2))
+    pair, triple = (counts[k][np.unique(s.grams(k + 1), return_inverse=True)[1]] for k in (1, 2))
     one, two = s.before(seen, texts), s.before(pair, texts)
     level = np.where(two > 0, LEVELS + _level(two), _level(one))
     return level, (triple / np.maximum(two, 1), pair / np.maximum(one, 1), seen / max(total, 1)), seen
 
 
-def learn(joined: DataFrame, key: np.ndarray, tokens: int, distinct: int, texts: int) -> np.ndarray:
+def learn(joined: DataFrame, key: Key, tokens: int, distinct: int, texts: int) -> np.ndarray:
     """Weights (l3, l2, l1, l0) of each context level, by expectation-maximisation over a histogram of all tokens of the
     learning segments."""
 
     def run(batches):
         for row in _rows(batches):
-            s = Segment(row)
-            level, estimates, _ = _probabilities(s, row, key, tokens, texts, True)
+            s = Segment(row, key)
+            level, estimates, _ = _probabilities(s, row, tokens, texts, True)
             code = level.astype(np.int64)
             for p in estimates:  # a bin is below 2**12
                 code = code << 12 | np.where(p > 0, np.round(-np.log2(np.maximum(p, 1e-300)) * FINE) + 1, 0).astype(np.int64)
@@ -370,7 +381,7 @@ def score(docs: DataFrame, size: int = SEGMENT, bucket: int = BUCKET, fan: int =
     spark = docs.sparkSession
     parts = materialize(segments(docs, size), "segments")
     held = parts.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    buckets, groups, key = max(1, -(-held // bucket)), max(1, -(-parts.count() // fan)), tv.secret(3)
+    buckets, groups, key = max(1, -(-held // bucket)), max(1, -(-parts.count() // fan)), Key()
     counted = [count(parts, buckets, order, key, groups) for order in (1, 2, 3)]
     parts = parts.withColumn("buckets", F.lit(buckets))
 
@@ -384,8 +395,8 @@ def score(docs: DataFrame, size: int = SEGMENT, bucket: int = BUCKET, fan: int =
 
     def run(batches):
         for row in _rows(batches):
-            s = Segment(row)
-            level, estimates, seen = _probabilities(s, row, key, tokens, texts, False)
+            s = Segment(row, key)
+            level, estimates, seen = _probabilities(s, row, tokens, texts, False)
             *share, l0 = (x[level] for x in weights.value.T)
             model = np.log10(sum(x * p for x, p in zip(share, estimates)) + l0 / (distinct + 1))
             base = np.log10((seen + 0.1) / (tokens + 0.1 * (distinct + 1)))

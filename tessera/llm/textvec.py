@@ -1,10 +1,11 @@
 """Vectorised text scanning over Arrow string columns: word spans, words and shingles for whole batches.
 
 Which words of a slice are equal is decided by their bytes (an Arrow dictionary); across slices a word stands for its
-128-bit BLAKE2b digest. Runs of words are told apart by multilinear hashing of their digests with a secret drawn for each
-run: whatever the texts, two different runs have the same number with a probability of 2**-60 or so, and nobody can choose
-texts for which they have, as the secret is not there yet. Hashes for the search of candidates alone take fixed keys, so
-that it finds the same ones always.
+128-bit BLAKE2b digest, or for a keyed one. Runs of words are told apart by strongly universal hashing of their words'
+128 bits (multilinear: the upper halves of sums of 32-bit pieces, each times a 64-bit multiplier) with multipliers drawn
+for each run of a job: whatever the texts, two different runs have the same 64-bit number with a probability of 2**-64,
+and nobody can choose texts for which they have, as the multipliers are not there yet. Keyed words are hashed in the same
+way, to 128 bits. Hashes for the search of candidates alone take fixed multipliers, so that it finds the same ones always.
 
 Chunks hashes eight bytes at a time, for tables that compare bytes afterwards. Arrays are built for a bounded slice of the
 batch at a time; a single text longer than the slice forms a slice of its own.
@@ -132,20 +133,68 @@ def digests(words: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in words.to_pylist()), "<u8").reshape(-1, 2)
 
 
-def secret(size: int) -> np.ndarray:
-    """Odd multipliers that nobody knows beforehand, a row of two for each word of a run, and one for its length."""
-    return np.frombuffer(os.urandom(16 * (size + 1)), "<u8").reshape(-1, 2) | np.uint64(1)
+_UPPER, _HALF = np.uint64(0xFFFFFFFF00000000), np.uint64(32)
 
 
-def fixed_keys(size: int) -> np.ndarray:
-    """The same multipliers always, as secret()."""
-    return mix(np.arange(1, 2 * size + 3, dtype=np.uint64)).reshape(-1, 2) | np.uint64(1)
+def secret(*shape: int) -> np.ndarray:
+    """Multipliers that nobody knows beforehand."""
+    return np.frombuffer(os.urandom(8 * int(np.prod(shape))), "<u8").reshape(shape)
 
 
-def shingles(words: np.ndarray, first: np.ndarray, keys: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Numbers of all runs of words (given by their digests), for each of the keys, and each text's first (one entry
-    more). A run is as long as keys have rows for. A text of fewer words, but at least one, gives one run of them all."""
-    counts, width, n = np.diff(first), len(keys[0]) - 1, len(words)
+def run_key(size: int, fixed: bool = False) -> np.ndarray:
+    """Multipliers for runs of up to so many words, and for their length: for each, two lanes of four pieces. Fixed ones
+    are the same always."""
+    shape = (size + 1, 2, 4)
+    return mix(np.arange(1, 1 + int(np.prod(shape)), dtype=np.uint64)).reshape(shape) if fixed else secret(*shape)
+
+
+def word_key() -> np.ndarray:
+    """Multipliers of the pieces of a word of LONG bytes, and of its length: four lanes each."""
+    return secret(LONG // 4 + 1, 4)
+
+
+def keyed_words(words: pa.Array, key: np.ndarray) -> np.ndarray:
+    """128 bits for each word, as two columns of numbers, by multipliers of word_key(); words beyond LONG bytes by way of
+    their BLAKE2b digests."""
+    if not len(words):
+        return np.zeros((0, 2), np.uint64)
+    _, offsets, data = words.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
+    chunks = Chunks(np.frombuffer(data, np.uint8)[: offsets[-1]] if data is not None else np.zeros(0, np.uint8), None)
+    begin, size = offsets[:-1], np.diff(offsets)
+    with np.errstate(over="ignore"):
+        sums = size.astype(np.uint64)[:, None] * key[-1]
+        for i in range(LONG // 4):
+            more = np.flatnonzero((size > 4 * i) & (size <= LONG))
+            if not len(more):
+                break
+            piece = chunks.at(begin[more] + 4 * i, np.minimum(size[more] - 4 * i, 4))
+            sums[more] += piece[:, None] * key[i]
+        for i in np.flatnonzero(size > LONG).tolist():
+            pieces = np.frombuffer(hashlib.blake2b(words[i].as_py(), digest_size=16).digest(), "<u4").astype(np.uint64)
+            sums[i] += (pieces[:, None] * key[:4]).sum(0, dtype=np.uint64)
+    return np.ascontiguousarray((sums >> _HALF).astype("<u4")).view("<u8")
+
+
+def word_sums(of_words: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """What each word (its 128 bits) adds to the two lanes of a run at the place that key (lanes x pieces) is for."""
+    pieces = np.ascontiguousarray(of_words).view("<u4").astype(np.uint64)
+    with np.errstate(over="ignore"):
+        return np.stack([sum(pieces[:, p] * key[lane, p] for p in range(4)) for lane in range(2)], 1)
+
+
+def run_number(lanes: np.ndarray, length, key: np.ndarray) -> np.ndarray:
+    """A run's number from the sums of its words."""
+    with np.errstate(over="ignore"):
+        a, b = (lanes[:, i] + np.uint64(length) * key[-1, i, 0] for i in range(2))
+    return mix((a & _UPPER) | (b >> _HALF))
+
+
+def shingles(of_words: np.ndarray, index: np.ndarray, first: np.ndarray, keys: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Numbers of all runs of words for each of the keys, and each text's first (one entry more). Words are given by their
+    numbers and what these stand for (128 bits each). A run is as long as keys have rows for. A text of fewer words, but
+    at least one, gives one run of them all."""
+    counts, width, n = np.diff(first), len(keys[0]) - 1, len(index)
     owner = np.repeat(np.arange(len(counts)), counts)
     runs = max(0, n - width + 1)
     whole = owner[:runs] == owner[width - 1 :] if runs else np.zeros(0, bool)
@@ -158,13 +207,14 @@ def shingles(words: np.ndarray, first: np.ndarray, keys: list[np.ndarray]) -> tu
     outs = []
     with np.errstate(over="ignore"):
         for key in keys:
-            run = np.full(runs, key[width, 0] * np.uint64(width), np.uint64)
-            for i in range(width):
-                run += words[i : i + runs, 0] * key[i, 0] + words[i : i + runs, 1] * key[i, 1]
+            lanes = np.zeros((runs, 2), np.uint64)
+            sums = [word_sums(of_words, k) for k in key[:-1]]
+            for i, values in enumerate(sums):
+                lanes += values[index[i : i + runs]]
             out = np.empty(out_first[-1], np.uint64)
-            out[long_] = run[whole]
+            out[long_] = run_number(lanes, width, key)[whole]
             for t in short.tolist():
-                own = words[first[t] : first[t + 1]]
-                out[out_first[t]] = (own * key[: len(own)]).sum(dtype=np.uint64) + key[width, 0] * np.uint64(len(own))
-            outs.append(mix(out))
+                own = sum(sums[i][w] for i, w in enumerate(index[first[t] : first[t + 1]].tolist()))
+                out[out_first[t]] = run_number(own[None], int(counts[t]), key)[0]
+            outs.append(out)
     return outs, out_first

@@ -65,7 +65,7 @@ def test_signatures_agree_as_often_as_sets_are_similar():
     base = [f"w{rng.randrange(500)}" for _ in range(300)]
     other = base[:240] + [f"v{i}" for i in range(60)]
     texts = [" ".join(base), " ".join(other), "a b c", "a a a a a a a a"]
-    key = tv.secret(mh.WORDS)
+    key = tv.run_key(mh.WORDS)
     (_, _, regions, owner, fixed, first), *_ = mh.sets_of(pa.array(texts), key)
     k = 4000
     s = mh.signatures(fixed, owner, len(texts), k)
@@ -74,7 +74,7 @@ def test_signatures_agree_as_often_as_sets_are_similar():
     assert abs((s[0] == s[1]).mean() - want) < 0.04
     a, b = (set(regions[first[i] : first[i + 1]].tolist()) for i in (0, 1))
     assert abs(len(a & b) / len(a | b) - want) < 1e-12
-    alone = [next(iter(mh.sets_of(pa.array([t]), tv.secret(mh.WORDS)))) for t in texts]
+    alone = [next(iter(mh.sets_of(pa.array([t]), tv.run_key(mh.WORDS)))) for t in texts]
     assert all((mh.signatures(f, o, 1, k)[0] == s[i]).all() for i, (_, _, _, o, f, _) in enumerate(alone))
 
 
@@ -107,7 +107,7 @@ def test_a_group_most_of_whose_members_are_too_far(spark, monkeypatch, block):
 def test_words_whose_linear_hashes_collide():
     a = "".join("ab"[i.bit_count() % 2] for i in range(2048))
     b = a.translate(str.maketrans("ab", "ba"))
-    (_, _, regions, _, _, first), *_ = mh.sets_of(pa.array([f"{a} {a} {a} x y z", f"{b} {b} {b} x y z"]), tv.secret(mh.WORDS))
+    (_, _, regions, _, _, first), *_ = mh.sets_of(pa.array([f"{a} {a} {a} x y z", f"{b} {b} {b} x y z"]), tv.run_key(mh.WORDS))
     x, y = (set(regions[first[i] : first[i + 1]].tolist()) for i in (0, 1))
     assert len(x) == len(y) == 2 and not x & y
 
