@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import bisect
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -156,9 +157,11 @@ def drift(loaded: DataFrame, current: DataFrame, key: str = "member") -> DataFra
 
 
 def scan_changes(stored: DataFrame, current: DataFrame, key: str = "file_path", hash: str = "hash") -> DataFrame:
-    """(file_path, change): added, removed or modified, by hash."""
-    both = stored.select(key, F.col(hash).alias("__old")).join(current.select(key, F.col(hash).alias("__new")), key, "full")
-    change = F.when(F.col("__old").isNull(), "added").when(F.col("__new").isNull(), "removed").when(F.col("__old") != F.col("__new"), "modified")
+    """(file_path, change): added, removed or modified, by hash. Being there is one thing and having a hash another: a file
+    whose hash was or is unknown (null) is modified where only one of them is, and unchanged where both are."""
+    here = lambda name: F.lit(True).alias(name)
+    both = stored.select(key, F.col(hash).alias("__old"), here("__was")).join(current.select(key, F.col(hash).alias("__new"), here("__is")), key, "full")
+    change = F.when(F.col("__was").isNull(), "added").when(F.col("__is").isNull(), "removed").when(~F.col("__old").eqNullSafe(F.col("__new")), "modified")
     return both.withColumn("change", change).where("change is not null").select(key, "change")
 
 
@@ -267,29 +270,80 @@ def _ranges(edits: DataFrame) -> DataFrame:
     return edits.withColumn("lo", lo).withColumn("hi", F.when(lo == hi, hi + 1).otherwise(hi))
 
 
+class Spans:
+    """Disjoint ranges in order: whether another one is free, and taking it, by bisection. Ranges that touch are put
+    together, so there are never more than those that were taken."""
+
+    def __init__(self):
+        self.lo: list[int] = []
+        self.hi: list[int] = []
+
+    def free(self, lo: int, hi: int) -> bool:
+        i = bisect.bisect_left(self.hi, lo + 1)  # the first that ends behind lo
+        return i == len(self.lo) or self.lo[i] >= hi
+
+    def take(self, lo: int, hi: int) -> None:
+        i = bisect.bisect_left(self.hi, lo)
+        j = bisect.bisect_right(self.lo, hi)
+        if i < j:
+            lo, hi = min(lo, self.lo[i]), max(hi, self.hi[j - 1])
+        self.lo[i:j], self.hi[i:j] = [lo], [hi]
+
+
 def accept_greedily(edits: DataFrame) -> DataFrame:
-    """(id, status) of proposals with edits(id, proposed_at, file, start, end): the newest first (then the largest id),
-    each is accepted unless it overlaps an accepted one; the others are Stale. Each depends on all newer ones of its
-    files, so proposals that files connect are decided in one task, which holds their ranges; others elsewhere."""
-    ranges = _ranges(edits)
-    links = ranges.select(F.concat(F.lit("p:"), "id").alias("a"), F.concat(F.lit("f:"), "file").alias("b")).distinct()
-    flat = links.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"))
-    groups = component_labels(flat)
-    work = ranges.join(groups.select(F.expr("substring(id, 3)").alias("id"), "label", F.col("id").startswith("p:").alias("p")).where("p").drop("p"), "id")
-
-    def decide(rows: pd.DataFrame) -> pd.DataFrame:
-        taken: dict[str, list[tuple[int, int]]] = {}
-        out = []
-        for (_, proposal), own in sorted(rows.groupby(["proposed_at", "id"]), key=lambda x: x[0], reverse=True):
-            spans = list(zip(own["file"], own["lo"], own["hi"]))
-            free = not any(lo < h and l < hi for f, lo, hi in spans for l, h in taken.get(f, ()))
-            if free:
-                for f, lo, hi in spans:
-                    taken.setdefault(f, []).append((lo, hi))
-            out.append((proposal, "Accepted" if free else "Stale"))
-        return pd.DataFrame(out, columns=["id", "status"])
-
-    return work.groupBy("label").applyInPandas(decide, "id string, status string")
+    """(id, status) of proposals with edits(id, proposed_at, file, start, end): the newest first (then the largest id; a
+    null proposed_at is the oldest), each is accepted unless it overlaps an accepted one; the others are Stale. Every
+    proposal with an id comes back: one whose edits name no file (or no range) overlaps nothing there. Ranges of one
+    proposal may overlap each other. A proposal's time is the newest of its edits.
+
+    Only what overlaps matters. A file's ranges, sorted, fall into stretches that no range leaves; proposals that stretches
+    connect are decided in one task, in the order of time, by bisection of what is taken in each file; all others are
+    accepted where they stand. No pair of ranges is ever listed.
+    """
+    rows = edits.where("id is not null").select(F.col("id").cast("string").alias("id"), "proposed_at", "file", "start", "end")
+    rows = graph.written(rows.withColumn("edit", F.monotonically_increasing_id()))  # edits get names: a proposal has several
+    placed = rows.where("file is not null and start is not null and end is not null")
+    w = Window.partitionBy("file").orderBy("lo", "hi", "edit")
+    before = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    begins = _ranges(placed).withColumn("begins", (before.isNull() | (F.col("lo") >= before)).cast("int"))
+    stretches = graph.written(begins.select("id", "file", F.sum("begins").over(w).alias("stretch")).distinct())
+    shared = stretches.groupBy("file", "stretch").agg(F.count("*").alias("n")).where("n > 1").select("file", "stretch")
+    links = stretches.join(shared, ["file", "stretch"]).select(F.concat(F.lit("p:"), "id").alias("source_id"), F.concat_ws(":", F.lit("s"), "stretch", "file").alias("target_id"))
+    links = graph.written(links)
+    proposals = rows.groupBy("id").agg(F.max("proposed_at").alias("at"))
+    if not links.limit(1).count():
+        return proposals.select("id", F.lit("Accepted").alias("status"))
+    groups = component_labels(links).where(F.col("id").startswith("p:")).select(F.expr("substring(id, 3)").alias("id"), "label")
+    groups = graph.written(groups)
+    ranges = _ranges(placed).join(groups, "id").join(graph.written(proposals), "id")
+    order = [F.col("at").desc_nulls_last(), F.col("id").desc()]
+    work = ranges.select("label", "id", "at", "file", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi")).repartition("label").sortWithinPartitions("label", *order)
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, taken, own = None, {}, []
+
+        def settle() -> str:
+            free = all(taken[f].free(lo, hi) for f, lo, hi in own if f in taken)
+            for f, lo, hi in own if free else ():
+                taken.setdefault(f, Spans()).take(lo, hi)
+            return "Accepted" if free else "Stale"
+
+        for batch in batches:
+            out = []
+            for label, proposal, file, lo, hi in zip(batch["label"], batch["id"], batch["file"], batch["lo"].tolist(), batch["hi"].tolist()):
+                if now != (label, proposal):
+                    if now is not None:
+                        out.append((now[1], settle()))
+                    if now is None or now[0] != label:
+                        taken = {}
+                    now, own = (label, proposal), []
+                own.append((file, lo, hi))
+            yield pd.DataFrame(out, columns=["id", "status"])
+        if now is not None:
+            yield pd.DataFrame([(now[1], settle())], columns=["id", "status"])
+
+    decided = work.mapInPandas(decide, "id string, status string")
+    return proposals.join(groups, "id", "left_anti").select("id", F.lit("Accepted").alias("status")).unionByName(decided)
 
 
 def component_labels(edges: DataFrame) -> DataFrame:

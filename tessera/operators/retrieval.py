@@ -7,12 +7,10 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
-from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scores as S
@@ -21,8 +19,8 @@ from tessera.shared import materialize
 
 K1, B = 1.2, 0.75
 RRF_K = 60.0
-#: Query vectors that are broadcast at most; more are searched in blocks.
-QUERY_BLOCK = 4096
+#: Query vectors that are broadcast at most; more meet the vectors in blocks of as many, and these in blocks of VECTOR_BLOCK.
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 16_384
 # Seconds between the attempts of a lenient search.
 RETRY_WAITS = (0.05, 0.1)
 
@@ -100,8 +98,9 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, by: Sequence[str] = (),
     """(query, id, distance, rank): the k nearest of vectors(id, vector, ...) for each of queries(query, vector), by
     squared distance; with `by`, the k nearest in each group of these columns of vectors.
 
-    where filters vectors before the k nearest are taken, post_filter afterwards (so fewer may be left). Queries are
-    broadcast in blocks of QUERY_BLOCK, and each block meets all vectors; only the k best of a batch leave it.
+    where filters vectors before the k nearest are taken, post_filter afterwards (so fewer may be left). Up to QUERY_BLOCK
+    queries are broadcast and vectors stay where they are; of more, each block of queries meets each block of vectors in a
+    task of its own, and nothing goes through the driver. Only the k best of a query leave a batch or block.
     """
     if where is not None:
         vectors = vectors.where(where)
@@ -111,47 +110,54 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, by: Sequence[str] = (),
 
 
 def _nearest_of_partitions(queries: DataFrame, vectors: DataFrame, k: int, by: Sequence[str], radius: float | None) -> DataFrame:
-    """Batches of vectors against blocks of queries; the k best of each query and group in each batch. Queries without a
-    vector find nothing."""
-    rows = queries.select("query", F.transform("vector", lambda x: x.cast("double")).alias("vector")).where("vector is not null").toLocalIterator()
-    blocks = iter(lambda: list(islice(rows, QUERY_BLOCK)), [])
-    found = [_nearest_to(block, queries, vectors, k, by, radius) for block in blocks]
-    return reduce(DataFrame.unionByName, found or [_nearest_to([], queries, vectors, k, by, radius)])
-
-
-def _nearest_to(rows: list[Row], queries: DataFrame, vectors: DataFrame, k: int, by: Sequence[str], radius: float | None) -> DataFrame:
-    """_nearest_of_partitions for one block of queries."""
-    names = [r["query"] for r in rows]
-    matrix = np.array([r["vector"] for r in rows], float) if rows else np.zeros((0, 1))
-    query_type = queries.schema["query"].dataType.simpleString()
+    """The k best of each query and group in each batch or block of vectors. Queries without a vector find nothing."""
+    asked = queries.select("query", F.transform("vector", lambda x: x.cast("double")).alias("vector")).where("vector is not null")
     other = [c for c in vectors.columns if c not in ("id", "vector")]
-    schema = f"query {query_type}, id {vectors.schema['id'].dataType.simpleString()}, distance double" + "".join(f", `{c}` {vectors.schema[c].dataType.simpleString()}" for c in other)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch = batch[batch["vector"].notna()].reset_index(drop=True)
-            if not len(batch) or not len(names):
-                continue
-            own = np.array(batch["vector"].tolist(), float)
-            groups = list(batch.groupby(list(by), dropna=False).indices.values()) if by else [np.arange(len(batch))]
-            found, distances, owners = [], [], []
-            for number, q in enumerate(matrix):
-                distance = ((own - q) ** 2).sum(1)
-                for at in groups:
-                    d = distance[at]
-                    if len(at) > k:
-                        at = at[d <= np.partition(d, k - 1)[k - 1]]  # ties go on: the order of ids decides later
-                    if radius is not None:
-                        at = at[distance[at] <= radius]
-                    found.append(at)
-                    distances.append(distance[at])
-                    owners.append(np.full(len(at), number))
-            out = batch.iloc[np.concatenate(found)][["id", *other]].reset_index(drop=True)
-            out.insert(1, "distance", np.concatenate(distances))
-            out.insert(0, "query", [names[i] for i in np.concatenate(owners).tolist()])
-            yield out
-
-    return vectors.mapInPandas(run, schema)
+    columns = ["id", "distance", *other]
+    schema = f"query {queries.schema['query'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, distance double" + "".join(f", `{c}` {vectors.schema[c].dataType.simpleString()}" for c in other)
+
+    def meet(names: list, matrix: np.ndarray, batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch[batch["vector"].notna()].reset_index(drop=True)
+        if not len(batch) or not len(names):
+            return pd.DataFrame({c: [] for c in ("query", *columns)})
+        own = np.array(batch["vector"].tolist(), float)
+        groups = list(batch.groupby(list(by), dropna=False).indices.values()) if by else [np.arange(len(batch))]
+        found, distances, owners = [], [], []
+        for number, q in enumerate(matrix):
+            distance = ((own - q) ** 2).sum(1)
+            for at in groups:
+                d = distance[at]
+                if len(at) > k:
+                    at = at[d <= np.partition(d, k - 1)[k - 1]]  # ties go on: the order of ids decides later
+                if radius is not None:
+                    at = at[distance[at] <= radius]
+                found.append(at)
+                distances.append(distance[at])
+                owners.append(np.full(len(at), number))
+        out = batch.iloc[np.concatenate(found)][["id", *other]].reset_index(drop=True)
+        out.insert(1, "distance", np.concatenate(distances))
+        out.insert(0, "query", [names[i] for i in np.concatenate(owners).tolist()])
+        return out
+
+    rows = asked.limit(QUERY_BLOCK + 1).collect()  # as many at most
+    if len(rows) <= QUERY_BLOCK:
+        few, matrix = [r["query"] for r in rows], np.array([r["vector"] for r in rows], float) if rows else np.zeros((0, 1))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield meet(few, matrix, batch)
+
+        return vectors.mapInPandas(run, schema)
+    counts = [max(1, -(-df.count() // size)) for df, size in ((asked, QUERY_BLOCK), (vectors, VECTOR_BLOCK))]
+    dealt = lambda key, n: F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select("query", "vector", dealt("query", counts[0]).alias("__a"), every(counts[1]).alias("__b"))
+    right = vectors.select("id", "vector", *other, every(counts[0]).alias("__a"), dealt("id", counts[1]).alias("__b"))
+
+    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return meet(a["query"].tolist(), np.array(a["vector"].tolist(), float), b.drop(columns=["__a", "__b"]))
+
+    return left.groupBy("__a", "__b").cogroup(right.groupBy("__a", "__b")).applyInPandas(pair, schema)
 
 
 def knn_of_prompts(prompts: DataFrame, vectors: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -11,11 +11,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.manifests import Manifest
 from tessera.operators.retrieval import top_k
-from tessera.shared import remove_path
+from tessera.shared import discard, materialize
 
 #: Vectors that centroids are fitted on at most: those with the smallest hash of their id.
 SAMPLE = 20_000
@@ -89,18 +90,22 @@ def build(vectors: DataFrame, path: str, cells: int | None = None, sample: int =
 
     spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(centres)], "cell int, centre array<double>").coalesce(1).write.parquet(f"{path}/centres")
     schema = rows.withColumn("cell", F.lit(0)).schema
-    rows.mapInArrow(run, schema).repartition("cell").sortWithinPartitions("cell").write.parquet(f"{path}/cells")
+    placed = materialize(rows.mapInArrow(run, schema), "placed")
+    # ranges of cell and hash: vectors that are all alike lie in one cell, but not in one task
+    placed.repartitionByRange("cell", F.xxhash64(F.col("id").cast("string"))).sortWithinPartitions("cell").write.parquet(f"{path}/cells")
+    discard(placed)
 
 
-def search(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: int | None = None, exact: bool = False) -> DataFrame:
+def search(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: int | None = None, exact: bool = False, where: Column | None = None) -> DataFrame:
     """(query, id, distance, rank): the k nearest of queries(query, vector) among the vectors of the cells nearest to
     each, by squared distance; ties go to the smaller id. probes: cells read for a query, by default as many as the index
-    was found to need; all if exact."""
+    was found to need; all if exact. where filters the vectors, by any of their columns, before the nearest are taken."""
     if not exact and probes is None:
         probes = spark.read.parquet(f"{path}/probes").first()["probes"]
     centres = spark.read.parquet(f"{path}/centres").orderBy("cell").toPandas()["centre"].tolist()  # MOST_CELLS at most
     held = spark.sparkContext.broadcast(np.array(centres, float) if centres else np.zeros((0, 1)))
     index = spark.read.parquet(f"{path}/cells")
+    index = index if where is None else index.where(where)
     query_type, id_type = (df.schema[c].dataType.simpleString() for df, c in ((queries, "query"), (index, "id")))
 
     def route(batches):
@@ -132,33 +137,48 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: i
 
 
 class VectorIndexes:
-    """The indexes of embedding sets, each in a folder of its own below path; what is registered is what is written."""
+    """The indexes of embedding sets, each in a folder of its own below path. Which set has which is a manifest there, so
+    whoever opens the path finds them; an index that is built is not seen before it is whole."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self.known: dict[int, str] = {}
+        self.spark = spark
+        self.manifest = Manifest(spark, path)
+
+    def sets(self) -> dict[int, str]:
+        """Folders of the sets that have an index."""
+        return {int(k): v for k, v in self.manifest.read()[1].items()}
 
     def create(self, set_id: int, vectors: DataFrame, replace: bool = False, cells: int | None = None) -> bool:
-        """Build the set's index; False if it has one and it is not to be replaced."""
-        if set_id in self.known and not replace:
+        """Build the set's index; False if it has one and it is not to be replaced. The old one answers until the new one
+        is there, and goes on if that fails. Raises Conflict if another writer was faster."""
+        base, now = self.manifest.read()
+        old = now.get(str(set_id))
+        if old and not replace:
             return False
-        self.drop(set_id)
-        at = f"{self.path}/set-{set_id}"
-        build(vectors, at, cells)
-        self.known[set_id] = at
+        folder = self.manifest.folder(f"set-{set_id}")
+        try:
+            build(vectors, folder, cells)
+            self.manifest.commit(base, now | {str(set_id): folder})
+        except BaseException:
+            self.manifest.remove([folder])
+            raise
+        self.manifest.remove([old] if old else [])
         return True
 
     def registered(self, set_id: int) -> bool:
-        return set_id in self.known
+        return set_id in self.sets()
 
     def drop(self, set_id: int) -> bool:
         """Delete the set's index; False if it has none."""
-        at = self.known.pop(set_id, None)
-        if at:
-            remove_path(self.spark, at)
-        return at is not None
-
-    def search(self, set_id: int, queries: DataFrame, k: int, probes: int | None = None, exact: bool = False) -> DataFrame:
-        if set_id not in self.known:
+        base, now = self.manifest.read()
+        folder = now.pop(str(set_id), None)
+        if folder:
+            self.manifest.commit(base, now)
+            self.manifest.remove([folder])
+        return folder is not None
+
+    def search(self, set_id: int, queries: DataFrame, k: int, probes: int | None = None, exact: bool = False, where: Column | None = None) -> DataFrame:
+        found = self.sets()
+        if set_id not in found:
             raise KeyError(f"set {set_id} has no vector index")
-        return search(self.spark, self.known[set_id], queries, k, probes, exact)
+        return search(self.spark, found[set_id], queries, k, probes, exact, where)
