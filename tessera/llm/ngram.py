@@ -70,6 +70,16 @@ def _unpack(blob: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(blob), kind)
 
 
+def _pack_planes(x: np.ndarray) -> bytes:
+    """Numbers, all lowest bytes first, then all next ones: the highest are mostly alike."""
+    return _pack(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T)
+
+
+def _unpack_planes(blob: bytes, kind: str) -> np.ndarray:
+    planes = _unpack(blob, "u1").reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+
+
 def _narrow(x: np.ndarray) -> bytes:
     """Counts with the least bytes they need; the first byte tells how many."""
     kind = next(k for k in (1, 2, 4, 8) if k == 8 or not len(x) or int(x.max()) < 1 << 8 * k)
@@ -83,15 +93,13 @@ def _wide(blob: bytes) -> np.ndarray:
 def _pack_keys(keys: pa.Array | np.ndarray) -> tuple[bytes, bytes]:
     """Words (as their lengths and bytes), or ascending numbers."""
     if isinstance(keys, np.ndarray):
-        # the differences' lowest bytes first, then the next: the highest are all zero
-        return b"", _pack(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
+        return b"", _pack_planes(np.diff(keys, prepend=np.uint64(0)))
     return _narrow(pc.binary_length(keys).to_numpy(zero_copy_only=False).astype(np.int64)), _pack(np.frombuffer(b"".join(keys.to_pylist()), np.uint8))
 
 
 def _unpack_keys(lengths: bytes, keys: bytes) -> pa.Array | np.ndarray:
     if not lengths:
-        planes = _unpack(keys, "u1").reshape(8, -1)
-        return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64)
+        return np.cumsum(_unpack_planes(keys, "<u8"), dtype=np.uint64)
     offsets = np.r_[0, np.cumsum(_wide(lengths))].astype(np.int64)
     return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(_unpack(keys, "u1"))])
 
@@ -132,7 +140,7 @@ def segments(docs: DataFrame, size: int = SEGMENT) -> DataFrame:
                     pa.array([[i for x in own for i in x[0]]], pa.list_(pa.int64())),
                     pa.array([[i for x in own for i in x[1]]], pa.list_(pa.int32())),
                     pa.array([np.concatenate([x[2] for x in own]).tolist()], pa.list_(pa.int64())),
-                    *(pa.array([x], pa.binary()) for x in (lengths, words, _pack(index.astype("<u4")))),
+                    *(pa.array([x], pa.binary()) for x in (lengths, words, _pack_planes(index.astype("<u4")))),
                 ],
                 ["segment", "learning", "doc_ids", "folds", "sizes", "lengths", "words", "tokens"],
             )
@@ -176,7 +184,7 @@ class Segment:
         self.key = key
         self.id = row["segment"]
         self.words = _unpack_keys(row["lengths"], row["words"])
-        self.token = _unpack(row["tokens"], "<u4").astype(np.int64)
+        self.token = _unpack_planes(row["tokens"], "<u4").astype(np.int64)
         self.sizes = np.array(row["sizes"], np.int64)
         self.first = np.r_[0, np.cumsum(self.sizes)][:-1]
         folds = np.array(row["folds"], np.int64)
