@@ -66,6 +66,11 @@ class Manifest:
             raise
         return base + 1
 
+    def trim(self, keep: int) -> None:
+        """Forget all but the newest versions, of what nobody reads later."""
+        for version in self.versions()[:-keep]:
+            self._fs.delete(self._hadoop.Path(self._at, f"{version:012d}.json"), False)
+
     def folder(self, name: str) -> str:
         """A path for a new folder that a version will name."""
         return f"{self.path}/{name}-{uuid.uuid4().hex}"

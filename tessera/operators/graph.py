@@ -61,6 +61,9 @@ def closure(pairs: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
         length += 1
     if not new.limit(1).count():
         return reduce(DataFrame.unionByName, found)
+    if seeds is not None:  # only steps that the seeds can take are put together
+        ahead = reachable(step.select(F.col("ancestor").alias("source_id"), F.col("__next").alias("target_id")), seeds.select("id"), None)
+        step = step.join(written(ahead.select(F.col("id").alias("ancestor"))), "ancestor", "left_semi")
     # walks of up to `length` steps are found; those of exactly `jump` steps, never more than `length`, go on from all
     steps, jump = written(step.select(F.col("ancestor").alias("from"), F.col("__next").alias("to")).distinct()), 1
     while jump * 2 <= length:
@@ -112,15 +115,26 @@ def reachable(edges: DataFrame, seeds: DataFrame, kinds: Sequence[str] | None =
         beyond, steps, jump = beyond.unionByName(new), _doubled(steps), jump * 2
 
 
-def reachable_by(edges: DataFrame, seeds: DataFrame, mark: str) -> DataFrame:
-    """(mark, id): nodes reached along edges from the seeds(mark, id) of each mark; edges are not multiplied by marks."""
-    step = edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("__next")).distinct()
-    new = written(seeds.select(mark, "id").distinct())
-    known = new
+#: Marks of a bitmap: a row's page holds the marks from page * PAGE on.
+PAGE = 64
+
+
+def reaching(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(id, page, marks): for each node the set of numbers (from 0) whose seeds(mark, id) reach it along edges, as a bitmap
+    of PAGE marks. One row a node and page, however many marks reach it.
+
+    A round sends on, from nodes whose bitmap grew, only the bits that are new there; what arrives at one node is or-ed by
+    the tasks that send it. Rounds are written.
+    """
+    step = written(edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("__next")).distinct())
+    bit = F.expr(f"shiftleft(1L, cast(mark % {PAGE} as int))")
+    known = written(seeds.select("id", F.expr(f"cast(mark div {PAGE} as int)").alias("page"), bit.alias("marks")).groupBy("id", "page").agg(F.bit_or("marks").alias("marks")))
+    new = known
     while new.limit(1).count():
-        found = new.join(step, "id").select(mark, F.col("__next").alias("id")).distinct()
-        new = written(found.join(known, [mark, "id"], "left_anti"))
-        known = known.unionByName(new)
+        came = new.join(step, "id").groupBy(F.col("__next").alias("id"), "page").agg(F.bit_or("marks").alias("__came"))
+        both = came.join(known, ["id", "page"], "full").select("id", "page", F.coalesce("__came", F.lit(0)).alias("__came"), F.coalesce("marks", F.lit(0)).alias("__have"))
+        both = written(both.select("id", "page", F.col("__came").bitwiseOR(F.col("__have")).alias("marks"), F.col("__came").bitwiseAND(F.bitwise_not("__have")).alias("__fresh")))
+        known, new = both.select("id", "page", "marks"), both.where("__fresh != 0").select("id", "page", F.col("__fresh").alias("marks"))
     return known
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import dataclasses
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera import schema
@@ -73,28 +73,65 @@ def canonical_id(places: DataFrame, canon: str) -> DataFrame:
 # ---- compilation units
 
 
-def unit_masks(units: DataFrame, files: DataFrame, edges: DataFrame, cfgs: DataFrame | None = None, holds: Column | None = None) -> dict[str, DataFrame]:
+@dataclasses.dataclass
+class UnitMasks:
+    """Which units enable what, a bitmap of units for each node, edge and file (and page of 64 units): units(number,
+    cu_id), nodes(id, page, marks), edges(source_id, target_id, relation_kind, page, marks), files(file_path, page, marks)."""
+
+    units: DataFrame
+    nodes: DataFrame
+    edges: DataFrame
+    files: DataFrame
+
+    def names(self, what: str) -> DataFrame:
+        """Rows of nodes, edges or files with cu_id, one for each unit that enables them."""
+        rows: DataFrame = getattr(self, what)
+        bits = F.filter(F.sequence(F.lit(0), F.lit(graph.PAGE - 1)), lambda b: F.getbit("marks", b) == 1)
+        numbers = rows.withColumn("number", F.explode(F.transform(bits, lambda b: F.col("page").cast("long") * graph.PAGE + b)))
+        return numbers.drop("page", "marks").join(self.units, "number").drop("number")
+
+    def enabled(self, what: str, units: Sequence[str]) -> DataFrame:
+        """Rows that any of the units enables, each by one test of its bitmap; all where none are named."""
+        rows: DataFrame = getattr(self, what)
+        keys = [c for c in rows.columns if c not in ("page", "marks")]
+        if not units:
+            return rows.select(*keys).distinct()
+        named = self.units.where(F.col("cu_id").isin(*units)).select(F.expr(f"cast(number div {graph.PAGE} as int)").alias("page"), F.expr(f"shiftleft(1L, cast(number % {graph.PAGE} as int))").alias("bit"))
+        asked = named.groupBy("page").agg(F.bit_or("bit").alias("asked"))  # no more rows than units are named
+        return rows.join(F.broadcast(asked), "page").where(F.col("marks").bitwiseAND(F.col("asked")) != 0).select(*keys).distinct()
+
+
+def unit_masks(units: DataFrame, files: DataFrame, edges: DataFrame, cfgs: DataFrame | None = None, holds: Column | None = None) -> UnitMasks:
     """Masks of units(cu_id, target_root): nodes reached from the module of the unit's root file, edges both of whose
     ends are enabled, and files that keep a module. Nodes of cfgs(id, ...) for which holds is false are out, with what
-    lies below them only."""
-    roots = units.join(files, F.col("target_root") == F.col("file_path")).select("cu_id", F.col("owner_id").alias("id"))
+    lies below them only. A fixpoint over bitmaps: one row a node, however many units enable it."""
+    numbered = graph.written(units.select("cu_id", "target_root").distinct().repartitionByRange("cu_id").sortWithinPartitions("cu_id", "target_root").withColumn("__at", F.monotonically_increasing_id()))
+    # numbers are gapless: a partition's begin is the rows of those before
+    part = F.shiftright("__at", 33)
+    before = numbered.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    begins = before.withColumn("__begin", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a partition
+    numbered = numbered.join(begins, part == F.col("__part")).select("cu_id", "target_root", (F.col("__begin") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).alias("number"))
+    numbered = graph.written(numbered)
+    roots = numbered.join(files, F.col("target_root") == F.col("file_path")).select(F.col("number").alias("mark"), F.col("owner_id").alias("id"))
     if cfgs is not None:
         out = cfgs.where(~holds).select("id")
         edges = edges.join(out.withColumnRenamed("id", "target_id"), "target_id", "left_anti")
         roots = roots.join(out, "id", "left_anti")
     steps = edges.where(F.col("relation_kind").isin(*graph.ITEM_KINDS, *graph.LINK_KINDS))
-    nodes = graph.reachable_by(steps, roots, "cu_id").select(F.col("cu_id").cast("string").alias("cu_id"), F.col("id").alias("node_id"))
-    kept = maintenance.mask_edges(edges, nodes).select("cu_id", "source_id", "target_id", "relation_kind")
-    kept_files = nodes.join(files, F.col("node_id") == F.col("owner_id")).select("cu_id", "file_path").distinct()
-    return {"nodes": nodes, "edges": kept, "files": kept_files}
-
-
-def unit_counts(masks: dict[str, DataFrame]) -> DataFrame:
-    """(cu_id, nodes, edges, files)."""
-    counted = [df.groupBy("cu_id").agg(F.count("*").alias(name)) for name, df in masks.items()]
-    out = counted[0]
-    for df in counted[1:]:
-        out = out.join(df, "cu_id", "full")
+    nodes = graph.reaching(steps, roots)
+    ends = [nodes.select(F.col("id").alias(c), "page", F.col("marks").alias(f"__{c}")) for c in ("source_id", "target_id")]
+    kept = edges.select("source_id", "target_id", "relation_kind").distinct().join(ends[0], "source_id").join(ends[1], ["target_id", "page"])
+    kept = kept.select("source_id", "target_id", "relation_kind", "page", F.col("__source_id").bitwiseAND(F.col("__target_id")).alias("marks")).where("marks != 0")
+    kept_files = nodes.join(files, F.col("id") == F.col("owner_id")).groupBy("file_path", "page").agg(F.bit_or("marks").alias("marks"))
+    return UnitMasks(numbered.select("number", "cu_id"), nodes, kept, kept_files)
+
+
+def unit_counts(masks: UnitMasks) -> DataFrame:
+    """(cu_id, nodes, edges, files): how many of each a unit enables. Each task adds up the bits that it reads."""
+    counted = [masks.names(name).groupBy("cu_id").agg(F.count("*").alias(name)) for name in ("nodes", "edges", "files")]
+    out = masks.units.select("cu_id").distinct()
+    for df in counted:
+        out = out.join(df, "cu_id", "left")
     return out.fillna(0)
 
 

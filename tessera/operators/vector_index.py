@@ -64,6 +64,11 @@ def probes_for(sample: np.ndarray, centres: np.ndarray) -> int:
     return int(np.quantile(np.take_along_axis(place, own[near], 1), RECALL, method="higher")) + 1
 
 
+def _whole(column) -> pa.Array:
+    """One array; some kinds come in chunks when they are taken from."""
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
 def _matrix(column) -> np.ndarray:
     return np.array(column.to_pylist(), float)
 
@@ -114,7 +119,8 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: i
                 n = len(held.value) if exact else min(probes, len(held.value))
                 near = _nearest(_matrix(batch.column("vector")), held.value, n)
                 at = pa.array(np.repeat(np.arange(batch.num_rows), n))
-                yield pa.RecordBatch.from_arrays([batch.column("query").take(at), batch.column("vector").take(at), pa.array(near.reshape(-1), pa.int32())], ["query", "vector", "cell"])
+                own = [_whole(batch.column(c).take(at)) for c in ("query", "vector")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(near.reshape(-1), pa.int32())], ["query", "vector", "cell"])
 
     asked = queries.select("query", F.col("vector").cast("array<double>").alias("vector")).where("vector is not null").mapInArrow(route, f"query {query_type}, vector array<double>, cell int")
     sizes = index.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
@@ -122,15 +128,17 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: i
     theirs = asked.join(F.broadcast(sizes), "cell").select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "query", "vector")
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        names, found, distances = [], [], []
         if len(a) and len(b):
-            x, ids = np.array(b["vector"].tolist(), float), b["id"].to_numpy()
-            for name, q in zip(a["query"], np.array(a["vector"].tolist(), float)):
+            x, ids = np.array(b["vector"].tolist(), float), np.array(b["id"].tolist())
+            for name, q in zip(a["query"].tolist(), np.array(a["vector"].tolist(), float)):
                 d = ((x - q) ** 2).sum(1)
                 at = np.arange(len(d)) if len(d) <= k else np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
                 at = at[np.lexsort((ids[at], d[at]))][:k]
-                out.append(pd.DataFrame({"query": name, "id": ids[at], "distance": d[at]}))
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("query", "id", "distance")})
+                names += [name] * len(at)
+                found += ids[at].tolist()
+                distances += d[at].tolist()
+        return pd.DataFrame({"query": pd.Series(names, dtype=object), "id": pd.Series(found, dtype=object), "distance": np.array(distances, float)})
 
     met = theirs.groupBy("cell", "block").cogroup(mine.groupBy("cell", "block")).applyInPandas(meet, f"query {query_type}, id {id_type}, distance double")
     return top_k(met, k, ["query"], "distance", "id", descending=False)

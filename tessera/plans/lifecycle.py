@@ -197,7 +197,7 @@ BELOW_SQL = "WITH b AS (SELECT n_regionkey AS r, 'n:' || n_nationkey AS id FROM
 @query(BELOW_SQL + " SELECT 'u' || r AS cu_id, id AS node_id FROM b")
 def unit_masks(t):
     """Units of a region each; a supplier whose cfg does not hold is in none."""
-    return _units(t)["nodes"]
+    return _units(t).names("nodes").select("cu_id", F.col("id").alias("node_id"))
 
 
 @query(BELOW_SQL + " SELECT 'u' || r AS cu_id, count(*) AS nodes, count(*) - 1 AS edges, 1::BIGINT AS files FROM b GROUP BY r")

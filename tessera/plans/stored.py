@@ -1,15 +1,24 @@
-"""Queries of what is stored: the segmented sparse index, and its use by the retriever."""
+"""Queries of what is stored: the segmented sparse index, the refined graph, stores that change as one, edges in
+buckets, and streams that are kept or told to stop."""
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera import shared
 from tessera.functions import text as X
-from tessera.operators import neighbour_graph
+from tessera.operators import maintenance, neighbour_graph, retrieval
+from tessera.operators.adjacency import Adjacency
 from tessera.operators.sparse_index import SparseIndex
+from tessera.plans import graphs
 from tessera.plans.registry import query
 from tessera.plans.retrieval import BM25_SQL, DIST_SQL, TOKENS_SQL, TOP, _terms, _vectors
+from tessera.sources import snapshots
+from tessera.streaming import streams
 
 RANKED_SQL = f" SELECT doc_id AS doc, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 6) DESC, doc_id)::INTEGER AS rank FROM s %s ORDER BY rank LIMIT {TOP}"
 
@@ -84,3 +93,180 @@ def neighbour_graph_per_label(t):
 def neighbour_graph_of_all(t):
     """The refined graph of all vectors; its recall is held to 0.9 by a test."""
     return neighbour_graph.build(_vectors(t), 5).select("id", "neighbour", F.round("distance", 6).alias("distance"), "rank")
+
+
+# ---- stores that change as one
+
+
+def _graph_store(t) -> snapshots.SnapshotStore:
+    """The containment tree of the tables as a store: a crate for each region, the nodes below it in three relations."""
+    spark = t.spark
+    store = snapshots.SnapshotStore(spark, shared.scratch(spark, "store"))
+    node = lambda df, mark, key, name: df.select(F.concat(F.lit(mark), key).alias("id"), F.col(name).alias("name"))
+    store.save(
+        {
+            "crates": t.region.select(F.concat(F.lit("r:"), "r_regionkey").alias("id"), F.col("r_name").alias("namespace"), F.col("r_name").alias("name"), F.concat(F.lit("/"), "r_name").alias("root_path")),
+            "files": graphs.files(t),
+            "edges": graphs.edges(t),
+            "workspaces": t.region.agg(F.array_sort(F.collect_list("r_name")).alias("members")).select(F.lit("/w").alias("root_path"), "members"),
+            "module": node(t.nation, "n:", "n_nationkey", "n_name"),
+            "struct": node(t.customer, "c:", "c_custkey", "c_name"),
+            "method": node(t.supplier, "s:", "s_suppkey", "s_name"),
+        }
+    )
+    return store
+
+
+def _counted(store: snapshots.SnapshotStore, step: str, version: int | None = None):
+    return maintenance.count_relations(store.read(version)).select(F.lit(step).alias("step"), "relation", "rows")
+
+
+IN_SQL = f"""
+WITH {graphs.EDGES_SQL},
+n AS (SELECT 'n:' || n_nationkey AS id, r_name AS ns, 'module' AS relation FROM nation JOIN region ON n_regionkey = r_regionkey
+      UNION ALL SELECT 'c:' || c_custkey, r_name, 'struct' FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+      UNION ALL SELECT 's:' || s_suppkey, r_name, 'method' FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+g AS (SELECT id, relation FROM n WHERE ns = 'ASIA' UNION ALL SELECT 'r:' || r_regionkey, 'crate' FROM region WHERE r_name = 'ASIA'
+      UNION ALL SELECT 'o:' || o_orderkey, 'order' FROM orders WHERE 'c:' || o_custkey IN (SELECT id FROM n WHERE ns = 'ASIA')),
+w AS (SELECT 'crates' AS relation, count(*) AS rows, 1 AS own FROM region UNION ALL SELECT 'files', count(*), 1 FROM region UNION ALL SELECT 'workspaces', 1, 0
+      UNION ALL SELECT 'edges', count(*), count(*) FILTER (source_id IN (SELECT id FROM g) OR target_id IN (SELECT id FROM g)) FROM e
+      UNION ALL SELECT relation, count(*), count(*) FILTER (ns = 'ASIA') FROM n GROUP BY relation)
+"""
+
+
+@query(IN_SQL + " SELECT 'exported' AS step, relation, CASE WHEN relation = 'workspaces' THEN 1 ELSE own END::BIGINT AS rows FROM w UNION ALL SELECT 'removed', relation, (rows - own)::BIGINT FROM w UNION ALL SELECT 'imported', relation, rows::BIGINT FROM w UNION ALL SELECT 'first', relation, rows::BIGINT FROM w")
+def namespace_export_removal_import(t):
+    """A namespace exported to an artefact, removed, and imported again: rows of each relation at every step, and of the
+    first version, read at the end."""
+    store, artefact = _graph_store(t), snapshots.SnapshotStore(t.spark, shared.scratch(t.spark, "artefact"))
+    snapshots.export_namespace(store, "ASIA", artefact)
+    snapshots.remove_namespace(store, "ASIA")
+    removed = store.manifest.read()[0]
+    snapshots.import_namespace(store, artefact)
+    steps = [_counted(artefact, "exported"), _counted(store, "removed", removed), _counted(store, "imported"), _counted(store, "first", 1)]
+    return reduce(DataFrame.unionByName, steps)
+
+
+def _parse_lines(contents):
+    """Relations of text files: their lines, and the words of each line."""
+    lines = contents.select("file_path", F.posexplode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line_no", "line"))
+    words = lines.select("file_path", "line_no", F.explode(X.word_tokens(F.col("line"))).alias("word"))
+    return {"line": lines, "word": words.groupBy("file_path", "word").agg(F.count("*").alias("n"))}
+
+
+@query(
+    f"""
+WITH c AS (SELECT doc_id::VARCHAR AS file_path, CASE WHEN doc_id % 29 = 0 THEN coalesce(text, '') || chr(10) || 'one more line' ELSE coalesce(text, '') END AS text FROM documents WHERE doc_id % 31 <> 1
+           UNION ALL SELECT 'new-' || doc_id, coalesce(text, '') FROM documents WHERE doc_id % 37 = 2)
+SELECT file_path, len(string_split(text, chr(10)))::BIGINT AS lines, len({TOKENS_SQL.replace("coalesce(text, '')", "text")})::BIGINT AS words FROM c
+"""
+)
+def refresh_changed_files(t):
+    """Files (documents) stored as relations of lines and words; some are changed, some removed and some added, and the
+    store is brought up to date from their contents."""
+    store = snapshots.SnapshotStore(t.spark, shared.scratch(t.spark, "store"))
+    before = t.documents.select(F.col("doc_id").cast("string").alias("file_path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"), "doc_id")
+    snapshots.refresh(store, before.drop("doc_id"), _parse_lines)
+    more = F.when(F.col("doc_id") % 29 == 0, F.encode(F.lit("\none more line"), "UTF-8")).otherwise(F.encode(F.lit(""), "UTF-8"))
+    after = before.where("doc_id % 31 != 1").withColumn("content", F.concat("content", more)).unionByName(before.where("doc_id % 37 = 2").withColumn("file_path", F.concat(F.lit("new-"), "file_path")))
+    snapshots.refresh(store, after.drop("doc_id"), _parse_lines)
+    now = store.read()
+    words = now["word"].groupBy("file_path").agg(F.sum("n").alias("words"))
+    return now["line"].groupBy("file_path").agg(F.count("*").alias("lines")).join(words, "file_path", "left").fillna(0, ["words"])
+
+
+# ---- adjacency in buckets
+
+
+def _adjacency(t) -> Adjacency:
+    return Adjacency(t.spark, f"edges_{uuid.uuid4().hex}").save(graphs.edges(t))
+
+
+@query(f"WITH {graphs.EDGES_SQL} SELECT DISTINCT source_id, target_id, relation_kind FROM e WHERE source_id LIKE 'n:%' OR source_id LIKE 'c:%7' OR target_id LIKE 'n:%' OR target_id LIKE 'c:%7'")
+def bucketed_edges_touching(t):
+    """Edges that touch a nation or every tenth customer, from tables that lie in buckets of either end."""
+    stored = _adjacency(t)
+    ids = t.nation.select(F.concat(F.lit("n:"), "n_nationkey").alias("id")).unionByName(t.customer.where("c_custkey % 10 = 7").select(F.concat(F.lit("c:"), "c_custkey").alias("id")))
+    out = shared.materialize(stored.touching(ids), "touching")
+    stored.drop()
+    return out.select("source_id", "target_id", "relation_kind")
+
+
+@query(f"WITH RECURSIVE {graphs.EDGES_SQL}, d AS (SELECT 'r:' || r_regionkey AS id, 0 AS depth FROM region WHERE r_regionkey < 2 UNION SELECT target_id, depth + 1 FROM d JOIN e ON source_id = id WHERE relation_kind = 'Contains') SELECT id, depth::INTEGER AS depth FROM d")
+def bucketed_reachable(t):
+    """All below two regions, a round a depth, without moving an edge."""
+    stored = _adjacency(t)
+    out = shared.materialize(stored.reachable(t.region.where("r_regionkey < 2").select(F.concat(F.lit("r:"), "r_regionkey").alias("id"))), "reached")
+    stored.drop()
+    return out
+
+
+# ---- streams
+
+#: Kinds of file events by the tables' event types, and the gap of a burst.
+KINDS = {"error": "Removed", "purchase": "Renamed", "signup": "Created", "click": "Modified", "view": "Other"}
+GAP_MS = 3_600_000
+
+
+def _file_events(t):
+    """Events as file events, a path for each user; what a file was called comes with an event of another kind."""
+    kind = F.element_at(F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair)), F.col("event_type"))
+    old = F.when(F.col("event_type") == "view", F.concat(F.lit("old-"), "event_id"))
+    return t.events.select(F.concat(F.lit("u"), "user_id").alias("path"), kind.alias("kind"), old.alias("old_path"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("long").alias("seq"))
+
+
+BURST_SQL = f"""
+WITH v AS (SELECT 'u' || user_id AS path, event_id AS seq, epoch_us(ts) AS us, CASE WHEN event_type = 'view' THEN 'old-' || event_id END AS old_path,
+    CASE event_type {' '.join(f"WHEN '{k}' THEN '{x}'" for k, x in KINDS.items())} END AS kind,
+    CASE event_type WHEN 'error' THEN 5 WHEN 'purchase' THEN 4 WHEN 'signup' THEN 3 WHEN 'click' THEN 2 ELSE 1 END AS r FROM events),
+g AS (SELECT *, CASE WHEN us - lag(us) OVER w < {GAP_MS}000 THEN 0 ELSE 1 END AS fresh FROM v WINDOW w AS (PARTITION BY path ORDER BY us, seq)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS k FROM g),
+b AS (SELECT path, k, list({{'r': -r, 'us': us, 'seq': seq, 'kind': kind, 'old': old_path}} ORDER BY -r, us, seq)[1] AS best, min(us) AS first_us, max(us) AS last_us, count(*) AS events FROM s GROUP BY path, k)
+SELECT b.path, best.kind AS kind, CASE WHEN best.kind = 'Renamed' THEN (SELECT list(x.old_path ORDER BY x.us, x.seq)[1] FROM s x WHERE x.path = b.path AND x.k = b.k AND x.old_path IS NOT NULL AND (x.us, x.seq) >= (best.us, best.seq)) ELSE best.old END AS old_path, first_us, last_us, events FROM b
+"""
+
+
+def _burst_rows(found):
+    return found.select("path", "kind", "old_path", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"), "events")
+
+
+@query(BURST_SQL)
+def debounce_renames(t):
+    """Bursts of file events by rank of kind; a rename keeps the old path that is told later."""
+    return _burst_rows(streams.coalesce_events(_file_events(t), f"{GAP_MS} milliseconds"))
+
+
+@query(BURST_SQL)
+def debounce_renames_stream(t):
+    """The same from a stream: a state for each path, told when the watermark has passed it."""
+    spark, folder, checkpoint, out = t.spark, *(shared.scratch(t.spark, x) for x in ("events", "checkpoint", "bursts"))
+    events = _file_events(t)
+    events.repartition(3, "seq").write.parquet(folder)
+    last = events.agg((F.max("ts") + F.expr("interval 1000 days")).alias("ts"))  # an event far behind lets all bursts end
+    last.select(F.lit("~end").alias("path"), F.lit("Other").alias("kind"), F.lit(None).cast("string").alias("old_path"), "ts", F.lit(0).cast("long").alias("seq")).write.mode("append").parquet(folder)
+    source = spark.readStream.schema(streams.EVENTS).option("maxFilesPerTrigger", 2).parquet(folder)
+    told = streams.debounce_stream(source, GAP_MS, "900 days")
+    told.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return _burst_rows(spark.read.schema(streams.COALESCED).parquet(out).where("path != '~end'"))
+
+
+@query("SELECT count(*) AS docs, count(DISTINCT doc_id) AS once, count(*) AS processed, 'Paused,Cancelled,Completed,Completed' AS statuses FROM documents")
+def index_under_control(t):
+    """Indexing that is paused in its first batch, resumed and cancelled in its second, and resumed to its end: no document
+    is lost, none is written twice, and the progress adds up."""
+    spark, folder, checkpoint, out, path = t.spark, *(shared.scratch(t.spark, x) for x in ("docs", "checkpoint", "indexed", "control"))
+    t.documents.select("doc_id", "text").repartition(4).write.parquet(folder)
+    source = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(folder)
+    control, statuses = streams.IndexingControl(spark, path), []
+    for command in (streams.PAUSED, streams.CANCELLED, None, None):
+
+        def write(batch, number, command=command):
+            retrieval.postings(batch, X.word_tokens(F.col("text"))).write.mode("overwrite").parquet(f"{out}/batch={number}")
+            batch.select("doc_id").write.mode("overwrite").parquet(f"{out}-docs/number={number}")
+            if command:
+                control.tell(command)
+
+        control.tell(streams.RUNNING)
+        statuses.append(streams.index_under_control(source, write, checkpoint, control))
+    docs = spark.read.parquet(f"{out}-docs").agg(F.count("*").alias("docs"), F.countDistinct("doc_id").alias("once"))
+    return docs.select("docs", "once", F.lit(control.progress()["processed"]).cast("long").alias("processed"), F.lit(",".join(statuses)).alias("statuses"))

@@ -33,11 +33,12 @@ def test_units_and_changes(spark):
     files = spark.createDataFrame([("r", "src/lib.rs", "A"), ("m", "src/m.rs", "A"), ("b", "src/main.rs", "A")], "owner_id string, file_path string, namespace string")
     units = spark.createDataFrame([("lib", "src/lib.rs"), ("bin", "src/main.rs")], "cu_id string, target_root string")
     masks = N.unit_masks(units, files, edges)
-    assert rows(masks["nodes"]) == sorted([("lib", x) for x in "rfdmg"] + [("bin", x) for x in "bh"])
-    assert rows(masks["files"]) == [("bin", "src/main.rs"), ("lib", "src/lib.rs"), ("lib", "src/m.rs")]
+    assert rows(masks.names("nodes").select("cu_id", "id")) == sorted([("lib", x) for x in "rfdmg"] + [("bin", x) for x in "bh"])
+    assert rows(masks.names("files").select("cu_id", "file_path")) == [("bin", "src/main.rs"), ("lib", "src/lib.rs"), ("lib", "src/m.rs")]
     assert rows(N.unit_counts(masks)) == [("bin", 2, 1, 1), ("lib", 5, 5, 2)]
     cfgs = spark.createDataFrame([("d", False), ("f", True)], "id string, on boolean")
-    assert rows(N.unit_masks(units, files, edges, cfgs, F.col("on"))["nodes"]) == [("bin", "b"), ("bin", "h"), ("lib", "f"), ("lib", "r")]
+    assert masks.nodes.count() == 7 and rows(masks.enabled("nodes", ["bin"])) == [("b",), ("h",)] and masks.enabled("edges", []).count() == masks.enabled("edges", ["lib", "bin"]).count() == 6
+    assert rows(N.unit_masks(units, files, edges, cfgs, F.col("on")).names("nodes").select("cu_id", "id")) == [("bin", "b"), ("bin", "h"), ("lib", "f"), ("lib", "r")]
     vectors, _ = E.put_vectors(schema.RELATIONS["vectors"].empty(spark), spark.createDataFrame([(x, [1.0]) for x in "fgh"], "node_id string, vector array<float>"), 1, 1, 1)
     stored = spark.createDataFrame([("src/lib.rs", "1"), ("src/m.rs", "1"), ("src/main.rs", "1")], "file_path string, hash string")
     current = spark.createDataFrame([("src/lib.rs", "1"), ("src/m.rs", "2"), ("src/main.rs", "1"), ("src/n.rs", "1")], "file_path string, hash string")
@@ -89,3 +90,17 @@ def test_namespaces_with_workspaces(spark):
     left, stale = M.remove_namespace({"nodes": (nodes, "id")}, own, files_, edges, out["workspaces"], "n1")
     assert [r.id for r in left["nodes"].collect()] == ["i2"] and left["edges"].count() == 1 and left["files"].count() == 1 and stale
     assert [r.members for r in left["workspaces"].collect()] == [["n2"]]
+
+
+def test_masks_of_many_units_are_one_row_a_node(spark):
+    """150 units, each with a root of its own that leads into a shared chain at some place."""
+    chain = [(f"n{i}", f"n{i + 1}", "Contains") for i in range(12)]
+    edges = spark.createDataFrame([*chain, ("n12", "n5", "Contains"), *((f"r{u}", f"n{u % 9}", "Contains") for u in range(150))], "source_id string, target_id string, relation_kind string")
+    files = spark.createDataFrame([(f"r{u}", f"f{u}", "A") for u in range(150)], "owner_id string, file_path string, namespace string")
+    units = spark.createDataFrame([(f"u{u:03d}", f"f{u}") for u in range(150)], "cu_id string, target_root string")
+    masks = N.unit_masks(units, files, edges)
+    want = {(f"u{u:03d}", f"r{u}") for u in range(150)} | {(f"u{u:03d}", f"n{i}") for u in range(150) for i in range(min(u % 9, 5), 13) if i >= u % 9 or i >= 5}
+    assert set(rows(masks.names("nodes").select("cu_id", "id"))) == want
+    assert masks.nodes.where("id = 'n12'").count() == 3  # pages of 64 units
+    assert {r.cu_id: r.nodes for r in N.unit_counts(masks).collect()} == {u: sum(a == u for a, _ in want) for u, _ in want}
+    assert set(rows(masks.enabled("nodes", ["u000", "u149"]))) == {(i,) for u, i in want if u in ("u000", "u149")}
