@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 from collections.abc import Callable, Iterator
@@ -64,6 +65,18 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+@contextlib.contextmanager
+def swept(spark: SparkSession):
+    """What is written inside deletes its shuffle files as soon as it stands, rather than when garbage is collected."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole table of documents."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textvec as tv
-from tessera.llm.common import mapped, materialize, release
+from tessera.llm.common import mapped, materialize, release, swept
 
 #: Tokens of a segment at least, unless a partition ends.
 SEGMENT = 3 << 18
@@ -307,9 +307,8 @@ def _answer(asked: DataFrame, groups: int = 1) -> DataFrame:
 
 def count(parts: DataFrame, buckets: int, order: int, key: Key, groups: int = 1) -> DataFrame:
     """Ask and answer; one row a segment and bucket."""
-    answers = materialize(_answer(_ask(parts, buckets, order, key), groups), f"grams-{order}")
-    release(parts.sparkSession)  # the questions
-    return answers
+    with swept(parts.sparkSession):  # the questions are many times the answers
+        return materialize(_answer(_ask(parts, buckets, order, key), groups), f"grams-{order}")
 
 
 def _joined(parts: DataFrame, counted: list[DataFrame]) -> DataFrame:
