@@ -179,3 +179,19 @@ def test_cfg_predicates(spark):
     atoms = {"unix": F.lit(True), 'feature="x"': F.lit(False), "test": F.lit(True)}
     for text, want in (("unix", True), ('feature = "x"', False), ('all(unix, not(feature = "x"))', True), ("any()", False), ("all()", True), ("any(windows, test,)", True), ("not(unix", False), ("weird(unix)", False), ("", False)):
         assert row.select(M.cfg_column(text, atoms)).first()[0] is want, text
+
+
+def test_admission_in_many_rounds_and_positions_of_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(C, "BLOCK", 4)  # a few rows a round
+    rng = random.Random(9)
+    rows = [{"query": rng.choice(["a", None]), "id": i, "file_path": rng.choice(["x", "y", None]), "kind": "function", "text": rng.choice([None, "", "t" * rng.randrange(0, 300)]), "score": rng.choice([None, *range(9)])} for i in range(90)]
+    parts = spark.createDataFrame([tuple(r.values()) for r in rows], "query string, id long, file_path string, kind string, text string, score long")
+    for total, file, part, strict in ((300, 120, 60, True), (90, 0, 60, True), (10**6, 150, 50, False)):
+        got = C.assemble(parts, "score", total, file, part, strict).collect()
+        for q in ("a", None):
+            own = sorted((r for r in rows if r["query"] == q), key=lambda r: (r["score"] is None, -(r["score"] or 0), r["id"]))
+            said = sorted((r for r in got if r["query"] == q), key=lambda r: r.position)
+            assert [r.position for r in said] == list(range(1, len(own) + 1)) and [r.id for r in said] == [r["id"] for r in own]
+            texts = [r for r in own if r["text"] is not None]
+            want = dict(budget_plain(texts, total, file, part, strict))
+            assert [r.admitted for r in said] == [want.get(r["id"], False) for r in own]
