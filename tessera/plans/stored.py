@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera import shared
 from tessera.functions import text as X
+from tessera.operators import graph as G
 from tessera.operators import maintenance, neighbour_graph, retrieval
 from tessera.operators.adjacency import Adjacency
 from tessera.operators.sparse_index import SparseIndex
@@ -270,3 +271,33 @@ def index_under_control(t):
         statuses.append(streams.index_under_control(source, write, checkpoint, control))
     docs = spark.read.parquet(f"{out}-docs").agg(F.count("*").alias("docs"), F.countDistinct("doc_id").alias("once"))
     return docs.select("docs", "once", F.lit(control.progress()["processed"]).cast("long").alias("processed"), F.lit(",".join(statuses)).alias("statuses"))
+
+
+# ---- canonical paths
+
+
+WALK_SQL = """
+WITH p AS (SELECT 'c:' || c_custkey AS id, ['crate', r_name, n_name, c_mktsegment] AS path FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+q AS (SELECT c_custkey AS query, CASE c_custkey % 5 WHEN 0 THEN ['crate', r_name, n_name, c_mktsegment] WHEN 1 THEN ['crate', r_name, n_name] WHEN 2 THEN ['crate', r_name, 'nowhere', c_mktsegment]
+        WHEN 3 THEN ['elsewhere', r_name] ELSE ['crate', r_name, n_name, c_name] END AS parts
+      FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+t AS (SELECT DISTINCT path[1:n] AS way FROM p, (SELECT unnest([1, 2, 3, 4]) AS n)),
+d AS (SELECT query, parts, coalesce((SELECT max(n) FROM (SELECT unnest([1, 2, 3, 4]) AS n) WHERE n <= len(parts) AND parts[1:n] IN (SELECT way FROM t)), 0) AS depth FROM q),
+c AS (SELECT path, count(*) AS n, min(id) AS least FROM p GROUP BY path)
+SELECT query, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' WHEN depth = 0 THEN 'unknown' WHEN depth = len(parts) THEN 'module' ELSE 'partial' END AS status,
+  CASE WHEN depth > 0 THEN array_to_string(parts[1:depth], '::') END AS matched, coalesce(n, 0)::BIGINT AS items, least AS first_id
+FROM d LEFT JOIN c ON c.path = d.parts
+"""
+
+
+@query(WALK_SQL)
+def canonical_walk(t):
+    """A path for each customer into a tree of items named by segment: whole ones (mostly of several items), those of a
+    module, and ones that lead nowhere at the third, first or last part."""
+    above = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    places = above.select(F.concat(F.lit("c:"), "c_custkey").alias("id"), F.array(F.lit("crate"), "r_name", "n_name").alias("module_path"), F.col("c_mktsegment").alias("name"))
+    path = lambda *x: F.concat_ws("::", *x)
+    kind, crate = F.col("c_custkey") % 5, F.lit("crate")
+    canon = F.when(kind == 0, path(crate, "r_name", "n_name", "c_mktsegment")).when(kind == 1, path(crate, "r_name", "n_name")).when(kind == 2, path(crate, "r_name", F.lit("nowhere"), "c_mktsegment")).when(kind == 3, path(F.lit("elsewhere"), "r_name")).otherwise(path(crate, "r_name", "n_name", "c_name"))
+    found = G.walk_canonical(above.select(F.col("c_custkey").alias("query"), canon.alias("canon")), places)
+    return found.groupBy("query", "status", "matched").agg(F.count("id").alias("items"), F.min("id").alias("first_id"))

@@ -143,3 +143,16 @@ def test_paths_longer_than_a_thousand(spark):
     leaves = spark.createDataFrame([("m1099",), ("m3",), ("c1",), ("lost",), ("one",)], "id string")
     got = rows(G.root_to_leaf(messages, leaves))
     assert got == sorted([("m1099", f"m{i}", i) for i in range(1100)] + [("m3", f"m{i}", i) for i in range(4)] + [("one", "one", 0)])
+
+
+def test_canonical_paths_lead_as_far_as_they_can(spark):
+    places = spark.createDataFrame([("f1", ["crate", "m"], "f"), ("f2", ["crate", "m"], "f"), ("g", ["crate", "m", "n"], "g"), ("m", ["crate"], "m")], "id string, module_path array<string>, name string")
+    paths = ["crate::m::f", "crate::m::n::g", "crate::m::n", "crate::m", "crate::m::x::y", "other::m", "", None, " crate :: m :: n :: g ", "crate::m::n::g::z"]
+    asked = spark.createDataFrame(list(enumerate(paths)), "query int, canon string")
+    got = {}
+    for r in G.walk_canonical(asked, places).collect():
+        got.setdefault(r["query"], [r.status, r.matched, []])[2].append(r.id)
+    assert {k: (a, b, sorted(x for x in c if x)) for k, (a, b, c) in got.items()} == {
+        0: ("ambiguous", "crate::m::f", ["f1", "f2"]), 1: ("resolved", "crate::m::n::g", ["g"]), 2: ("module", "crate::m::n", []), 3: ("resolved", "crate::m", ["m"]), 4: ("partial", "crate::m", []),
+        5: ("unknown", None, []), 6: ("unknown", None, []), 7: ("unknown", None, []), 8: ("resolved", "crate::m::n::g", ["g"]), 9: ("partial", "crate::m::n::g", []),
+    }
