@@ -36,7 +36,7 @@ def test_searches_equal_a_scan_after_every_change(spark, monkeypatch, named):
     terms = spark.createDataFrame([("a", "alpha"), ("a", "w1"), ("b", "w7"), ("b", "w2"), ("c", "nowhere"), ("b", "w7"), ("d", None)], "query string, term string")
     assert index.status() == ("uninitialized", 0) and index.search(terms, 3).collect() == []
     docs = {}
-    for turn in range(4 if named > 1 else 2):
+    for turn in range(3 if named > 1 else 1):
         fresh = {i: (words(rng, rng.choice([0, 3, 30, 90])), rng.choice(["en", "fr", None])) for i in rng.sample(range(120), 50)}
         rows = [(i, t, s) for i, (t, s) in fresh.items()] + [(None, "alpha", "en")]
         index.upsert(spark.createDataFrame(rows, SCHEMA), X.word_tokens(F.col("text")), scope=F.col("lang"))
