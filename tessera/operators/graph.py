@@ -155,29 +155,39 @@ def item_places(nodes: DataFrame, edges: DataFrame, modules: DataFrame, files: D
     return items.join(parents, "id").join(where, "module_id").join(owners, "module_id").distinct()
 
 
-def walk_canonical(asked: DataFrame, places: DataFrame) -> DataFrame:
-    """(query, canon, status, matched, id) of asked(query, canon), paths as `a::b::c`, against the items of places: how far
-    each leads into the tree of their paths, for all at once.
+def walk_counts(asked: DataFrame, places: DataFrame) -> DataFrame:
+    """(query, canon, parts, status, matched, items, first_id) of asked(query, canon), paths as `a::b::c`, against the items
+    of places: how far each leads into the tree of their paths, for all at once, a row for each that is asked.
 
     Every beginning of an item's path is a place in that tree, and a path leads as far as its longest beginning that is one.
-    status: resolved (the one item of that path), ambiguous (a row for each item of that path), module (a place above items,
+    status: resolved (the one item of that path), ambiguous (several items of that path), module (a place above items,
     not an item), partial (matched is the part of it that there is), unknown (not even its first part). Null and empty paths are
-    unknown; blanks around parts are not part of them."""
+    unknown; blanks around parts are not part of them. Items of one path are counted, and the least named, before the paths
+    meet them: many queries of a path that many items share are not paired with each."""
     parts = F.transform(F.split("canon", "::"), lambda x: F.trim(x))
     rows = asked.select("query", "canon", F.when(F.length(F.trim("canon")) > 0, parts).alias("parts"))
-    items = places.select("id", F.concat("module_path", F.array("name")).alias("path")).distinct()
+    ends = _item_paths(places).groupBy("path").agg(F.count("*").alias("items"), F.min("id").alias("first_id"))
     begin = lambda path: F.explode(F.transform(F.sequence(F.lit(1), F.size(path)), lambda n: F.slice(path, 1, n)))
-    tree = items.select(begin("path").alias("at")).distinct()
-    led = rows.where("parts is not null").select("query", "canon", begin("parts").alias("at")).join(tree, "at", "left_semi")
-    deepest = led.groupBy("query", "canon").agg(F.max(F.size("at")).alias("depth"))
-    found = rows.join(deepest, ["query", "canon"], "left").join(items.withColumnRenamed("path", "parts"), "parts", "left")
-    found = written(found.select("query", "canon", "parts", F.coalesce("depth", F.lit(0)).alias("depth"), "id"))
-    several = found.where("id is not null").groupBy("query", "canon").agg(F.count("*").alias("n"))
+    tree = ends.select(begin("path").alias("at")).distinct()
+    led = rows.where("parts is not null").select("parts").distinct().select("parts", begin("parts").alias("at")).join(tree, "at", "left_semi")
+    depths = led.groupBy("parts").agg(F.max(F.size("at")).alias("depth"))
+    found = rows.join(depths, "parts", "left").join(ends.withColumnRenamed("path", "parts"), "parts", "left")
+    found = found.withColumns({"depth": F.coalesce("depth", F.lit(0)), "items": F.coalesce("items", F.lit(0))})
     status = (
-        F.when(F.col("n") == 1, "resolved").when(F.col("n") > 1, "ambiguous").when(F.col("depth") == 0, "unknown").when(F.col("depth") == F.size("parts"), "module").otherwise("partial")
+        F.when(F.col("items") == 1, "resolved").when(F.col("items") > 1, "ambiguous").when(F.col("depth") == 0, "unknown").when(F.col("depth") == F.size("parts"), "module").otherwise("partial")
     )
-    out = found.join(several, ["query", "canon"], "left")
-    return out.select("query", "canon", status.alias("status"), F.when(F.col("depth") > 0, F.array_join(F.slice("parts", 1, F.greatest("depth", F.lit(1))), "::")).alias("matched"), "id")
+    matched = F.when(F.col("depth") > 0, F.array_join(F.slice("parts", 1, F.greatest("depth", F.lit(1))), "::"))
+    return found.select("query", "canon", "parts", status.alias("status"), matched.alias("matched"), "items", "first_id")
+
+
+def _item_paths(places: DataFrame) -> DataFrame:
+    return places.select("id", F.concat("module_path", F.array("name")).alias("path")).distinct()
+
+
+def walk_canonical(asked: DataFrame, places: DataFrame) -> DataFrame:
+    """(query, canon, status, matched, id): walk_counts with a row for each item of a path that is ambiguous."""
+    found = walk_counts(asked, places).join(_item_paths(places).withColumnRenamed("path", "parts"), "parts", "left")
+    return found.select("query", "canon", "status", "matched", "id")
 
 
 def resolve_exact(places: DataFrame, node_type: str | None, file_path: str | None, module_path: Sequence[str], name: str) -> DataFrame:

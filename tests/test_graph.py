@@ -156,3 +156,11 @@ def test_canonical_paths_lead_as_far_as_they_can(spark):
         0: ("ambiguous", "crate::m::f", ["f1", "f2"]), 1: ("resolved", "crate::m::n::g", ["g"]), 2: ("module", "crate::m::n", []), 3: ("resolved", "crate::m", ["m"]), 4: ("partial", "crate::m", []),
         5: ("unknown", None, []), 6: ("unknown", None, []), 7: ("unknown", None, []), 8: ("resolved", "crate::m::n::g", ["g"]), 9: ("partial", "crate::m::n::g", []),
     }
+
+
+def test_many_walks_of_a_shared_path_are_not_paired_with_its_items(spark):
+    places = spark.range(3000).select(F.col("id").cast("string").alias("id"), F.array(F.lit("crate"), F.lit("m")).alias("module_path"), F.lit("x").alias("name"))
+    asked = spark.range(3000).select(F.col("id").alias("query"), F.lit("crate::m::x").alias("canon"))
+    found = G.walk_counts(asked.unionByName(spark.createDataFrame([(-1, "crate::m::y"), (-2, None)], "query long, canon string")), places)
+    got = {(r.query >= 0, r.status, r.matched, r["items"], r.first_id) for r in found.collect()}
+    assert found.count() == 3002 and got == {(True, "ambiguous", "crate::m::x", 3000, "0"), (False, "partial", "crate::m", 0, None), (False, "unknown", None, 0, None)}
