@@ -164,3 +164,15 @@ def test_many_walks_of_a_shared_path_are_not_paired_with_its_items(spark):
     found = G.walk_counts(asked.unionByName(spark.createDataFrame([(-1, "crate::m::y"), (-2, None)], "query long, canon string")), places)
     got = {(r.query >= 0, r.status, r.matched, r["items"], r.first_id) for r in found.collect()}
     assert found.count() == 3002 and got == {(True, "ambiguous", "crate::m::x", 3000, "0"), (False, "partial", "crate::m", 0, None), (False, "unknown", None, 0, None)}
+
+
+def test_imports_of_shared_paths_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(G, "IMPORT_BLOCK", 2)
+    modules = spark.createDataFrame([("m", ["crate", "m"]), ("n", ["crate", "m"]), ("k", ["crate", "k"])], "id string, path array<string>")
+    items = [(f"i{i}", m, ["crate", "k" if m == "k" else "m"], f"x{i % 3}", "Inherited" if i == 4 else "Public") for i in range(7) for m in (("m", "n", "k") if i < 2 else ("m",))]
+    places = spark.createDataFrame([*items, items[0]], "id string, module_id string, module_path array<string>, name string, vis_kind string").withColumn("file_path", F.lit("f"))
+    asks = [("a", ["crate", "m"], True), ("b", ["crate", "m"], True), ("b", ["crate", "k"], True), ("b", ["crate", "m", "x0"], False), ("c", ["crate", "m", "x1"], False), ("c", ["crate", "m", "x1"], False), ("d", ["crate"], True)]
+    at = {"m": ["crate", "m"], "n": ["crate", "m"], "k": ["crate", "k"]}
+    want = sorted({(i, t) for t, path, glob in asks for i, m, p, name, vis in items if (at[m] == path and vis == "Public" if glob else [*p, name] == path)})
+    got = G.import_links(spark.createDataFrame(asks, "id string, path array<string>, is_glob boolean"), places, modules)
+    assert rows(got.select("source_id", "target_id")) == want
