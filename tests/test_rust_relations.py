@@ -91,3 +91,14 @@ def test_tables(spark):
     assert tables["function"].select("name", "ts", "is_assert").collect()[0] == ("f", 5, True)
     ids = [r.type_id for r in tables["named_type"].collect()]
     assert len(ids) == len(set(ids)) and tables["file_mod"].count() == 3 and tables["embedding_set"].count() == 0
+
+
+def test_files_of_one_partition_are_parsed_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(R, "FILES_PER_TASK", 5)
+    monkeypatch.setattr(R, "BATCH_ROWS", 4)  # less than a task's rows
+    source = [(f"src/p{i}.rs", bytearray(f"pub struct P{i} {{ a: u8 }}".encode())) for i in range(60)] + [("src/bad.rs", bytearray(b"\xff"))]
+    files = spark.createDataFrame(source, "file_path string, content binary").coalesce(1)
+    found = R.parse_rows(files)
+    assert found.rdd.getNumPartitions() >= 12
+    got = found.groupBy("file_path").pivot("relation", ["struct", "field", "error"]).count().collect()
+    assert sorted((r.file_path, r.struct, r.field, r.error) for r in got) == sorted([(p, 1, 1, None) for p, _ in source[:-1]] + [("src/bad.rs", None, None, 1)])
