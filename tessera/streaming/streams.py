@@ -71,27 +71,41 @@ def fold_burst(rows: Sequence[tuple]) -> tuple:
 
 class Debouncer(StatefulProcessor):
     """Keeps a path's events until the watermark has passed the gap behind the last of a burst, then tells the burst. Events
-    may come in any order that the watermark allows; what is told is the same as from a batch of all of them."""
+    may come in any order that the watermark allows; what is told is the same as from a batch of all of them.
+
+    A path has one timer, for the first end that a burst of it may have, and it is moved to the first end that is left when
+    it expires: so a path's events are read once for each burst that ends by itself, not once for each event."""
 
     def __init__(self, gap_ms: int):
         self.gap_ms = gap_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.events = handle.getListState("events", "kind string, old_path string, us long, seq long")
+        self.events = handle.getListState("events", "kind array<string>, old_path array<string>, us array<long>, seq array<long>")  # a row for a batch
+        self.next = handle.getValueState("next", "ms long")
+
+    def wake(self, us: int) -> None:
+        """Move the path's timer to the gap behind an event, if it has none or a later one."""
+        ms, now = -(-us // 1000) + self.gap_ms, self.next.get()
+        if now is None or ms < now[0]:
+            if now is not None:
+                self.handle.deleteTimer(now[0])
+            self.handle.registerTimer(ms)
+            self.next.update((ms,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
-            found = [(k, o if isinstance(o, str) else None, int(t.value // 1000), 0 if n is None or n != n else int(n)) for k, o, t, n in zip(batch["kind"], batch["old_path"], batch["ts"], batch["seq"])]
-            self.events.appendList(found)
-            # a timer for each end that a burst may have; those within a longer burst find nothing to tell
-            for ms in {-(-us // 1000) + self.gap_ms for _, _, us, _ in found}:
-                self.handle.registerTimer(ms)
+            if len(batch):
+                us = (batch["ts"].to_numpy("datetime64[us]").astype("int64")).tolist()
+                old = [o if isinstance(o, str) else None for o in batch["old_path"]]
+                self.events.appendValue((batch["kind"].tolist(), old, us, batch["seq"].fillna(0).astype("int64").tolist()))
+                self.wake(min(us))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until, out, rest = timerValues.getCurrentWatermarkInMs() * 1000, [], []
-        events = sorted(((us, seq, kind, old) for kind, old, us, seq in self.events.get()), key=lambda x: x[:2])
+        until, out, rest, ends = timerValues.getCurrentWatermarkInMs() * 1000, [], [], []
+        self.next.clear()
+        events = sorted(((us, seq, kind, old) for packed in self.events.get() for kind, old, us, seq in zip(*packed)), key=lambda x: x[:2])
         while events:
             n = 1
             while n < len(events) and events[n][0] - events[n - 1][0] < self.gap_ms * 1000:
@@ -101,8 +115,10 @@ class Debouncer(StatefulProcessor):
                 out.append((key[0], *fold_burst([(kind, old) for _, _, kind, old in burst]), burst[0][0], burst[-1][0], n))
             else:
                 rest += [(kind, old, us, seq) for us, seq, kind, old in burst]
+                ends.append(burst[-1][0])
         if rest:
-            self.events.put(rest)
+            self.events.put([tuple(map(list, zip(*rest)))])
+            self.wake(ends[0])
         else:
             self.events.clear()
         if out:

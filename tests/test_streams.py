@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +98,49 @@ def test_indexing_is_paused_resumed_cancelled_and_fails_without_loss(spark):
     assert control.progress()["processed"] == 40 and control.progress()["status"] == S.COMPLETED
     with pytest.raises(ValueError):
         control.tell("Sideways")
+
+
+def test_a_path_has_one_timer_however_many_events():
+    class Handle:
+        """State and timers of one path."""
+
+        def __init__(self):
+            self.timers, self.set, self.values = set(), 0, {}
+
+        def _state(self, name):
+            own = self.values
+            state = type("State", (), {})()
+            state.get = lambda: iter(own.get(name, [])) if name == "events" else own.get(name)
+            state.clear = lambda: own.pop(name, None)
+            state.appendValue = lambda x: own.setdefault(name, []).append(x)
+            state.appendList = lambda x: own.setdefault(name, []).extend(x)
+            state.put = state.update = lambda x: own.__setitem__(name, x)
+            return state
+
+        def getListState(self, name, schema):
+            return self._state(name)
+
+        getValueState = getListState
+
+        def registerTimer(self, ms):
+            self.timers.add(ms)
+            self.set += 1
+
+        deleteTimer = lambda self, ms: self.timers.discard(ms)
+
+    handle, debouncer = Handle(), S.Debouncer(1000)
+    debouncer.init(handle)
+    times = [*range(0, 50_000, 100), *range(90_000, 95_000, 100), 200_000]  # ms: bursts of 500, 50 and 1
+    order = random.Random(4).sample(times, len(times))
+    for lot in (order[:300], order[300:]):
+        frame_ = pd.DataFrame({"kind": ["Modified"] * len(lot), "old_path": [None] * len(lot), "ts": pd.to_datetime(lot, unit="ms"), "seq": lot})
+        assert not list(debouncer.handleInputRows(("p",), iter([frame_]), None))
+        assert len(handle.timers) == 1
+    told, before = [], handle.set
+    for watermark in (60_000, 100_000, 300_000):
+        now = type("Now", (), {"getCurrentWatermarkInMs": lambda self, w=watermark: w})()
+        while handle.timers and min(handle.timers) <= watermark:
+            handle.timers.remove(min(handle.timers))
+            for rows_ in debouncer.handleExpiredTimer(("p",), now, None):
+                told += rows_["events"].tolist()
+    assert told == [500, 50, 1] and not handle.timers and handle.set - before == 2
