@@ -199,3 +199,22 @@ def test_a_retriever_reads_its_stored_indexes(spark):
     stored.sparse.remove(nodes.select(F.col("id").alias("doc")))
     with pytest.raises(RuntimeError):
         stored.search_bm25(queries, 5, strict=True)
+
+
+def test_blocks_are_written_by_the_tasks_of_their_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(SI, "TASK_TOKENS", 40)
+    docs = [(i, " ".join(f"w{(i * j) % 7}" for j in range(i % 9)) or None) for i in range(60)] + [(5, "w1 again"), (5, "w1")]
+    index = SI.SparseIndex(spark, str(tmp_path / "i"), bucket=8)
+    index.upsert(spark.createDataFrame(docs, "doc_id long, text string"), F.split(F.coalesce("text", F.lit("")), " "))
+    blocks = index._blocks(index.manifest.read()[1]["segments"])
+    by_bucket = {}
+    for r in blocks.select("bucket", F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1).alias("task")).collect():
+        by_bucket.setdefault(r.bucket, set()).add(r.task)
+    assert {len(x) for x in by_bucket.values()} == {1} and len(by_bucket) >= 7 and len(set.union(*by_bucket.values())) > 1
+    assert blocks.groupBy("term", "bucket").count().where("count > 1").count() == 0
+    held = {(r.doc, r.term): r.tf for r in blocks.select("term", F.explode("held").alias("h")).select("h.doc", "h.tf", "term").collect()}
+    want = {}
+    for i, text in docs:
+        for w in (text or "").split(" "):
+            want[i, w] = want.get((i, w), 0) + 1
+    assert held == want
