@@ -123,9 +123,47 @@ def _distances(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return met.mapInArrow(run, f"id {id_type}, other {id_type}, distance double")
 
 
-def build(vectors: DataFrame, k: int, by: str | None = None, rounds: int = ROUNDS) -> DataFrame:
+#: Rows of a block of a group that meets the group's other blocks, a task for each two.
+EXACT_BLOCK = 2048
+
+
+def _completed(graph: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(id, other, distance, rank): the k nearest of all in its group for each of rows(grp, n, id, vector). A pair of blocks
+    gives the k best of a row that are no further than the k-th of graph."""
+    id_type, bounds = rows.schema["id"].dataType.simpleString(), graph.where(F.col("rank") == k).select("id", F.col("distance").alias("bound"))
+    blocks = F.ceil(F.col("n") / EXACT_BLOCK)
+    dealt = rows.join(bounds, "id", "left").select("grp", "id", "vector", F.coalesce("bound", F.lit(float("inf"))).alias("bound"), F.pmod(F.xxhash64("id"), blocks).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("far"))
+    left = dealt.select("grp", F.col("own").alias("a"), F.col("far").alias("b"), "id", "vector", "bound")
+    right = dealt.select(F.col("grp").alias("group"), F.col("far").alias("c"), F.col("own").alias("d"), F.col("id").alias("other"), F.col("vector").alias("to"))
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        out = []
+        if len(x) and len(y):
+            ids, others, most = x.column("id").to_numpy(), y.column("other").to_numpy(), x.column("bound").to_numpy()
+            v, w = (_matrix(c.combine_chunks()) for c in (x.column("vector"), y.column("to")))
+            for i in range(0, len(v), 64):
+                own, bound = v[i : i + 64], most[i : i + 64]
+                squares = (own * own).sum(1)[:, None] + (w * w).sum(1)
+                near = squares - 2 * own @ w.T <= bound[:, None] + 1e-9 * squares  # more than rounding can take away
+                r, c = np.nonzero(near & (ids[i : i + 64, None] != others))
+                d = ((own[r] - w[c]) ** 2).sum(1)
+                kept = d <= bound[r]
+                r, c, d = r[kept], c[kept], d[kept]
+                order = np.lexsort((others[c], d, r))
+                r, c, d = r[order], c[order], d[order]
+                place = np.arange(len(r)) - np.searchsorted(r, r)
+                out.append((ids[i + r[place < k]], others[c[place < k]], d[place < k]))
+        columns = [np.concatenate(x) for x in zip(*out)] if out else [[], [], []]
+        return pa.table([pa.array(columns[0], x.schema.field("id").type), pa.array(columns[1], x.schema.field("id").type), pa.array(columns[2], pa.float64())], ["id", "other", "distance"])
+
+    met = left.groupBy("grp", "a", "b").cogroup(right.groupBy("group", "c", "d")).applyInArrow(meet, f"id {id_type}, other {id_type}, distance double")
+    return top_k(met, k, ["id"], "distance", "other", descending=False)
+
+
+def build(vectors: DataFrame, k: int, by: str | None = None, rounds: int = ROUNDS, exact: bool = False) -> DataFrame:
     """(id, neighbour, distance, rank): about the k nearest others of every row of vectors(id, vector, ...), within its
-    group of `by` if one is given, by squared distance."""
+    group of `by` if one is given, by squared distance. With exact, the graph's distances are bounds, and what a pass over all
+    pairs of a group finds within them completes it: that work grows with the square of a group."""
     rows = vectors.where("vector is not null and id is not null")
     rows = rows.select((F.lit(0) if by is None else F.col(by)).alias("grp"), "id", F.transform("vector", lambda x: x.cast("double")).alias("vector"))
     rows = materialize(rows.groupBy("grp", "id").agg(F.first("vector").alias("vector")), "vectors")
@@ -147,6 +185,8 @@ def build(vectors: DataFrame, k: int, by: str | None = None, rounds: int = ROUND
         discard(before, met)
         if graph.where("fresh").count() <= SETTLED * total:
             break
+    if exact:
+        graph = _completed(graph.where(F.col("rank") <= k), sized, k)
     return graph.where(F.col("rank") <= k).select("id", F.col("other").alias("neighbour"), "distance", "rank")
 
 

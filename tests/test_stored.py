@@ -218,3 +218,16 @@ def test_blocks_are_written_by_the_tasks_of_their_buckets(spark, tmp_path, monke
         for w in (text or "").split(" "):
             want[i, w] = want.get((i, w), 0) + 1
     assert held == want
+
+
+def test_an_exact_graph_of_groups_that_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(N, "PART", 8)
+    monkeypatch.setattr(N, "EXACT_BLOCK", 32)
+    rng = random.Random(9)
+    table = [(i, [float(rng.randrange(6)) if i % 5 else 1.0 for _ in range(8)], i % 2) for i in range(200)]  # every fifth is a copy
+    built = N.build(spark.createDataFrame(table, "id long, vector array<float>, label int"), 3, "label", rounds=0, exact=True)
+    want = set()
+    for i, x, label in table:
+        near = sorted((sum((a - b) ** 2 for a, b in zip(x, y)), j) for j, y, other in table if other == label and j != i)[:3]
+        want |= {(i, j, d, n + 1) for n, (d, j) in enumerate(near)}
+    assert {tuple(r) for r in built.select("id", "neighbour", "distance", "rank").collect()} == want
