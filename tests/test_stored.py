@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,3 +232,16 @@ def test_an_exact_graph_of_groups_that_are_cut(spark, monkeypatch):
         near = sorted((sum((a - b) ** 2 for a, b in zip(x, y)), j) for j, y, other in table if other == label and j != i)[:3]
         want |= {(i, j, d, n + 1) for n, (d, j) in enumerate(near)}
     assert {tuple(r) for r in built.select("id", "neighbour", "distance", "rank").collect()} == want
+
+
+def test_blocks_are_made_a_bucket_at_a_time_and_words_by_compiled_code(spark, tmp_path):
+    frame = spark.createDataFrame([(1, "a  B", None), (2, None, "x"), (3, "--", "y")], SCHEMA)
+    words_ = frame.select(X.word_tokens(F.col("text")).alias("w"))
+    assert "lambda" not in words_._jdf.queryExecution().optimizedPlan().toString().lower() and [r.w for r in words_.collect()] == [["a", "b"], [], []]
+    rows = pa.table({"bucket": [3, 3, 3], "position": [24, 30, 24], "doc": [1, 2, 1], "len": [4, 2, 4], "scope": [None, "x", None], "term": pa.array([["b", "a", None, "b"], ["a", "a"], ["b"]], pa.list_(pa.string()))})
+    one = pa.struct([("position", pa.int64()), ("doc", pa.int64()), ("tf", pa.int64()), ("len", pa.int64()), ("scope", pa.string())])
+    types = pa.schema([("term", pa.string()), ("bucket", pa.int64()), ("n", pa.int64()), ("max_tf", pa.int64()), ("min_len", pa.int64()), ("held", pa.list_(one))])
+    made = {r["term"]: r for r in SI._make_blocks(rows, 8, types).to_pylist()}
+    assert {t: (r["bucket"], r["n"], r["max_tf"], r["min_len"]) for t, r in made.items()} == {"b": (3, 1, 3, 4), "a": (3, 2, 2, 2)}
+    assert [(h["position"], h["doc"], h["tf"], h["scope"]) for h in made["a"]["held"]] == [(24, 1, 1, None), (30, 2, 2, "x")]
+    assert len(SI._make_blocks(rows.slice(0, 0), 8, types)) == 0
