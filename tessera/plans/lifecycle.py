@@ -299,7 +299,7 @@ def system_catalog(t):
 def index_stream(t):
     """Documents indexed as a stream of files, in micro-batches, started twice: what was read is not read again."""
     folder, path, checkpoint = (shared.scratch(t.spark, x) for x in ("docs", "postings", "checkpoint"))
-    t.documents.repartition(3).write.parquet(folder)
+    t.documents.repartition(3).write.option("parquet.block.size", 8 << 20).parquet(folder)  # a batch is a file, and a task reads whole row groups
     source = t.spark.readStream.schema(t.documents.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     for _ in range(2):
         streams.index_stream(source, X.word_tokens(F.col("text")), path, checkpoint).awaitTermination()

@@ -195,3 +195,16 @@ def test_admission_in_many_rounds_and_positions_of_many_ranges(spark, monkeypatc
             texts = [r for r in own if r["text"] is not None]
             want = dict(budget_plain(texts, total, file, part, strict))
             assert [r.admitted for r in said] == [want.get(r["id"], False) for r in own]
+
+
+@pytest.mark.parametrize("most", [R.MOST_REPEATED, 0])
+def test_postings_stay_with_their_rows_and_repeated_keys_add_up(spark, monkeypatch, most):
+    monkeypatch.setattr(R, "MOST_REPEATED", most)
+    rows = [(1, "b a b"), (2, "a"), (2, "a"), (2, "a c"), (None, "a"), (None, "a"), (3, ""), (4, None)]
+    got = R.postings(spark.createDataFrame(rows, "doc_id long, text string"), X.word_tokens(F.col("text")))
+    want = [(1, "a", 1, 3), (1, "b", 2, 3), (2, "a", 1, 2), (2, "a", 2, 1), (2, "c", 1, 2), (None, "a", 2, 1)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    nulls = R.postings(spark.createDataFrame([(1, ["x", None, "x", None])], "doc_id long, t array<string>"), F.col("t"))
+    assert sorted(map(tuple, nulls.collect()), key=str) == [(1, "x", 2, 4), (1, None, 2, 4)] or sorted(map(tuple, nulls.collect()), key=str) == [(1, None, 2, 4), (1, "x", 2, 4)]
+    alone = R._postings_of_rows(spark.createDataFrame(rows[:2], "doc_id long, text string"), X.word_tokens(F.col("text")), "doc_id")
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
