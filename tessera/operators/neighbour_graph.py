@@ -7,7 +7,8 @@ other, pairs that are new meet once, and each vector keeps its k best. Only link
 introductions with others, so that work falls as the graph settles; it ends when fewer than SETTLED of all links change.
 Work is in proportion to the vectors, not to their square, and all of it moves by joins on ids.
 
-Rows move as (id, other) pairs; vectors are joined to pairs that are new, in blocks of pairs. How good the result is,
+Links move as (id, other) pairs, and the vectors of those that one introduces to it, once; of what they are to each other,
+only what betters a row's links goes on. How good the result is,
 recall() measures against exact search for a sample of rows.
 
 Defined cases: rows without a vector, or with one of another length than most, are left out. Rows that repeat an id keep one vector. Ties go to the smaller id. Groups
@@ -95,30 +96,54 @@ def _best(links: DataFrame, k: int) -> DataFrame:
 
 
 def _introduced(graph: DataFrame) -> DataFrame:
-    """(id, other): pairs with a common neighbour, at least one link of which is fresh; each pair once, the smaller id first."""
+    """(id, other, fresh): whom each id introduces to each other, if any of their links is fresh."""
     both = graph.select("id", "other", "fresh", "distance").unionByName(graph.select(F.col("other").alias("id"), F.col("id").alias("other"), "fresh", "distance"))
-    both = both.groupBy("id", "other").agg(F.max("fresh").alias("fresh"), F.min("distance").alias("distance"))
+    both = both.repartition("id").groupBy("id", "other").agg(F.max("fresh").alias("fresh"), F.min("distance").alias("distance"))
     # of many, the fresh ones first: those of a hub would introduce all others to each other
     w = Window.partitionBy("id", "fresh").orderBy("distance", "other")
     some = both.withColumn("n", F.row_number().over(w)).where(F.col("n") <= FANOUT)
-    known = some.groupBy("id").agg(F.collect_list(F.struct("other", "fresh")).alias("known"))
-    # 2 * FANOUT at most stand here
-    pairs = known.select(F.explode("known").alias("a"), "known").select(F.col("a.other").alias("id"), F.col("a.fresh").alias("af"), F.explode("known").alias("b"))
-    return pairs.where((F.col("id") < F.col("b.other")) & (F.col("af") | F.col("b.fresh"))).select("id", F.col("b.other").alias("other")).distinct()
+    # 2 * FANOUT at most of an id
+    return some.withColumn("any", F.max("fresh").over(Window.partitionBy("id"))).where("any").select("id", "other", "fresh")
 
 
-def _distances(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """pairs(id, other) with their distance, if they are of one group."""
-    left = rows.select("id", F.col("vector").alias("a"), F.col("grp").alias("ga"))
-    right = rows.select(F.col("id").alias("other"), F.col("vector").alias("b"), F.col("grp").alias("gb"))
-    met = pairs.join(left, "id").join(right, "other").where(F.col("ga").eqNullSafe(F.col("gb"))).select("id", "other", "a", "b")
+def _met(graph: DataFrame, rows: DataFrame, keep: int) -> DataFrame:
+    """(id, other, distance): what those who were introduced are to each other, of one group and with a fresh link, where it
+    is no further than the id's keep-th link so far. The vectors of those that an id introduces move to it once, not once for
+    each pair of them."""
+    bounds = graph.where(F.col("rank") == keep).select("id", F.col("distance").alias("bound"))
+    known = rows.join(bounds, "id", "left").select(F.col("id").alias("other"), "grp", "vector", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+    met = _introduced(graph).join(known, "other").repartition("id").sortWithinPartitions("id")
     id_type = rows.schema["id"].dataType.simpleString()
 
+    def pairs(table: pa.Table) -> pa.RecordBatch:
+        by, ids, fresh, bound = (table.column(c).to_numpy() for c in ("id", "other", "fresh", "bound"))
+        group = table.column("grp").combine_chunks().dictionary_encode("encode").indices.to_numpy()
+        x = _matrix(table.column("vector").combine_chunks())
+        begin = np.flatnonzero(np.r_[True, by[1:] != by[:-1]])
+        size = np.diff(np.r_[begin, len(by)])
+        end = np.repeat(begin + size, size)
+        later = end - np.arange(len(by)) - 1  # those of the same id that follow
+        a = np.repeat(np.arange(len(by)), later)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later)
+        some = (fresh[a] | fresh[b]) & (ids[a] != ids[b]) & (group[a] == group[b])
+        a, b = a[some], b[some]
+        d = np.concatenate([((x[a[i : i + 8192]] - x[b[i : i + 8192]]) ** 2).sum(1) for i in range(0, max(1, len(a)), 8192)])
+        one, two = d <= bound[a], d <= bound[b]
+        kind = table.schema.field("other").type
+        return pa.RecordBatch.from_arrays([pa.array(np.r_[ids[a[one]], ids[b[two]]], kind), pa.array(np.r_[ids[b[one]], ids[a[two]]], kind), pa.array(np.r_[d[one], d[two]])], ["id", "other", "distance"])
+
     def run(batches):
+        rest = None
         for batch in batches:
-            if batch.num_rows:
-                d = ((_matrix(batch.column("a")) - _matrix(batch.column("b"))) ** 2).sum(1)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("other"), pa.array(d)], ["id", "other", "distance"])
+            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if len(table):
+                by = table.column("id").to_numpy()
+                cut = len(by) - int(np.argmax(by[::-1] != by[-1])) if (by != by[-1]).any() else 0  # an id may go on in the next batch
+                rest = table.slice(cut)
+                if cut:
+                    yield pairs(table.slice(0, cut))
+        if rest is not None and len(rest):
+            yield pairs(rest)
 
     return met.mapInArrow(run, f"id {id_type}, other {id_type}, distance double")
 
@@ -165,7 +190,8 @@ def build(vectors: DataFrame, k: int, by: str | None = None, rounds: int = ROUND
     group of `by` if one is given, by squared distance. With exact, the graph's distances are bounds, and what a pass over all
     pairs of a group finds within them completes it: that work grows with the square of a group."""
     rows = vectors.where("vector is not null and id is not null")
-    rows = rows.select((F.lit(0) if by is None else F.col(by)).alias("grp"), "id", F.transform("vector", lambda x: x.cast("double")).alias("vector"))
+    kept = "array<float>" if rows.schema["vector"].dataType.simpleString() == "array<float>" else "array<double>"  # reckoned in doubles
+    rows = rows.select((F.lit(0) if by is None else F.col(by)).alias("grp"), "id", F.col("vector").cast(kept).alias("vector"))
     rows = materialize(rows.groupBy("grp", "id").agg(F.first("vector").alias("vector")), "vectors")
     length = rows.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "d").first()
     if length is None:
@@ -176,13 +202,10 @@ def build(vectors: DataFrame, k: int, by: str | None = None, rounds: int = ROUND
     graph = materialize(_best(_first_links(sized, keep).withColumn("fresh", F.lit(True)), keep), "graph")
     total = graph.count()
     for _ in range(rounds):
-        pairs = _introduced(graph)
-        told = graph.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")).distinct()
-        met = materialize(_distances(pairs.join(told, ["id", "other"], "left_anti"), rows), "met")
-        found = met.unionByName(met.select(F.col("other").alias("id"), F.col("id").alias("other"), "distance")).withColumn("fresh", F.lit(True))
+        found = _met(graph, rows, keep).withColumn("fresh", F.lit(True))
         old = graph.select("id", "other", "distance", F.lit(False).alias("fresh"))
         before, graph = graph, materialize(_best(old.unionByName(found), keep), "graph")
-        discard(before, met)
+        discard(before)
         if graph.where("fresh").count() <= SETTLED * total:
             break
     if exact:
