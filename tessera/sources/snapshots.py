@@ -37,10 +37,10 @@ class Change:
         """A relation as this change has it so far, or some of its parts."""
         return self.store._rows(self.relations[name], parts)
 
-    def _write(self, name: str, rows: DataFrame, by: str | None = None) -> str:
+    def _write(self, name: str, rows: DataFrame, by: str | None = None, dealt: bool = False) -> str:
         folder = self.store.manifest.folder(name)
         self.written.append(folder)
-        writer = rows.write if by is None else rows.repartition(by).write.partitionBy(by)
+        writer = rows.write if by is None else (rows if dealt else rows.repartition(by)).write.partitionBy(by)
         writer.parquet(folder)
         return folder
 
@@ -56,15 +56,18 @@ class Change:
         rows = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
         self.relations[name]["parts"].setdefault(WHOLE, []).append(self._write(name, rows))
 
-    def replace_parts(self, name: str, rows: DataFrame, parts: Sequence[str], by: str = "part") -> None:
-        """Of a relation dealt to parts, these parts' rows are those of rows, whose column `by` (text) tells the part."""
+    def replace_parts(self, name: str, rows: DataFrame, parts: Sequence[str], by: str = "part", kept: DataFrame | None = None) -> None:
+        """Of a relation dealt to parts, these parts' rows are those of rows, whose column `by` (text) tells the part, and of
+        kept, if there are any: rows read from these parts, which are written again where they are read, without moving."""
         schema = T.StructType([f for f in rows.schema if f.name != by])
         now = self.relations.setdefault(name, {"schema": schema.json(), "parts": {}})
+        marked = [(x.withColumn(by, F.concat(F.lit("p"), by)), x is kept) for x in (rows, kept) if x is not None]
+        folders = [self._write(name, x, by, dealt) for x, dealt in marked]
         for p in parts:
             now["parts"].pop(p, None)
-        folder = self._write(name, rows.withColumn(by, F.concat(F.lit("p"), by)), by)
-        for p in self.store._children(folder, by):
-            now["parts"][p.removeprefix("p")] = [f"{folder}/{by}={p}"]
+        for folder in folders:
+            for p in self.store._children(folder, by):
+                now["parts"].setdefault(p.removeprefix("p"), []).append(f"{folder}/{by}={p}")
 
     def drop(self, name: str) -> None:
         self.relations.pop(name)
@@ -199,20 +202,23 @@ def refresh(store: SnapshotStore, contents: DataFrame, parse: Callable[[DataFram
     there is none. Files without content, and rows that repeat a path, are errors of the caller: a path has one row."""
     hashed = contents.select("file_path", F.sha2("content", 256).alias("hash"))
     _, content = store.manifest.read()
-    stored = store.read()[HASHES] if HASHES in content.get("relations", {}) else hashed.limit(0)
+    known = HASHES in content.get("relations", {})
+    stored = store.read()[HASHES] if known else hashed.limit(0)
     changes = materialize(maintenance.scan_changes(stored, hashed), "changes")
     touched = [r["part"] for r in changes.select(part_of("file_path", parts).alias("part")).distinct().collect()]  # PARTS at most
     if not touched:
         return changes
-    fresh = contents.join(changes.where("change != 'removed'").select("file_path"), "file_path", "left_semi")
+    # of a new store all files are fresh, and their contents need not move to be found
+    fresh = contents.join(changes.where("change != 'removed'").select("file_path"), "file_path", "left_semi") if known else contents
     made = parse(fresh) | {HASHES: fresh.select("file_path", F.sha2("content", 256).alias("hash"))}
 
     def make(change: Change) -> None:
         for name, rows in made.items():
+            dealt, kept = part_of("file_path", parts), None
             if name in change.relations:
-                old = change.rows(name, touched).join(changes.select("file_path"), "file_path", "left_anti")
-                rows = old.unionByName(rows.select(*old.columns))
-            change.replace_parts(name, rows.withColumn("part", part_of("file_path", parts)), touched)
+                kept = change.rows(name, touched).join(changes.select("file_path"), "file_path", "left_anti")
+                rows, kept = rows.select(*kept.columns), kept.withColumn("part", dealt)
+            change.replace_parts(name, rows.withColumn("part", dealt), touched, kept=kept)
 
     store.change(make)
     return changes

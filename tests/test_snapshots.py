@@ -148,3 +148,25 @@ def test_adjacency_is_joined_without_moving_edges(spark, monkeypatch, named):
         # the one exchange is that of the ids
         assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
     stored.drop()
+
+
+def test_rows_of_a_part_that_stay_are_written_where_they_are_read(spark, tmp_path, monkeypatch):
+    store, moved = S.SnapshotStore(spark, str(tmp_path / "s")), []
+    texts = {f"f{i}": f"a{i}\nb" for i in range(40)}
+    frame = lambda x: spark.createDataFrame([(k, v.encode()) for k, v in x.items()], "file_path string, content binary")
+    parse = lambda c: {"line": c.select("file_path", F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line"))}
+    write = S.Change._write
+
+    def watched(self, name, rows, by=None, dealt=False):
+        moved.append((name, dealt, rows.count()))
+        return write(self, name, rows, by, dealt)
+
+    S.refresh(store, frame(texts), parse, 4)
+    monkeypatch.setattr(S.Change, "_write", watched)
+    now = texts | {"f3": "x\ny\nz", "new": "n"}
+    del now["f5"]
+    S.refresh(store, frame(now), parse, 4)
+    assert sorted(tuple(r) for r in store.read()["line"].collect()) == sorted((k, x) for k, v in now.items() for x in v.split("\n"))
+    assert ("line", False, 4) in moved and sum(n for name, dealt, n in moved if name == "line" and dealt) > 4
+    S.refresh(store, frame({"new": "n"}), parse, 4)  # parts that have no row left
+    assert [tuple(r) for r in store.read()["line"].collect()] == [("new", "n")]
