@@ -245,3 +245,30 @@ def test_blocks_are_made_a_bucket_at_a_time_and_words_by_compiled_code(spark, tm
     assert {t: (r["bucket"], r["n"], r["max_tf"], r["min_len"]) for t, r in made.items()} == {"b": (3, 1, 3, 4), "a": (3, 2, 2, 2)}
     assert [(h["position"], h["doc"], h["tf"], h["scope"]) for h in made["a"]["held"]] == [(24, 1, 1, None), (30, 2, 2, "x")]
     assert len(SI._make_blocks(rows.slice(0, 0), 8, types)) == 0
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_many_terms_are_scored_in_tiles_and_make_no_row_for_a_pair_and_term(spark, monkeypatch, small):
+    monkeypatch.setattr(SI, "MOST_NAMED", 5)
+    monkeypatch.setattr(SI.SparseIndex, "_scores", lambda *a: pytest.fail("a row for each query, document and term"))
+    for name, value in dict(TILE_TOKENS=400, TILE_DOCS=30, ASKED_TERMS=200, ASKED=12, PACKED_BLOCKS=50, CELLS=70, PAIRS=8, MOST_DENSE=2).items() if small else ():
+        monkeypatch.setattr(SI, name, value)
+    rng = random.Random(5)
+    index = SI.SparseIndex(spark, shared.scratch(spark, "sparse"), bucket=8, merge=2)
+    copy = words(rng, 40)
+    docs = {}
+    for turn in range(2):
+        fresh = {i: (copy if i % 4 == 0 else words(rng, rng.choice([0, 3, 30, 90])), rng.choice(["en", "fr", None])) for i in rng.sample(range(150), 70)}
+        index.upsert(spark.createDataFrame([(i, t, s) for i, (t, s) in fresh.items()], SCHEMA), X.word_tokens(F.col("text")), scope=F.col("lang"))
+        docs |= fresh
+        if turn:
+            gone = rng.sample(sorted(docs), 15)
+            index.remove(spark.createDataFrame([(i,) for i in gone], "doc long"))
+            docs = {i: x for i, x in docs.items() if i not in gone}
+        asked = [(f"q{i}", w) for i in sorted(docs)[::9] for w in docs[i][0].split()] + [("few", "nowhere"), ("few", "w7"), ("none", "nowhere"), (None, "alpha"), ("few", None)]
+        terms = spark.createDataFrame(asked, "query string, term string")
+    for scope in (None, "fr"):
+        got = sorted((r.query, r["rank"], r.doc, r.score) for r in index.search(terms, 4, scope).collect())
+        assert got == plain(spark, docs, terms.where("query is not null"), 4, scope)
+    index.remove(spark.createDataFrame([(i,) for i in docs], "doc long"))
+    assert index.search(terms, 4).collect() == []
