@@ -176,3 +176,28 @@ def test_imports_of_shared_paths_in_blocks(spark, monkeypatch):
     want = sorted({(i, t) for t, path, glob in asks for i, m, p, name, vis in items if (at[m] == path and vis == "Public" if glob else [*p, name] == path)})
     got = G.import_links(spark.createDataFrame(asks, "id string, path array<string>, is_glob boolean"), places, modules)
     assert rows(got.select("source_id", "target_id")) == want
+
+
+def test_places_ask_for_the_ancestors_of_modules_only(g, monkeypatch):
+    found, closure = [], G.closure
+    monkeypatch.setattr(G, "closure", lambda *a: found.append(closure(*a)) or found[-1])
+    got = G.item_places(g["nodes"], g["edges"], g["modules"], g["files"])
+    assert rows(got) == rows(g["places"].select(*got.columns))
+    assert {r.child for df in found for r in df.collect()} <= {r.id for r in g["modules"].collect()}
+
+
+def test_orders_import_their_own_customer_where_names_are_shared(spark, tmp_path):
+    from tessera.plans import graphs
+    from tessera.plans.registry import Tables
+
+    tables = {
+        "region": ("r_regionkey long, r_name string", [(0, "R")]),
+        "nation": ("n_nationkey long, n_name string, n_regionkey long", [(0, "N", 0)]),
+        "customer": ("c_custkey long, c_name string, c_nationkey long, c_mktsegment string", [(1, "same", 0, "BUILDING"), (2, "same", 0, "BUILDING"), (3, None, 0, "AUTO")]),
+        "supplier": ("s_suppkey long, s_name string, s_nationkey long", [(7, "S", 0)]),
+        "orders": ("o_orderkey long, o_custkey long", [(10, 1), (11, 2), (12, 3), (13, 4)]),
+    }
+    for name, (schema, data) in tables.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = graphs.import_links(Tables(spark, str(tmp_path))).select("source_id", "target_id")
+    assert rows(got) == [("c:1", "o:10"), ("c:1", "s:7"), ("c:2", "o:11"), ("c:2", "s:7"), ("c:3", "o:12")]
