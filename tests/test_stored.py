@@ -272,3 +272,18 @@ def test_many_terms_are_scored_in_tiles_and_make_no_row_for_a_pair_and_term(spar
         assert got == plain(spark, docs, terms.where("query is not null"), 4, scope)
     index.remove(spark.createDataFrame([(i,) for i in docs], "doc long"))
     assert index.search(terms, 4).collect() == []
+
+
+def test_turns_of_many_queries_read_the_postings_once(spark, monkeypatch):
+    for name, value in dict(MOST_NAMED=5, TILE_DOCS=30, ASKED=4, QUERIES=3, CELLS=40).items():
+        monkeypatch.setattr(SI, name, value, raising=False)
+    read, materialize = [], SI.materialize
+    monkeypatch.setattr(SI, "materialize", lambda df, name: read.append((name, any("/blocks/" in x for x in df.inputFiles()))) or materialize(df, name))
+    rng = random.Random(6)
+    docs = {i: (words(rng, rng.choice([3, 40])), None) for i in range(80)}
+    index = SI.SparseIndex(spark, shared.scratch(spark, "sparse"), bucket=8)
+    index.upsert(spark.createDataFrame([(i, t, s) for i, (t, s) in docs.items()], SCHEMA), X.word_tokens(F.col("text")), scope=F.col("lang"))
+    terms = spark.createDataFrame([(f"q{i}", w) for i in range(0, 80, 6) for w in docs[i][0].split()], "query string, term string")
+    got = sorted((r.query, r["rank"], r.doc, r.score) for r in index.search(terms, 3).collect())
+    assert got == plain(spark, docs, terms, 3)
+    assert len([x for x in read if x[0] == "best"]) > 2 and [name for name, blocks in read if blocks and name != "weights"] == ["tiles"]
