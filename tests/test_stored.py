@@ -287,3 +287,11 @@ def test_turns_of_many_queries_read_the_postings_once(spark, monkeypatch):
     got = sorted((r.query, r["rank"], r.doc, r.score) for r in index.search(terms, 3).collect())
     assert got == plain(spark, docs, terms, 3)
     assert len([x for x in read if x[0] == "best"]) > 2 and [name for name, blocks in read if blocks and name != "weights"] == ["tiles"]
+
+
+def test_a_stored_posting_does_not_repeat_what_its_document_has(spark):
+    index = SI.SparseIndex(spark, shared.scratch(spark, "sparse"))
+    index.upsert(spark.createDataFrame([(1, "a b a", "x"), (2, "a", None)], SCHEMA), X.word_tokens(F.col("text")), scope=F.col("lang"))
+    assert index._blocks(index.manifest.read()[1]["segments"]).schema["held"].dataType.elementType.names == ["position", "doc", "tf"]
+    terms = spark.createDataFrame([("q", "a")], "query string, term string")
+    assert [r.doc for r in index.search(terms, 2, scope="x").collect()] == [1] and [r.doc for r in index.search(terms, 2).collect()] == [2, 1]
